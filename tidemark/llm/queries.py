@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontamination import find_benchmark
 from .exact_dedup import exact_dedup
+from .licenses import scan_licenses
+from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .quality import quality_scores
 from .secrets import secret_digest
 from .simhash_dedup import simhash_dedup
+from .substring_dedup import substring_dedup
+from .toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    return find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tag")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,16 +40,44 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place of a license."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("licenses").alias("x")).select("doc_id", "x.*")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_secret_scans": op3_secret_scans,
         "op4_source_mixing": op4_source_mixing,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op6_toxicity": op6_toxicity,
+        "op7_license_scans": op7_license_scans,
+        "op8_line_dedup": op8_line_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
@@ -50,6 +90,30 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, trim(regexp_replace(line, '[\x09-\x0D]', ' ', 'g')) AS line
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE line <> ''
+), r AS (
+  SELECT *, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3 FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+), f AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, k) > 1 AS later FROM r WHERE line3 IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, k + o AS k FROM f, (VALUES (0), (1), (2)) v(o) WHERE later
+), m AS (
+  SELECT n.doc_id, n.i FROM n JOIN g ON n.doc_id = g.doc_id AND n.k = g.k
+), s AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), kept AS (
+  SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.i) AS text FROM s LEFT JOIN m ON s.doc_id = m.doc_id AND s.i = m.i WHERE m.i IS NULL GROUP BY s.doc_id
+)
+SELECT d.doc_id, coalesce((SELECT count(*) FROM n WHERE n.doc_id = d.doc_id), 0)::BIGINT AS n_lines,
+  coalesce((SELECT count(*) FROM m WHERE m.doc_id = d.doc_id), 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -76,4 +140,4 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN draw < rate
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_line_dedup": OP8_SQL}
