@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import body, inner_id, outer_id, written
 
+#: Most line numbers (an int each) that are broadcast.
+BROADCAST_STARTS = 4_000_000
+
 
 def lines_of(column: str) -> Column:
     """The lines of a text that aren't blank, as (at, text): at counts all lines from 0, text is trimmed."""
@@ -55,7 +58,9 @@ def line_dedup(docs: DataFrame, run: int = 3, text: str = "text", doc_id: str =
     gone = later.groupBy("id", "tag").agg(F.collect_list("start").alias("starts"))
     gone = written(gone, "line-repeats")
 
-    cut = rows.join(gone, ["id", "tag"]).withColumn("lines", lines_of("text"))
+    # what is broadcast has been counted: the starts of all repeats; beyond the bound Spark shuffles the texts
+    many = gone.agg(F.sum(F.size("starts"))).first()[0] or 0
+    cut = rows.join(F.broadcast(gone) if many <= BROADCAST_STARTS else gone, ["id", "tag"]).withColumn("lines", lines_of("text"))
     hit = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
     cut = cut.withColumn("out", F.transform(hit, lambda i: F.element_at("lines", i + 1)["at"]))
     stays = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda x: ~F.array_contains("out", x["at"]))
