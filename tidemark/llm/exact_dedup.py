@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, body, inner_id, outer_id, written
+from .common import SPACES, body, inner_id, join_checked, outer_id, written
 
 #: What makes two texts equal: SHA-256, and beside it an independent 64-bit hash and the length, which verify it.
 KEY = ["digest", "check", "n_bytes"]
 
 
 def exact_dedup(docs: DataFrame, fan_in: int = 4, rounds: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), a row for each input row.
+    """(doc_id, keep_id, group_size, kept, text_sha256, text_hash), a row for each input row.
 
     Texts are equal when they are identical after each stretch of ASCII white space has become one space.
     The digests of the input's partitions form fan_in**rounds sorted runs. In each round fan_in neighbouring
@@ -47,4 +47,20 @@ def exact_dedup(docs: DataFrame, fan_in: int = 4, rounds: int = 3, text: str = "
         F.col("n").alias("group_size"),
         (F.col("id") == F.col("keep")).alias("kept"),
         F.col("digest").alias("text_sha256"),
+        F.col("check").alias("text_hash"),
     )
+
+
+def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, columns as they were; of rows with the same doc_id and text one stays."""
+    same_text = F.xxhash64(F.regexp_replace(body(text), SPACES, " "))
+    marked = written(exact_dedup(docs, text=text, doc_id=doc_id, **options).withColumn("id", inner_id("doc_id")), "copies")
+    copies = written(marked.where("NOT kept").select(F.col("id").alias("copy_id_"), F.col("text_hash").alias("copy_hash_")).distinct(), "copies")
+    rest = join_checked(docs, copies, (inner_id(doc_id) == F.col("copy_id_")) & (same_text == F.col("copy_hash_")), "left_anti", rows=500_000)
+    twice = marked.where("kept").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    twice = written(twice.select(F.col("id").alias("copy_id_"), F.col("text_hash").alias("copy_hash_")), "copies")
+    if twice.isEmpty():
+        return rest
+    again = (inner_id(doc_id) == F.col("copy_id_")) & (same_text == F.col("copy_hash_"))
+    once = join_checked(rest, twice, again, rows=500_000).dropDuplicates(["copy_id_", "copy_hash_"]).select(*[rest[c] for c in docs.columns])
+    return join_checked(rest, twice, again, "left_anti", rows=500_000).unionByName(once)

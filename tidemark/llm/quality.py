@@ -97,14 +97,15 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 100) -> tup
     names = sorted(patterns)
     weight = np.array([patterns[p] for p in names], float)
     vote = np.array([[("-.+").index(c) for c in p] for p in names])
-    post = np.array([0.9 if "-" not in p else 0.1 for p in names])
+    # a first guess: any vote against a text; it must be firm, or kinds of junk that one labeller alone sees drift away
+    post = np.array([0.999 if "-" not in p else 0.001 for p in names])
     for _ in range(rounds):
         prior = (weight @ post + 1) / (weight.sum() + 2)
         logs = np.stack([np.full(len(names), np.log(1 - prior)), np.full(len(names), np.log(prior))])
         chances = np.zeros((len(LABELLERS), 2, 3))
         for j in range(len(LABELLERS)):
             for k, share in enumerate((1 - post, post)):
-                tally = np.bincount(vote[:, j], weight * share, 3) + 0.5
+                tally = np.bincount(vote[:, j], weight * share, 3) + 0.05
                 chances[j, k] = tally / tally.sum()
                 logs[k] += np.log(chances[j, k][vote[:, j]])
         post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, components, inner_id, outer_id, written
+from .common import body, components, inner_id, join_checked, outer_id, written
 
 BITS = 64
 #: A tile has at most about so many fingerprints.
@@ -36,15 +36,16 @@ def simhash(text: bytes, width: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, fp): a row for each input row; fp as a signed long. Null text counts as empty and has fingerprint 0."""
+    """(id, text_hash, fp): a row for each input row; fp as a signed long. Null text counts as empty and has fingerprint 0."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             fps = np.fromiter((simhash(t.as_py(), width, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], names=["id", "text_hash", "fp"])
 
-    return docs.select(inner_id(doc_id).alias("id"), body(text).alias("text")).mapInArrow(hashed, "id long, fp long")
+    rows = docs.select(inner_id(doc_id).alias("id"), F.xxhash64(body(text)).alias("text_hash"), body(text).alias("text"))
+    return rows.mapInArrow(hashed, "id long, text_hash long, fp long")
 
 
 class Forest:
@@ -128,7 +129,7 @@ def near_edges(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row for each input row.
+    """(doc_id, fingerprint, component_id, text_hash), a row for each input row.
 
     Documents whose 64-bit fingerprints differ in radius bits or fewer are linked; component_id is the smallest doc_id
     that links reach. Fingerprints are compared once each, however many documents have them.
@@ -146,4 +147,14 @@ def simhash_dedup(docs: DataFrame, width: int = 4, seed: int = 42, radius: int =
         outer_id("id").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         outer_id("component").alias("component_id"),
+        "text_hash",
     )
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs whose doc_id is their component's, columns as they were: one document of each component stays."""
+    marked = simhash_dedup(docs, text=text, doc_id=doc_id, **options)
+    near = marked.where("NOT doc_id <=> component_id").select(inner_id("doc_id").alias("near_id_"), F.col("text_hash").alias("near_hash_"))
+    near = written(near.distinct(), "near-copies")
+    same = (inner_id(doc_id) == F.col("near_id_")) & (F.xxhash64(body(text)) == F.col("near_hash_"))
+    return join_checked(docs, near, same, "left_anti", rows=500_000)
