@@ -33,6 +33,11 @@ def outer_id(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(NULL_ID))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out once a row: it is bound by a lambda, which no rule of the optimizer unfolds."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a local master may do without it."""
     there = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, inner_id, join_checked, outer_id, written
+from .common import body, inner_id, join_checked, once, outer_id, written
 
 #: Words are runs of letters and digits, in lower case, so neither case nor punctuation hides a passage.
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
@@ -23,11 +23,14 @@ def words_of(column: str) -> Column:
     return F.filter(F.split(F.lower(F.col(column)), BETWEEN_WORDS), lambda w: w != "")
 
 
-def shingles(words: str, width: int) -> Column:
+def shingles(words: Column, width: int) -> Column:
     """The 64-bit hashes of all `width` consecutive words; none if there are fewer."""
-    n = F.size(words) - width
-    each = lambda i: F.xxhash64(*[F.element_at(words, i + k + 1) for k in range(width)])
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), each)).otherwise(F.array().cast("array<long>"))
+
+    def over(w: Column) -> Column:
+        each = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])
+        return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), each)).otherwise(F.array().cast("array<long>"))
+
+    return once(words, over)
 
 
 def with_simhash(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
@@ -35,13 +38,12 @@ def with_simhash(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     mask = sum(1 << (LANES * k) for k in range(64 // LANES))
     lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(mask))).alias(f"l{j}") for j in range(LANES)]
     counted = rows.select(*keys, F.explode(hashes).alias("h")).groupBy(*keys).agg(*lanes, F.count("*").alias("all_"))
-    bits = [
-        F.when(F.shiftrightunsigned(f"l{j}", LANES * k).bitwiseAND(F.lit((1 << LANES) - 1)) * 2 > F.col("all_"), F.lit((1 << (j + LANES * k)) - ((1 << 64) if j + LANES * k == 63 else 0))).otherwise(F.lit(0))
-        for k in range(64 // LANES)
-        for j in range(LANES)
-    ]
-    return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), [b.cast("long") for b in bits]).alias("fp"))
-
+    half = lambda j, part: F.get("lanes", j).bitwiseAND(F.lit((1 << LANES) - 1)) if part == 0 else F.shiftrightunsigned(F.get("lanes", j), LANES)
+    bit = lambda j, part: F.when(half(j, part) * 2 > F.col("all_"), F.call_function("shiftleft", F.lit(1).cast("long"), j + LANES * part)).otherwise(F.lit(0).cast("long"))
+    fp = F.aggregate(F.sequence(F.lit(0), F.lit(LANES - 1)), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseOR(bit(j, 0)).bitwiseOR(bit(j, 1)))
+    counted = counted.select(*keys, "all_", F.array(*[f"l{j}" for j in range(LANES)]).alias("lanes"))
+    # written, so that nothing which reads fp works it out again
+    return written(counted.select(*keys, fp.alias("fp")), "benchmark-simhash")
 
 def blocks(fp: str, flips: int) -> Column:
     """(block, value) of all blocks of the fingerprint, and what is at most `flips` bits from each."""
@@ -83,26 +85,26 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.
     plain = docs.select(inner_id(doc_id).alias("id"), body(text).alias("text"))
     plain = plain.select("id", F.xxhash64("text").alias("tag"), "text")
 
-    def spread(rows: DataFrame, k: int) -> DataFrame:
-        rows = rows.select("id", "tag", words_of("text").alias("words"))
+    def hashes(k: int) -> Column:
         if k == width:
-            return rows.select("id", "tag", F.size("words").alias("len"), shingles("words", k).alias("hs"))
-        grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - k, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, k), " ")))
-        return rows.select("id", "tag", F.size("words").alias("len"), F.when(F.size("words") >= k, grams).otherwise(F.array().cast("array<long>")).alias("hs"))
+            return shingles(words_of("text"), k)
+        grams = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " ")))).otherwise(F.array().cast("array<long>"))
+        return once(words_of("text"), grams)
 
     found = []
     for k in widths or [width]:
         own = weights.where(F.col("width") == k)
-        hits = spread(plain, k).select("id", "tag", F.posexplode("hs").alias("at", "h"))
+        # outer: else Spark works the hashes out twice, for a filter on empty arrays; nulls meet no item
+        hits = plain.select("id", "tag", F.posexplode_outer(hashes(k)).alias("at", "h"))
         hits = join_checked(hits, own.select("h", "item", "n", "weight", "times"), "h", rows=500_000).distinct()
         hits = written(hits.select("id", "tag", "item", "n", "weight", "at", "h", "times"), "benchmark-hits")
         enough = hits.select("id", "tag", "item", "weight", "h", "times").distinct().groupBy("id", "tag", "item", "weight").agg(F.sum("times").alias("shared")).where(F.col("shared") >= similarity * F.col("weight"))
         starts = hits.join(enough.select("id", "tag", "item"), ["id", "tag", "item"]).groupBy("id", "tag", "n").agg(F.collect_set("at").alias("starts"))
         starts = written(starts, "benchmark-starts")
         chosen = written(starts.select("id", "tag").distinct(), "benchmark-documents")
-        again = spread(join_checked(plain, chosen, ["id", "tag"], "left_semi", rows=500_000), k).dropDuplicates(["id", "tag"])
+        again = join_checked(plain, chosen, ["id", "tag"], "left_semi", rows=500_000).select("id", "tag", hashes(k).alias("hs")).dropDuplicates(["id", "tag"])
         windows = starts.join(again, ["id", "tag"])
-        last = F.greatest(F.col("len") - F.col("n"), F.lit(0))
+        last = F.greatest(F.size("hs") + k - 1 - F.col("n"), F.lit(0))
         begins = F.array_distinct(F.transform("starts", lambda s: F.least(s, last)))
         windows = windows.withColumn("start", F.explode(begins)).select("id", "tag", "n", "start", F.slice("hs", F.col("start") + 1, F.greatest(F.col("n") - k + 1, F.lit(1))).alias("hs"))
         windows = written(windows, "benchmark-windows")

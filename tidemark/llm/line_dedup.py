@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, inner_id, outer_id, written
+from .common import body, inner_id, once, outer_id, written
 
 #: Most line numbers (an int each) that are broadcast.
 BROADCAST_STARTS = 4_000_000
@@ -33,12 +33,10 @@ def line_dedup(docs: DataFrame, run: int = 3, text: str = "text", doc_id: str =
     Null text has no lines. A null doc_id counts as larger than all others. Rows with the same doc_id and text are one
     document; with different texts they are ordered by text hash. An empty table gives an empty result; other columns are ignored."""
     rows = docs.select(inner_id(doc_id).alias("id"), body(text).alias("text")).withColumn("tag", F.xxhash64("text"))
-    parts = rows.withColumn("lines", lines_of("text")).withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x["line"])))
-    n = F.size("lines")
     # the second hash, beside the first, tells runs apart whose first hashes are equal by chance
-    cs = F.transform("lines", lambda x: F.hash(x["line"]))
-    seen = parts.select("id", "tag", n.cast("long").alias("n_lines"), "hs", cs.alias("cs"), F.sha2("text", 256).alias("sha"))
-    seen = written(seen, "line-hashes")
+    both = F.transform(lines_of("text"), lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), F.hash(x["line"]).alias("c")))
+    seen = written(rows.select("id", "tag", both.alias("both"), F.sha2("text", 256).alias("sha")), "line-hashes")
+    seen = seen.select("id", "tag", F.size("both").cast("long").alias("n_lines"), F.col("both.h").alias("hs"), F.col("both.c").alias("cs"), "sha")
 
     window = lambda i: F.slice("hs", i + 1, run)
     last_min = lambda i: (i + run - F.array_position(F.reverse(window(i)), F.array_min(window(i)))).cast("int")
@@ -60,11 +58,12 @@ def line_dedup(docs: DataFrame, run: int = 3, text: str = "text", doc_id: str =
 
     # what is broadcast has been counted: the starts of all repeats; beyond the bound Spark shuffles the texts
     many = gone.agg(F.sum(F.size("starts"))).first()[0] or 0
-    cut = rows.join(F.broadcast(gone) if many <= BROADCAST_STARTS else gone, ["id", "tag"]).withColumn("lines", lines_of("text"))
+    cut = rows.join(F.broadcast(gone) if many <= BROADCAST_STARTS else gone, ["id", "tag"])
     hit = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
-    cut = cut.withColumn("out", F.transform(hit, lambda i: F.element_at("lines", i + 1)["at"]))
-    stays = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda x: ~F.array_contains("out", x["at"]))
-    cut = cut.select("id", "tag", F.size("out").cast("long").alias("n_cut"), F.array_join(F.transform(stays, lambda x: x["x"]), "\n").alias("kept_text")).dropDuplicates(["id", "tag"])
+    at = once(lines_of("text"), lambda lines: F.transform(hit, lambda i: F.get(lines, i)["at"]))
+    stays = lambda out: F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda x: ~F.array_contains(out, x["at"]))
+    kept = lambda out: F.struct(F.size(out).cast("long").alias("n_cut"), F.array_join(F.transform(stays(out), lambda x: x["x"]), "\n").alias("kept_text"))
+    cut = cut.select("id", "tag", once(at, kept).alias("c")).dropDuplicates(["id", "tag"]).select("id", "tag", "c.n_cut", "c.kept_text")
     cut = written(cut, "line-cuts")
     return (
         seen.select("id", "tag", "n_lines", "sha")
