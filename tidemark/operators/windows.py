@@ -82,7 +82,7 @@ def busy_percent(samples: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(ts)
     grew = lambda c: F.col(c) - F.lag(c).over(w)
     share = F.when(grew("total") > 0, 100.0 * (1 - grew("idle") / grew("total")))
-    return samples.select(*keys, ts, F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0)).alias("busy"))
+    return samples.select(*keys, ts, F.when(share.isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))).alias("busy"))
 
 
 def group_lines(lines: DataFrame, key: str, pos: str, is_header) -> DataFrame:
@@ -102,7 +102,7 @@ def lag_diffs(bounds: DataFrame, keys: Sequence[str], pos: str, lags: int = 4, l
     """Distances from each boundary to the next few, those within bounds."""
     w = Window.partitionBy(*keys).orderBy(pos)
     ahead = F.array(*[F.lead(pos, k).over(w) - F.col(pos) for k in range(1, lags + 1)])
-    return bounds.select(*keys, pos, F.posexplode(ahead).alias("k", "diff")).where(F.col("diff").between(low, high)).select(*keys, pos, (F.col("k") + 1).alias("lag"), "diff")
+    return bounds.withColumn("ahead_", ahead).select(*keys, pos, F.posexplode_outer("ahead_").alias("k", "diff")).where(F.col("diff").between(low, high)).select(*keys, pos, (F.col("k") + 1).alias("lag"), "diff")
 
 
 def box_mean(profile: DataFrame, keys: Sequence[str], pos: str, value: str, radius: int = 3) -> DataFrame:

@@ -32,9 +32,9 @@ VIEWS = {
         FROM {pages}""",
     "samples": "SELECT event_type AS service, event_id, ts, CASE WHEN value > 100 THEN 100.0 ELSE value END AS cpu FROM {events}",
     "counters": """
-        SELECT event_type AS host, event_id, ts, CAST(sum(CAST(value * 100 AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id) % 40000 AS BIGINT) AS bytes,
-          CAST(sum(CAST(value AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS idle,
-          CAST(sum(CAST(value * 2 AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS total
+        SELECT event_type AS host, event_id, ts, CAST(sum(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id) % 40000 AS BIGINT) AS bytes,
+          CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS idle,
+          CAST(sum(CAST(floor(value * 2) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS total
         FROM {events}""",
     "job_events": """
         SELECT CAST(l_orderkey AS STRING) AS job_id, l_linenumber AS seq, l_partkey AS part, l_suppkey AS supp, l_extendedprice AS price,
