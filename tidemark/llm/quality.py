@@ -89,28 +89,28 @@ def pair_slots(buckets: int) -> np.ndarray:
     return np.array([crc32(b"pair %d" % k) % buckets for k in range(CLASSES * CLASSES)])
 
 
+#: A labeller accuses at most this share of the good texts on which it votes: what makes the good class the good one.
+WRONGLY_ACCUSED = 0.005
+
+
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], list[float]]:
     """For each pattern of votes the posterior that the text is good, and each labeller's accuracy.
 
-    Two classes; given the class the labellers vote independently, each with its own table of chances. patterns has at
-    most 3 ** len(LABELLERS) entries, whatever the corpus."""
+    Two classes; given the class, labellers that don't abstain vote independently, each with its own chance to be right on
+    poor and on good texts; abstaining says nothing. patterns has at most 3 ** len(LABELLERS) entries, whatever the corpus."""
     names = sorted(patterns)
     weight = np.array([patterns[p] for p in names], float)
-    vote = np.array([[("-.+").index(c) for c in p] for p in names])
-    # a first guess: any vote against a text; it must be firm, or kinds of junk that one labeller alone sees drift away
-    post = np.array([0.999 if "-" not in p else 0.001 for p in names])
+    against, in_favour = (np.array([[c == sign for c in p] for p in names], float) for sign in "-+")
+    # a first guess: any vote against a text
+    post = np.array([0.01 if "-" in p else 0.99 for p in names])
     for _ in range(rounds):
         prior = (weight @ post + 1) / (weight.sum() + 2)
-        logs = np.stack([np.full(len(names), np.log(1 - prior)), np.full(len(names), np.log(prior))])
-        chances = np.zeros((len(LABELLERS), 2, 3))
-        for j in range(len(LABELLERS)):
-            for k, share in enumerate((1 - post, post)):
-                tally = np.bincount(vote[:, j], weight * share, 3) + 0.05
-                chances[j, k] = tally / tally.sum()
-                logs[k] += np.log(chances[j, k][vote[:, j]])
-        post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
-    accuracy = [float(prior * c[1, 2] / max(1e-9, c[1, 2] + c[1, 0]) + (1 - prior) * c[0, 0] / max(1e-9, c[0, 2] + c[0, 0])) for c in chances]
-    return dict(zip(names, post.tolist())), accuracy
+        poor, good = weight * (1 - post), weight * post
+        found = (poor @ against + 0.5) / (poor @ (against + in_favour) + 1)
+        wrong = np.minimum((good @ against + 1e-3) / (good @ (against + in_favour) + 1), WRONGLY_ACCUSED)
+        margin = np.log(prior / (1 - prior)) + against @ np.log(wrong / found) + in_favour @ np.log((1 - wrong) / (1 - found))
+        post = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
+    return dict(zip(names, post.tolist())), (prior * (1 - wrong) + (1 - prior) * found).tolist()
 
 
 @dataclass(frozen=True)
@@ -132,31 +132,31 @@ class QualityModel:
         return scored(column)
 
 
-def fit_quality(docs: DataFrame, sample: int = 8192, buckets: int = 1024, rounds: int = 300, text: str = "text") -> QualityModel:
+def fit_quality(docs: DataFrame, sample: int = 4096, buckets: int = 1024, rounds: int = 300, text: str = "text") -> QualityModel:
     """Learns without labels. Votes of all documents are counted by pattern, expectation-maximisation gives each
     pattern its posterior, and at most `sample` documents, those with the smallest hash of their text, teach the
     linear scorer the posteriors by logistic regression on `buckets` hashed features.
 
-    Only the pattern counts (3 ** labellers at most) and the sample's features reach the driver. No documents: all scores 0.5."""
+    Only the pattern counts (3 ** labellers at most) and the sample's features, 4 bytes a bucket, reach the driver. No documents: all scores 0.5."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = pair_slots(buckets)
         for batch in batches:
             found = [(signals(t.as_py().encode()), keep.as_py()) for t, keep in zip(batch.column("text"), batch.column("keep"))]
-            rows = [hashed(*s, buckets, slots).tolist() if keep else None for s, keep in found]
-            yield pa.RecordBatch.from_arrays([pa.array([votes(s[0]) for s, _ in found]), batch.column("place"), pa.array(rows, pa.list_(pa.float32()))], names=["votes", "place", "x"])
+            rows = [hashed(*s, buckets, slots).tobytes() if keep else None for s, keep in found]
+            yield pa.RecordBatch.from_arrays([pa.array([votes(s[0]) for s, _ in found]), batch.column("place"), pa.array(rows, pa.binary())], names=["votes", "place", "x"])
 
     texts = docs.select(body(text).alias("text")).withColumn("place", F.xxhash64("text", F.lit("sample")))
     # the sample's rows are those below a quantile of the hash, which is spread evenly
     total = docs.count()
     limit = -(2**63) + int(2**64 * min(1.0, 1.2 * sample / max(1, total))) - 1
-    seen = written(texts.withColumn("keep", F.col("place") <= F.lit(limit)).mapInArrow(look, "votes string, place long, x array<float>"), "quality-votes")
+    seen = written(texts.withColumn("keep", F.col("place") <= F.lit(limit)).mapInArrow(look, "votes string, place long, x binary"), "quality-votes")
     patterns = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return QualityModel(np.zeros(buckets, np.float32), 0.0, ())
     posterior, accuracy = expectation_maximisation(patterns)
     rows = seen.where("x IS NOT NULL").orderBy("place", "votes").limit(sample).select("votes", "x").collect()
-    x = np.array([r["x"] for r in rows], np.float32)
+    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), buckets)
     y = np.array([posterior[r["votes"]] for r in rows], np.float32)
     # both classes weigh the same
     good, poor = max(1e-3, y.sum()), max(1e-3, (1 - y).sum())
@@ -170,7 +170,7 @@ def fit_quality(docs: DataFrame, sample: int = 8192, buckets: int = 1024, rounds
     return QualityModel(w.astype(np.float32), b, tuple(accuracy))
 
 
-def quality_scores(docs: DataFrame, threshold: float = 0.5, sample: int = 8192, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def quality_scores(docs: DataFrame, threshold: float = 0.5, sample: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score, kept), a row for each input row: the chance that the whole text is good, and whether it reaches threshold.
 
     Null text counts as empty; empty texts score as the scorer's bias and their votes have it. Rows with the same text
@@ -179,7 +179,7 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, sample: int = 8192,
     return docs.select(F.col(doc_id).alias("doc_id"), model.score(body(text)).alias("score")).select("doc_id", "score", (F.col("score") >= threshold).alias("kept"))
 
 
-def keep_quality(docs: DataFrame, threshold: float = 0.5, sample: int = 8192, text: str = "text") -> DataFrame:
+def keep_quality(docs: DataFrame, threshold: float = 0.5, sample: int = 4096, text: str = "text") -> DataFrame:
     """The rows of docs whose score reaches threshold, columns as they were."""
     model = fit_quality(docs, sample, text=text)
     return docs.where(model.score(body(text)) >= threshold)

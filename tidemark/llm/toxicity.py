@@ -30,9 +30,9 @@ LEET = {
 GAPS = " .-_*~'`"
 
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!])){2,}(?![^\W_])")
-NOISY = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*#.\-_~'`]+[^\W\d_]|^[0-9@$!|+(<€£¡]{1,3}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$]$|([^\W\d_])\1\1")
+NOISY = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*#.\-_~'`]+[^\W\d_]|^[0-9@$!|+€£¡]{1,3}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$]$|([^\W\d_])\1\1")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-OUTER = re.compile(r"^[^\w@$!|+(<€£¡*#]+|[^\w@$|+€£*#]+$")
+OUTER = re.compile(r"^[^\w@$!|+€£¡*#]+|[^\w@$|+€£*#]+$")
 
 
 def code_table() -> np.ndarray:
