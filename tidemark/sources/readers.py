@@ -35,9 +35,9 @@ def attribute_map(attributes: Column) -> Column:
     return F.map_from_entries(F.transform(F.coalesce(attributes, F.array().cast(ATTRIBUTES)), lambda a: F.struct(a["key"], value(a["value"]))))
 
 
-def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    """Nested trace exports as one row a span."""
-    rows = spark.read.schema(SPANS).option("multiLine", True).json(path).select(F.explode("resourceSpans").alias("r"))
+def read_spans(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Nested trace exports, one a line (multiline: one a file), as one row a span."""
+    rows = spark.read.schema(SPANS).option("multiLine", multiline).json(path).select(F.explode("resourceSpans").alias("r"))
     rows = rows.select(attribute_map(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeSpans").alias("s"))
     rows = rows.select("resource", F.explode("s.spans").alias("x"))
     return rows.select(
@@ -54,8 +54,8 @@ def write_spans(spans: DataFrame, path: str, batch: int = 1000) -> None:
         F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name", F.lit(1).alias("kind"),
         F.col("start_nanos").cast("string").alias("startTimeUnixNano"), F.col("end_nanos").cast("string").alias("endTimeUnixNano"), texts(F.col("attrs")).alias("attributes"), F.struct(F.col("status").alias("code")).alias("status"),
     )
-    sizes = spans.groupBy("service").agg(F.ceil(F.count("*") / batch).alias("parts"))
-    parts = spans.join(sizes, F.col("service").eqNullSafe(sizes["service"])).select(spans["service"], F.pmod(F.xxhash64("trace_id", "span_id"), "parts").alias("part"), one.alias("span"))
+    sizes = spans.groupBy(F.col("service").alias("of")).agg(F.ceil(F.count("*") / batch).alias("parts"))
+    parts = spans.join(sizes, F.col("service").eqNullSafe(F.col("of"))).select("service", F.pmod(F.xxhash64("trace_id", "span_id"), "parts").alias("part"), one.alias("span"))
     grouped = parts.groupBy("service", "part").agg(F.collect_list("span").alias("spans"))
     resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.col("service").alias("stringValue")).alias("value"))).alias("attributes"))
     body = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))
@@ -83,7 +83,7 @@ TIME_LINE = r"^\s*([0-9:.,]+)\s*-->\s*([0-9:.,]+)"
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """Cues of SRT or VTT files. A time line opens a cue, text lines join it, a blank line closes it; a cue that
     another time line interrupts is lost; numbers outside cues are skipped."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("media_id"), F.regexp_replace("value", "\r", "").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("media_id"), F.regexp_replace("value", "\r", "").alias("value"))
     lines = text.select("media_id", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     w = Window.partitionBy("media_id").orderBy("pos")
     lines = lines.withColumn("line", F.trim("line")).withColumn("opens", F.col("line").rlike(TIME_LINE))
@@ -124,12 +124,12 @@ def write_subtitles(segments: DataFrame, path: str, fmt: str, style: str = "work
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """A file is an array, an object, or an object a line; what isn't JSON is skipped."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     many, one = f"array<struct<{FINDING.replace(' string', ':string').replace(' int', ':int')}>>", FINDING
     array = F.when(F.trim("value").startswith("["), F.from_json("value", many))
     lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x).startswith("{")), lambda x: F.from_json(x, one))
     whole = F.from_json("value", one)
-    single = F.when(F.trim("value").startswith("{") & ~F.col("value").rlike(r"\}\s*\n\s*\{") & whole.isNotNull(), F.array(whole))
+    single = F.when(F.trim("value").startswith("{") & (F.size(lines) == 1) & whole.isNotNull(), F.array(whole))
     found = rows.select(F.explode(F.coalesce(array, single, lines)).alias("f")).where("f IS NOT NULL").select("f.*")
     return found.where(F.coalesce(*[F.col(c).cast("string") for c in found.columns]).isNotNull())
 
@@ -179,7 +179,7 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their file; Spark numbers them within a file by their place in its single whole text."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return text.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
 
 
