@@ -48,6 +48,16 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.concatenate(picked))
 
 
+def equal_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs together, groups by their first member, and the bounds of the groups in it."""
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    head = order[new][np.cumsum(new) - 1]
+    again = np.argsort(head, kind="stable")
+    return order[again], np.append(np.flatnonzero(np.diff(head[again], prepend=-1)), len(order))
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
@@ -69,7 +79,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
     Seeds: each document's grams of `gram` words are winnowed so that every window of `length` words holds an anchor, and
     equal windows the same one. Anchors in one document only can't belong to a repeat. Extension: around each shared
     anchor, every window that contains it is hashed (128 bits, of which 96 are kept), and the smallest document of each
-    window is found by aggregation, so a passage that very many documents share costs rows in proportion to them, never
+    window is found by aggregation; a window that a document repeats is one row with all its places. So a passage that very many documents share costs rows in proportion to them, never
     pairs. Of identical word sequences only the smallest document takes part; the others repeat it whole.
     Flagged windows of a document unite to its maximal repeats, which are cut.
 
@@ -100,12 +110,16 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
                 np.add.at(edge, np.minimum(at, len(words) - length) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edge)[: len(words) - length + 1])
                 first, second = (rolling(words, length, k)[starts] for k in (0, 1))
-                for i in range(0, len(starts), 100_000):
+                second = (second >> np.uint64(32)).astype(np.uint32)
+                order, bounds = equal_pairs(first, second)
+                first, second, starts = first[order[bounds[:-1]]], second[order[bounds[:-1]]], starts[order].astype(np.int32)
+                for i in range(0, len(first), 100_000):
                     s = slice(i, i + 100_000)
-                    size = len(starts[s])
+                    size = len(first[s])
+                    places = pa.ListArray.from_arrays(pa.array((bounds[i : i + size + 1] - bounds[i]).astype(np.int32)), pa.array(starts[bounds[i] : bounds[i + size]]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(first[s].view(np.int64)), pa.array((second[s] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array([doc.as_py()] * size, pa.int64()), pa.array([tag.as_py()] * size, pa.int32()), pa.array(starts[s].astype(np.int32))],
-                        names=["w1", "w2", "id", "tag", "start"],
+                        [pa.array(first[s].view(np.int64)), pa.array(second[s].view(np.int32)), pa.array([doc.as_py()] * size, pa.int64()), pa.array([tag.as_py()] * size, pa.int32()), places],
+                        names=["w1", "w2", "id", "tag", "starts"],
                     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +151,9 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
     both = texts.join(seeds, "id")
     both = both.withColumn("own", tag_of(F.sha2(F.trim(F.regexp_replace("text", SPACES, " ")), 256)))
     both = written(both.where("own = tag").dropDuplicates(["id", "tag"]).drop("own"), "repeat-texts")
-    windows = written(both.mapInArrow(extend, "w1 long, w2 int, id long, tag int, start int"), "repeat-windows")
+    windows = written(both.mapInArrow(extend, "w1 long, w2 int, id long, tag int, starts array<int>"), "repeat-windows")
     repeated = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low")
-    flagged = windows.join(repeated, ["w1", "w2"]).where("id > low").groupBy("id", "tag").agg(F.collect_list("start").alias("starts"))
+    flagged = windows.join(repeated, ["w1", "w2"]).where("id > low").groupBy("id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cuts = written(both.drop("shared").join(flagged, ["id", "tag"]).mapInArrow(cut, "id long, tag int, n_cut long, cut_sha string"), "repeat-cuts")
 
     lows = firsts.select("sha", F.col("id").alias("low"))
