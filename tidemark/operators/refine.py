@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pixels import neighbors3x3, to_oklab
@@ -66,3 +66,106 @@ def grid_cuts(profile: DataFrame, key: str, pos: str, value: str, step: float, r
     every = mean.select(key, "mean_", F.explode(F.sequence(F.lit(0), F.floor(F.col("last_") / step).cast("int"))).alias("cut"))
     strong = F.col("b.edge") >= 0.5 * F.col("mean_")
     return every.join(near, [key, "cut"], "left").select(key, "cut", F.when(strong, F.col("b.at").cast("double")).otherwise(F.col("cut") * step).alias("at"))
+
+
+def bilateral(pixels: DataFrame, radius: int = 2, reach: float = 2.0, tone: float = 0.08) -> DataFrame:
+    """I8: OKLab colours smoothed over the (2 radius + 1) squared around: exp(-d^2 / 2 reach^2) by place times exp(-c^2 / 2 tone^2) by colour.
+
+    Each pixel is sent to the places around it: one equi-join and one aggregation. Places outside the image weigh nothing."""
+    lab = pixels.select("image_id", "x", "y", to_oklab(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
+    around = range(-radius, radius + 1)
+    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(float(a * a + b * b)).alias("dd")) for a in around for b in around])
+    sent = lab.select("image_id", F.col("lab").alias("other"), F.explode(steps).alias("o"), "x", "y").select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "other", "o.dd")
+    both = sent.join(lab, ["image_id", "x", "y"])
+    w = F.exp(-F.col("dd") / (2 * reach * reach) - lab_dist2("lab", "other") / (2 * tone * tone))
+    mean = lambda c: (F.sum(F.col("w") * F.col(f"other.{c}")) / F.sum("w")).alias(c)
+    return both.withColumn("w", w).groupBy("image_id", "x", "y").agg(mean("L"), mean("A"), mean("B"))
+
+
+def lab_dist2(a: str, b: str) -> Column:
+    """Squared distance of two OKLab colours."""
+    return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in "LAB"), F.lit(0.0))
+
+
+def cell_vote(pixels: DataFrame) -> DataFrame:
+    """Each cell's label by votes of its pixels (image_id, x, y, cx, cy, w, label, confidence, protected).
+
+    A vote weighs (w + 0.0001)(0.5 + confidence / 2), 2.5 times that for a protected pixel. The label of the cell's last
+    protected pixel, by rows, wins if it has 0.08 of the votes. margin: the winner's share less that of the second of
+    all. confident: vetoed so, or a margin of 0.35 and a share of 0.48 at least. Of equal labels the smallest wins."""
+    key = ["image_id", "cx", "cy"]
+    vote = (F.col("w") + 1e-4) * (0.5 + 0.5 * F.col("confidence")) * F.when(F.col("protected"), 2.5).otherwise(1.0)
+    last = F.max(F.when(F.col("protected"), F.struct("y", "x", "label"))).alias("last")
+    sums = pixels.groupBy(*key, "label").agg(F.sum(vote).alias("v"), last)
+    w = Window.partitionBy(*key)
+    rows = sums.withColumns({"all_": F.sum("v").over(w), "veto": F.max("last").over(w)["label"], "rank": F.row_number().over(w.orderBy(F.desc("v"), "label"))})
+    top = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("v"))), F.lit(0.0)).alias(f"v{k}")
+    cells = rows.groupBy(*key).agg(
+        top(1), top(2), F.max(F.when(F.col("rank") == 1, F.col("label"))).alias("first_"), F.max("veto").alias("veto"),
+        F.max(F.when(F.col("label") == F.col("veto"), F.col("v"))).alias("vv"), F.max("all_").alias("all_"),
+    )
+    protected = F.coalesce(F.col("vv") >= 0.08 * F.col("all_"), F.lit(False))
+    share = F.when(protected, F.col("vv")).otherwise(F.col("v1")) / F.col("all_")
+    out = cells.withColumns({"protected": protected, "share": share, "margin": share - F.col("v2") / F.col("all_")})
+    label = F.when(F.col("protected"), F.col("veto")).otherwise(F.col("first_"))
+    return out.select(*key, label.alias("label"), "margin", "protected", (F.col("protected") | ((F.col("margin") >= 0.35) & (F.col("share") >= 0.48))).alias("confident"))
+
+
+def refine_ambiguous(votes: DataFrame, pixels: DataFrame, heats: tuple[float, ...] = (0.7, 0.4)) -> DataFrame:
+    """Labels of the cells that cell_vote left ambiguous, by their pixels (with cx, cy, label, core) and their neighbours.
+
+    A settled cell holds its label for sure; an ambiguous one begins with its labels' shares, core pixels counting 2 and
+    others 0.5. In each round, at falling heat, its shares become proportional to exp((1.5 own + 1.2 neighbours') / heat),
+    straight neighbours weighing 1 and diagonal ones 0.707. Labels that neither the cell nor a neighbour has can't win
+    and take no share. Then an inner cell that isn't protected takes the label of three of its four straight neighbours,
+    if it was ambiguous or its own label has less than 0.7."""
+    key = ["image_id", "cx", "cy"]
+    core = F.when(F.col("core"), 2.0).otherwise(0.5)
+    loose = votes.where("NOT confident AND NOT protected").select(*key)
+    own = pixels.groupBy(*key, "label").agg(F.sum(core).alias("p")).join(loose, key, "left_semi")
+    own = own.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(*key)))
+    fixed = votes.where("confident OR protected").select(*key, "label", F.lit(1.0).alias("p"))
+    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(1.0 if a == 0 or b == 0 else 0.707).alias("w")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    w = Window.partitionBy(*key)
+    for heat in heats:
+        sent = fixed.unionByName(own).select("image_id", "label", "p", F.explode(steps).alias("o"), "cx", "cy")
+        sent = sent.select("image_id", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), "label", (F.col("p") * F.col("o.w")).alias("m"))
+        came = sent.join(loose, key, "left_semi").groupBy(*key, "label").agg(F.sum("m").alias("m"))
+        # each neighbour's shares sum to 1, so what came sums to the neighbours' weights
+        came = came.withColumn("m", F.col("m") / F.sum("m").over(w))
+        both = own.join(came, [*key, "label"], "full").select(*key, "label", F.exp((1.5 * F.coalesce("p", F.lit(0.0)) + 1.2 * F.coalesce("m", F.lit(0.0))) / heat).alias("e"))
+        own = both.select(*key, "label", (F.col("e") / F.sum("e").over(w)).alias("p"))
+    best = own.groupBy(*key).agg(F.max_by("label", F.struct("p", -F.col("label"))).alias("better"), F.max("p").alias("p"))
+    cells = votes.join(best, key, "left").select(*key, F.coalesce("better", "label").alias("label"), F.coalesce("p", F.lit(1.0)).alias("p"), "confident", "protected")
+    sides = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    near = cells.select("image_id", F.col("label").alias("near"), F.explode(sides).alias("o"), "cx", "cy").select("image_id", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), "near")
+    counted = near.groupBy(*key, "near").agg(F.count("*").alias("n")).withColumn("all_", F.sum("n").over(w)).where("n >= 3 AND all_ = 4").select(*key, "near")
+    takes = F.col("near").isNotNull() & ~F.col("protected") & (~F.col("confident") | (F.col("p") < 0.7))
+    return cells.join(counted, key, "left").select(*key, F.when(takes, F.col("near")).otherwise(F.col("label")).alias("label"), "confident", "protected")
+
+
+def grid_slic(pixels: DataFrame, cols: int, rows: int, width: int, height: int, rounds: int = 4, tightness: float = 28.0) -> DataFrame:
+    """Superpixels (image_id, x, y, cx, cy) held to a grid: pixels (image_id, x, y, lab) go to the nearest cell by colour and place.
+
+    A pixel looks at the 3 x 3 cells around its own whose anchor is within 1.15 steps, so it is at most nine rows. A
+    centre may move 0.12 of the way to its pixels' mean, which counts as at most 0.15 steps off. A centre without pixels stays."""
+    sx, sy = width / cols, height / rows
+    pull = tightness**2 / ((sx + sy) / 2) ** 2
+    anchor = lambda c, s, size: F.least((F.col(c) + 0.5) * s, F.lit(size - 1.0))
+    ax, ay = anchor("cx", sx, width), anchor("cy", sy, height)
+    cells = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("cx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("cy"))
+    at = cells.select("*", ax.alias("mx"), ay.alias("my")).withColumns({"x": F.floor(F.col("mx") + 0.5).cast("int"), "y": F.floor(F.col("my") + 0.5).cast("int")})
+    centres = at.join(pixels.select("image_id", "x", "y", F.col("lab").alias("mean")), ["image_id", "x", "y"]).select("image_id", "cx", "cy", "mx", "my", "mean")
+    nine = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    asks = pixels.select("image_id", "x", "y", "lab", F.explode(nine).alias("o")).select("image_id", "x", "y", "lab", (F.floor(F.col("x") / sx) + F.col("o.dx")).cast("int").alias("cx"), (F.floor(F.col("y") / sy) + F.col("o.dy")).cast("int").alias("cy"))
+    asks = asks.where((F.abs(F.col("x") - ax) <= 1.15 * sx) & (F.abs(F.col("y") - ay) <= 1.15 * sy))
+    off = lambda c, a, s: F.greatest(F.lit(-0.15 * s), F.least(F.lit(0.15 * s), F.avg(c) - F.first(a)))
+    for k in range(rounds):
+        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+        seen = asks.join(centres, ["image_id", "cx", "cy"]).withColumn("d", F.round(lab_dist2("lab", "mean") + pull * (dx * dx + dy * dy), 9))
+        own = seen.groupBy("image_id", "x", "y").agg(F.min(F.struct("d", "cy", "cx")).alias("b"), F.first("lab").alias("lab")).select("image_id", "x", "y", "lab", "b.cx", "b.cy")
+        if k < rounds - 1:
+            mean = F.struct(*[F.avg(f"lab.{c}").alias(c) for c in "LAB"]).alias("mean2")
+            moved = own.withColumns({"ax": ax, "ay": ay}).groupBy("image_id", "cx", "cy").agg((F.first("ax") + 0.12 * off("x", "ax", sx)).alias("mx2"), (F.first("ay") + 0.12 * off("y", "ay", sy)).alias("my2"), mean)
+            centres = centres.join(moved, ["image_id", "cx", "cy"], "left").select("image_id", "cx", "cy", F.coalesce("mx2", "mx").alias("mx"), F.coalesce("my2", "my").alias("my"), F.coalesce("mean2", "mean").alias("mean"))
+    return own.drop("lab")
