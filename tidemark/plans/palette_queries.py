@@ -76,5 +76,4 @@ QUERIES = {
     ),
     "a24_kmeans_palette": (lambda s, d: fitted(s, d), None),
     "a25_elbow_k": (lambda s, d: K.elbow_k(K.kmeans_palette(pixels(s, d), KS)), None),
-    "i10_restore": (lambda s, d: K.restore(pixels(s, d), fitted(s, d), 2.0), None),
 }
