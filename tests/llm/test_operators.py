@@ -115,6 +115,19 @@ def test_licenses(spark):
     assert scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_licenses_repeated(spark):
+    rows = [(k, " ".join([t] * 20)) for k, t in enumerate(TEMPLATES.values())]
+    words = TEMPLATES["apache-2.0"].split()
+    edited = words[:5] + ["other"] + words[6:]
+    rows += [(50, " ".join(edited + words)), (51, " ".join(words + words[:2] + words[4:])), (52, " ".join(words[:2] + words[4:] + words))]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(frame(spark, rows)).collect()}
+    for k, name in enumerate(TEMPLATES):
+        places = [x for x in got[k] if x["license"] == name]
+        assert [x["start_word"] for x in places] == [i * places[0]["n_words"] for i in range(20)] and {x["containment"] for x in places} == {1.0}
+    for k in (50, 51, 52):
+        assert sorted(x["containment"] == 1 for x in got[k] if x["license"] == "apache-2.0") == [False, True]
+
+
 def test_trigram_queries():
     by = {r.kind: trigram_query(r) for r in RULES}
     assert by["hex"] is True and {b"aki", b"kia"} == trigrams(by["access"]) and b"tok" in trigrams(by["assign"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -73,6 +75,17 @@ def collision_chance(bands: int, containment: float) -> float:
     return 1 - (1 - containment / (4 + 1 - containment)) ** bands
 
 
+def united(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that overlap or touch, as one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(stretches):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
 class Catalogue:
     """Templates by shingle width and size class, with the bands of their MinHash."""
 
@@ -111,48 +124,73 @@ class Catalogue:
                         found.update((t, w * step, (w + 2) * step) for t in templates)
         return found
 
-    def verify(self, shingles: np.ndarray, begin: int, end: int, t: int) -> tuple[float, int]:
-        """The largest share of the template's shingles that a stretch of its length has, and where it begins."""
-        wanted = self.wanted[t]
+    def verify(self, shingles: np.ndarray, t: int, containment: float) -> list[tuple[float, int]]:
+        """All places of a template in a stretch of shingles, as (share, start): the share of the template's shingles that
+        a stretch of its length has, repeats counted. The fullest is taken first, of equals the first; the words that it
+        uses are not used again, so places of one template never share a word."""
+        wanted, k = self.wanted[t], self.widths[t]
         n = sum(wanted.values())
-        part = shingles[begin:end].tolist()
-        best = (0.0, begin)
-        for i in [i for i, h in enumerate(part) if h in wanted]:
-            have = Counter(h for h in part[i : i + n] if h in wanted)
-            share = sum(min(c, wanted[h]) for h, c in have.items()) / n
-            if share > best[0]:
-                best = (share, begin + i)
-        return best
+        hits = [(i, h) for i, h in enumerate(shingles.tolist()) if h in wanted]
+        at = [i for i, _ in hits]
+        # how many shingles each stretch has: one enters and leaves at a time
+        have, score, last, heap = Counter(), 0, 0, []
+        for first, (i, h) in enumerate(hits):
+            while last < len(hits) and at[last] < i + n:
+                have[hits[last][1]] += 1
+                score += have[hits[last][1]] <= wanted[hits[last][1]]
+                last += 1
+            if score / n >= containment:
+                heap.append((-score, first))
+            score -= have[h] <= wanted[h]
+            have[h] -= 1
+        heapq.heapify(heap)
+        used, out = np.zeros(len(shingles) + k, bool), []
+        while heap:
+            score, first = heapq.heappop(heap)
+            i, _ = hits[first]
+            if used[i : i + k].any():
+                continue
+            taken, have = [], Counter()
+            blocked = used[i : i + n + k].any()
+            for j, h in hits[first : bisect_left(at, i + n, first)]:
+                if have[h] < wanted[h] and not (blocked and used[j : j + k].any()):
+                    have[h] += 1
+                    taken.append(j)
+            if len(taken) == -score:
+                out.append((len(taken) / n, i))
+                for j in taken:
+                    used[j : j + k] = True
+            elif len(taken) / n >= containment:
+                heapq.heappush(heap, (-len(taken), first))
+        return out
 
     def places(self, texts: list[bytes], containment: float) -> list[list[dict]]:
         words = [tokens(t) for t in texts]
         ends = np.cumsum([len(w) for w in words])
         flat = word_hashes([w for ws in words for w in ws])
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        best: dict[tuple[int, int, int], float] = {}
+        out: list[list[dict]] = [[] for _ in texts]
         for k in self.index:
             shingles = shingle_hashes(flat, k)
             if not len(shingles):
                 continue
             shingles[owner[: len(shingles)] != owner[k - 1 :]] = NONE
+            stretches: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
             for t, begin, end in self.retrieve(shingles, k):
                 begin, end = max(0, begin), min(end, len(shingles))
                 # a window may touch several texts; each is verified by itself
                 for row in range(owner[begin], owner[end - 1] + 1):
-                    low, high = max(begin, ends[row] - len(words[row])), min(end, ends[row] - k + 1)
+                    low, high = max(begin, int(ends[row]) - len(words[row])), min(end, int(ends[row]) - k + 1)
                     if low < high:
-                        share, at = self.verify(shingles, low, high, t)
-                        if share >= containment:
-                            place = (row, int(at - ends[row] + len(words[row])), t)
-                            best[place] = max(share, best.get(place, 0))
-        out: list[list[dict]] = [[] for _ in texts]
-        by_template = defaultdict(list)
-        for (row, at, t), share in best.items():
-            by_template[row, t].append((at, share))
-        for (row, at, t), share in sorted(best.items()):
-            # of one template's overlapping places the fullest stays, the first of equals
-            if min((-s, a) for a, s in by_template[row, t] if abs(a - at) < self.lengths[t]) == (-share, at):
-                out[row].append({"license": self.names[t], "start_word": at, "n_words": self.lengths[t], "containment": share})
+                        stretches[row, t].append((low, high))
+            for (row, t), found in stretches.items():
+                for low, high in united(found):
+                    for share, at in self.verify(shingles[low:high], t, containment):
+                        start = low + at - int(ends[row]) + len(words[row])
+                        out[row].append({"license": self.names[t], "start_word": start, "n_words": self.lengths[t], "containment": share})
+        number = {name: t for t, name in enumerate(self.names)}
+        for places in out:
+            places.sort(key=lambda p: (p["start_word"], number[p["license"]]))
         return out
 
 
@@ -164,10 +202,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, widt
     the class's size, each overlapping the next by half, so an occurrence of a template lies wholly in a window. A
     window's MinHash has `bands` bands of one row; it retrieves the templates with which it shares a band. With the default
     an occurrence with containment 0.8 is retrieved with a chance of over 99.9 % (collision_chance). A retrieved
-    template is verified at the window: the share of its shingles, repeats counted, that the best stretch of its own
-    length has must reach `containment`.
+    template is verified over the windows, those that touch taken together: the share of its shingles, repeats counted,
+    that a stretch of its own length has must reach `containment`. Every such place is told.
 
-    Of a template's overlapping places the fullest is told. A line template inside a longer notice is told beside it.
+    Of a template's places that share words the fullest is told. A line template inside a longer notice is told beside it.
     Null or empty texts have none; doc_id, null or repeated, is passed through row by row. An empty table gives an
     empty result; other columns are ignored. Short texts share a segment, whose windows never match across texts;
     nothing is shuffled."""
