@@ -10,7 +10,7 @@ from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.quality import expectation_maximisation, quality_scores
 from tidemark.llm.secrets import RULES, trigram_query, trigrams
-from tidemark.llm.toxicity import Decoder, trigram_counts, toxicity_scores
+from tidemark.llm.toxicity import Decoder, signal, trigram_counts, toxicity_scores
 
 from . import brute
 from .test_contracts import ODD, SMALL, frame, passages
@@ -103,6 +103,15 @@ def test_decoder(spark):
     assert next(decoder.words("so s c u m here")) == "scum"
 
 
+def test_obfuscated_forms(spark):
+    text = " ".join(["what an idiot and loser is that stupid clown", "a pathetic worthless moron is scum and trash", "you are a good man and you know it"] * 50)
+    decoder = Decoder(trigram_counts(frame(spark, [(1, text)])))
+    lexicon = dict.fromkeys(["idiot", "loser", "stupid", "clown", "moron", "scum", "trash", "worthless"], 2.0)
+    hidden = ["1d107", "idi0+", "5(um", "(lown", "1055er", "tra$#", "tr@5#", "idio7.", "mmoorroonn", "stuppid", "idiiot", "worthless", "a m o r o n", "y o u m o r o n"]
+    assert [w for w in hidden if not signal(f"he is {w} he said", decoder, lexicon, {})[0]] == []
+    assert signal("you are a good man (really), 105 of 1000 know it!", decoder, lexicon, {}) == (0.0, 0.0)
+
+
 def test_licenses(spark):
     rows = [(k, f"word {k} some other words before. {t} And more words after it, {k}.") for k, t in enumerate(TEMPLATES.values())]
     got = {(r["doc_id"], x["license"]) for r in scan_licenses(frame(spark, rows + [(None, None), (99, "nothing to see")])).collect() for x in r["licenses"]}

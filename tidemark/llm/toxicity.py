@@ -30,9 +30,13 @@ LEET = {
 GAPS = " .-_*~'`"
 
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!])){2,}(?![^\W_])")
-NOISY = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*#.\-_~'`]+[^\W\d_]|^[0-9@$!|+€£¡]{1,3}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$]$|([^\W\d_])\1\1")
+#: Tokens that may hide a word: letters beside digits or signs, or a repeated letter.
+NOISY = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£¡*#.\-_~'`]|[0-9@$!|+(<€£¡*#.\-_~'`].*[^\W\d_]|([^\W\d_])\1")
+LETTER = re.compile(r"[^\W\d_]")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 OUTER = re.compile(r"^[^\w@$!|+€£¡*#]+|[^\w@$|+€£*#]+$")
+#: The same, but brackets and marks that may be letters stay.
+OUTSIDE = re.compile(r"^[^\w@$!|+(<€£¡*#]+|[^\w@$!|+(<€£*#]+$")
 
 
 def code_table() -> np.ndarray:
@@ -72,7 +76,7 @@ class Decoder:
         cube = counts.reshape(SIDE, SIDE, SIDE) + 0.02
         self.cost = (-np.log(cube / cube.sum(axis=2, keepdims=True))).tolist()
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, word: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
         """For each stretch of one sign what it may stand for, with the price of having been written so."""
         out = []
         i = 0
@@ -88,40 +92,53 @@ class Decoder:
                 options += [(x, 1.0)] + ([(x + x, 1.5)] if run > 1 else [])
             if c in GAPS:
                 options.append(("", 1.0))
+                if breaks:
+                    options.append((" ", 1.0))
             out.append(options or [("", 4.0)])
             i = j
         return out
 
-    def decode(self, word: str) -> str:
-        """Viterbi over the lattice; a state is the last two letters."""
+    def decode(self, word: str, breaks: bool = False) -> str:
+        """Viterbi over the lattice; a state is the last two letters. With breaks a gap may also end a word."""
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         cost = self.cost
-        for options in self.lattice(word):
+        for options in self.lattice(word, breaks):
             then: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (so_far, text) in states.items():
                 for letters, price in options:
                     total, x, y = so_far + price, a, b
                     for c in letters:
-                        total += cost[x][y][RANK[c]]
-                        x, y = y, RANK[c]
+                        r = RANK.get(c, 0)
+                        total += cost[x][y][r]
+                        x, y = y, r
                     if total < then.get((x, y), (math.inf,))[0]:
                         then[x, y] = (total, text + letters)
             states = then
         return min((so_far + cost[a][b][0], text) for (a, b), (so_far, text) in states.items())[1]
 
     def words(self, text: str) -> Iterator[str]:
-        """The restored words of a text: as they stand where they look clean, decoded where they don't."""
+        """The words of a text, and what its chains of single letters spell: as one word, and parted where words may end."""
         low = text.lower()
         for m in SPACED.finditer(low):
-            yield self.decode(m[0])
+            whole = self.decode(m[0])
+            yield whole
+            yield from (w for w in self.decode(m[0], True).split() if w != whole)
         for token in low.split():
             yield token
 
     def clean(self, token: str) -> str:
         """A token without what surrounds it, decoded if it is noisy."""
-        if NOISY.search(token):
-            return self.decode(OUTER.sub("", token))
-        return EDGES.sub("", token)
+        inner = OUTER.sub("", token)
+        return self.decode(inner) if NOISY.search(inner) else EDGES.sub("", token)
+
+    def forms(self, token: str) -> list[str]:
+        """What a token may be read as: as it stands, decoded, and with an opening bracket or closing mark as a letter."""
+        out = [EDGES.sub("", token)]
+        if LETTER.search(token):
+            out.append(self.clean(token))
+            if (token[0] in "(<" and not token.endswith((")", ">"))) or token[-1] in "!(<":
+                out.append(self.decode(OUTSIDE.sub("", token)))
+        return list(dict.fromkeys(out))
 
 
 #: Starts of a word that are features beside the word itself.
@@ -132,6 +149,11 @@ def features(word: str) -> list[str]:
     return [word, *[f"{word[:k]}~" for k in STARTS if len(word) > k]] if len(word) > 2 else []
 
 
+def readings(token: str, decoder: Decoder) -> list[str]:
+    """The features of all that a token may be read as."""
+    return list(dict.fromkeys(f for word in decoder.forms(token) for f in features(word)))
+
+
 @dataclass
 class ToxicityModel:
     counts: np.ndarray
@@ -167,7 +189,7 @@ def signal(text: str, decoder: Decoder, lexicon: dict[str, float], known: dict[s
         if w is None:
             if len(known) > REMEMBERED:
                 known.clear()
-            w = known[token] = max((lexicon.get(f, 0.0) for f in features(decoder.clean(token))), default=0.0)
+            w = known[token] = max((lexicon.get(f, 0.0) for f in readings(token, decoder)), default=0.0)
         if w:
             total, hits = total + w, hits + 1
     return math.sqrt(total), math.log1p(hits)
@@ -210,7 +232,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, size
                     if f is None:
                         if len(known) > REMEMBERED // 4:
                             known.clear()
-                        f = known[token] = features(decoder.clean(token))
+                        f = known[token] = readings(token, decoder)
                     own.update(f)
                 seen[toxic.as_py() > 0].update(own)
             if len(seen[0]) + len(seen[1]) > 500_000:
