@@ -29,3 +29,17 @@ def test_stream_is_batch(spark, tmp_path, name):
     }[name]
     got = run(spark, df, tmp_path, stream)
     assert sorted(map(str, got.collect())) == sorted(map(str, batch(df).collect()))
+
+
+def test_fold_holds_a_batch_only(spark):
+    """One key of many rows comes to the step in batches, in order, with the state carried over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        sizes = spark.range(1000).select(F.when(F.col("id") < 990, "hot").otherwise("cold").alias("k"), F.pmod(F.col("id") * 7, F.lit(1000)).alias("at"))
+        got = T.fold(sizes, "k", ["at"], lambda state, row: ((state[0] + 1,), (row.at, state[0] + 1)), (0,), "k string, at long, n int")
+        assert "MapInPandas" in got._jdf.queryExecution().toString() and "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        for k in ("hot", "cold"):
+            rows = sorted((r["at"], r["n"]) for r in got.collect() if r["k"] == k)
+            assert [n for _, n in rows] == list(range(1, (990 if k == "hot" else 10) + 1))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

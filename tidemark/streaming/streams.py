@@ -1,6 +1,6 @@
 """Ordered folds per key, as a batch job and as a stream with the same step function, and event-time operators.
 
-A key's rows are folded in order by a small step function: in batch over the sorted group, on a stream over each batch's rows with
+A key's rows are folded in order by a small step function: in batch over sorted rows, on a stream over each batch's rows with
 the state carried between batches. Keys are clients, services, jobs or nodes; a history is bounded by the time range that is read."""
 
 from __future__ import annotations
@@ -17,18 +17,27 @@ Step = Callable[[tuple, object], tuple[tuple, tuple | None]]
 
 
 def fold(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, schema: str) -> DataFrame:
-    """The outputs of step over each key's rows in order. schema: that of the outputs, key first."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = start, []
-        for row in rows.sort_values(order, kind="stable").itertuples(index=False):
-            state, made = step(state, row)
-            if made is not None:
-                out.append((getattr(row, key), *made))
-        return pd.DataFrame(out, columns=names)
+    """The outputs of step over each key's rows in order. schema: that of the outputs, key first.
+
+    Spark sorts the rows, and may spill; Python holds a batch and the state of the key that it is at. A key's rows are
+    still walked by one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state, begun = None, start, False
+        for rows in batches:
+            out = []
+            for row in rows.itertuples(index=False):
+                now = getattr(row, key)
+                now = None if pd.isna(now) else now
+                if not begun or now != own:
+                    own, state, begun = now, start, True
+                state, made = step(state, row)
+                if made is not None:
+                    out.append((now, *made))
+            yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return df.groupBy(key).applyInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *[F.col(c).asc_nulls_last() for c in order]).mapInPandas(run, schema)
 
 
 def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, schema: str, state_schema: str) -> DataFrame:
