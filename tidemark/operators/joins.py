@@ -81,11 +81,25 @@ def active_segment(times: DataFrame, segments: DataFrame, key: str = "media_id",
 
 
 def span_tree(spans: DataFrame, depth: int = 8) -> DataFrame:
-    """Spans with their depth below the root; null where the root isn't found in `depth` joins."""
+    """Spans with their depth below the root; null where no root is found.
+
+    `depth` levels are joined in one plan; deeper ones are written level by level until one is empty. There a span that
+    already has a depth is left out, so that a circle of repeated ids ends."""
+    from tidemark.llm.common import written  # here, as the other joins also work without the llm folder
+
     tree = spans.where("parent_span_id IS NULL").select("trace_id", "span_id", F.lit(0).alias("depth"))
     level = tree
     for k in range(1, depth + 1):
         above = level.select("trace_id", F.col("span_id").alias("parent_span_id"))
         level = spans.join(above, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(k).alias("depth"))
         tree = tree.union(level)
+    level, k = written(level, "span-level"), depth
+    if not level.isEmpty():
+        tree = written(tree, "span-tree")
+    while not level.isEmpty():
+        k += 1
+        above = level.select("trace_id", F.col("span_id").alias("parent_span_id"))
+        level = spans.join(above, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(k).alias("depth"))
+        level = written(level.join(tree, ["trace_id", "span_id"], "left_anti"), "span-level")
+        tree = tree.union(level)
     return spans.join(tree, ["trace_id", "span_id"], "left")

@@ -120,9 +120,12 @@ def running_median(profile: DataFrame, keys: Sequence[str], pos: str, value: str
 
 
 def top2_margin(df: DataFrame, keys: Sequence[str], label: str, value: str) -> DataFrame:
-    """The best and second value of each key, and their difference; the smaller label wins a tie."""
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(label).alias("l"))))
-    out = df.groupBy(*keys).agg(ranked.alias("r"))
+    """The best and second value of each key, and their difference; the smaller label wins a tie.
+
+    Only two rows a key are gathered; Spark limits each task's rows to two a key before it shuffles."""
+    place = F.struct((-F.col(value)).alias("v"), F.col(label).alias("l"))
+    rows = df.select(*keys, place.alias("s_")).withColumn("k_", F.row_number().over(Window.partitionBy(*keys).orderBy("s_"))).where("k_ <= 2")
+    out = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("s_")).alias("r"))
     second = F.coalesce(-F.get("r", F.lit(1))["v"], F.lit(0.0))
     return out.select(*keys, F.col("r")[0]["l"].alias("best"), (-F.col("r")[0]["v"]).alias("p1"), second.alias("p2"), (-F.col("r")[0]["v"] - second).alias("margin"))
 
