@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,17 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a local master may do without it."""
     there = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,14 +64,50 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+#: Folders of intermediate tables: the last list is that of the innermost scope.
+_made: list[list[str]] = [[]]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps column pruning."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps column pruning.
+
+    The table lasts until the scope in which it was made ends, or until release(); at the latest the end of the
+    driver's JVM deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made[-1].append(path)
+    _system(spark, path, "deleteOnExit")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _system(spark: SparkSession, path: str, call: str, *arguments) -> None:
+    """A call on the path's file system, local or remote."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(place.getFileSystem(spark._jsc.hadoopConfiguration()), call)(place, *arguments)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes intermediate tables: the given ones, or all that the open scope has made so far. Results that still read
+    them can't be computed any more."""
+    for path in list(_made[-1]) if paths is None else paths:
+        _system(spark, path, "delete", True)
+        for made in _made:
+            if path in made:
+                made.remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written inside; results must be consumed or saved before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        release(spark)
+        _made.pop()
+
+
 #: Largest side that is broadcast, in rows; its rows are a few numbers or short strings each.
 BROADCAST_ROWS = 50_000
 
@@ -71,19 +120,43 @@ def join_checked(left: DataFrame, small: DataFrame, on, how: str = "inner", rows
     return left.join(F.broadcast(small) if small.count() <= rows else small, on, how)
 
 
+#: A key with more than this part of all rows is hot. Fewer keys than its inverse can be so.
+HOT = 1 / 1000
+
+
+def join_counted(many: DataFrame, single: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """many with what single says of each key: inner join; n is dropped. Both must be cheap to read twice (written tables).
+
+    single has a key once, and in column n how often many has it. Rows of hot keys meet a broadcast of fewer than 1 / HOT
+    rows, whatever the data; no other key has more than a HOT part of all rows, so the shuffle deals the rest evenly."""
+    total = single.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total * HOT
+    few = single.where(hot)
+    if few.isEmpty():
+        return many.join(single.drop(n), on)
+    cold = many.join(F.broadcast(few.select(*on)), on, "left_anti").join(single.where(~hot).drop(n), on)
+    return many.join(F.broadcast(few.drop(n)), on).select(cold.columns).unionByName(cold)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of every node in edges (a, b: long); root is the smallest node that can be reached.
 
     Smallest neighbour label and pointer jumping in turn, a written table each round, until nothing changes.
-    Only counts reach the driver. Hot nodes meet map-side aggregation and skew-splitting joins."""
+    Only counts reach the driver. Hot nodes and hot roots are joined by their counts (join_counted)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = written(both, f"{label}-edges")
-    state = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), label)
+    # every edge stands in both directions, so n tells how often a node is either end
+    state = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count("*").alias("n")), label)
     while True:
-        seen = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        now = state.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        up = state.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        now = written(now.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("higher", "root")).alias("root")), label)
-        state = now.select("node", "root")
+        made = len(_made[-1]) - 1
+        seen = join_counted(both, state.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
+        now = state.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"), F.col("n").alias("ends"))
+        now = written(now, label)
+        # a root may be that of very many nodes, which are counted here
+        up = now.groupBy("root").agg(F.count("*").alias("n")).join(state.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root")
+        now = join_counted(now, written(up, label), ["root"]).select("node", "old", F.least("root", "higher").alias("root"), F.col("ends").alias("n"))
+        now = written(now, label)
+        release(both.sparkSession, _made[-1][made:-1])
+        state = now.drop("old")
         if now.where("old <> root").isEmpty():
-            return state
+            return state.drop("n")
