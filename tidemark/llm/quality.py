@@ -134,28 +134,38 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, sample: int = 4096, buckets: int = 1024, rounds: int = 300, text: str = "text") -> QualityModel:
     """Learns without labels. Votes of all documents are counted by pattern, expectation-maximisation gives each
-    pattern its posterior, and at most `sample` documents, those with the smallest hash of their text, teach the
-    linear scorer the posteriors by logistic regression on `buckets` hashed features.
+    pattern its posterior, and at most `sample` texts, those with the smallest hash, teach the linear scorer the
+    posteriors by logistic regression on `buckets` hashed features.
 
-    Only the pattern counts (3 ** labellers at most) and the sample's features, 4 bytes a bucket, reach the driver. No documents: all scores 0.5."""
+    Copies of one text are no votes of their own: each distinct text counts once, in the patterns and in the sample, so no
+    number of copies can outweigh the rest or fill the sample. Before features are worked out, a partition gives one row
+    for each text of the sample.
+
+    Only the pattern counts (3 ** labellers at most) and the sample, a hash and 4 bytes a bucket for each text, reach the
+    driver. No documents: all scores 0.5."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cast = [votes(signals(t.as_py())[0]) for t in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(cast, pa.string())], names=["place", "votes"])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = pair_slots(buckets)
         for batch in batches:
-            found = [(signals(t.as_py().encode()), keep.as_py()) for t, keep in zip(batch.column("text"), batch.column("keep"))]
-            rows = [hashed(*s, buckets, slots).tobytes() if keep else None for s, keep in found]
-            yield pa.RecordBatch.from_arrays([pa.array([votes(s[0]) for s, _ in found]), batch.column("place"), pa.array(rows, pa.binary())], names=["votes", "place", "x"])
+            rows = [hashed(*signals(t.as_py()), buckets, slots).tobytes() for t in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(rows, pa.binary())], names=["place", "x"])
 
     texts = docs.select(body(text).alias("text")).withColumn("place", F.xxhash64("text", F.lit("sample")))
-    # the sample's rows are those below a quantile of the hash, which is spread evenly
-    total = docs.count()
-    limit = -(2**63) + int(2**64 * min(1.0, 1.2 * sample / max(1, total))) - 1
-    seen = written(texts.withColumn("keep", F.col("place") <= F.lit(limit)).mapInArrow(look, "votes string, place long, x binary"), "quality-votes")
+    seen = written(texts.mapInArrow(look, "place long, votes string").groupBy("place").agg(F.min("votes").alias("votes")), "quality-votes")
     patterns = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return QualityModel(np.zeros(buckets, np.float32), 0.0, ())
     posterior, accuracy = expectation_maximisation(patterns)
-    rows = seen.where("x IS NOT NULL").orderBy("place", "votes").limit(sample).select("votes", "x").collect()
+    chosen = written(seen.orderBy("place").limit(sample), "quality-sample")
+    # at most sample places are broadcast; first() is combined before the shuffle
+    once = texts.join(F.broadcast(chosen.select("place")), "place").groupBy("place").agg(F.first("text").alias("text"))
+    described = once.select("place", "text").mapInArrow(describe, "place long, x binary").join(F.broadcast(chosen), "place")
+    rows = sorted(described.select("place", "votes", "x").collect(), key=lambda r: r["place"])
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), buckets)
     y = np.array([posterior[r["votes"]] for r in rows], np.float32)
     # both classes weigh the same
