@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, inner_id, once, outer_id, written
+from .common import body, inner_id, join_counted, once, outer_id, written
 
 #: Most line numbers (an int each) that are broadcast.
 BROADCAST_STARTS = 4_000_000
@@ -38,21 +38,23 @@ def line_dedup(docs: DataFrame, run: int = 3, text: str = "text", doc_id: str =
     seen = written(rows.select("id", "tag", both.alias("both"), F.sha2("text", 256).alias("sha")), "line-hashes")
     seen = seen.select("id", "tag", F.size("both").cast("long").alias("n_lines"), F.col("both.h").alias("hs"), F.col("both.c").alias("cs"), "sha")
 
-    window = lambda i: F.slice("hs", i + 1, run)
-    last_min = lambda i: (i + run - F.array_position(F.reverse(window(i)), F.array_min(window(i)))).cast("int")
+    # arrays are read by number: F.slice in a lambda copies the whole array, and so does a row exploded beside one
+    window = lambda i: F.array(*[F.get("hs", i + k) for k in range(run)])
+    last_min = lambda i: once(window(i), lambda w: (i + run - F.array_position(F.reverse(w), F.array_min(w))).cast("int"))
     documents = seen.where(F.size("hs") >= run).select("id", "tag", "hs", "cs").dropDuplicates(["id", "tag"])
-    picked = documents.withColumn("pick", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("hs") - run), last_min))))
-    begin = F.greatest(F.col("pick") - (run - 1), F.lit(0))
-    length = F.least(F.col("pick") + run, F.size("hs")) - begin
-    seeds = picked.select("id", "tag", begin.alias("begin"), F.element_at("hs", F.col("pick") + 1).alias("print"), F.slice("hs", begin + 1, length).alias("near"), F.slice("cs", begin + 1, length).alias("check"))
+    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("hs") - run), last_min))
+    around = lambda p: F.sequence(F.greatest(p - (run - 1), F.lit(0)), F.least(p + (run - 1), F.size("hs") - 1))
+    part = lambda column, p: F.transform(around(p), lambda j: F.get(column, j))
+    seed = lambda p: F.struct(F.greatest(p - (run - 1), F.lit(0)).alias("begin"), F.get("hs", p).alias("print"), part("hs", p).alias("near"), part("cs", p).alias("check"))
+    seeds = documents.select("id", "tag", F.explode(F.transform(picks, seed)).alias("seed")).select("id", "tag", "seed.*")
     seeds = written(seeds, "line-seeds")
-    shared = seeds.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    runs = seeds.join(shared, "print").withColumn("k", F.explode(F.sequence(F.lit(0), F.size("near") - run)))
+    shared = written(seeds.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "line-prints")
+    runs = join_counted(seeds, shared, ["print"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("near") - run)))
     runs = runs.select("id", "tag", (F.col("begin") + F.col("k")).alias("start"), F.xxhash64(F.slice("near", F.col("k") + 1, run)).alias("r1"), F.hash(F.slice("check", F.col("k") + 1, run)).alias("r2")).distinct()
     runs = written(runs, "line-runs")
     place = F.struct("id", "tag", "start")
-    first = runs.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runs.join(first, ["r1", "r2"]).where(place > F.col("first"))
+    first = runs.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_counted(runs, written(first, "line-firsts"), ["r1", "r2"]).where(place > F.col("first"))
     gone = later.groupBy("id", "tag").agg(F.collect_list("start").alias("starts"))
     gone = written(gone, "line-repeats")
 
@@ -61,8 +63,10 @@ def line_dedup(docs: DataFrame, run: int = 3, text: str = "text", doc_id: str =
     cut = rows.join(F.broadcast(gone) if many <= BROADCAST_STARTS else gone, ["id", "tag"])
     hit = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
     at = once(lines_of("text"), lambda lines: F.transform(hit, lambda i: F.get(lines, i)["at"]))
-    stays = lambda out: F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda x: ~F.array_contains(out, x["at"]))
-    kept = lambda out: F.struct(F.size(out).cast("long").alias("n_cut"), F.array_join(F.transform(stays(out), lambda x: x["x"]), "\n").alias("kept_text"))
+    # hash sets and look-ups by number, so the work grows with the lines and not with their square
+    stays = lambda out, every: F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), out), lambda i: F.get(every, i))
+    left = lambda out: once(F.split("text", "\n", -1), lambda every: F.array_join(stays(out, every), "\n"))
+    kept = lambda out: F.struct(F.size(out).cast("long").alias("n_cut"), left(out).alias("kept_text"))
     cut = cut.select("id", "tag", once(at, kept).alias("c")).dropDuplicates(["id", "tag"]).select("id", "tag", "c.n_cut", "c.kept_text")
     cut = written(cut, "line-cuts")
     return (
