@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, components, inner_id, join_checked, outer_id, written
+from .common import body, components, fresh, inner_id, join_checked, join_counted, outer_id, written
 
 BITS = 64
 #: A tile has at most about so many fingerprints.
@@ -75,6 +75,8 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarr
     groups: dict[int, list[int]] = {}
     for i in range(0, len(a), step):
         near = np.bitwise_count(a[i : i + step, None] ^ b[None, :]) <= radius
+        if a is b:  # nobody links to itself
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = False
         for k in np.flatnonzero(near.any(axis=1)):
             own = np.unique(label_b[near[k]])
             if len(own) > 1:
@@ -116,6 +118,7 @@ def near_edges(fps: DataFrame, radius: int = 4) -> DataFrame:
         for batch in batches:
             for left, right in zip(batch.column("left"), batch.column("right")):
                 a, b = (x.values.to_numpy().view(np.uint64) for x in (left, right))
+                b = a if np.array_equal(a, b) else b
                 for own, other in linked(a, b, radius):
                     members = np.unique(np.concatenate([own, other])).view(np.int64).tolist()
                     for x, y in pairwise(members):
@@ -138,12 +141,12 @@ def simhash_dedup(docs: DataFrame, width: int = 4, seed: int = 42, radius: int =
     sorts after all others, so a component's id is null only if all its ids are. Rows with the same doc_id are rows of their
     own in the result. An empty table gives an empty result; other columns are ignored."""
     marked = written(fingerprints(docs, width, seed, text, doc_id), "simhash")
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
+    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows")), "simhash-distinct")
     roots = components(near_edges(distinct.select("fp"), radius), "simhash-components").withColumnRenamed("node", "fp")
-    groups = written(distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-groups")
-    lows = groups.groupBy("root").agg(F.min("low").alias("component"))
-    answer = groups.join(lows, "root").select("fp", "component")
-    return marked.join(answer, "fp").select(
+    groups = written(distinct.join(roots, "fp", "left").select("fp", "low", "rows", F.coalesce("root", "fp").alias("root")), "simhash-groups")
+    lows = written(groups.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("n")), "simhash-roots")
+    answer = written(join_counted(groups, lows, ["root"]).select("fp", "component", F.col("rows").alias("n")), "simhash-answer")
+    return join_counted(marked, answer, ["fp"]).select(
         outer_id("id").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         outer_id("component").alias("component_id"),
@@ -152,9 +155,12 @@ def simhash_dedup(docs: DataFrame, width: int = 4, seed: int = 42, radius: int =
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose doc_id is their component's, columns as they were: one document of each component stays."""
+    """The rows of docs whose doc_id is their component's, columns as they were: one document of each component stays.
+
+    Rows with null doc_ids stay only where all of a component's ids are null. Null and empty texts are one component.
+    Rows with the same doc_id are told apart by their text; an empty table gives an empty one; columns may have any names."""
     marked = simhash_dedup(docs, text=text, doc_id=doc_id, **options)
-    near = marked.where("NOT doc_id <=> component_id").select(inner_id("doc_id").alias("near_id_"), F.col("text_hash").alias("near_hash_"))
+    row, tag = fresh(docs, "near_id", "near_hash")
+    near = marked.where("NOT doc_id <=> component_id").select(inner_id("doc_id").alias(row), F.col("text_hash").alias(tag))
     near = written(near.distinct(), "near-copies")
-    same = (inner_id(doc_id) == F.col("near_id_")) & (F.xxhash64(body(text)) == F.col("near_hash_"))
-    return join_checked(docs, near, same, "left_anti", rows=500_000)
+    return join_checked(docs, near, (inner_id(doc_id) == F.col(row)) & (F.xxhash64(body(text)) == F.col(tag)), "left_anti", rows=500_000)
