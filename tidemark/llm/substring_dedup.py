@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, body, inner_id, outer_id, written
+from .common import body, inner_id, join_counted, outer_id, written
 
 #: Odd multipliers of the rolling hashes, with their inverses modulo 2**64.
 BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -66,22 +66,18 @@ def signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
-def tag_of(sha: Column) -> Column:
-    """28 bits of a digest: tells rows with one doc_id and different texts apart."""
-    return F.conv(F.substring(sha, 1, 7), 16, 10).cast("int")
-
-
 def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), a row for each input row.
 
     A word goes when it lies in a window of `length` consecutive words that also starts in a document with a smaller doc_id.
 
     Seeds: each document's grams of `gram` words are winnowed so that every window of `length` words holds an anchor, and
-    equal windows the same one. Anchors in one document only can't belong to a repeat. Extension: around each shared
-    anchor, every window that contains it is hashed (128 bits, of which 96 are kept), and the smallest document of each
-    window is found by aggregation; a window that a document repeats is one row with all its places. So a passage that very many documents share costs rows in proportion to them, never
-    pairs. Of identical word sequences only the smallest document takes part; the others repeat it whole.
-    Flagged windows of a document unite to its maximal repeats, which are cut.
+    equal windows the same one. Anchors in one document only can't belong to a repeat. Extension: from each shared
+    anchor a document is extended both ways, window by window, as far as the anchor lies inside. Documents join on these
+    extensions, by 96 bits of a rolling hash of their words: aggregation finds the smallest document of each, so a
+    passage that very many documents share costs rows in proportion to them, never pairs, and a window that a document
+    repeats is one row with all its places. Of identical word sequences only the smallest document takes part; the others
+    repeat it whole. Flagged windows of a document unite to its maximal repeats, which are cut.
 
     Null text has no words. A null doc_id counts as larger than all others. Rows with the same doc_id don't repeat each
     other. Texts of fewer than `length` words keep all. An empty table gives an empty result; other columns are ignored."""
@@ -94,9 +90,9 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
                 words = t.as_py().split()
                 grams = rolling(hashes(words), gram, 0) if len(words) >= length else np.empty(0, np.uint64)
                 n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                sha.append(hashlib.sha256(b" ".join(words)).digest())
                 anchors.append(signed(np.unique(grams[winnow(grams, spread)])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(anchors, pa.list_(pa.int64()))], names=["id", "n_words", "sha", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=["id", "tag", "n_words", "sha", "anchors"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +114,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
                     size = len(first[s])
                     places = pa.ListArray.from_arrays(pa.array((bounds[i : i + size + 1] - bounds[i]).astype(np.int32)), pa.array(starts[bounds[i] : bounds[i + size]]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(first[s].view(np.int64)), pa.array(second[s].view(np.int32)), pa.array([doc.as_py()] * size, pa.int64()), pa.array([tag.as_py()] * size, pa.int32()), places],
+                        [pa.array(first[s].view(np.int64)), pa.array(second[s].view(np.int32)), pa.array([doc.as_py()] * size, pa.int64()), pa.array([tag.as_py()] * size, pa.int64()), places],
                         names=["w1", "w2", "id", "tag", "starts"],
                     )
 
@@ -136,36 +132,32 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
                 sha.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist()) if not g])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(removed, pa.int64()), pa.array(sha)], names=["id", "tag", "n_cut", "cut_sha"])
 
-    texts = docs.select(inner_id(doc_id).alias("id"), body(text).alias("text"))
-    rows = texts.mapInArrow(profile, "id long, n_words long, sha string, anchors array<long>")
-    rows = written(rows.withColumn("tag", tag_of(F.col("sha"))), "repeat-profile")
+    texts = docs.select(inner_id(doc_id).alias("id"), F.xxhash64(body(text)).alias("tag"), body(text).alias("text"))
+    rows = written(texts.mapInArrow(profile, "id long, tag long, n_words long, sha binary, anchors array<long>"), "repeat-profile")
 
     # of each word sequence the smallest document; it alone takes part
-    firsts = rows.where(f"n_words >= {length}").groupBy("sha").agg(F.min("id").alias("id"), F.first("tag").alias("tag"), F.first("anchors").alias("anchors"))
-    firsts = written(firsts, "repeat-firsts")
+    first = F.min(F.struct("id", "tag"))
+    firsts = rows.where(f"n_words >= {length}").groupBy("sha").agg(first.alias("f"), F.first("anchors").alias("anchors"), F.count("*").alias("n"))
+    firsts = written(firsts.select("sha", "f.id", "f.tag", "anchors", "n"), "repeat-firsts")
     anchors = firsts.select("id", "tag", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    seeds = anchors.join(shared, "anchor").groupBy("id", "tag").agg(F.collect_list("anchor").alias("shared"))
+    shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n")
+    seeds = join_counted(anchors, written(shared, "repeat-anchors"), ["anchor"]).groupBy("id", "tag").agg(F.collect_list("anchor").alias("shared"))
     seeds = written(seeds, "repeat-seeds")
     # the only time that texts move: those of documents with shared anchors are written apart
-    both = texts.join(seeds, "id")
-    both = both.withColumn("own", tag_of(F.sha2(F.trim(F.regexp_replace("text", SPACES, " ")), 256)))
-    both = written(both.where("own = tag").dropDuplicates(["id", "tag"]).drop("own"), "repeat-texts")
-    windows = written(both.mapInArrow(extend, "w1 long, w2 int, id long, tag int, starts array<int>"), "repeat-windows")
-    repeated = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low")
-    flagged = windows.join(repeated, ["w1", "w2"]).where("id > low").groupBy("id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    cuts = written(both.drop("shared").join(flagged, ["id", "tag"]).mapInArrow(cut, "id long, tag int, n_cut long, cut_sha string"), "repeat-cuts")
-
-    lows = firsts.select("sha", F.col("id").alias("low"))
+    both = written(texts.join(seeds, ["id", "tag"]).dropDuplicates(["id", "tag"]), "repeat-texts")
+    windows = written(both.mapInArrow(extend, "w1 long, w2 int, id long, tag long, starts array<int>"), "repeat-windows")
+    repeated = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("w1", "w2", "low", "n")
+    flagged = join_counted(windows, written(repeated, "repeat-shared"), ["w1", "w2"]).where("id > low").groupBy("id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    cuts = both.drop("shared").join(flagged, ["id", "tag"]).mapInArrow(cut, "id long, tag long, n_cut long, cut_sha string")
+    answer = firsts.select("sha", F.col("id").alias("low"), "tag", "n").join(written(cuts, "repeat-cuts").withColumnRenamed("id", "low"), ["low", "tag"], "left")
+    answer = written(answer.select("sha", "low", "n_cut", "cut_sha", "n"), "repeat-answer")
+
     whole = F.col("low") < F.col("id")
-    return (
-        rows.select("id", "tag", "n_words", "sha")
-        .join(lows, "sha", "left")
-        .join(cuts, ["id", "tag"], "left")
-        .select(
-            outer_id("id").alias("doc_id"),
-            "n_words",
-            F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(whole, F.lit(NOTHING)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
-        )
+    long = join_counted(rows.where(f"n_words >= {length}").select("id", "n_words", "sha"), answer, ["sha"]).select(
+        outer_id("id").alias("doc_id"),
+        "n_words",
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(NOTHING)).otherwise(F.coalesce("cut_sha", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
+    short = rows.where(f"n_words < {length}").select(outer_id("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("sha")).alias("kept_sha256"))
+    return long.unionByName(short)
