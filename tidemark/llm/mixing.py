@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, body, join_checked, written
+from .common import WORD, body, fresh, join_checked, written
 
 
 def draw(seed: str, *columns: str) -> Column:
@@ -63,14 +63,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Columns as they were; rows without words follow their source's rate."""
+    """The rows of docs, each as often as the mix takes it. Columns as they were; rows without words follow their source's rate.
+
+    Null doc_ids share one draw, a null source is a source of its own, a null text has no words. An empty table gives an
+    empty one; columns may have any names."""
     keys = options.get("doc_id", "doc_id"), options.get("source", "source"), options.get("text", "text")
     sizes = written(docs.select(F.col(keys[1]).cast("string").alias("source"), F.regexp_count(body(keys[2]), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
     names = {k: v for k, v in options.items() if k in ("weights", "share", "most")}
     targets = source_targets(sizes, **names)
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    rates = written(targets.select(F.col("source").alias("mix_source_"), rate.alias("mix_rate_")), "mix-rates")
-    extra = F.when(draw(options.get("seed", "mix"), keys[0]) < F.col("mix_rate_") - F.floor("mix_rate_"), 1).otherwise(0)
-    times = (F.floor("mix_rate_") + extra).cast("int")
-    joined = join_checked(docs, rates, F.col(keys[1]).cast("string").eqNullSafe(F.col("mix_source_")))
-    return joined.withColumn("mix_copy_", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    of, rates, copy = fresh(docs, "mix_source", "mix_rate", "mix_copy")
+    table = written(targets.select(F.col("source").alias(of), rate.alias(rates)), "mix-rates")
+    extra = F.when(draw(options.get("seed", "mix"), keys[0]) < F.col(rates) - F.floor(rates), 1).otherwise(0)
+    times = (F.floor(rates) + extra).cast("int")
+    joined = join_checked(docs, table, F.col(keys[1]).cast("string").eqNullSafe(F.col(of)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
