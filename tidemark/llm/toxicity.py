@@ -29,10 +29,12 @@ LEET = {
 #: Signs that may stand between the letters of a word and mean nothing.
 GAPS = " .-_*~'`"
 
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!])){2,}(?![^\W_])")
-#: Tokens that may hide a word: letters beside digits or signs, or a repeated letter.
-NOISY = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£¡*#.\-_~'`]|[0-9@$!|+(<€£¡*#.\-_~'`].*[^\W\d_]|([^\W\d_])\1")
-LETTER = re.compile(r"[^\W\d_]")
+#: What may surround a letter of a chain like "i. d. i. o. t".
+LOOSE = ".-_*~"
+#: A chain of single letters inside one token.
+SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*~]{1,2}(?:[^\W_]|[@$!])){2,}(?![^\W_])")
+#: Letters of the model, each once in a row: such a token can be read in one way only.
+PLAIN = re.compile(f"(?:([{LETTERS}])(?!\\1))+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 OUTER = re.compile(r"^[^\w@$!|+€£¡*#]+|[^\w@$|+€£*#]+$")
 #: The same, but brackets and marks that may be letters stay.
@@ -76,9 +78,8 @@ class Decoder:
         cube = counts.reshape(SIDE, SIDE, SIDE) + 0.02
         self.cost = (-np.log(cube / cube.sum(axis=2, keepdims=True))).tolist()
 
-    def lattice(self, word: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
+    def lattice(self, word: str, breaks: bool = False) -> Iterator[list[tuple[str, float]]]:
         """For each stretch of one sign what it may stand for, with the price of having been written so."""
-        out = []
         i = 0
         while i < len(word):
             j = i
@@ -94,55 +95,73 @@ class Decoder:
                 options.append(("", 1.0))
                 if breaks:
                     options.append((" ", 1.0))
-            out.append(options or [("", 4.0)])
+            yield options or [("", 4.0)]
             i = j
-        return out
 
     def decode(self, word: str, breaks: bool = False) -> str:
-        """Viterbi over the lattice; a state is the last two letters. With breaks a gap may also end a word."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """Viterbi over the lattice; a state is the last two letters. With breaks a gap may also end a word.
+        A state's letters are a chain to the state before, so a step costs the same however long the word is."""
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         cost = self.cost
         for options in self.lattice(word, breaks):
-            then: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (so_far, text) in states.items():
+            then: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (so_far, chain) in states.items():
                 for letters, price in options:
                     total, x, y = so_far + price, a, b
                     for c in letters:
                         r = RANK.get(c, 0)
                         total += cost[x][y][r]
                         x, y = y, r
-                    if total < then.get((x, y), (math.inf,))[0]:
-                        then[x, y] = (total, text + letters)
+                    if (x, y) not in then or total < then[x, y][0]:
+                        then[x, y] = (total, (chain, letters) if letters else chain)
             states = then
-        return min((so_far + cost[a][b][0], text) for (a, b), (so_far, text) in states.items())[1]
+        _, chain = min(((so_far + cost[a][b][0], chain) for (a, b), (so_far, chain) in states.items()), key=lambda x: x[0])
+        out = []
+        while chain:
+            chain, letters = chain
+            out.append(letters)
+        return "".join(reversed(out))
 
     def words(self, text: str) -> Iterator[str]:
-        """The words of a text, and what its chains of single letters spell: as one word, and parted where words may end."""
-        low = text.lower()
-        for m in SPACED.finditer(low):
-            whole = self.decode(m[0])
-            yield whole
-            yield from (w for w in self.decode(m[0], True).split() if w != whole)
-        for token in low.split():
-            yield token
+        """What a text's chains of single letters spell, and its words."""
+        tokens, chain = text.lower().split(), []
+        for token in tokens:
+            if len(token) < 4 and (len(token) == 1 or len(token.strip(LOOSE)) == 1):
+                chain.append(token)
+            elif chain:
+                yield from self.spelt(chain)
+                chain = []
+        yield from self.spelt(chain)
+        yield from tokens
+
+    def spelt(self, chain: list[str]) -> list[str]:
+        """What three or more single letters in a row spell: as one word, and parted where words may end."""
+        text = " ".join(c.strip(LOOSE) for c in chain)
+        if len(chain) < 3 or not LETTER.search(text):
+            return []
+        return [self.decode(text), *self.decode(text, True).split()]
 
     def clean(self, token: str) -> str:
-        """A token without what surrounds it, decoded if it is noisy."""
-        inner = OUTER.sub("", token)
-        return self.decode(inner) if NOISY.search(inner) else EDGES.sub("", token)
+        """A token without what surrounds it, decoded."""
+        return self.decode(OUTER.sub("", token))
 
     def forms(self, token: str) -> list[str]:
-        """What a token may be read as: as it stands, decoded, and with an opening bracket or closing mark as a letter."""
-        out = [EDGES.sub("", token)]
-        if LETTER.search(token):
-            out.append(self.clean(token))
-            if (token[0] in "(<" and not token.endswith((")", ">"))) or token[-1] in "!(<":
-                out.append(self.decode(OUTSIDE.sub("", token)))
+        """What a token may be read as: as it stands, decoded, with an opening bracket or closing mark as a letter, and
+        parted where a chain of single letters may end a word."""
+        if PLAIN.fullmatch(token):
+            return [token]
+        inner, wide = OUTER.sub("", token), OUTSIDE.sub("", token)
+        out = [EDGES.sub("", token), inner, self.decode(inner)]
+        if wide != inner:
+            out.append(self.decode(wide))
+        if SPACED.search(inner):
+            out += self.decode(inner, True).split()
         return list(dict.fromkeys(out))
 
 
+LETTER = re.compile(r"[^\W\d_]")
 #: Starts of a word that are features beside the word itself.
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7)
 
 
 def features(word: str) -> list[str]:
@@ -151,7 +170,25 @@ def features(word: str) -> list[str]:
 
 def readings(token: str, decoder: Decoder) -> list[str]:
     """The features of all that a token may be read as."""
-    return list(dict.fromkeys(f for word in decoder.forms(token) for f in features(word)))
+    forms = decoder.forms(token)
+    return features(forms[0]) if len(forms) == 1 else list(dict.fromkeys(f for word in forms for f in features(word)))
+
+
+def opening(features) -> re.Pattern:
+    """What every token matches that some lattice path or the token itself reads as one of the features.
+
+    Any sign that isn't a letter of the model may be dropped, letters may be repeated, and a letter may be written as
+    whatever LEET lets stand for it. Only the first three letters are looked at, so the pattern stays small
+    and lets some tokens through that read otherwise; none that matters is held back."""
+    signs = {c: re.escape(c) + "".join(re.escape(sign) for sign, stands in LEET.items() if c in stands) for c in {c for f in features for c in f[:3]}}
+    starts: dict[str, dict[str, set[str]]] = {}
+    for f in features:
+        letters = [c for k, c in enumerate(f[:3].rstrip("~")) if k == 0 or f[k - 1] != c] + ["", ""]
+        starts.setdefault(letters[0], {}).setdefault(letters[1], set()).add(letters[2])
+    skip = f"[^{LETTERS}]*"
+    ends = lambda rest: "" if "" in rest else f"{skip}[{''.join(signs[c] for c in sorted(rest))}]"
+    seconds = lambda then: "" if "" in then else skip + "(?:" + "|".join(f"[{signs[c]}]+{ends(rest)}" for c, rest in sorted(then.items())) + ")"
+    return re.compile(skip + "(?:" + "|".join(f"[{signs[c]}]+{seconds(then)}" for c, then in sorted(starts.items())) + ")" if starts else r"(?!)")
 
 
 @dataclass
@@ -166,11 +203,11 @@ class ToxicityModel:
 
         @F.pandas_udf("double")
         def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            decoder, known = Decoder(counts), {}
+            decoder, known, gate = Decoder(counts), {}, opening(lexicon)
             for texts in batches:
                 out = []
                 for t in texts:
-                    x = signal(t or "", decoder, lexicon, known)
+                    x = signal(t or "", decoder, lexicon, known, gate)
                     out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, slope[0] + slope[1] * x[0] + slope[2] * x[1])))))
                 yield pd.Series(out, dtype="float64")
 
@@ -181,15 +218,17 @@ class ToxicityModel:
 REMEMBERED = 400_000
 
 
-def signal(text: str, decoder: Decoder, lexicon: dict[str, float], known: dict[str, float]) -> tuple[float, float]:
-    """Of the restored text: the square root of its words' summed weight, and the logarithm of one more than its toxic words."""
+def signal(text: str, decoder: Decoder, lexicon: dict[str, float], known: dict[str, float], gate: re.Pattern | None = None) -> tuple[float, float]:
+    """Of the restored text: the square root of its words' summed weight, and the logarithm of one more than its toxic words.
+
+    gate may be opening(lexicon): what it doesn't match can't be read as a word of the lexicon, so it isn't decoded."""
     total = hits = 0.0
     for token in decoder.words(text):
         w = known.get(token)
         if w is None:
             if len(known) > REMEMBERED:
                 known.clear()
-            w = known[token] = max((lexicon.get(f, 0.0) for f in readings(token, decoder)), default=0.0)
+            w = known[token] = max((lexicon.get(f, 0.0) for f in readings(token, decoder)), default=0.0) if gate is None or gate.match(token) else 0.0
         if w:
             total, hits = total + w, hits + 1
     return math.sqrt(total), math.log1p(hits)
@@ -209,11 +248,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, text: str, do
     return texts.join(F.broadcast(once), "doc_id").select("text", "toxic", (F.crc32(F.col("doc_id").cast("string")) % 2).cast("int").alias("part"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, size: int = 50_000, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, size: int = 50_000, least: int = 3, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
     """The language model counts the characters of all documents. Labelled texts are restored with it and each word, and each
     start of a word, is weighed by how much oftener toxic texts have it than others; what could be chance among so
-    many features is left out (log-likelihood ratio against the number of features). A logistic curve over the
-    texts' signals gives the score.
+    many features is left out (log-likelihood ratio against the number of features), and so are features of fewer than
+    `least` toxic texts. A logistic curve over the texts' signals gives the score; in its fit a toxic text weighs as the
+    square root of how much rarer toxic texts are, so a rare class isn't given up for the common one.
 
     To the driver come the trigram counts (SIDE ** 3 at most), the lexicon (`size` features at most) and a table of
     rounded signals. sample bounds the labelled rows."""
@@ -246,19 +286,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, size
     if not t_all or not c_all:
         return ToxicityModel(counts, {}, (math.log((t_all + 0.5) / (c_all + 0.5)) if t_all + c_all else 0.0, 0.0, 0.0))
     of = lambda k: F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0))
-    table = rows.select("text", "toxic").mapInArrow(tally, "feature string, toxic int, n long").groupBy("feature").agg(of(1).alias("t"), of(0).alias("c")).where("t >= 3")
+    table = rows.select("text", "toxic").mapInArrow(tally, "feature string, toxic int, n long").groupBy("feature").agg(of(1).alias("t"), of(0).alias("c")).where(F.col("t") >= least)
     table = written(table, "toxic-features")
     t, c, base = F.col("t"), F.col("c"), t_all / (t_all + c_all)
     part = lambda k, share: F.when(k > 0, k * F.log(k / ((t + c) * share))).otherwise(0.0)
     table = table.withColumn("g", 2 * (part(t, F.lit(base)) + part(c, F.lit(1 - base)))).withColumn("lift", F.log((t + 0.5) / (t_all + 1)) - F.log((c + 0.5) / (c_all + 1)))
-    least = 2 * math.log(20.0 * max(1, table.count()))
-    best = table.where((F.col("lift") > 1.5) & (F.col("g") > least)).orderBy(F.desc("g"), "feature").limit(size).select("feature", "lift").collect()
+    chance = 2 * math.log(20.0 * max(1, table.count()))
+    best = table.where((F.col("lift") > 1.5) & (F.col("g") > chance)).orderBy(F.desc("g"), "feature").limit(size).select("feature", "lift").collect()
     lexicon = {r["feature"]: float(r["lift"]) for r in best}
 
     def signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, known = Decoder(counts), {}
+        decoder, known, gate = Decoder(counts), {}, opening(lexicon)
         for batch in batches:
-            x = [signal(t.as_py(), decoder, lexicon, known) for t in batch.column("text")]
+            x = [signal(t.as_py(), decoder, lexicon, known, gate) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([round(a, 1) for a, _ in x], pa.float64()), pa.array([round(b, 1) for _, b in x], pa.float64()), batch.column("toxic")], names=["a", "b", "toxic"])
 
     # rounded and capped signals: at most 1000 x 200 x 2 rows, in practice some hundred
@@ -266,7 +306,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, size
     seen = seen.groupBy(F.least("a", F.lit(100.0)).alias("a"), F.least("b", F.lit(20.0)).alias("b"), (F.col("toxic") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()
     x = np.array([[1.0, r["a"], r["b"]] for r in seen])
     y, n = np.array([r["y"] for r in seen], float), np.array([r["n"] for r in seen], float)
-    return ToxicityModel(counts, lexicon, logistic(x, y, n))
+    return ToxicityModel(counts, lexicon, logistic(x, y, n * np.where(y > 0, max(1.0, c_all / t_all) ** 0.5, 1.0)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
