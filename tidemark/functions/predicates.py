@@ -25,6 +25,8 @@ SENSITIVE = (".env", ".git", "wp-", "admin", "phpmyadmin", ".yaml", ".yml", ".js
 HEALTH_PATHS = ("/health", "/api/health", "/api/pixel/health")
 HEAVY_PATHS = ("/api/download", "/api/transcribe", "/api/remove-bg", "/api/convert")
 ERROR_MARKS = ("panic:", "fatal:", "traceback (most recent", "unhandled exception", "critical:")
+OUTPUTS = {"transcribe": ("txt", "srt", "vtt", "json")}
+TASKS = ("transcribe", "translate")
 
 
 def _any(conditions) -> Column:
@@ -58,6 +60,16 @@ def is_allowed_upload(ext: Column, task: str) -> Column:
     return F.coalesce(F.lower(ext).isin(*UPLOADS[task]), F.lit(False))
 
 
+def is_allowed_output(form: Column, task: str) -> Column:
+    """The output format, without case or leading dots, is on the task's list."""
+    return F.coalesce(F.regexp_replace(F.lower(form), r"^\.+", "").isin(*OUTPUTS[task]), F.lit(False))
+
+
+def is_allowed_task(task: Column) -> Column:
+    """What a transcription may be asked to do."""
+    return F.coalesce(F.trim(F.lower(task)).isin(*TASKS), F.lit(False))
+
+
 def check_signature(ext: Column, content: Column) -> Column:
     """P5: null if the first 512 bytes fit the extension, else the reason."""
     head = F.hex(F.substring(content, 1, 512))
@@ -97,11 +109,23 @@ def is_probe_path(path: Column) -> Column:
     return _hidden(p) | _any([p.endswith(x) for x in PROBE_SUFFIXES]) | _any([p.contains(x) for x in PROBE_PATTERNS])
 
 
+def clean_path(path: Column) -> Column:
+    """A path in its shortest form: no empty or "." parts, each ".." undone by the part before it, no slash at the end; empty is "."."""
+    rooted = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    # the parts so far; ".." takes the last one away, above a root it says nothing
+    gone = lambda so_far: F.slice(so_far, 1, F.greatest(F.size(so_far) - 1, F.lit(0)))
+    stays = lambda so_far: (F.size(so_far) == 0) | (F.element_at(so_far, -1) == "..")
+    up = lambda so_far: F.when(F.size(so_far) == 0, F.when(rooted, so_far).otherwise(F.array(F.lit("..")))).when(stays(so_far), F.concat(so_far, F.array(F.lit("..")))).otherwise(gone(so_far))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda so_far, x: F.when(x == "..", up(so_far)).otherwise(F.concat(so_far, F.array(x))))
+    return F.when(rooted, F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(F.coalesce(F.nullif(F.array_join(folded, "/"), F.lit("")), F.lit(".")))
+
+
 def is_blocked_static(path: Column) -> Column:
-    """The gateway's rule for static files."""
-    p = F.lower(path)
+    """The gateway's rule for static files, on the cleaned path."""
+    p = F.lower(clean_path(path))
     base = F.element_at(F.split(p, "/"), -1)
-    return _hidden(p) | base.isin(*BLOCKED_NAMES) | _any([p.contains(x) for x in BLOCKED_PREFIXES]) | _any([base.endswith(x) for x in BLOCKED_SUFFIXES])
+    return _hidden(p) | base.startswith(".") | base.isin(*BLOCKED_NAMES) | _any([p.contains(x) for x in BLOCKED_PREFIXES]) | _any([base.endswith(x) for x in BLOCKED_SUFFIXES])
 
 
 def trace_decision(path: Column, status: Column) -> Column:

@@ -64,6 +64,11 @@ def cache_keys(df: DataFrame) -> DataFrame:
     })
 
 
+def content_key(content: Column) -> Column:
+    """the key of a file's content, or of a parameter string."""
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
 def sanitize_name(name: Column, style: str = "media") -> Column:
     """media strips forbidden signs and cuts at 120; document, image and pixel keep ASCII names; upscale drops the rest."""
     if style == "media":
@@ -133,14 +138,20 @@ def parse_ts(text: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda total, p: total * 60 + F.coalesce(p.try_cast("double"), F.lit(0.0)))
 
 
-def classify_error(error: Column) -> Column:
-    """the first category whose words the error holds; other errors lose their technical prefix."""
+def classify_error(error: Column, url: Column | None = None) -> Column:
+    """the first category whose words the error holds; other errors lose their technical prefix. With the url, a
+    login error of a story is "story", and an unreadable reel, or whatever the error calls facebook, is "reel"."""
     low = F.lower(error)
+    place = F.lower(F.coalesce(url, F.lit(""))) if url is not None else None
     out = F.when(F.lit(False), "")
     for category, words in ERROR_WORDS:
         hit = low.contains(words[0])
         for w in words[1:]:
             hit = hit | low.contains(w)
+        if place is not None and category == "login":
+            out = out.when(hit & place.contains("stories"), "story")
+        if place is not None and category == "unparsable":
+            out = out.when(hit & (place.contains("reel") | low.contains("facebook")), "reel")
         out = out.when(hit, category)
     return out.otherwise(F.coalesce(F.nullif(F.trim(F.regexp_replace(error, r"ERROR:\s*\[.*?\]\s*", "")), F.lit("")), F.lit("unknown")))
 

@@ -18,9 +18,12 @@ def cpu_metrics(samples: DataFrame, key: str = "service", value: str = "cpu") ->
     return out.select(key, *[F.coalesce(c, zero).alias(c) for c in ("avg_cpu", "max_cpu", "p95_cpu")], F.coalesce(F.greatest(F.col("avg_cpu"), F.col("max_cpu") * 0.95), zero).alias("effective"), "samples")
 
 
-def latency_report(requests: DataFrame, by: Sequence[str], value: str = "duration_ms", ts: str = "ts") -> DataFrame:
-    """A2: count, rate a second, spread, and linearly interpolated percentiles."""
-    quantiles = F.percentile(value, [0.5, 0.9, 0.95, 0.99])
+def latency_report(requests: DataFrame, by: Sequence[str], value: str = "duration_ms", ts: str = "ts", method: str = "exact", accuracy: int = 10_000) -> DataFrame:
+    """A2: count, rate a second, spread, and percentiles: exact ones, linearly interpolated, hold each group's distinct
+    values in one task's memory; approximate ones hold a sketch of some accuracy entries, for groups of any size, and
+    give a value whose rank is within n / accuracy."""
+    points = [0.5, 0.9, 0.95, 0.99]
+    quantiles = F.percentile(value, points) if method == "exact" else F.percentile_approx(value, points, accuracy)
     span = F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))
     out = requests.groupBy(*by).agg(
         F.count("*").alias("n"), (F.count("*") * 1e6 / F.nullif(span, F.lit(0))).alias("per_second"), F.min(value).alias("low"), F.max(value).alias("high"),
@@ -116,13 +119,19 @@ def comb_scores(histogram: DataFrame, by: str, steps: Sequence[float]) -> DataFr
 
 
 def audit_summary(results: DataFrame) -> DataFrame:
-    """One row of counts by outcome, and the memory's drift from the first result to the last."""
+    """One row of counts by outcome, and the memory's drift from the first result to the last. Schema violations and
+    leaks are counted if results have schema_valid and sanitization (a text that says LEAKED or EXPLOIT)."""
     count = lambda c: F.count_if(c)
     s = F.col("status")
     drift = F.max_by("memory_mb", F.struct("ts", "id")) - F.min_by("memory_mb", F.struct("ts", "id"))
+    more = []
+    if "schema_valid" in results.columns:
+        more.append(count(~F.col("schema_valid")).alias("schema_violations"))
+    if "sanitization" in results.columns:
+        more.append(count(F.col("sanitization").contains("LEAKED") | F.col("sanitization").contains("EXPLOIT")).alias("leaks"))
     return results.agg(
         count((s == 200) & F.col("safe")).alias("clean"), count(s.isin(400, 415, 422) & F.col("safe")).alias("blocked"), count(F.col("crashed")).alias("crashes"),
-        count(s >= 500).alias("server_errors"), count(~F.col("safe")).alias("unsafe"), drift.alias("memory_drift"),
+        count(s >= 500).alias("server_errors"), count(~F.col("safe")).alias("unsafe"), drift.alias("memory_drift"), *more,
     )
 
 
@@ -134,3 +143,6 @@ def detection_accuracy(truth: DataFrame, grids: DataFrame, by: str = "kind") ->
     return both.groupBy(by).agg(share(off == 0).alias("exact"), share(off <= 1).alias("within_one"), F.avg("latency_ms").alias("mean_ms"), F.percentile("latency_ms", 0.95).alias("p95_ms"))
 
 
+def int_median(values: DataFrame, by: str, value: str) -> DataFrame:
+    """The median of whole numbers, of an even count the mean of the middle two without its fraction."""
+    return values.groupBy(by).agg(F.median(value).alias("m_")).select(by, F.col("m_").cast("long").alias("median"))

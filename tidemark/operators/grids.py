@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pixels import luma
@@ -103,3 +106,84 @@ def pick_step(scores: DataFrame, key: str, share: float = 0.7) -> DataFrame:
     """The largest step whose score is within share of the best."""
     best = scores.groupBy(key).agg(F.max("score").alias("top"))
     return scores.join(best, key).where(F.col("score") >= share * F.col("top")).groupBy(key).agg(F.max("step").alias("step"))
+
+
+def phase_contrast(pixels: DataFrame, step: float, tries: int = 3) -> DataFrame:
+    """How much the phase of a grid matters: (worst - best) / (best + variance / 20) of the variances inside the cells
+    over tries x tries phases; variance is that of the whole image. Even images give 0."""
+    phases = [k * step / tries for k in range(tries)]
+    grid = F.array(*[F.struct(F.lit(a).alias("ox"), F.lit(b).alias("oy")) for a in phases for b in phases])
+    y = luma(F.col("r"), F.col("g"), F.col("b"))
+    rows = pixels.select("image_id", "x", "y", y.alias("v"), F.explode(grid).alias("o"))
+    cells = rows.groupBy("image_id", "o", F.floor((F.col("x") + 0.5 - F.col("o.ox")) / step).alias("cx"), F.floor((F.col("y") + 0.5 - F.col("o.oy")) / step).alias("cy"))
+    sums = cells.agg(F.sum(F.col("v") * F.col("v")).alias("vv"), F.sum("v").alias("v"), F.count("*").alias("n"))
+    spread = sums.groupBy("image_id", "o").agg((F.sum(F.col("vv") - F.col("v") * F.col("v") / F.col("n")) / F.sum("n")).alias("inside"), ((F.sum("vv") - F.sum("v") * F.sum("v") / F.sum("n")) / F.sum("n")).alias("all_"))
+    best, worst, every = F.min("inside"), F.max("inside"), F.max("all_")
+    return spread.groupBy("image_id").agg(F.when(every > 1e-9, (worst - best) / (best + 0.05 * every)).otherwise(0.0).alias("contrast"))
+
+
+def pick_peak_step(scores: DataFrame, runs: DataFrame, key: str, value: str, share: float = 0.7, support: float = 0.04) -> DataFrame:
+    """Of the steps whose comb score is a local maximum the largest that has `share` of the best one's score and enough
+    support, else the best. Support: that `support` of the runs (key, value) lie within max(0.6, 0.18 step) of it.
+
+    Steps are a short list for each key, so runs meet them by the key."""
+    w = Window.partitionBy(key).orderBy("step")
+    before, after = F.lag("score").over(w), F.lead("score").over(w)
+    peaks = scores.withColumn("peak_", (F.col("score") > before) & (F.col("score") >= after)).where("peak_").drop("peak_")
+    top = peaks.groupBy(key).agg(F.max("score").alias("top_"), F.max_by("step", F.struct("score", -F.col("step"))).alias("best_")).where("top_ > 0")
+    counts = runs.groupBy(key, F.col(value).alias("run_")).agg(F.count("*").alias("n_"))
+    total = counts.groupBy(key).agg(F.sum("n_").alias("total_"))
+    tied = peaks.join(top, key).where(F.col("score") >= share * F.col("top_"))
+    near = F.abs(F.col("run_") - F.col("step")) < F.greatest(F.lit(0.6), 0.18 * F.col("step"))
+    held = tied.join(counts, key).groupBy(key, "step").agg(F.sum(F.when(near, F.col("n_")).otherwise(0)).alias("near_")).join(total, key).where(F.col("near_") >= support * F.col("total_"))
+    largest = held.groupBy(key).agg(F.max("step").alias("step_"))
+    return top.join(largest, key, "left").select(key, F.coalesce("step_", "best_").alias("step"))
+
+
+def band_profiles(lines: DataFrame, key: str, line: str, pos: str, value: str, band: int) -> DataFrame:
+    """Sums of each `band` neighbouring lines as profiles (key, band, pos, value); lines that fill no band are left out, but
+    for an image of fewer lines than that, which is one band."""
+    n = lines.groupBy(key).agg((F.max(line) + 1).alias("lines_"))
+    rows = lines.join(n, key).withColumn("band", F.when(F.col("lines_") < band, 0).otherwise(F.floor(F.col(line) / band)).cast("int"))
+    return rows.where((F.col("lines_") < band) | (F.col("band") < F.floor(F.col("lines_") / band))).groupBy(key, "band", pos).agg(F.sum(value).alias(value))
+
+
+def acf_comb(acf: DataFrame, key: str, steps: Sequence[float], most: int = 6, fade: float = 3.0, plain: bool = False) -> DataFrame:
+    """For each step the autocorrelation at its multiples, less (unless plain) that half a step to both sides, faded by
+    exp(-(k - 1) / fade). Lags count from 0; samples between them are interpolated. A step with fewer than two multiples
+    inside scores -1, or 0 if plain and it has none."""
+    n = acf.groupBy(key).agg(F.count("*").alias("n_"))
+    listed = F.array(*[F.lit(float(s)) for s in steps])
+    asks = n.select(key, "n_", F.explode(listed).alias("step")).withColumn("kcap", F.least(F.greatest(F.floor((F.col("n_") - 2) / F.col("step")), F.lit(0)), F.lit(most)).cast("int"))
+    parts = [(0.0, 1.0)] if plain else [(0.0, 1.0), (-0.5, -0.5), (0.5, -0.5)]
+    offsets = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(c).alias("c")) for o, c in parts])
+    least = 1 if plain else 2
+    teeth = asks.where(F.col("kcap") >= least).select("*", F.explode(F.sequence(F.lit(1), F.col("kcap"))).alias("k")).select("*", F.explode(offsets).alias("p"))
+    at = (F.col("k") + F.col("p.o")) * F.col("step")
+    teeth = teeth.withColumns({"low": F.least(F.floor(at), F.col("n_") - 1), "w": F.exp(-(F.col("k") - 1) / fade)}).withColumn("f", F.least(F.greatest(at - F.col("low"), F.lit(0.0)), F.lit(1.0)))
+    ends = F.array(F.struct(F.col("low").alias("lag"), (1 - F.col("f")).alias("u")), F.struct(F.least(F.col("low") + 1, F.col("n_") - 1).alias("lag"), F.col("f").alias("u")))
+    read = teeth.select(key, "step", "k", "w", F.col("p.c").alias("c"), F.explode(ends).alias("e")).select(key, "step", "k", "w", "c", "e.lag", "e.u")
+    sums = read.join(acf.select(key, F.col("lag").cast("long").alias("lag"), "acf"), [key, "lag"]).groupBy(key, "step", "k", "w").agg(F.sum(F.col("c") * F.col("u") * F.col("acf")).alias("t"))
+    scored = sums.groupBy(key, "step").agg((F.sum(F.col("w") * F.col("t")) / F.sum("w")).alias("score_"))
+    return asks.join(scored, [key, "step"], "left").select(key, "step", F.coalesce("score_", F.lit(0.0 if plain else -1.0)).alias("score"))
+
+
+def tile_coherence(peaks: DataFrame, key: str, tile: str, pos: str, height: str, extent: str, steps: Sequence[float]) -> DataFrame:
+    """How coherent peaks are at each step, over the tiles of an image (peaks: key, tile, pos, height, extent of the tile).
+
+    For a tile: R sqrt(2 n_eff), by heights, times the share of its slots that have a peak within 0.35 steps of the lattice at
+    the common phase, less 1. Tiles of fewer than four peaks, or under three steps long, don't count. Two tiles or more
+    combine to the sum of their scores by the square root of their number; fewer give 0."""
+    rows = peaks.select(key, tile, pos, height, extent, F.explode(F.array(*[F.lit(float(s)) for s in steps])).alias("step"))
+    angle = F.lit(2 * math.pi) * F.col(pos) / F.col("step")
+    sums = rows.groupBy(key, tile, "step").agg(
+        F.sum(F.col(height) * F.cos(angle)).alias("re"), F.sum(F.col(height) * F.sin(angle)).alias("im"), F.sum(height).alias("h"), F.sum(F.col(height) * F.col(height)).alias("hh"), F.count("*").alias("n"), F.max(extent).alias("extent_")
+    ).where((F.col("n") >= 4) & (F.col("step") <= F.col("extent_") / 3) & (F.col("step") >= 2))
+    raw = F.atan2("im", "re") / (2 * math.pi) * F.col("step")
+    sums = sums.withColumn("phase", raw - F.floor(raw / F.col("step")) * F.col("step"))
+    met = rows.join(sums.select(key, tile, "step", "phase"), [key, tile, "step"]).withColumn("slot", F.bround((F.col(pos) - F.col("phase")) / F.col("step")))
+    slots = met.where(F.abs(F.col(pos) - F.col("phase") - F.col("slot") * F.col("step")) < 0.35 * F.col("step")).groupBy(key, tile, "step").agg(F.count_distinct("slot").alias("slots"))
+    z = F.sqrt(2 * F.col("h") * F.col("h") / (F.col("hh") + 1e-9)) * F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("h") + 1e-9)
+    share = F.least(F.coalesce("slots", F.lit(0)) / F.greatest(F.floor(F.col("extent_") / F.col("step")), F.lit(1)), F.lit(1.0))
+    scored = sums.join(slots, [key, tile, "step"], "left").select(key, "step", (z * share - 1).alias("z"))
+    return scored.groupBy(key, "step").agg(F.when(F.count("*") >= 2, F.sum("z") / F.sqrt(F.count("*"))).otherwise(0.0).alias("score"))

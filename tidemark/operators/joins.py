@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.staging import written
+
 from tidemark.functions.predicates import is_valid_session
 from tidemark.functions.scalars import cache_keys
 
@@ -85,8 +87,6 @@ def span_tree(spans: DataFrame, depth: int = 8) -> DataFrame:
 
     `depth` levels are joined in one plan; deeper ones are written level by level until one is empty. There a span that
     already has a depth is left out, so that a circle of repeated ids ends."""
-    from tidemark.llm.common import written  # here, as the other joins also work without the llm folder
-
     tree = spans.where("parent_span_id IS NULL").select("trace_id", "span_id", F.lit(0).alias("depth"))
     level = tree
     for k in range(1, depth + 1):

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pixels import assign_cells, cell_color, cell_features, color_bin, tv_cleanup
-from .refine import relax_labels
+from tidemark.staging import written
+
+from .pixels import assign_cells, cell_color, color_bin, edge_gates, label_shares, oklab_bin, oklab_dist2, spatial_grid, to_oklab, tv_cleanup
+from .refine import cell_vote, protected_mask, refine_ambiguous, relax_labels, saliency, with_confidence
 
 CHANNELS = ["r", "g", "b"]
 
@@ -85,13 +87,70 @@ def elbow_k(fits: DataFrame, share: float = 0.055) -> DataFrame:
 
 
 def restore(pixels: DataFrame, palettes: DataFrame, step: float, offset: float = 0.0) -> DataFrame:
-    """One pixel a cell (image_id, cx, cy, r, g, b, a): palette labels, votes by place in the cell, relaxation, clean-up, mean colour of the winners.
+    """One pixel a cell (image_id, cx, cy, r, g, b, a), on a grid of `step` pixels; palettes as kmeans_palette gives them."""
+    return restore_cells(assign_cells(palette_labels(pixels, palettes), step, offset))
+
+
+def restore_grid(pixels: DataFrame, k: int, cols: int, rows: int, offset: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """I10 on a grid of cols x rows cells, of pixels with label (0 to k - 1)."""
+    return restore_cells(spatial_grid(pixels, cols, rows, offset), k)
+
+
+def restore_cells(pixels: DataFrame, k: int = 1) -> DataFrame:
+    """I10 of pixels with label, cell and w: shares by place in the cell, gated relaxation, the best label, clean-up, and the mean
+    colour of the winner's own pixels.
+
+    Every stage is a join or an aggregation keyed by image and cell. What several stages read is a written table, so a
+    plan is as long as one stage."""
+    key = ["image_id", "cx", "cy"]
+    own = written(pixels, "restore-pixels")
+    shares, means = (written(x, "restore-cells") for x in label_shares(own, k))
+    soft = relax_labels(shares, edge_gates(means))
+    won = written(with_confidence(soft, key).join(means, key), "restore-labels")
+    clean = written(tv_cleanup(won, soft), "restore-clean")
+    return cell_color(own.withColumn("w", F.col("w") + 1e-4), clean)
+
+
+def lab_palette(pixels: DataFrame, k: int = 32, rounds: int = 15, attempts: int = 3, seed: int = 42) -> DataFrame:
+    """A24 in OKLab: (image_id, palette) of pixels (image_id, lab, weight), by k-means over the 32 x 32 x 32 bins' weighted means."""
+    bins = pixels.groupBy("image_id", oklab_bin(F.col("lab")).alias("bin")).agg(F.sum("weight").alias("n"), *[(F.sum(F.col("weight") * F.col(f"lab.{c}")) / F.sum("weight")).alias(c) for c in "LAB"])
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bin")
+        # chroma weighs as in oklab_dist2, and the scale is that of bytes, on which lloyd's end is set
+        scale = 255 * np.array([1.0, 1.8**0.5, 1.8**0.5])
+        palette, _ = lloyd(rows[list("LAB")].to_numpy() * scale, rows["n"].to_numpy(), k, rounds, attempts, seed)
+        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "palette": [[dict(zip("LAB", p)) for p in (palette / scale).tolist()]]})
+
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    return bins.groupBy("image_id").applyInPandas(fit, f"image_id {kind}, palette array<struct<L:double,A:double,B:double>>")
+
+
+def lab_labels(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
+    """Pixels (with lab) and the place of the nearest palette colour as label, and confidence, 1 - sqrt(d1 / d2) of the two least distances."""
+    near = F.array_sort(F.transform("palette", lambda p, i: F.struct(oklab_dist2(F.col("lab"), p).alias("d"), i.alias("i"))))
+    met = pixels.join(palettes, "image_id").withColumn("near_", near)
+    d1, d2 = F.get("near_", F.lit(0))["d"], F.get("near_", F.lit(1))["d"]
+    sure = F.when(F.coalesce(d2, F.lit(0.0)) <= 1e-9, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(d1 / d2))))
+    return met.withColumns({"label": F.get("near_", F.lit(0))["i"], "confidence": sure}).drop("near_", "palette")
+
 
-    Every stage is a join or an aggregation keyed by image and cell. palettes as kmeans_palette gives them."""
+def advanced(pixels: DataFrame, cols: int, rows: int, offset: tuple[float, float] = (0.0, 0.0)) -> tuple[DataFrame, DataFrame]:
+    """I11 after its palette: of pixels (image_id, x, y, r, g, b, a, rareness, label, confidence) the cells' colours as restore gives them, and
+    (image_id, confident_ratio, protected_pixels). Small details are protected, pixels vote with their confidence, ambiguous
+    cells are refined by their neighbours, and the winner's own pixels give the colour."""
     key = ["image_id", "cx", "cy"]
-    own = assign_cells(palette_labels(pixels, palettes), step, offset)
-    sums = own.where("a > 10").groupBy(*key, "label").agg(F.sum("w").alias("w"))
-    total = sums.groupBy(*key).agg(F.sum("w").alias("all_"))
-    shares = sums.join(total, key).select(*key, "label", (F.col("w") / F.col("all_")).alias("p"))
-    soft = relax_labels(shares).select(*key, "label", F.round("p", 9).alias("w"), F.lit(255).alias("a"))
-    return cell_color(own, tv_cleanup(cell_features(soft).select(*key, "label", "confidence")))
+    grid = spatial_grid(pixels, cols, rows, offset)
+    own = written(grid.join(protected_mask(pixels), ["image_id", "x", "y"]), "advanced-pixels")
+    votes = written(cell_vote(own), "advanced-votes")
+    refined = written(refine_ambiguous(votes, own).select(*key, "label"), "advanced-labels")
+    sure = votes.groupBy("image_id").agg(F.avg(F.col("confident").cast("int")).alias("confident_ratio"))
+    details = own.groupBy("image_id").agg(F.count_if("protected").alias("protected_pixels"))
+    return cell_color(own.withColumn("w", F.col("w") + 1e-4), refined), sure.join(details, "image_id")
+
+
+def restore_advanced(pixels: DataFrame, cols: int, rows: int, k: int = 32, offset: tuple[float, float] = (0.0, 0.0)) -> tuple[DataFrame, DataFrame]:
+    """Saliency, a palette in OKLab weighted by it (k-means in place of box splitting), labels with confidence, then `advanced`."""
+    seen = written(saliency(pixels).join(pixels, ["image_id", "x", "y"]).withColumn("lab", to_oklab(F.col("r"), F.col("g"), F.col("b"))), "advanced-saliency")
+    labelled = written(lab_labels(seen, lab_palette(seen, k)), "advanced-labelled")
+    return advanced(labelled, cols, rows, offset)

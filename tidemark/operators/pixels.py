@@ -49,6 +49,27 @@ def color_bin(r: Column, g: Column, b: Column, bits: int = 4) -> Column:
     return cut(r) * (1 << 2 * bits) + cut(g) * (1 << bits) + cut(b)
 
 
+def oklab_dist2(a, b) -> Column:
+    """squared distance of two OKLab colours (structs, or lambdas' arguments), chroma weighing 1.8."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    part = lambda c: (a[c] - b[c]) * (a[c] - b[c])
+    return part("L") + 1.8 * part("A") + 1.8 * part("B")
+
+
+def oklab_bin(lab: Column) -> Column:
+    """the OKLab colour's place among 32 x 32 x 32 bins: L from 0 to 1, A and B from -0.4 to 0.4."""
+    step = lambda v: F.least(F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 31.999), F.lit(31)).cast("int")
+    return step(lab["L"]) * 1024 + step((lab["A"] + 0.4) / 0.8) * 32 + step((lab["B"] + 0.4) / 0.8)
+
+
+def oklab_moments(pixels: DataFrame, weight: str | None = None) -> DataFrame:
+    """Of pixels (image_id, lab) weight, weighted sums and weighted squared norm of each OKLab bin; weight: a column, such as saliency's."""
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    total = lambda c: F.sum(w * F.col(f"lab.{c}")).alias(c)
+    squares = F.sum(w * sum((F.col(f"lab.{c}") * F.col(f"lab.{c}") for c in "LAB"), F.lit(0.0))).alias("squares")
+    return pixels.groupBy("image_id", oklab_bin(F.col("lab")).alias("bin")).agg(F.sum(w).alias("weight"), total("L"), total("A"), total("B"), squares)
+
+
 def adaptive_k(pixels: DataFrame, low: int = 16, high: int = 48, share: float = 0.003) -> DataFrame:
     """How many 4-bit colours hold at least `share` of an image's opaque pixels, within bounds."""
     counts = pixels.where("a > 127").groupBy("image_id", color_bin(F.col("r"), F.col("g"), F.col("b")).alias("key")).agg(F.count("*").alias("n"))
@@ -72,6 +93,54 @@ def assign_cells(pixels: DataFrame, step: float, offset: float = 0.0) -> DataFra
     return pixels.withColumns({"cx": F.floor(at("x")).cast("int"), "cy": F.floor(at("y")).cast("int"), "w": F.greatest(F.lit(0.05), centre("x") * centre("y"))})
 
 
+def spatial_grid(pixels: DataFrame, cols: int, rows: int, offset: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Pixels with the cell of an image's cols x rows uniform grid, shifted by offset, w, the product of 1 - 2 |f - 1/2| on both
+    axes (0 outside), and core: whether the pixel begins in the middle half of both. Pixels before the first or after the
+    last line belong to the outermost cells."""
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width_"), (F.max("y") + 1).alias("height_"))
+    out = pixels.join(size, "image_id")
+
+    def axis(c: str, full: str, cells: int, off: float) -> tuple[Column, Column, Column]:
+        step = F.col(full) / cells
+        shift = F.lit(off) - F.floor(F.lit(off) / step) * step
+        cell = F.least(F.greatest(F.floor((F.col(c) - shift) / step), F.lit(0)), F.lit(cells - 1)).cast("int")
+        f = (F.col(c) + 0.5 - shift) / step - cell
+        begins = (F.col(c) - shift) / step - cell
+        return cell, F.greatest(1 - 2 * F.abs(f - 0.5), F.lit(0.0)), (begins >= 0.25) & (begins < 0.75)
+
+    (cx, wx, mx), (cy, wy, my) = axis("x", "width_", cols, offset[0]), axis("y", "height_", rows, offset[1])
+    return out.select(*pixels.columns, cx.alias("cx"), cy.alias("cy"), (wx * wy).alias("w"), (mx & my).alias("core"))
+
+
+def cut_grid(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Pixels with the cell between cuts (image_id, axis x or y, cut from 0, at) and w as spatial_grid has it.
+
+    The stretches between cuts are exploded to places, so both joins are equi-joins."""
+    w = Window.partitionBy("image_id", "axis").orderBy("cut")
+    spans = cuts.select("image_id", "axis", F.col("cut").alias("cell"), F.col("at").cast("int").alias("from_"), F.lead("at").over(w).cast("int").alias("to_")).where("to_ > from_")
+    places = spans.select("image_id", "axis", "cell", "from_", "to_", F.explode(F.sequence(F.col("from_"), F.col("to_") - 1)).alias("p"))
+    f = (F.col("p") + 0.5 - F.col("from_")) / (F.col("to_") - F.col("from_"))
+    one = lambda axis, cell: places.where(F.col("axis") == axis).select("image_id", F.col("p").alias(axis), F.col("cell").alias(cell), (1 - 2 * F.abs(f - 0.5)).alias(f"w{axis}"))
+    out = pixels.join(one("x", "cx"), ["image_id", "x"]).join(one("y", "cy"), ["image_id", "y"])
+    return out.select(*pixels.columns, "cx", "cy", (F.col("wx") * F.col("wy")).alias("w"))
+
+
+def label_shares(pixels: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Of pixels with cell, w and label (0 to k - 1): shares (cell, label, p) of each cell's weight, 1 / k each for a cell without
+    weight; and cells (lab, confidence): the mean OKLab of what isn't transparent (alpha over 10), black without, and the
+    best share less the second."""
+    key = ["image_id", "cx", "cy"]
+    sums = pixels.groupBy(*key, "label").agg(F.sum("w").alias("w"))
+    total = sums.groupBy(*key).agg(F.sum("w").alias("all_"))
+    held = sums.join(total.where("all_ > 1e-6"), key).where("w > 0").select(*key, "label", (F.col("w") / F.col("all_")).alias("p"))
+    bare = total.where("all_ <= 1e-6").select(*key, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("label"), F.lit(1.0 / k).alias("p"))
+    seen = F.when(F.col("a") > 10, F.col("w"))
+    lab = pixels.withColumn("lab_", to_oklab(F.col("r"), F.col("g"), F.col("b")))
+    mean = lambda c: F.coalesce(F.when(F.sum(seen) > 1e-6, F.sum(seen * F.col(f"lab_.{c}")) / F.sum(seen)), F.lit(0.0)).alias(c)
+    means = lab.groupBy(*key).agg(F.struct(mean("L"), mean("A"), mean("B")).alias("lab"))
+    return held.unionByName(bare), means
+
+
 def cell_features(pixels: DataFrame) -> DataFrame:
     """Of pixels with cell, weight and label: each cell's best label, its share of the weight, and the lead over the second."""
     sums = pixels.where("a > 10").groupBy("image_id", "cx", "cy", "label").agg(F.sum("w").alias("w"))
@@ -82,11 +151,14 @@ def cell_features(pixels: DataFrame) -> DataFrame:
 
 
 def cell_color(pixels: DataFrame, winners: DataFrame) -> DataFrame:
-    """The weighted mean colour of a cell's pixels with the winning label; alpha by majority."""
+    """The weighted mean colour of a cell's pixels with the winning label, or of all its pixels, unweighted, where none
+    of these has weight; alpha by majority."""
     own = pixels.join(winners.select("image_id", "cx", "cy", F.col("label").alias("winner")), ["image_id", "cx", "cy"])
     good = F.col("label") == F.col("winner")
-    mean = lambda c: F.bround(F.sum(F.when(good, F.col("w") * F.col(c))) / F.sum(F.when(good, F.col("w"))), 0).cast("int").alias(c)
-    solid = F.when(F.count_if(F.col("a") > 127) * 2 >= F.count("*"), 255).otherwise(0).alias("a")
+    weight = F.sum(F.when(good, F.col("w")))
+    # a tie is one although a sum of doubles is a hair off
+    mean = lambda c: F.bround(F.round(F.coalesce(F.when(weight > 1e-9, F.sum(F.when(good, F.col("w") * F.col(c))) / weight), F.avg(c)), 6), 0).cast("int").alias(c)
+    solid = F.when(F.count_if(F.col("a") > 127) * 2 > F.count("*"), 255).otherwise(0).alias("a")
     return own.groupBy("image_id", "cx", "cy").agg(mean("r"), mean("g"), mean("b"), solid)
 
 
@@ -138,27 +210,62 @@ def snap_palette(pixels: DataFrame, palette: Sequence[tuple[int, int, int]]) ->
     return joined.select("image_id", "x", "y", F.col("best.pr").alias("r"), F.col("best.pg").alias("g"), F.col("best.pb").alias("b"), F.when(F.col("a") < 32, 0).otherwise(255).alias("a"))
 
 
-def neighbors3x3(grid: DataFrame, value: str) -> DataFrame:
-    """For each place the values of its 3 x 3 neighbourhood inside the image: (image_id, x, y, dx, dy, other)."""
+def neighbors3x3(grid: DataFrame, value: str, edge: str = "clip") -> DataFrame:
+    """For each place the values of its 3 x 3 neighbourhood: (image_id, x, y, dx, dy, other). Beyond the edge there is
+    nothing (clip), or what the edge has (replicate)."""
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     asked = grid.select("image_id", "x", "y", F.explode(offsets).alias("o")).select("image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "o.dx", "o.dy")
+    if edge == "replicate":
+        size = grid.groupBy("image_id").agg(F.max("x").alias("mx_"), F.max("y").alias("my_"))
+        inside = lambda c, m: F.least(F.greatest(F.col(c), F.lit(0)), F.col(m))
+        asked = asked.join(size, "image_id").withColumns({"x": inside("x", "mx_"), "y": inside("y", "my_")}).drop("mx_", "my_")
     return asked.join(grid.select("image_id", "x", "y", F.col(value).alias("other")), ["image_id", "x", "y"]).select("image_id", F.col("x0").alias("x"), F.col("y0").alias("y"), "dx", "dy", "other")
 
 
-def edge_gates(cells: DataFrame) -> DataFrame:
-    """exp(-5 d) between a cell and its right and lower neighbour; d is the distance of their colours, in units of 255."""
-    right = cells.select("image_id", (F.col("cx") - 1).alias("cx"), "cy", *[F.col(c).alias(f"{c}2") for c in "rgb"], F.lit("right").alias("side"))
-    below = cells.select("image_id", "cx", (F.col("cy") - 1).alias("cy"), *[F.col(c).alias(f"{c}2") for c in "rgb"], F.lit("below").alias("side"))
-    d = F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "rgb"), F.lit(0.0))) / 255.0
-    return cells.join(right.union(below), ["image_id", "cx", "cy"]).select("image_id", "cx", "cy", "side", F.exp(-5 * d).alias("gate"))
+def median_quantised(pixels: DataFrame, value: str, step: int = 12) -> DataFrame:
+    """The median of the 3 x 3 around each place, edges replicated, of values without their fractions; rounded to multiples of step."""
+    near = neighbors3x3(pixels.withColumn(value, F.floor(value).cast("int")), value, "replicate").groupBy("image_id", "x", "y").agg(F.sort_array(F.collect_list("other")).alias("v_"))
+    return near.select("image_id", "x", "y", (F.bround(F.get("v_", F.lit(4)) / step) * step).alias("smooth"))
+
+
+def edge_gates(cells: DataFrame, strength: float = 5.0) -> DataFrame:
+    """(image_id, cx, cy, dx, dy, gate) for each cell (with lab) and each of its eight neighbours inside the image.
+
+    A straight gate is exp(-strength d), d the OKLab distance. A diagonal one is that times the wider of the two straight
+    gates of the cell itself that lead to the neighbour's column and row."""
+    key = ["image_id", "cx", "cy"]
+    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    asked = cells.select(*key, "lab", F.explode(steps).alias("o")).select("image_id", F.col("cx").alias("cx0"), F.col("cy").alias("cy0"), (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), "lab", "o.dx", "o.dy")
+    met = asked.join(cells.select(*key, F.col("lab").alias("other")), key)
+    direct = met.select("image_id", F.col("cx0").alias("cx"), F.col("cy0").alias("cy"), "dx", "dy", F.exp(-strength * F.sqrt(oklab_dist2("lab", "other"))).alias("g"))
+    w = Window.partitionBy(*key)
+    way = lambda dx, dy: F.coalesce(F.max(F.when((F.col("dx") == dx) & (F.col("dy") == dy), F.col("g"))).over(w), F.lit(0.0))
+    across = F.when(F.col("dx") == 1, way(1, 0)).otherwise(way(-1, 0))
+    along = F.when(F.col("dy") == 1, way(0, 1)).otherwise(way(0, -1))
+    gate = F.when((F.col("dx") == 0) | (F.col("dy") == 0), F.col("g")).otherwise(F.col("g") * F.greatest(across, along))
+    return direct.withColumn("gate", gate).select(*key, "dx", "dy", "gate")
+
 
+def tv_cleanup(cells: DataFrame, shares: DataFrame) -> DataFrame:
+    """An inner cell (label, lab, confidence) takes the label that three of its four neighbours have, if these are of one colour (mean
+    squared OKLab distance of their pairs under 0.15 squared) and its own label is weak: a share under 0.7, a
+    confidence under 0.45, or the neighbours' label with over 0.35 of the own one's share (shares: cell, label, p).
 
-def tv_cleanup(cells: DataFrame) -> DataFrame:
-    """A cell takes its neighbours' label if three of the four, or all there are but one, agree and it is unsure (confidence < 0.35)."""
+    All cells look at the labels before the clean-up. The pairs' distances follow from sums over the neighbours."""
+    key = ["image_id", "cx", "cy"]
     sides = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    votes = cells.select("image_id", "label", F.explode(sides).alias("o"), "cx", "cy").select("image_id", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), F.col("label").alias("vote"))
-    counted = votes.groupBy("image_id", "cx", "cy", "vote").agg(F.count("*").alias("n")).where("n >= 3").select("image_id", "cx", "cy", "vote")
-    return cells.join(counted, ["image_id", "cx", "cy"], "left").withColumn("label", F.when((F.col("confidence") < 0.35) & F.col("vote").isNotNull(), F.col("vote")).otherwise(F.col("label"))).drop("vote")
+    votes = cells.select("image_id", F.col("label").alias("vote"), "lab", F.explode(sides).alias("o"), "cx", "cy").select("image_id", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), "vote", "lab")
+    square = F.col("lab.L") * F.col("lab.L") + 1.8 * F.col("lab.A") * F.col("lab.A") + 1.8 * F.col("lab.B") * F.col("lab.B")
+    counted = votes.groupBy(*key, "vote").agg(F.count("*").alias("n"), F.sum(square).alias("q"), *[F.sum(f"lab.{c}").alias(c) for c in "LAB"])
+    counted = counted.withColumn("sides_", F.sum("n").over(Window.partitionBy(*key))).where("n >= 3 AND sides_ = 4")
+    pairs = F.col("n") * F.col("q") - F.col("L") * F.col("L") - 1.8 * F.col("A") * F.col("A") - 1.8 * F.col("B") * F.col("B")
+    flat = counted.where(pairs / (F.col("n") * (F.col("n") - 1) / 2) < 0.15**2).select(*key, "vote")
+    share = lambda label, name: shares.select(*key, F.col("label").alias(label), F.col("p").alias(name))
+    both = cells.join(flat, key, "left").join(share("label", "own_"), [*key, "label"], "left").join(share("vote", "new_"), [*key, "vote"], "left")
+    own, new = F.coalesce("own_", F.lit(0.0)), F.coalesce("new_", F.lit(0.0))
+    weak = (own < 0.7) | (F.col("confidence") < 0.45) | (new / F.greatest(own, F.lit(1e-4)) > 0.35)
+    takes = F.col("vote").isNotNull() & (F.col("vote") != F.col("label")) & weak
+    return both.select(*key, F.when(takes, F.col("vote")).otherwise(F.col("label")).alias("label"), "confidence")
 
 
 def autocorr(profile: DataFrame, key: str, pos: str, value: str, max_lag: int) -> DataFrame:

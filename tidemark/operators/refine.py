@@ -5,42 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pixels import neighbors3x3, to_oklab
+from tidemark.staging import made_since, mark, release, written
 
+from .pixels import neighbors3x3, oklab_dist2, to_oklab
 
-def relax_labels(cells: DataFrame, rounds: int = 2) -> DataFrame:
+
+def with_confidence(shares: DataFrame, key: list[str]) -> DataFrame:
+    """(key, label, confidence): each cell's best label, the smaller of equals, and its share less the second."""
+    ranked = shares.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("p"), "label"))).where("rank <= 2")
+    lead = F.max("p") - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("p"))), F.lit(0.0))
+    return ranked.groupBy(*key).agg(F.min_by("label", "rank").alias("label"), F.least(F.greatest(lead, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+
+
+def relax_labels(cells: DataFrame, gates: DataFrame, rounds: int = 2, pull: float = 0.35) -> DataFrame:
     """I4: labels of cells (image_id, cx, cy, label, p), p the share of each label, drawn towards their neighbours.
 
-    In each round a cell's shares move by 0.35 (1 - confidence)^2 towards the mean of its neighbours' shares, straight
-    neighbours weighing 1 and diagonal ones 0.707; confidence is the best share less the second. Shares sum to 1."""
-    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(1.0 if a == 0 or b == 0 else 0.707).alias("w")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    In each round a cell's shares move by pull (1 - confidence)^2 towards the mean of its neighbours' shares, straight
+    neighbours weighing 1 and diagonal ones 0.707, times their gate (edge_gates); gates that weigh no more than 1e-6 are
+    shut, and a cell with none open keeps its shares. confidence is the best share less the second. A round is a written
+    table, so plans don't grow with the rounds."""
     key = ["image_id", "cx", "cy"]
-    places = cells.select(*key).distinct()
+    weight = F.when((F.col("dx") == 0) | (F.col("dy") == 0), 1.0).otherwise(0.707) * F.col("gate")
+    open_ = gates.select(*key, (F.col("cx") + F.col("dx")).alias("nx"), (F.col("cy") + F.col("dy")).alias("ny"), weight.alias("g")).where("g > 1e-6")
+    total = F.sum("g").over(Window.partitionBy(*key))
+    begun = mark()
+    open_ = written(open_.withColumn("g", F.col("g") / total), "relax-gates")
     for _ in range(rounds):
-        w = Window.partitionBy(*key).orderBy(F.desc("p"), "label")
-        ranked = cells.withColumn("rank", F.row_number().over(w))
-        sure = ranked.groupBy(*key).agg((F.max("p") - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("p"))), F.lit(0.0))).alias("confidence"))
-        sent = cells.select("image_id", "label", "p", "cx", "cy", F.explode(steps).alias("o")).select("image_id", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), "label", (F.col("p") * F.col("o.w")).alias("m"))
-        came = sent.join(places, key, "left_semi").groupBy(*key, "label").agg(F.sum("m").alias("m"))
-        came = came.withColumn("m", F.col("m") / F.sum("m").over(Window.partitionBy(*key)))
-        pull = F.lit(0.35) * F.pow(1 - F.col("confidence"), F.lit(2.0))
+        sure = with_confidence(cells, key).select(*key, "confidence")
+        other = cells.select("image_id", F.col("cx").alias("nx"), F.col("cy").alias("ny"), "label", F.col("p").alias("q"))
+        came = open_.join(other, ["image_id", "nx", "ny"]).groupBy(*key, "label").agg(F.sum(F.col("g") * F.col("q")).alias("m"))
+        step = F.lit(pull) * F.pow(1 - F.col("confidence"), F.lit(2.0))
         both = cells.join(came, [*key, "label"], "full").join(sure, key)
-        # a cell without neighbours keeps its shares
         alone = F.max("m").over(Window.partitionBy(*key)).isNull()
-        p = F.when(alone, F.col("p")).otherwise(F.coalesce("p", F.lit(0.0)) * (1 - pull) + F.coalesce("m", F.lit(0.0)) * pull)
-        cells = both.select(*key, "label", p.alias("p"))
+        p = F.when(alone, F.col("p")).otherwise(F.coalesce("p", F.lit(0.0)) * (1 - step) + F.coalesce("m", F.lit(0.0)) * step)
+        cells = written(both.select(*key, "label", p.alias("p")), "relax-round")
+    release(cells.sparkSession, made_since(begun, but_last=True))
     return cells
 
 
 def saliency(pixels: DataFrame) -> DataFrame:
-    """How rare a pixel's colour is beside its neighbours: the largest squared OKLab distance to one of the eight, times 100, at most 10,
-    times (0.5 + 2 chroma)."""
-    lab = pixels.withColumn("lab", to_oklab(F.col("r"), F.col("g"), F.col("b")))
-    near = neighbors3x3(lab, "lab").where("dx <> 0 OR dy <> 0").join(lab.select("image_id", "x", "y", "lab"), ["image_id", "x", "y"])
-    d = sum(((F.col(f"lab.{c}") - F.col(f"other.{c}")) * (F.col(f"lab.{c}") - F.col(f"other.{c}")) for c in "LAB"), F.lit(0.0))
+    """How much each pixel stands out, in the OKLab colours of the 3 x 3 around it, edges replicated.
+
+    rareness: the largest squared distance to a neighbour, times 100, at most 10, times (0.5 + 2 chroma). edge: the length of the
+    Sobel gradient of L, times 4, at most 10. variance: that of L, times 50, at most 10. weight: 1 + 1.5 rareness +
+    0.5 edge + 0.3 variance."""
+    lab = pixels.select("image_id", "x", "y", to_oklab(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
+    near = neighbors3x3(lab, "lab", "replicate").join(lab, ["image_id", "x", "y"])
     chroma = F.sqrt(F.col("lab.A") * F.col("lab.A") + F.col("lab.B") * F.col("lab.B"))
-    out = near.groupBy("image_id", "x", "y").agg(F.max(d).alias("d"), F.max(chroma).alias("c"))
-    return out.select("image_id", "x", "y", (F.least(F.col("d") * 100, F.lit(10.0)) * (0.5 + 2 * F.col("c"))).alias("rareness"))
+    light = F.col("other.L")
+    slope = lambda a, b: F.sum(F.col(a) * (2 - F.abs(b)) * light)
+    out = near.groupBy("image_id", "x", "y").agg(
+        F.max(oklab_dist2("lab", "other")).alias("d"), F.max(chroma).alias("c"), slope("dx", "dy").alias("gx"), slope("dy", "dx").alias("gy"), F.sum(light).alias("s"), F.sum(light * light).alias("q")
+    )
+    ten = lambda c: F.least(c, F.lit(10.0))
+    out = out.select(
+        "image_id", "x", "y", (ten(F.col("d") * 100) * (0.5 + 2 * F.col("c"))).alias("rareness"),
+        ten(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) * 4).alias("edge"),
+        ten(F.greatest(F.col("q") / 9 - F.col("s") / 9 * F.col("s") / 9, F.lit(0.0)) * 50).alias("variance"),
+    )
+    return out.withColumn("weight", 1 + F.col("rareness") * 1.5 + F.col("edge") * 0.5 + F.col("variance") * 0.3)
 
 
 def protected_mask(pixels: DataFrame) -> DataFrame:
@@ -68,6 +91,58 @@ def grid_cuts(profile: DataFrame, key: str, pos: str, value: str, step: float, r
     return every.join(near, [key, "cut"], "left").select(key, "cut", F.when(strong, F.col("b.at").cast("double")).otherwise(F.col("cut") * step).alias("at"))
 
 
+def elastic_cuts(profile: DataFrame, limits: DataFrame, key: str, pos: str, value: str) -> DataFrame:
+    """(key, cut, at) for cut 0 to cells: the places where an image of limits (key, size, cells, origin) is cut.
+
+    A cut is the strongest edge (the first of equals) within max(2, 0.35 steps) of its place on the uniform grid from origin, if that
+    edge is at least half as strong as the mean one; else that place. Each leaves room for the cuts before and after it.
+    profile: edge strengths at the places between pixels, 1 to size - 1. An image without profile is cut uniformly."""
+    mean = profile.groupBy(key).agg(F.avg(value).alias("mean_"))
+    every = limits.join(mean, key, "left").withColumn("step_", F.col("size") / F.col("cells")).select("*", F.explode(F.sequence(F.lit(0), F.col("cells"))).alias("cut"))
+    target = F.col("origin") + F.col("cut") * F.col("step_")
+    reach = F.greatest(0.35 * F.col("step_"), F.lit(2.0))
+    last = F.col("size") - (F.col("cells") - F.col("cut"))
+    within = lambda c: F.least(F.greatest(c, F.col("cut")), last)
+    rows = every.withColumns({"low_": F.greatest(F.floor(target - reach), F.col("cut")), "high_": F.least(F.ceil(target + reach), last), "plain_": within(_rounded(target)), "even_": F.least(_rounded(F.col("cut") * F.col("step_")), F.col("size"))})
+    seen = rows.where("low_ <= high_").select(key, "cut", F.explode(F.sequence("low_", "high_")).alias(pos)).join(profile.select(key, F.col(pos).cast("long").alias(pos), F.col(value).alias("edge_")), [key, pos])
+    best = seen.groupBy(key, "cut").agg(F.max(F.struct("edge_", (-F.col(pos)).alias("p"))).alias("b_"))
+    rows = rows.join(best, [key, "cut"], "left")
+    strong = F.col("b_.edge_") >= 0.5 * F.col("mean_")
+    at = F.when(F.col("mean_").isNull(), F.col("even_")).when(strong, -F.col("b_.p")).otherwise(F.col("plain_"))
+    return in_order(rows.select(key, "size", "cells", "cut", at.cast("long").alias("at")), key)
+
+
+def _rounded(x: Column) -> Column:
+    """Half up, of what isn't negative."""
+    return F.floor(x + 0.5)
+
+
+def in_order(cuts: DataFrame, key: str) -> DataFrame:
+    """Cuts (key, size, cells, cut, at) from 0 to size, each at least one after the one before, with room for those that follow.
+
+    at - cut may not fall, nor pass size - cells: a running maximum."""
+    so_far = Window.partitionBy(key).orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)
+    inner = F.when(F.col("cut") == 0, 0).when(F.col("cut") == F.col("cells"), F.col("size") - F.col("cells")).otherwise(F.least(F.col("at") - F.col("cut"), F.col("size") - F.col("cells")))
+    return cuts.withColumn("at", (F.greatest(F.max(inner).over(so_far), F.lit(0)) + F.col("cut")).cast("long"))
+
+
+def stable_cuts(cuts: DataFrame, key: str) -> DataFrame:
+    """Cuts (key, size, cells, cut, at) that are too uneven give way: as they are if the widest cell has at most 1.8 of the
+    narrowest one's width and none is off the mean by over 0.62 of it; six tenths of them and four of the uniform cuts
+    up to 2.25 and 0.9; beyond that the uniform cuts."""
+    w = Window.partitionBy(key).orderBy("cut")
+    mean = F.col("size") / F.col("cells")
+    wide = cuts.withColumn("next_", F.lead("at").over(w)).withColumn("width_", F.when(F.col("next_").isNotNull(), F.greatest(F.col("next_") - F.col("at"), F.lit(1)))).drop("next_")
+    spread = wide.where("width_ IS NOT NULL").groupBy(key).agg((F.max("width_") / F.min("width_")).alias("ratio_"), F.max(F.abs(F.col("width_") - mean) / F.greatest(mean, F.lit(1.0))).alias("off_"))
+    even = F.least(_rounded(F.col("cut") * mean), F.col("size"))
+    keep, blend = (F.col("ratio_") <= 1.8) & (F.col("off_") <= 0.62), (F.col("ratio_") <= 2.25) & (F.col("off_") <= 0.9)
+    rows = cuts.join(spread, key).withColumns({"even_": even, "blends_": ~keep & blend, "keeps_": keep | (F.col("cells") <= 1)})
+    at = F.when(F.col("keeps_"), F.col("at")).when(F.col("blends_"), _rounded(F.col("at") * 0.6 + F.col("even_") * 0.4)).otherwise(F.col("even_")).cast("long")
+    rows = rows.select(key, "size", "cells", "cut", at.alias("at"), (F.col("keeps_") | ~F.col("blends_")).alias("done_"))
+    blended = in_order(rows.where("NOT done_").drop("done_"), key)
+    return rows.where("done_").drop("done_").unionByName(blended)
+
+
 def bilateral(pixels: DataFrame, radius: int = 2, reach: float = 2.0, tone: float = 0.08) -> DataFrame:
     """I8: OKLab colours smoothed over the (2 radius + 1) squared around: exp(-d^2 / 2 reach^2) by place times exp(-c^2 / 2 tone^2) by colour.
 
@@ -77,16 +152,11 @@ def bilateral(pixels: DataFrame, radius: int = 2, reach: float = 2.0, tone: floa
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(float(a * a + b * b)).alias("dd")) for a in around for b in around])
     sent = lab.select("image_id", F.col("lab").alias("other"), F.explode(steps).alias("o"), "x", "y").select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "other", "o.dd")
     both = sent.join(lab, ["image_id", "x", "y"])
-    w = F.exp(-F.col("dd") / (2 * reach * reach) - lab_dist2("lab", "other") / (2 * tone * tone))
+    w = F.exp(-F.col("dd") / (2 * reach * reach) - oklab_dist2("lab", "other") / (2 * tone * tone))
     mean = lambda c: (F.sum(F.col("w") * F.col(f"other.{c}")) / F.sum("w")).alias(c)
     return both.withColumn("w", w).groupBy("image_id", "x", "y").agg(mean("L"), mean("A"), mean("B"))
 
 
-def lab_dist2(a: str, b: str) -> Column:
-    """Squared distance of two OKLab colours."""
-    return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in "LAB"), F.lit(0.0))
-
-
 def cell_vote(pixels: DataFrame) -> DataFrame:
     """Each cell's label by votes of its pixels (image_id, x, y, cx, cy, w, label, confidence, protected).
 
@@ -162,7 +232,7 @@ def grid_slic(pixels: DataFrame, cols: int, rows: int, width: int, height: int,
     off = lambda c, a, s: F.greatest(F.lit(-0.15 * s), F.least(F.lit(0.15 * s), F.avg(c) - F.first(a)))
     for k in range(rounds):
         dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-        seen = asks.join(centres, ["image_id", "cx", "cy"]).withColumn("d", F.round(lab_dist2("lab", "mean") + pull * (dx * dx + dy * dy), 9))
+        seen = asks.join(centres, ["image_id", "cx", "cy"]).withColumn("d", F.round(oklab_dist2("lab", "mean") + pull * (dx * dx + dy * dy), 9))
         own = seen.groupBy("image_id", "x", "y").agg(F.min(F.struct("d", "cy", "cx")).alias("b"), F.first("lab").alias("lab")).select("image_id", "x", "y", "lab", "b.cx", "b.cy")
         if k < rounds - 1:
             mean = F.struct(*[F.avg(f"lab.{c}").alias(c) for c in "LAB"]).alias("mean2")

@@ -1,7 +1,9 @@
-"""Window operators over ordered events. All partition by a key whose history Spark sorts and can spill."""
+"""Window operators over ordered events. Spark sorts a key's history and can spill it; where a few keys hold nearly all
+rows (nodes), histories are cut into slices of time that are worked on apart and then put together."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -39,33 +41,79 @@ def apply_updates(events: DataFrame, key: str, order: Sequence[str]) -> DataFram
     return rows.select(key, *order, F.last("set_", True).over(so_far).alias("status"), F.last("percent", True).over(so_far).alias("percent"))
 
 
-def ewma_latency(requests: DataFrame, node: str = "node", order: Sequence[str] = ("ts", "event_id"), value: str = "duration_ms", alpha: float = 0.2, start: float = 15.0, block: int = 500) -> DataFrame:
-    """Each node's last moving average, x = (1 - alpha) x + alpha v from `start`.
+#: A slice of time, in seconds.
+SLICE = 3600
 
-    The step is affine, so a history is cut into blocks of consecutive rows: each block folds to (decay, offset), and the
-    blocks of a node are composed in order. No array holds a node's history: a block has at most `block` rows, and the
-    list of blocks is that much shorter; decays below 1e-12 let only the last blocks count."""
-    w = Window.partitionBy(node).orderBy(*order)
-    keep = 1.0 - alpha
-    rows = requests.select(node, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("k"))
-    rows = rows.withColumn("block", F.floor(F.col("k") / block)).withColumn("at", F.col("k") % block)
-    size = F.max("at").over(Window.partitionBy(node, "block"))
-    rows = rows.withColumn("left", size - F.col("at"))
-    folded = rows.groupBy(node, "block").agg(F.sum(alpha * F.col("v") * F.pow(F.lit(keep), F.col("left"))).alias("offset"), F.count("*").alias("n"))
-    later = Window.partitionBy(node).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+def _slice(at, seconds: int = SLICE):
+    """The slice of a time in microseconds. It follows from the row alone, so every pass over the rows cuts alike."""
+    return F.floor(at / F.lit(seconds * 1_000_000)).alias("slice_")
+
+
+def _micros(ts: str):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value, name: str, at=None, seconds: int = SLICE) -> DataFrame:
+    """rows with the sum of value from each key's first row on. order[0] is a timestamp, or `at` gives its microseconds.
+
+    Each slice of a key is summed by itself; what came before a slice is a running sum over one row for each slice."""
+    cut = rows.withColumn("slice_", _slice(_micros(order[0]) if at is None else at, seconds)).withColumn("v_", value)
+    own = Window.partitionBy(*keys, "slice_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(*keys, "slice_").agg(F.sum("v_").alias("t_"))
+    earlier = Window.partitionBy(*keys).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "slice_", F.coalesce(F.sum("t_").over(earlier), F.lit(0)).alias("before_"))
+    return cut.withColumn("own_", F.sum("v_").over(own)).join(before, [*keys, "slice_"]).withColumn(name, F.col("own_") + F.col("before_")).select(*rows.columns, name)
+
+
+def ewma_latency(requests: DataFrame, node: str = "node", order: Sequence[str] = ("ts", "event_id"), value: str = "duration_ms", alpha: float = 0.2, start: float = 15.0, failed=None, penalty: float = 500.0, block: int = SLICE) -> DataFrame:
+    """Each node's last moving average, x = (1 - alpha) x + alpha v from `start`. Where the column `failed` is true,
+    v is the latency and `penalty`, as in the converter pool.
+
+    The step is affine, so each slice of a node's history, `block` seconds long, folds to (decay, offset), and slices are
+    composed in order. No task holds or sorts a node's whole history."""
+    keep = F.lit(1.0 - alpha)
+    v = F.col(value) if failed is None else F.col(value) + F.when(failed, penalty).otherwise(0.0)
+    rows = requests.select(node, *order, v.alias("v"), _slice(_micros(order[0]), block))
+    backwards = Window.partitionBy(node, "slice_").orderBy(*[F.col(c).desc() for c in order])
+    folded = rows.withColumn("left", F.row_number().over(backwards) - 1).groupBy(node, "slice_").agg(F.sum(alpha * F.col("v") * F.pow(keep, F.col("left"))).alias("offset"), F.count("*").alias("n"))
+    later = Window.partitionBy(node).orderBy(F.col("slice_").desc()).rowsBetween(Window.unboundedPreceding, -1)
     after = folded.withColumn("after", F.coalesce(F.sum("n").over(later), F.lit(0)))
-    return after.groupBy(node).agg((F.sum(F.col("offset") * F.pow(F.lit(keep), F.col("after"))) + start * F.pow(F.lit(keep), F.sum("n"))).alias("ewma"))
+    return after.groupBy(node).agg((F.sum(F.col("offset") * F.pow(keep, F.col("after"))) + start * F.pow(keep, F.sum("n"))).alias("ewma"))
+
+
+def running_ewma(requests: DataFrame, node: str, order: Sequence[str], value, at, alpha: float = 0.2, start: float = 15.0) -> DataFrame:
+    """requests with the moving average after each row, as ewma. at: the microseconds of order[0].
+
+    Rows are numbered by slices, and blocks of rows in a row are averaged apart. A block is so long that what came two
+    blocks before weighs less than 1e-18, so a block needs the fold of the one before it only."""
+    keep = 1.0 - alpha
+    block = max(64, math.ceil(math.log(1e-18) / math.log(keep)))
+    rows = running_sum(requests.withColumn("v_in", value), [node], order, F.lit(1), "k_", at)
+    rows = rows.withColumns({"block_": F.floor((F.col("k_") - 1) / block), "i_": (F.col("k_") - 1) % block})
+    w = Window.partitionBy(node, "block_").orderBy("i_").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own_", F.sum(alpha * F.col("v_in") * F.pow(F.lit(keep), -F.col("i_"))).over(w) * F.pow(F.lit(keep), F.col("i_")))
+    ends = rows.groupBy(node, "block_").agg(F.max_by("own_", "i_").alias("end_"))
+    base = F.when(F.col("block_") == 0, start).when(F.col("block_") == 1, F.lag("end_").over(Window.partitionBy(node).orderBy("block_")) + start * keep**block).otherwise(F.lag("end_").over(Window.partitionBy(node).orderBy("block_")))
+    return rows.join(ends.select(node, "block_", base.alias("base_")), [node, "block_"]).withColumn("ewma", F.col("own_") + F.col("base_") * F.pow(F.lit(keep), F.col("i_") + 1)).select(*requests.columns, "ewma")
+
+
+def failures_in_row(requests: DataFrame, node: str, order: Sequence[str], failed, at=None) -> DataFrame:
+    """requests with failed (0 or 1) and in_row: how many failures in a row end with each row; 0 after a success."""
+    rows = requests.withColumn("failed", failed.cast("int"))
+    rows = running_sum(rows, [node], order, 1 - F.col("failed"), "island_", at)
+    counted = running_sum(rows, [node, "island_"], order, F.col("failed"), "in_row", at)
+    return counted.drop("island_")
 
 
 def load_score(requests: DataFrame, averages: DataFrame, node: str = "node", value: str = "duration_ms") -> DataFrame:
     """At each request's start, the node's open requests, and (open + 1) times the node's average.
 
     Starts count +1 and ends -1; a running sum over both gives what is open. At one instant ends come first."""
-    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = _micros("ts")
     begins = requests.select(node, "event_id", start.alias("at"), F.lit(1).alias("step"))
     finishes = requests.select(node, "event_id", (start + (F.col(value) * 1000).cast("long")).alias("at"), F.lit(-1).alias("step"))
-    w = Window.partitionBy(node).orderBy("at", "step", "event_id")
-    running = begins.union(finishes).withColumn("active", F.sum("step").over(w))
+    running = running_sum(begins.union(finishes), [node], ["at", "step", "event_id"], F.col("step"), "active", F.col("at"))
     return running.where("step = 1").join(averages, node).select(node, "event_id", "active", ((F.col("active") + 1) * F.col("ewma")).alias("score"))
 
 
@@ -119,6 +167,31 @@ def running_median(profile: DataFrame, keys: Sequence[str], pos: str, value: str
     return profile.withColumn("smooth", F.element_at(F.array_sort(F.array(*near)), radius + 1))
 
 
+def gaussian(profile: DataFrame, keys: Sequence[str], pos: str, value: str, sigma: float) -> DataFrame:
+    """Each profile weighed with a Gaussian of radius floor(4 sigma + 1/2); beyond an edge it goes on as in a mirror whose
+    first row is the edge's own. Places count from 0 without gaps.
+
+    Every place is sent to where it is seen, a fixed number of rows, so this is one equi-join and one aggregation."""
+    radius = int(4 * sigma + 0.5)
+    total = sum(math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1))
+    n = profile.groupBy(*keys).agg(F.count("*").cast("int").alias("n_"))
+    asks = profile.join(n, list(keys)).select(*keys, F.col(pos).alias("at_"), "n_", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("k_"))
+    # twice the length is the mirror's period
+    folded = F.pmod(F.col("at_") + F.col("k_"), 2 * F.col("n_"))
+    seen = F.when(folded >= F.col("n_"), 2 * F.col("n_") - 1 - folded).otherwise(folded)
+    asks = asks.select(*keys, "at_", seen.alias(pos), (F.exp(-0.5 * F.pow(F.col("k_") / sigma, F.lit(2.0))) / total).alias("w_"))
+    return asks.join(profile.select(*keys, F.col(pos).cast(asks.schema[pos].dataType).alias(pos), value), [*keys, pos]).groupBy(*keys, F.col("at_").alias(pos)).agg(F.sum(F.col("w_") * F.col(value)).alias("smooth"))
+
+
+def distance_confidence(df: DataFrame, keys: Sequence[str], label: str, distance: str) -> DataFrame:
+    """The nearest label of each key (the smaller of equals) and its confidence, 1 - sqrt(d1 / d2) of the two least
+    distances; 1 if the second is next to nothing or missing."""
+    rows = df.select(*keys, F.struct(F.col(distance).alias("d"), F.col(label).alias("l")).alias("s_")).withColumn("k_", F.row_number().over(Window.partitionBy(*keys).orderBy("s_"))).where("k_ <= 2")
+    out = rows.groupBy(*keys).agg(F.min("s_").alias("a_"), F.max(F.when(F.col("k_") == 2, F.col("s_.d"))).alias("d2"))
+    sure = F.when(F.coalesce("d2", F.lit(0.0)) <= 1e-9, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(F.col("a_.d") / F.col("d2")))))
+    return out.select(*keys, F.col("a_.l").alias("best"), F.col("a_.d").alias("d1"), "d2", sure.alias("confidence"))
+
+
 def top2_margin(df: DataFrame, keys: Sequence[str], label: str, value: str) -> DataFrame:
     """The best and second value of each key, and their difference; the smaller label wins a tie.
 
@@ -168,11 +241,8 @@ def refine_parabolic(profile: DataFrame, keys: Sequence[str], pos: str, value: s
 
 def circuit_intervals(requests: DataFrame, node: str = "node", order: Sequence[str] = ("ts", "event_id"), failures: int = 3, seconds: int = 15) -> DataFrame:
     """When a node's circuit opens: at each failure from the `failures`-th in a row on, for `seconds`."""
-    w = Window.partitionBy(node).orderBy(*order)
-    failed = (F.col("status_code") >= 500).cast("int")
-    island = requests.withColumn("failed", failed).withColumn("island", F.sum(1 - F.col("failed")).over(w))
-    in_row = F.sum("failed").over(Window.partitionBy(node, "island").orderBy(*order))
-    return island.withColumn("in_row", in_row).where((F.col("failed") == 1) & (F.col("in_row") >= failures)).select(node, *order, "in_row", (F.col(order[0]) + F.expr(f"INTERVAL {seconds} SECONDS")).alias("open_until"))
+    counted = failures_in_row(requests, node, order, F.col("status_code") >= 500)
+    return counted.where((F.col("failed") == 1) & (F.col("in_row") >= failures)).select(node, *order, "in_row", (F.col(order[0]) + F.expr(f"INTERVAL {seconds} SECONDS")).alias("open_until"))
 
 
 def normalize_profile(profile: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -180,3 +250,10 @@ def normalize_profile(profile: DataFrame, keys: Sequence[str], value: str) -> Da
     top = F.percentile(F.when(F.col(value) > 0, F.col(value)), 0.95)
     scale = profile.groupBy(*keys).agg(top.alias("top_"))
     return profile.join(scale, list(keys)).withColumn("norm", F.when(F.col("top_") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.5), F.col(value) / F.col("top_")))).otherwise(0.0)).drop("top_")
+
+
+def detrend_z(profile: DataFrame, keys: Sequence[str], pos: str, value: str, radius: int = 7) -> DataFrame:
+    """How far each place stands out of the running median, in sigmas estimated by 1.4826 median |rest|."""
+    rest = running_median(profile, keys, pos, value, radius).withColumn("rest_", F.col(value) - F.col("smooth"))
+    sigma = rest.groupBy(*keys).agg((F.median(F.abs("rest_")) * 1.4826 + 1e-9).alias("sigma_"))
+    return rest.join(sigma, list(keys)).select(*keys, pos, (F.col("rest_") / F.col("sigma_")).alias("z"))

@@ -44,6 +44,40 @@ def cell_colors(spark, d):
 CELL_MAX = f"{CELLS}, cm AS (SELECT image_id, cx, cy, max(r) AS r, max(g) AS g, max(b) AS b FROM pc GROUP BY ALL)"
 
 
+def lab_of(name: str, key: str = "image_id, cx, cy") -> str:
+    """SQL of lab_{name}: the OKLab colours (l, a, b) of a table's r, g, b."""
+    linear = ", ".join(f"CASE WHEN {c} / 255.0 <= 0.04045 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END AS l{c}" for c in "rgb")
+    return f"""lin_{name} AS (SELECT *, {linear} FROM {name}), lms_{name} AS (SELECT *, cbrt(0.4122214708 * lr + 0.5363325363 * lg + 0.0514459929 * lb) AS u, cbrt(0.2119034982 * lr + 0.6806995451 * lg + 0.1073969566 * lb) AS m, cbrt(0.0883024619 * lr + 0.2817188376 * lg + 0.6299787005 * lb) AS s FROM lin_{name}),
+    lab_{name} AS (SELECT {key}, 0.2104542553 * u + 0.7936177850 * m - 0.0040720468 * s AS l, 1.9779984951 * u - 2.4285922050 * m + 0.4505937099 * s AS a, 0.0259040371 * u + 0.7827717662 * m - 0.8086757660 * s AS b FROM lms_{name})"""
+
+
+def far(p: str, o: str) -> str:
+    return f"(pow({p}.l - {o}.l, 2) + 1.8 * pow({p}.a - {o}.a, 2) + 1.8 * pow({p}.b - {o}.b, 2))"
+
+
+def gates_of(name: str) -> str:
+    """SQL of gt: the gates between neighbouring cells of a table with l, a, b."""
+    return f"""g0 AS (SELECT p.image_id, p.cx, p.cy, o.cx - p.cx AS dx, o.cy - p.cy AS dy, exp(-5 * sqrt({far('p', 'o')})) AS g FROM {name} p JOIN {name} o ON p.image_id = o.image_id AND abs(p.cx - o.cx) <= 1 AND abs(p.cy - o.cy) <= 1 AND (p.cx <> o.cx OR p.cy <> o.cy)),
+    gt AS (SELECT g0.image_id, g0.cx, g0.cy, g0.dx, g0.dy, CASE WHEN g0.dx = 0 OR g0.dy = 0 THEN g0.g ELSE g0.g * greatest(h.g, v.g) END AS gate FROM g0 LEFT JOIN g0 h ON h.image_id = g0.image_id AND h.cx = g0.cx AND h.cy = g0.cy AND h.dx = g0.dx AND h.dy = 0 LEFT JOIN g0 v ON v.image_id = g0.image_id AND v.cx = g0.cx AND v.cy = g0.cy AND v.dx = 0 AND v.dy = g0.dy)"""
+
+
+#: td: the labels of wn (label, confidence, l, a, b) after the clean-up, with shares sh (label, p).
+TIDY = f"""nb AS (SELECT c.image_id, c.cx, c.cy, o.cx AS ox, o.cy AS oy, o.label AS vote, o.l, o.a, o.b FROM wn c JOIN wn o ON c.image_id = o.image_id AND abs(c.cx - o.cx) + abs(c.cy - o.cy) = 1),
+    nc AS (SELECT image_id, cx, cy, vote, count(*) AS n, sum(count(*)) OVER (PARTITION BY image_id, cx, cy) AS sides FROM nb GROUP BY 1, 2, 3, 4),
+    pr AS (SELECT p.image_id, p.cx, p.cy, p.vote, avg({far('p', 'o')}) AS d FROM nb p JOIN nb o ON p.image_id = o.image_id AND p.cx = o.cx AND p.cy = o.cy AND p.vote = o.vote AND (p.ox, p.oy) < (o.ox, o.oy) GROUP BY 1, 2, 3, 4),
+    fl AS (SELECT nc.image_id, nc.cx, nc.cy, nc.vote FROM nc JOIN pr ON nc.image_id = pr.image_id AND nc.cx = pr.cx AND nc.cy = pr.cy AND nc.vote = pr.vote WHERE n >= 3 AND sides = 4 AND sqrt(d) < 0.15),
+    td AS (SELECT w.image_id, w.cx, w.cy, CASE WHEN f.vote <> w.label AND (coalesce(o.p, 0) < 0.7 OR w.confidence < 0.45 OR coalesce(v.p, 0) / greatest(coalesce(o.p, 0), 1e-4) > 0.35) THEN f.vote ELSE w.label END AS label
+      FROM wn w LEFT JOIN fl f ON f.image_id = w.image_id AND f.cx = w.cx AND f.cy = w.cy LEFT JOIN sh o ON o.image_id = w.image_id AND o.cx = w.cx AND o.cy = w.cy AND o.label = w.label LEFT JOIN sh v ON v.image_id = w.image_id AND v.cx = w.cx AND v.cy = w.cy AND v.label = f.vote)"""
+
+
+def labelled(spark, d):
+    return cell_colors(spark, d).select("image_id", "cx", "cy", F.floor(C("r") / 128).cast("int").alias("label"), (C("g") % 64 / 64.0).alias("confidence"), X.to_oklab(C("r"), C("g"), C("b")).alias("lab"))
+
+
+def quarter_shares(spark, d):
+    return cell_colors(spark, d).select("image_id", "cx", "cy", F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(p).alias("p")) for k, p in ((0, 0.75), (1, 0.25))])).alias("s")).select("image_id", "cx", "cy", "s.*")
+
+
 QUERIES = {
     "f22_luma": (
         lambda s, d: rounded(pixels(s, d).select("image_id", "x", "y", X.luma(C("r"), C("g"), C("b"), C("a")).alias("grey"), X.luma(C("r"), C("g"), C("b"), C("a"), "times").alias("times"))),
@@ -69,7 +103,7 @@ QUERIES = {
     ),
     "a16_cell_color": (
         lambda s, d: X.cell_color(cells(s, d), cells(s, d).groupBy("image_id", "cx", "cy").agg(F.max("label").alias("label"))).select("image_id", "cx", "cy", "a", "r"),
-        f"WITH {CELLS}, m AS (SELECT image_id, cx, cy, max(label) AS label FROM pc GROUP BY ALL) SELECT pc.image_id, pc.cx, pc.cy, CASE WHEN count(*) FILTER (a > 127) * 2 >= count(*) THEN 255 ELSE 0 END AS a, round_even(sum(w * r) FILTER (pc.label = m.label) / sum(w) FILTER (pc.label = m.label), 0)::INT AS r FROM pc JOIN m ON pc.image_id = m.image_id AND pc.cx = m.cx AND pc.cy = m.cy GROUP BY 1, 2, 3",
+        f"WITH {CELLS}, m AS (SELECT image_id, cx, cy, max(label) AS label FROM pc GROUP BY ALL) SELECT pc.image_id, pc.cx, pc.cy, CASE WHEN count(*) FILTER (a > 127) * 2 > count(*) THEN 255 ELSE 0 END AS a, round_even(round((sum(w * r) FILTER (pc.label = m.label) / sum(w) FILTER (pc.label = m.label))::DOUBLE, 6), 0)::INT AS r FROM pc JOIN m ON pc.image_id = m.image_id AND pc.cx = m.cx AND pc.cy = m.cy GROUP BY 1, 2, 3",
     ),
     "a20_grid_variance": (
         lambda s, d: rounded(X.grid_variance(pixels(s, d), 2.0), 4),
@@ -109,13 +143,12 @@ QUERIES = {
     "j11_assign_cells": (lambda s, d: rounded(cells(s, d).select("image_id", "x", "y", "cx", "cy", "w")), f"WITH {CELLS} SELECT image_id, x, y, cx, cy, round(w, 6) AS w FROM pc"),
     "u3_distinct_colors": (lambda s, d: distinct_colors(pixels(s, d)), f"WITH {SQL} SELECT DISTINCT image_id, r, g, b FROM px WHERE a > 0"),
     "i3_edge_gates": (
-        lambda s, d: rounded(X.edge_gates(cell_colors(s, d))),
-        f"WITH {CELL_MAX} SELECT a.image_id, a.cx, a.cy, CASE WHEN b.cx > a.cx THEN 'right' ELSE 'below' END AS side, round(exp(-5 * sqrt((a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b)) / 255.0), 6) AS gate FROM cm a JOIN cm b ON a.image_id = b.image_id AND ((b.cx = a.cx + 1 AND b.cy = a.cy) OR (b.cx = a.cx AND b.cy = a.cy + 1))",
+        lambda s, d: rounded(X.edge_gates(cell_colors(s, d).select("image_id", "cx", "cy", X.to_oklab(C("r"), C("g"), C("b")).alias("lab")))),
+        f"WITH {CELL_MAX}, {lab_of('cm')}, {gates_of('lab_cm')} SELECT image_id, cx, cy, dx, dy, round(gate, 6) AS gate FROM gt",
     ),
     "i5_tv_cleanup": (
-        lambda s, d: X.tv_cleanup(cell_colors(s, d).select("image_id", "cx", "cy", F.floor(C("r") / 128).cast("int").alias("label"), (C("g") % 64 / 64.0).alias("confidence"))).select("image_id", "cx", "cy", "label"),
-        f"""WITH {CELL_MAX}, c AS (SELECT image_id, cx, cy, (r // 128)::INT AS label, g % 64 / 64.0 AS confidence FROM cm), v AS (SELECT a.image_id, a.cx, a.cy, b.label AS vote FROM c a JOIN c b ON a.image_id = b.image_id AND abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1 GROUP BY ALL HAVING count(*) >= 3)
-        SELECT c.image_id, c.cx, c.cy, CASE WHEN confidence < 0.35 AND vote IS NOT NULL THEN vote ELSE label END AS label FROM c LEFT JOIN v ON c.image_id = v.image_id AND c.cx = v.cx AND c.cy = v.cy""",
+        lambda s, d: X.tv_cleanup(labelled(s, d), quarter_shares(s, d)).select("image_id", "cx", "cy", "label"),
+        f"WITH {CELL_MAX}, {lab_of('cm')}, wn AS (SELECT c.image_id, c.cx, c.cy, (c.r // 128)::INT AS label, c.g % 64 / 64.0 AS confidence, l.l, l.a, l.b FROM cm c JOIN lab_cm l USING (image_id, cx, cy)), sh AS (SELECT image_id, cx, cy, unnest([0, 1]) AS label, unnest([0.75::DOUBLE, 0.25]) AS p FROM cm), {TIDY} SELECT image_id, cx, cy, label FROM td",
     ),
 }
 

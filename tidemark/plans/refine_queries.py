@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import pixels as X
 from tidemark.operators import refine as R
 from tidemark.operators.pixels import luma
 
-from .pixel_queries import CELLS, LUMA, SQL, cells, pixels
+from .pixel_queries import CELL_MAX, LUMA, SQL, cell_colors, cells, far, gates_of, lab_of, pixels
 from .table_queries import PROFILE, profile, rounded
 
 C = F.col
@@ -23,20 +24,22 @@ def masked(spark, d):
     return pixels(spark, d).select("image_id", "x", "y", F.floor(C("r") / 64).cast("int").alias("label"), (C("g") / 20.0).alias("rareness"), (C("b") / 255.0).alias("confidence"))
 
 
-ROUND = """s{k} AS (SELECT image_id, cx, cy, max(p) - coalesce(max(p) FILTER (r = 2), 0) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY p DESC, label) AS r FROM {of}) GROUP BY 1, 2, 3),
-    n{k} AS (SELECT o.image_id, o.cx, o.cy, a.label, sum(a.p * CASE WHEN o.cx = a.cx OR o.cy = a.cy THEN 1.0::DOUBLE ELSE 0.707 END) AS m FROM {of} a JOIN s{k} o ON a.image_id = o.image_id AND abs(a.cx - o.cx) <= 1 AND abs(a.cy - o.cy) <= 1 AND (a.cx <> o.cx OR a.cy <> o.cy) GROUP BY 1, 2, 3, 4),
-    m{k} AS (SELECT image_id, cx, cy, label, m / sum(m) OVER (PARTITION BY image_id, cx, cy) AS m FROM n{k}),
-    p{k} AS (SELECT image_id, cx, cy, label, coalesce(p, 0) * (1 - 0.35 * pow(1 - conf, 2)) + coalesce(m, 0) * 0.35 * pow(1 - conf, 2) AS p FROM {of} FULL JOIN m{k} USING (image_id, cx, cy, label) JOIN s{k} USING (image_id, cx, cy))"""
+#: One round of gated relaxation: sh{k} from {of}, by gates ow (nx, ny, g; the g of a cell sum to 1).
+ROUND = """c{k} AS (SELECT image_id, cx, cy, max(p) - coalesce(max(p) FILTER (r = 2), 0) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY p DESC, label) AS r FROM {of}) GROUP BY 1, 2, 3),
+    m{k} AS (SELECT ow.image_id, ow.cx, ow.cy, a.label, sum(ow.g * a.p) AS m FROM ow JOIN {of} a ON a.image_id = ow.image_id AND a.cx = ow.nx AND a.cy = ow.ny GROUP BY 1, 2, 3, 4),
+    sh{k} AS (SELECT image_id, cx, cy, label, CASE WHEN count(m) OVER (PARTITION BY image_id, cx, cy) = 0 THEN p ELSE coalesce(p, 0) * (1 - 0.35 * pow(1 - conf, 2)) + coalesce(m, 0) * 0.35 * pow(1 - conf, 2) END AS p FROM {of} FULL JOIN m{k} USING (image_id, cx, cy, label) JOIN c{k} USING (image_id, cx, cy))"""
+OPEN = "ow AS (SELECT image_id, cx, cy, cx + dx AS nx, cy + dy AS ny, g / sum(g) OVER (PARTITION BY image_id, cx, cy) AS g FROM (SELECT *, CASE WHEN dx = 0 OR dy = 0 THEN 1.0::DOUBLE ELSE 0.707 END * gate AS g FROM gt) WHERE g > 1e-6)"
 
 LINEAR = ", ".join(f"CASE WHEN {c} / 255.0 <= 0.04045 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END AS l{c}" for c in "rgb")
 
 QUERIES = {
     "i1_saliency": (
         lambda s, d: rounded(R.saliency(pixels(s, d)), 4),
-        f"""WITH {SQL}, lin AS (SELECT image_id, x, y, {LINEAR} FROM px), lms AS (SELECT image_id, x, y, cbrt(0.4122214708 * lr + 0.5363325363 * lg + 0.0514459929 * lb) AS l, cbrt(0.2119034982 * lr + 0.6806995451 * lg + 0.1073969566 * lb) AS m, cbrt(0.0883024619 * lr + 0.2817188376 * lg + 0.6299787005 * lb) AS s FROM lin),
-        lab AS (SELECT image_id, x, y, 0.2104542553 * l + 0.7936177850 * m - 0.0040720468 * s AS l, 1.9779984951 * l - 2.4285922050 * m + 0.4505937099 * s AS a, 0.0259040371 * l + 0.7827717662 * m - 0.8086757660 * s AS b FROM lms)
-        SELECT p.image_id, p.x, p.y, round(least(max(pow(p.l - o.l, 2) + pow(p.a - o.a, 2) + pow(p.b - o.b, 2)) * 100, 10) * (0.5 + 2 * max(sqrt(p.a * p.a + p.b * p.b))), 4) AS rareness
-        FROM lab p JOIN lab o ON p.image_id = o.image_id AND abs(p.x - o.x) <= 1 AND abs(p.y - o.y) <= 1 AND (p.x <> o.x OR p.y <> o.y) GROUP BY 1, 2, 3""",
+        f"""WITH {SQL}, {lab_of('px', 'image_id, x, y')}, sz AS (SELECT image_id, max(x) AS mx, max(y) AS my FROM px GROUP BY 1), o9 AS (SELECT a.v AS dx, b.v AS dy FROM (VALUES (-1), (0), (1)) a(v), (VALUES (-1), (0), (1)) b(v)),
+        nr AS (SELECT p.image_id, p.x, p.y, dx, dy, p.l, p.a, p.b, least(greatest(p.x + dx, 0), mx) AS ox, least(greatest(p.y + dy, 0), my) AS oy FROM lab_px p JOIN sz USING (image_id), o9),
+        ag AS (SELECT n.image_id, n.x, n.y, max({far('n', 'o')}) AS d, max(sqrt(n.a * n.a + n.b * n.b)) AS c, sum(dx * (2 - abs(dy)) * o.l) AS gx, sum(dy * (2 - abs(dx)) * o.l) AS gy, avg(o.l) AS s, avg(o.l * o.l) AS q FROM nr n JOIN lab_px o ON o.image_id = n.image_id AND o.x = n.ox AND o.y = n.oy GROUP BY 1, 2, 3),
+        sc AS (SELECT image_id, x, y, least(d * 100, 10) * (0.5 + 2 * c) AS rareness, least(sqrt(gx * gx + gy * gy) * 4, 10) AS edge, least(greatest(q - s * s, 0) * 50, 10) AS variance FROM ag)
+        SELECT image_id, x, y, round(rareness, 4) AS rareness, round(edge, 4) AS edge, round(variance, 4) AS variance, round(1 + rareness * 1.5 + edge * 0.5 + variance * 0.3, 4) AS weight FROM sc""",
     ),
     "i2_protected_mask": (
         lambda s, d: R.protected_mask(masked(s, d)),
@@ -44,8 +47,8 @@ QUERIES = {
         FROM px p JOIN px o ON p.image_id = o.image_id AND abs(p.x - o.x) <= 1 AND abs(p.y - o.y) <= 1 GROUP BY 1, 2, 3""",
     ),
     "i4_relax_labels": (
-        lambda s, d: rounded(R.relax_labels(shares(s, d)).where("p > 0.001"), 5),
-        f"WITH {CELLS}, t AS (SELECT image_id, cx, cy, label, count(*) AS n FROM pc GROUP BY ALL), p0 AS (SELECT image_id, cx, cy, label, n::DOUBLE / sum(n) OVER (PARTITION BY image_id, cx, cy) AS p FROM t), {ROUND.format(k=1, of='p0')}, {ROUND.format(k=2, of='p1')} SELECT image_id, cx, cy, label, round(p, 5) AS p FROM p2 WHERE p > 0.001",
+        lambda s, d: rounded(R.relax_labels(shares(s, d), X.edge_gates(cell_colors(s, d).select("image_id", "cx", "cy", X.to_oklab(C("r"), C("g"), C("b")).alias("lab")))), 6),
+        f"WITH {CELL_MAX}, {lab_of('cm')}, {gates_of('lab_cm')}, {OPEN}, t AS (SELECT image_id, cx, cy, label, count(*) AS n FROM pc GROUP BY ALL), sh0 AS (SELECT image_id, cx, cy, label, n::DOUBLE / sum(n) OVER (PARTITION BY image_id, cx, cy) AS p FROM t), {ROUND.format(k=1, of='sh0')}, {ROUND.format(k=2, of='sh1')} SELECT image_id, cx, cy, label, round(p, 6) AS p FROM sh2",
     ),
     "i8_detail_map": (
         lambda s, d: rounded(R.detail_map(pixels(s, d).select("image_id", "x", "y", luma(C("r"), C("g"), C("b")).alias("v"))), 4),

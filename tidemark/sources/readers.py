@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import format_ts, parse_ts, round_half_away
 from tidemark.operators.windows import latest_state
+from tidemark.staging import scope, written
+
+#: Pixels that are turned into rows at once.
+PIXELS = 1 << 18
 
 JOB_EVENT = "job_id string, ts timestamp, status string, percent double, speed string, eta string, filename string, download_url string, error string"
 VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
@@ -18,7 +27,7 @@ FINDING = "tool string, rule string, severity string, path string, line int, sec
 DEVICE = "struct<name:string,read:bigint,written:bigint>"
 HOST = (
     "hostId string, hostStats struct<cpu:double,memory:double,load:array<double>,network:struct<rx:bigint,tx:bigint>,cores:array<double>,topProcesses:array<struct<pid:int,name:string,cpu:double>>>, "
-    "containers array<struct<id:string,name:string,cpu:double,memory_mb:double>>, gpu array<struct<name:string,load:double>>"
+    "containers array<struct<id:string,name:string,cpu:double,memory_mb:double>>, gpu array<struct<gpuIndex:int,utilizationPercent:double,memoryUsedMb:double,memoryTotalMb:double,temperatureC:double>>"
 )
 
 
@@ -135,11 +144,11 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_host_snapshots(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Hosts, and what they list: containers, cores, processes."""
+    """Hosts, and what they list: containers, cores, processes and graphics cards (gpu)."""
     rows = spark.read.schema(HOST).option("multiLine", True).json(path)
     host = rows.select(F.col("hostId").alias("host"), "hostStats.cpu", "hostStats.memory", F.col("hostStats.network.rx").alias("rx"), F.col("hostStats.network.tx").alias("tx"))
     listed = lambda c: rows.select(F.col("hostId").alias("host"), F.explode(c).alias("x")).select("host", "x.*")
-    return {"hosts": host, "containers": listed("containers"), "processes": listed("hostStats.topProcesses"), "cores": rows.select(F.col("hostId").alias("host"), F.posexplode("hostStats.cores").alias("core", "load"))}
+    return {"hosts": host, "containers": listed("containers"), "processes": listed("hostStats.topProcesses"), "gpu": listed("gpu"), "cores": rows.select(F.col("hostId").alias("host"), F.posexplode("hostStats.cores").alias("core", "load"))}
 
 
 def memory_mb(text: Column) -> Column:
@@ -168,13 +177,31 @@ def load_scale_config(spark: SparkSession, text: str) -> DataFrame:
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Images as pixel rows; the image source gives bytes in the order blue, green, red, alpha."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    n, at = F.col("nChannels"), F.col("i") * F.col("nChannels")
-    byte = lambda k: F.conv(F.hex(F.substring("data", (at + k + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
-    grey = F.col("nChannels") == 1
-    return rows.select(F.col("origin").alias("image_id"), (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.when(grey, byte(0)).otherwise(byte(2)).alias("r"), F.when(grey, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"), F.when(n == 4, byte(3)).otherwise(255).alias("a"))
+    """Images as pixel rows (image_id, x, y, r, g, b, a). The image source gives bytes in the order blue, green, red, alpha; an
+    image's bytes become rows in numpy, some hundred thousand at once. What can't be read is left out."""
+    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.width", "image.nChannels", "image.data")
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin, width, n, data in zip(*(batch.column(c) for c in ("origin", "width", "nChannels", "data"))):
+                flat = np.frombuffer(data.as_py(), np.uint8).reshape(-1, n.as_py()).astype(np.int32)
+                for i in range(0, len(flat), PIXELS):
+                    part = flat[i : i + PIXELS]
+                    at = np.arange(i, i + len(part))
+                    blue, green, red = (part[:, min(c, n.as_py() - 1)] for c in range(3))
+                    alpha = part[:, 3] if n.as_py() == 4 else np.full(len(part), 255, np.int32)
+                    columns = [pa.array([origin.as_py()] * len(part)), *(pa.array(c.astype(np.int32)) for c in (at % width.as_py(), at // width.as_py(), red, green, blue, alpha))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["image_id", "x", "y", "r", "g", "b", "a"])
+
+    return rows.mapInArrow(pixels, "image_id string, x int, y int, r int, g int, b int, a int")
+
+
+def read_grid_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """The grid sizes that users gave (image_id, cols, rows), from CSV with a header; sizes under 1 are left out, and the last of an
+    image by line wins."""
+    rows = spark.read.schema("image_id string, cols int, rows int").option("header", True).csv(path).where("cols >= 1 AND rows >= 1")
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("line_"))
+    return placed.groupBy("image_id").agg(F.max_by(F.struct("cols", "rows"), F.struct("file_", "block_", "line_")).alias("s_")).select("image_id", "s_.*")
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -187,3 +214,43 @@ def write_job_state(events: DataFrame, path: str, ttl: int = 7200) -> None:
     """Each job's latest state with the time at which it ends."""
     state = latest_state(events, "job_id", ["ts"])
     state.withColumn("expires_at", F.col("ts") + F.make_dt_interval(secs=F.lit(ttl))).write.mode("overwrite").parquet(path)
+
+
+def write_metadata(rows: DataFrame, path: str, key: str = "key", ttl: int = 3600) -> None:
+    """The latest metadata of each key (with ts, and ttl_seconds where a row has a lifetime of its own) with the time at which it ends."""
+    own = F.coalesce("ttl_seconds", F.lit(ttl)) if "ttl_seconds" in rows.columns else F.lit(ttl)
+    latest_state(rows, key, ["ts"]).withColumn("expires_at", F.col("ts") + F.make_dt_interval(secs=own)).write.mode("overwrite").parquet(path)
+
+
+#: Parts of a table that batches are merged into, by a hash of its key.
+BUCKETS = 64
+
+
+def upsert_table(new: DataFrame, path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS) -> None:
+    """Merges rows into the Parquet table at path, by merge(old, new). Only the buckets that the new rows touch are read and
+    written again. What is merged is staged first, as a table can't be overwritten while it is read."""
+    spark = new.sparkSession
+    cut = lambda df: df.withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    with scope(spark):
+        fresh = written(new, "upsert-new")
+        touched = [r["bucket_"] for r in cut(fresh).select("bucket_").distinct().collect()]
+        if not touched:
+            return
+        try:
+            old = spark.read.parquet(path).where(F.col("bucket_").isin(touched)).drop("bucket_")
+        except AnalysisException:
+            old = fresh.limit(0)
+        merged = written(cut(merge(old, fresh)).repartition("bucket_"), "upsert-merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_").parquet(path)
+
+
+def stream_job_state(events: DataFrame, path: str, ttl: int = 7200):
+    """S14 on a stream: a writer that upserts each batch's latest states into the table at path."""
+
+    def ended(df: DataFrame) -> DataFrame:
+        return latest_state(df, "job_id", ["ts"]).withColumn("expires_at", F.col("ts") + F.make_dt_interval(secs=F.lit(ttl)))
+
+    def newest(old: DataFrame, new: DataFrame) -> DataFrame:
+        return latest_state(old.unionByName(new), "job_id", ["ts"])
+
+    return events.writeStream.foreachBatch(lambda batch, _: upsert_table(ended(batch), path, "job_id", newest))

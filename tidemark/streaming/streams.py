@@ -1,7 +1,8 @@
-"""Ordered folds per key, as a batch job and as a stream with the same step function, and event-time operators.
+"""Ordered folds per key as streams with their batch twins, and event-time operators.
 
-A key's rows are folded in order by a small step function: in batch over sorted rows, on a stream over each batch's rows with
-the state carried between batches. Keys are clients, services, jobs or nodes; a history is bounded by the time range that is read."""
+On a stream a key's rows are folded in order by a small step function, with the state carried between batches; state that
+no longer matters expires by event time. In batch T1 and T3 are windows; T2 and W4, whose next step depends on the
+last decision, walk sorted rows with the same step."""
 
 from __future__ import annotations
 
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.windows import change_feed, failures_in_row, running_ewma
+from tidemark.sources.readers import upsert_table
+
 # A step takes the state (a tuple of numbers or texts) and a row, and returns the new state and an output row, or None for no row.
 Step = Callable[[tuple, object], tuple[tuple, tuple | None]]
 
@@ -40,11 +44,17 @@ def fold(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, sc
     return df.repartition(key).sortWithinPartitions(key, *[F.col(c).asc_nulls_last() for c in order]).mapInPandas(run, schema)
 
 
-def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, schema: str, state_schema: str) -> DataFrame:
-    """The same on a stream: the state of a key is kept between batches; rows that come late are folded when they come."""
+def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, schema: str, state_schema: str, ttl: float | None = None, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream: the state of a key is kept between batches; rows that come late are folded when they come.
+
+    ttl: seconds of event time (order[0], in seconds) after a key's last row at which its state goes; the watermark, `late`
+    behind the newest row, tells the time, and rows that come later than that are dropped. Without ttl state is kept for good."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = state.get if state.exists else start
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         out = []
@@ -53,9 +63,15 @@ def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, start: tu
             if made is not None:
                 out.append((own[0], *made))
         state.update(tuple(now))
+        if ttl is not None:
+            ends = int((float(rows[order[0]].max()) + ttl) * 1000)
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    if ttl is None:
+        return df.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    timed = df.withColumn("event_time_", F.timestamp_micros((F.col(order[0]) * 1_000_000).cast("long"))).withWatermark("event_time_", late)
+    return timed.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limit_step(n: int = 60, window: float = 60.0) -> Step:
@@ -79,8 +95,10 @@ def rate_limit(requests: DataFrame, n: int = 60) -> DataFrame:
     return fold(requests, "client", ["at", "event_id"], limit_step(n), (-1, 0.0), LIMIT_SCHEMA)
 
 
-def stream_rate_limit(requests: DataFrame, n: int = 60) -> DataFrame:
-    return fold_stream(requests, "client", ["at", "event_id"], limit_step(n), (-1, 0.0), LIMIT_SCHEMA, "left int, since double")
+def stream_rate_limit(requests: DataFrame, n: int = 60, ttl: float | None = 600.0) -> DataFrame:
+    """The same on a stream. A client without calls for ttl seconds is forgotten; as its tokens would be back by then, no
+    answer changes."""
+    return fold_stream(requests, "client", ["at", "event_id"], limit_step(n), (-1, 0.0), LIMIT_SCHEMA, "left int, since double", ttl)
 
 
 def scale_step(up: float = 65.0, down: float = 20.0, low: int = 1, high: int = 5, up_after: int = 2, down_after: int = 4, up_rest: float = 10.0, down_rest: float = 15.0) -> Step:
@@ -127,9 +145,10 @@ def stream_scale_decisions(metrics: DataFrame, **config) -> DataFrame:
 def feed_step(state: tuple, row) -> tuple[tuple, tuple | None]:
     """A row if status or percent differ from the last; nothing after completed or error."""
     ended, status, percent = state
-    if ended or (status == row.status and percent == row.percent):
+    now = None if pd.isna(row.percent) else row.percent
+    if ended or (status == row.status and percent == now):
         return state, None
-    return (int(row.status in ("completed", "error")), row.status, row.percent), (row.seq, row.status, row.percent)
+    return (int(row.status in ("completed", "error")), row.status, now), (row.seq, row.status, now)
 
 
 FEED_SCHEMA = "job_id string, seq int, status string, percent double"
@@ -137,7 +156,8 @@ FEED_START = (0, "", -1.0)
 
 
 def change_feed_fold(events: DataFrame) -> DataFrame:
-    return fold(events, "job_id", ["seq"], feed_step, FEED_START, FEED_SCHEMA)
+    """T1 as a batch: W2's feed of changes, by windows."""
+    return change_feed(events, "job_id", ["seq"]).select("job_id", "seq", "status", "percent")
 
 
 def stream_change_feed(events: DataFrame) -> DataFrame:
@@ -145,14 +165,15 @@ def stream_change_feed(events: DataFrame) -> DataFrame:
     return fold_stream(events, "job_id", ["seq"], feed_step, FEED_START, FEED_SCHEMA, "ended int, status string, percent double")
 
 
-def health_step(alpha: float = 0.2, failures: int = 3, seconds: float = 15.0) -> Step:
-    """Moving average, failures in a row, and until when the circuit is open."""
+def health_step(alpha: float = 0.2, failures: int = 3, seconds: float = 15.0, penalty: float = 0.0) -> Step:
+    """Moving average, failures in a row, and until when the circuit is open. A failure counts `penalty` ms more."""
 
     def step(state: tuple, row) -> tuple[tuple, tuple]:
         ewma, in_row, until = state
-        ewma = (1 - alpha) * ewma + alpha * row.duration_ms
-        in_row = in_row + 1 if row.status_code >= 500 else 0
-        until = row.at + seconds if in_row >= failures else until if in_row else 0.0
+        failed = row.status_code >= 500
+        ewma = (1 - alpha) * ewma + alpha * (row.duration_ms + (penalty if failed else 0.0))
+        in_row = in_row + 1 if failed else 0
+        until = row.at + seconds if in_row >= failures else 0.0
         return (ewma, in_row, until), (row.event_id, ewma, in_row, until)
 
     return step
@@ -162,12 +183,18 @@ HEALTH_SCHEMA = "node int, event_id long, ewma double, in_row int, open_until do
 HEALTH_START = (15.0, 0, 0.0)
 
 
-def node_health(requests: DataFrame) -> DataFrame:
-    return fold(requests, "node", ["at", "event_id"], health_step(), HEALTH_START, HEALTH_SCHEMA)
+def node_health(requests: DataFrame, failures: int = 3, seconds: float = 15.0, penalty: float = 0.0) -> DataFrame:
+    """T3 as a batch, by windows over slices of time: no task walks a node's history."""
+    at, order = (F.col("at") * 1_000_000).cast("long"), ["at", "event_id"]
+    failed = F.col("status_code") >= 500
+    rows = running_ewma(requests, "node", order, F.col("duration_ms") + F.when(failed, penalty).otherwise(0.0), at)
+    rows = failures_in_row(rows, "node", order, failed, at)
+    until = F.when(F.col("in_row") >= failures, F.col("at") + seconds).otherwise(0.0)
+    return rows.select("node", "event_id", "ewma", F.col("in_row").cast("int").alias("in_row"), until.alias("open_until"))
 
 
-def stream_node_health(requests: DataFrame) -> DataFrame:
-    return fold_stream(requests, "node", ["at", "event_id"], health_step(), HEALTH_START, HEALTH_SCHEMA, "ewma double, in_row int, open_until double")
+def stream_node_health(requests: DataFrame, penalty: float = 0.0) -> DataFrame:
+    return fold_stream(requests, "node", ["at", "event_id"], health_step(penalty=penalty), HEALTH_START, HEALTH_SCHEMA, "ewma double, in_row int, open_until double")
 
 
 def live_state(events: DataFrame, now: Column, key: str = "job_id", ts: str = "ts", ttl: int = 7200) -> DataFrame:
@@ -177,6 +204,48 @@ def live_state(events: DataFrame, now: Column, key: str = "job_id", ts: str = "t
     return last.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) < ttl * 1_000_000)
 
 
+STATE_SCHEMA = "job_id string, status string, percent double, expires_at double, live boolean"
+
+
+def stream_state(events: DataFrame, ttl: float = 7200.0, late: str = "10 minutes") -> DataFrame:
+    """T5 on a stream of events (job_id, at in seconds, status, percent): a row with live true whenever a job's last state changes, and one with
+    live false when it has not changed for ttl seconds of event time and is dropped. An event older than the state is left out."""
+
+    def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at, status, percent = state.get
+            state.remove()
+            yield pd.DataFrame([(own[0], status, percent, at + ttl, False)], columns=names)
+            return
+        last = tuple(state.get) if state.exists else None
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                if last is None or row.at >= last[0]:
+                    last = (float(row.at), row.status, None if pd.isna(row.percent) else float(row.percent))
+        state.update(last)
+        state.setTimeoutTimestamp(max(int((last[0] + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(own[0], last[1], last[2], last[0] + ttl, True)], columns=names)
+
+    names = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
+    timed = events.withColumn("event_time_", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("event_time_", late)
+    return timed.groupBy("job_id").applyInPandasWithState(run, STATE_SCHEMA, "at double, status string, percent double", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def idle_step(gap: float) -> Step:
+    """A row if the last request is at least gap seconds ago."""
+
+    def step(state: tuple, row) -> tuple[tuple, tuple | None]:
+        last = state[0]
+        return (max(last, row.at),), (last, row.at, row.at - last) if last >= 0 and row.at - last >= gap else None
+
+    return step
+
+
+def stream_idle(requests: DataFrame, gap: float = 600.0) -> DataFrame:
+    """T6 on a stream of requests (node, at in seconds): stretches of at least gap seconds without a request, told when they end."""
+    return fold_stream(requests, "node", ["at"], idle_step(gap), (-1.0,), "node int, from double, to double, seconds double", "last double")
+
+
 def idle_sessions(requests: DataFrame, gap: int = 600, key: str = "node") -> DataFrame:
     """Stretches of at least `gap` seconds without a request, between two sessions of a worker."""
     rows = requests.select(key, F.col("ts").cast("timestamp").alias("t"))
@@ -199,6 +268,33 @@ def upsert_users(logins: DataFrame) -> DataFrame:
     return logins.groupBy("uid").agg(F.min("ts").alias("created"), F.max("ts").alias("last_login"), known("name"), known("photo"))
 
 
+def merge_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sessions with the sessions of later logins: known ones live on with their creation, agent and address, if the new have none."""
+    return _merged(old, new, "token", ["created"], {"expires_at": F.greatest, "agent": F.coalesce, "ip": F.coalesce, "status": F.coalesce})
+
+
+def merge_users(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Users with those of later logins."""
+    return _merged(old, new, "uid", ["created"], {"last_login": F.greatest, "name": F.coalesce, "photo": F.coalesce})
+
+
+def _merged(old: DataFrame, new: DataFrame, key: str, first: list[str], rules: dict) -> DataFrame:
+    both = old.alias("o").join(new.alias("n"), key, "full")
+    kept = [F.least(f"o.{c}", f"n.{c}").alias(c) for c in first]
+    return both.select(key, *kept, *[rule(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c, rule in rules.items()])
+
+
+def stream_sessions(logins: DataFrame, path: str):
+    """T7 on a stream: a writer that upserts each batch's logins into the table of sessions at path. Start it with a
+    checkpoint; a batch that is done twice changes nothing the second time."""
+    return logins.writeStream.foreachBatch(lambda batch, _: upsert_table(upsert_sessions(batch), path, "token", merge_sessions))
+
+
+def stream_users(logins: DataFrame, path: str):
+    """T8 on a stream, as stream_sessions."""
+    return logins.writeStream.foreachBatch(lambda batch, _: upsert_table(upsert_users(batch), path, "uid", merge_users))
+
+
 def dedupe_events(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Each event once, if its copies come within the watermark's delay; on a batch, each event once."""
     if events.isStreaming:
