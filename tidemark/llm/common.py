@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.staging import made_since, mark, release, scope, shared_dir, written
+
+__all__ = ["body", "components", "fresh", "inner_id", "join_checked", "join_counted", "once", "outer_id", "release", "scope", "shared_dir", "written"]
+
 #: ASCII white space, and what is not: the only word rule used here.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A null doc_id is carried as this value inside an operator, so it sorts last and joins by plain equality.
 NULL_ID = 2**63 - 1
 
-_own_dir: list[str] = []
 
 
 def body(column: str = "text") -> Column:
@@ -51,63 +47,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only a local master may do without it."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return _own_dir[0]
-
-
-#: Folders of intermediate tables: the last list is that of the innermost scope.
-_made: list[list[str]] = [[]]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps column pruning.
-
-    The table lasts until the scope in which it was made ends, or until release(); at the latest the end of the
-    driver's JVM deletes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made[-1].append(path)
-    _system(spark, path, "deleteOnExit")
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _system(spark: SparkSession, path: str, call: str, *arguments) -> None:
-    """A call on the path's file system, local or remote."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    getattr(place.getFileSystem(spark._jsc.hadoopConfiguration()), call)(place, *arguments)
-
-
-def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Deletes intermediate tables: the given ones, or all that the open scope has made so far. Results that still read
-    them can't be computed any more."""
-    for path in list(_made[-1]) if paths is None else paths:
-        _system(spark, path, "delete", True)
-        for made in _made:
-            if path in made:
-                made.remove(path)
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what was written inside; results must be consumed or saved before."""
-    _made.append([])
-    try:
-        yield
-    finally:
-        release(spark)
-        _made.pop()
-
-
 #: Largest side that is broadcast, in rows; its rows are a few numbers or short strings each.
 BROADCAST_ROWS = 50_000
 
@@ -148,7 +87,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     # every edge stands in both directions, so n tells how often a node is either end
     state = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count("*").alias("n")), label)
     while True:
-        made = len(_made[-1]) - 1
+        begun = mark() - 1  # where the state before was made
         seen = join_counted(both, state.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         now = state.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"), F.col("n").alias("ends"))
         now = written(now, label)
@@ -156,7 +95,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         up = now.groupBy("root").agg(F.count("*").alias("n")).join(state.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root")
         now = join_counted(now, written(up, label), ["root"]).select("node", "old", F.least("root", "higher").alias("root"), F.col("ends").alias("n"))
         now = written(now, label)
-        release(both.sparkSession, _made[-1][made:-1])
+        release(both.sparkSession, made_since(begun, but_last=True))
         state = now.drop("old")
         if now.where("old <> root").isEmpty():
             return state.drop("n")
