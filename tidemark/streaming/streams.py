@@ -44,6 +44,15 @@ def fold(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, sc
     return df.repartition(key).sortWithinPartitions(key, *[F.col(c).asc_nulls_last() for c in order]).mapInPandas(run, schema)
 
 
+#: Event times are moved by so many seconds: a watermark begins at 0, and a row must be later than it.
+AHEAD = 86_400
+
+
+def timed(df: DataFrame, at: str, late: str) -> DataFrame:
+    """df with a watermark on the time `at`, in seconds from 0 up."""
+    return df.withColumn("event_time_", F.timestamp_micros(((F.col(at) + AHEAD) * 1_000_000).cast("long"))).withWatermark("event_time_", late)
+
+
 def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, schema: str, state_schema: str, ttl: float | None = None, late: str = "10 minutes") -> DataFrame:
     """The same on a stream: the state of a key is kept between batches; rows that come late are folded when they come.
 
@@ -64,14 +73,13 @@ def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, start: tu
                 out.append((own[0], *made))
         state.update(tuple(now))
         if ttl is not None:
-            ends = int((float(rows[order[0]].max()) + ttl) * 1000)
+            ends = int((float(rows[order[0]].max()) + AHEAD + ttl) * 1000)
             state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
     if ttl is None:
         return df.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    timed = df.withColumn("event_time_", F.timestamp_micros((F.col(order[0]) * 1_000_000).cast("long"))).withWatermark("event_time_", late)
-    return timed.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed(df, order[0], late).groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limit_step(n: int = 60, window: float = 60.0) -> Step:
@@ -165,6 +173,10 @@ def stream_change_feed(events: DataFrame) -> DataFrame:
     return fold_stream(events, "job_id", ["seq"], feed_step, FEED_START, FEED_SCHEMA, "ended int, status string, percent double")
 
 
+#: Averages are told with so many decimals: a walk and a sum of slices differ in the last digits of a double.
+PLACES = 9
+
+
 def health_step(alpha: float = 0.2, failures: int = 3, seconds: float = 15.0, penalty: float = 0.0) -> Step:
     """Moving average, failures in a row, and until when the circuit is open. A failure counts `penalty` ms more."""
 
@@ -174,7 +186,7 @@ def health_step(alpha: float = 0.2, failures: int = 3, seconds: float = 15.0, pe
         ewma = (1 - alpha) * ewma + alpha * (row.duration_ms + (penalty if failed else 0.0))
         in_row = in_row + 1 if failed else 0
         until = row.at + seconds if in_row >= failures else 0.0
-        return (ewma, in_row, until), (row.event_id, ewma, in_row, until)
+        return (ewma, in_row, until), (row.event_id, round(ewma, PLACES), in_row, until)
 
     return step
 
@@ -190,7 +202,7 @@ def node_health(requests: DataFrame, failures: int = 3, seconds: float = 15.0, p
     rows = running_ewma(requests, "node", order, F.col("duration_ms") + F.when(failed, penalty).otherwise(0.0), at)
     rows = failures_in_row(rows, "node", order, failed, at)
     until = F.when(F.col("in_row") >= failures, F.col("at") + seconds).otherwise(0.0)
-    return rows.select("node", "event_id", "ewma", F.col("in_row").cast("int").alias("in_row"), until.alias("open_until"))
+    return rows.select("node", "event_id", F.round("ewma", PLACES).alias("ewma"), F.col("in_row").cast("int").alias("in_row"), until.alias("open_until"))
 
 
 def stream_node_health(requests: DataFrame, penalty: float = 0.0) -> DataFrame:
@@ -223,12 +235,11 @@ def stream_state(events: DataFrame, ttl: float = 7200.0, late: str = "10 minutes
                 if last is None or row.at >= last[0]:
                     last = (float(row.at), row.status, None if pd.isna(row.percent) else float(row.percent))
         state.update(last)
-        state.setTimeoutTimestamp(max(int((last[0] + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int((last[0] + AHEAD + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(own[0], last[1], last[2], last[0] + ttl, True)], columns=names)
 
     names = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
-    timed = events.withColumn("event_time_", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("event_time_", late)
-    return timed.groupBy("job_id").applyInPandasWithState(run, STATE_SCHEMA, "at double, status string, percent double", "update", GroupStateTimeout.EventTimeTimeout)
+    return timed(events, "at", late).groupBy("job_id").applyInPandasWithState(run, STATE_SCHEMA, "at double, status string, percent double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def idle_step(gap: float) -> Step:
