@@ -59,7 +59,8 @@ def candidates(prints: DataFrame, items: DataFrame, radius: int) -> DataFrame:
     index = spread.select("n", "item", F.col("fp").alias("item_fp"), F.explode(blocks("fp", radius // BLOCKS)).alias("b")).select("n", "b.block", "b.value", "item", "item_fp")
     asked = written(prints.select("c1", "c2", "n", "fp", F.explode(blocks("fp", 0)).alias("b")).select("c1", "c2", "n", "fp", "b.block", "b.value"), "benchmark-asked")
     # what is asked for, a row for each value: the items behind it, and how many ask
-    found = index.join(asked.groupBy(*key).agg(F.count("*").alias("rows")), key)
+    # merged, not broadcast: the index has some ten thousand rows an item
+    found = index.hint("merge").join(asked.groupBy(*key).agg(F.count("*").alias("rows")), key)
     found = written(found.groupBy(*key, "rows").agg(F.collect_list(F.struct("item", "item_fp")).alias("items")), "benchmark-index")
     met = join_counted(asked, found, key, "rows").select("c1", "c2", "n", "fp", F.explode("items").alias("i"))
     return met.select("c1", "c2", "n", F.col("i.item").alias("item"), F.bit_count(F.col("fp").bitwiseXOR(F.col("i.item_fp"))).alias("hamming")).distinct()
