@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,15 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 
+#: Whole license texts, a file each, named by their SPDX identifiers.
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def catalogue() -> dict[str, str]:
+    """The notices, and the whole texts of licenses as text:NAME."""
+    return TEMPLATES | {f"text:{f.stem}": f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
+
+
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Enough for any number of bands in use here.
 DRAWN = np.random.default_rng(7)
@@ -196,6 +206,7 @@ class Catalogue:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, width: int = 5, containment: float = 0.8, bands: int = 36, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, licenses), a row for each input row; licenses: array of (license, start_word, n_words, containment), by place.
+    templates: name -> text, by default catalogue(): short notices, and whole license texts from files.
 
     Words are runs of letters and digits in lower case, shingles `width` of them (a shorter template is one shingle).
     Templates are classed by size, in powers of two. For each class the shingles of a text are cut into windows of twice
@@ -209,7 +220,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, widt
     Null or empty texts have none; doc_id, null or repeated, is passed through row by row. An empty table gives an
     empty result; other columns are ignored. Short texts share a segment, whose windows never match across texts;
     nothing is shuffled."""
-    catalogue = Catalogue(TEMPLATES if templates is None else templates, width, bands)
+    known = Catalogue(catalogue() if templates is None else templates, width, bands)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("license", pa.string()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("containment", pa.float64())]))
@@ -219,9 +230,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, widt
                 part.append(t.as_py())
                 size += len(part[-1])
                 if size >= 6 * SEGMENT:
-                    rows += catalogue.places(part, containment)
+                    rows += known.places(part, containment)
                     part, size = [], 0
-            rows += catalogue.places(part, containment) if part else []
+            rows += known.places(part, containment) if part else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "licenses"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("text"))
