@@ -30,15 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps column pruning.
 
-    The table lasts until the scope in which it was made ends, or until release(); at the latest the end of the
-    driver's JVM deletes it."""
+    The table lasts until the scope in which it was made ends (outer: the one around that), or until release(); at the
+    latest the end of the driver's JVM deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made[-1].append(path)
+    _made[-2 if outer and len(_made) > 1 else -1].append(path)
     _system(spark, path, "deleteOnExit")
     return spark.read.schema(df.schema).parquet(path)
 
