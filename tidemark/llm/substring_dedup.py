@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +20,19 @@ BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def powers(base: int, n: int) -> np.ndarray:
+@lru_cache(maxsize=8)
+def all_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to n - 1; worked out for the next power of two, and remembered if that is no more than a piece."""
+    size = 1 << max(0, n - 1).bit_length()
+    return (all_powers if size <= 2 * PIECE else all_powers.__wrapped__)(base, size)[:n]
+
+
 def rolling(words: np.ndarray, width: int, which: int) -> np.ndarray:
     """A hash of every `width` consecutive word hashes, equal wherever the words are."""
     base, inverse = BASES[which]
@@ -37,15 +45,24 @@ def rolling(words: np.ndarray, width: int, which: int) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def sliding(values: np.ndarray, window: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) of all `window` consecutive values, by doubling."""
+    out, size = values, 1
+    while 2 * size <= window:
+        out, size = best(out[:-size], out[size:]), 2 * size
+    rest = window - size
+    return best(out[:-rest], out[rest:]) if rest else out
+
+
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the minima of all `window` consecutive grams (the rightmost of equal ones)."""
+    """Positions of the minima of all `window` consecutive grams, equal ones all."""
     n = len(grams) - window + 1
     if n < 1:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window)
-    step = max(1, (1 << 20) // window)
-    picked = [i + window - 1 - np.argmin(view[i : i + step, ::-1], axis=1) + np.arange(min(step, n - i)) for i in range(0, n, step)]
-    return np.unique(np.concatenate(picked))
+    # a place is a minimum of some window that holds it if the largest of these windows' minima is its own value
+    lows = np.zeros(n + 2 * (window - 1), np.uint64)
+    lows[window - 1 : window - 1 + n] = sliding(grams, window, np.minimum)
+    return np.flatnonzero(sliding(lows, window, np.maximum) == grams)
 
 
 def equal_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +75,35 @@ def equal_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.n
     return order[again], np.append(np.flatnonzero(np.diff(head[again], prepend=-1)), len(order))
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Texts are hashed in pieces of about so many bytes, cut between words.
+PIECE = 1 << 20
+
+
+def hashes(text: bytes) -> np.ndarray:
+    """The 64-bit hashes of the words of a text: of each a polynomial of its bytes, mixed with its length. All words of a piece at
+    once, from running sums."""
+    out, begin = [np.empty(0, np.uint64)], 0
+    while begin < len(text):
+        gap = SPACE.search(text, min(begin + PIECE, len(text)))
+        end = gap.start() if gap else len(text)
+        out.append(piece_hashes(np.frombuffer(text, np.uint8, end - begin, begin)))
+        begin = end
+    return np.concatenate(out)
+
+
+def piece_hashes(data: np.ndarray) -> np.ndarray:
+    edges = np.flatnonzero(np.diff(IS_SPACE[data], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    base, inverse = BASES[0]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=sums[1:])
+    value = (sums[ends] - sums[starts]) * powers(inverse, len(data))[starts]
+    value = (value ^ (ends - starts).astype(np.uint64)) * np.uint64(BASES[1][0])
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return value ^ (value >> np.uint64(29))
 
 
 def signed(values: np.ndarray) -> list[int]:
@@ -72,7 +116,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
     A word goes when it lies in a window of `length` consecutive words that also starts in a document with a smaller doc_id.
 
     Seeds: each document's grams of `gram` words are winnowed so that every window of `length` words holds an anchor, and
-    equal windows the same one. Anchors in one document only can't belong to a repeat. Extension: from each shared
+    equal windows the same ones. Anchors in one document only can't belong to a repeat. Extension: from each shared
     anchor a document is extended both ways, window by window, as far as the anchor lies inside. Documents join on these
     extensions, by 96 bits of a rolling hash of their words: aggregation finds the smallest document of each, so a
     passage that very many documents share costs rows in proportion to them, never pairs, and a window that a document
@@ -88,7 +132,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
             n, sha, anchors = [], [], []
             for t in batch.column("text").cast(pa.large_binary()):
                 words = t.as_py().split()
-                grams = rolling(hashes(words), gram, 0) if len(words) >= length else np.empty(0, np.uint64)
+                grams = rolling(hashes(t.as_py()), gram, 0) if len(words) >= length else np.empty(0, np.uint64)
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).digest())
                 anchors.append(signed(np.unique(grams[winnow(grams, spread)])))
@@ -97,7 +141,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, tag, t, shared in zip(*(batch.column(c) for c in ("id", "tag", "text", "shared"))):
-                words = hashes(t.as_py().encode().split())
+                words = hashes(t.as_py().encode())
                 grams = rolling(words, gram, 0)
                 at = winnow(grams, spread)
                 at = at[np.isin(grams[at].view(np.int64), shared.values.to_numpy())]
