@@ -87,6 +87,23 @@ def test_restore_both_ways(spark):
     assert row["confident_ratio"] == 1.0 and row["protected_pixels"] <= 4 * 16  # at most the corners of the cells
 
 
+def test_palette_is_brute(spark):
+    """The error told is that of all pixels, labels are the nearest colours, and each colour is the mean of what lies nearest."""
+    rnd = random.Random(11)
+    rows = [(1, x, y, *[rnd.choice((20, 120, 220)) + rnd.randint(-9, 9) for _ in range(3)], 255 if rnd.random() < 0.9 else 0) for x in range(24) for y in range(24)]
+    pixels = spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int, a int")
+    fit = K.kmeans_palette(pixels, [6]).first()
+    far = lambda p, c: sum((a - b) ** 2 for a, b in zip(p, c))
+    solid = [r[3:6] for r in rows if r[6] >= 128]
+    labels = {(r["x"], r["y"]): r["label"] for r in K.palette_labels(pixels, K.kmeans_palette(pixels, [6])).collect()}
+    assert labels == {(r[1], r[2]): min(range(6), key=lambda k: (far(r[3:6], fit["palette"][k]), k)) for r in rows}
+    # bins, not pixels, are dealt to colours, so the error is within a bin's width of brute force
+    assert fit["rmse"] == pytest.approx(math.sqrt(sum(min(far(p, c) for c in fit["palette"]) for p in solid) / len(solid)), rel=0.02)
+    for k, colour in enumerate(fit["palette"]):
+        own = [p for p in solid if min(range(6), key=lambda j: far(p, fit["palette"][j])) == k]
+        assert all(abs(sum(p[c] for p in own) / len(own) - colour[c]) < 4 for c in range(3))
+
+
 def test_cell_without_winner_has_plain_mean(spark):
     pixels = spark.createDataFrame([(1, 0, 0, 0, 10, 20, 30, 255, 1.0), (1, 0, 0, 0, 20, 40, 50, 255, 0.5)], "image_id int, cx int, cy int, label int, r int, g int, b int, a int, w double")
     winners = spark.createDataFrame([(1, 0, 0, 9)], "image_id int, cx int, cy int, label int")

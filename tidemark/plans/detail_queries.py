@@ -10,6 +10,7 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import grids as G
 from tidemark.operators import palettes as K
 from tidemark.operators import pixels as X
+from tidemark.operators import refine as R
 from tidemark.operators import windows as W
 from tidemark.streaming import streams as T
 
@@ -105,6 +106,16 @@ def grades(spark, d):
     return profile(spark, d).select("vec_id", C("pos").alias("label"), (C("v") + 1).alias("d"))
 
 
+def fits(spark, d):
+    """Errors that fall by more or less with the number of colours, from the parts."""
+    steps = F.posexplode(F.array(*map(F.lit, (8, 16, 32, 64)))).alias("i", "k")
+    return read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size", steps).select(C("p_partkey").alias("image_id"), "k", (C("p_retailprice") / (1 + C("i") * (C("p_size") % 5) / 10)).alias("rmse"))
+
+
+def edges(spark, d):
+    return X.axis_profile(wide(spark, d)), wide(spark, d).groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("size")).withColumns({"cells": F.lit(9), "origin": F.lit(1.0)})
+
+
 SIGMA = 1.5
 KERNEL = f"(SELECT k, exp(-0.5 * pow(k / {SIGMA}, 2)) / sum(exp(-0.5 * pow(k / {SIGMA}, 2))) OVER () AS w FROM (SELECT unnest(range(-6, 7)) AS k))"
 EWMA_POOL = """SELECT node, ewma FROM (SELECT node, k, 15 * pow(0.8, k) + sum(0.2 * v * pow(0.8, k - i)) OVER (PARTITION BY node) AS ewma, i FROM
@@ -229,6 +240,13 @@ QUERIES = {
         lambda s, d: rounded(X.cut_grid(wide(s, d), wide(s, d).select("image_id").distinct().select("image_id", F.explode(F.array(*map(F.lit, "xy"))).alias("axis"), F.posexplode(F.array(*map(F.lit, (0, 5, 17, 18, 40, 64)))).alias("cut", "at"))).select("image_id", "x", "y", "cx", "cy", "w")),
         f"""WITH {WIDE}, t AS (SELECT * FROM (VALUES (0, 0, 5), (1, 5, 17), (2, 17, 18), (3, 18, 40), (4, 40, 64)) v(c, f, e)) SELECT image_id, x, y, m.c AS cx, n.c AS cy, round((1 - 2 * abs((x + 0.5 - m.f) / (m.e - m.f) - 0.5)) * (1 - 2 * abs((y + 0.5 - n.f) / (n.e - n.f) - 0.5)), 6)::DOUBLE AS w FROM wp JOIN t m ON x >= m.f AND x < m.e JOIN t n ON y >= n.f AND y < n.e""",
     ),
+    "a25_elbow_rule": (
+        lambda s, d: K.elbow_k(fits(s, d)),
+        """WITH f AS (SELECT p_partkey AS image_id, i, k, p_retailprice / (1 + i * (p_size % 5) / 10) AS rmse FROM part, (VALUES (0, 8), (1, 16), (2, 32), (3, 64)) v(i, k)), n AS (SELECT *, lead(rmse) OVER w AS next, first_value(rmse) OVER w AS top FROM f WINDOW w AS (PARTITION BY image_id ORDER BY i))
+        SELECT image_id, coalesce(min(k) FILTER (rmse - next < 0.055 * top), max(k)) AS k FROM n GROUP BY 1""",
+    ),
+    "i9_stable_cuts": (lambda s, d: R.stable_cuts(R.elastic_cuts(*edges(s, d), "image_id", "pos", "edge"), "image_id"), None),
+    "i11_restore_advanced": (lambda s, d: K.restore_advanced(wide(s, d), 16, 16)[0], None),
     "i10_restore": (lambda s, d: K.restore_grid(wide(s, d), 8, 16, 16), RESTORE),
     "i11_advanced": (lambda s, d: K.advanced(salient(s, d), 16, 16)[0], f"{ADVANCED} {COLOR.format(mean=MEAN, won='fin')}"),
     "i11_advanced_counts": (
