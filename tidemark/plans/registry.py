@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detail_queries, grid_queries, palette_queries, pixel_queries, refine_queries, scalar_queries, stream_queries, table_queries
+from . import detail_queries, grid_queries, palette_queries, pixel_queries, refine_queries, scalar_queries, source_queries, stream_queries, table_queries
 from .standins import oracle
 
-ALL = scalar_queries.QUERIES | table_queries.QUERIES | pixel_queries.QUERIES | stream_queries.QUERIES | grid_queries.QUERIES | refine_queries.QUERIES | palette_queries.QUERIES | detail_queries.QUERIES
+ALL = scalar_queries.QUERIES | table_queries.QUERIES | pixel_queries.QUERIES | stream_queries.QUERIES | grid_queries.QUERIES | refine_queries.QUERIES | palette_queries.QUERIES | detail_queries.QUERIES | source_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -36,13 +36,21 @@ def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     The table lasts until the scope in which it was made ends (outer: the one around that), or until release(); at the
     latest the end of the driver's JVM deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
+    if outer and len(_made) > 1:
+        _made[-2].append(_made[-1].pop())
     df.write.parquet(path)
-    _made[-2 if outer and len(_made) > 1 else -1].append(path)
-    _system(spark, path, "deleteOnExit")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for files of any kind, deleted like a table."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made[-1].append(path)
+    _system(spark, path, "deleteOnExit")
+    return path
+
+
 def _system(spark: SparkSession, path: str, call: str, *arguments) -> None:
     """A call on the path's file system, local or remote."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
