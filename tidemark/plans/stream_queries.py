@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.staging import folder
 from tidemark.streaming import streams as T
 
 from .standins import view
@@ -32,6 +33,21 @@ def logins(spark, d):
     return view(spark, d, "requests").select(F.concat(F.lit("k"), C("user_id") % 50).alias("token"), "ts", "event_id", C("forwarded").alias("agent"), C("real_ip").alias("ip"), F.when(C("event_id") % 4 == 0, C("path")).otherwise("").alias("name"), F.when(C("event_id") % 3 == 0, C("method")).alias("photo"))
 
 
+def streamed(df, at: str, make, parts: int = 3):
+    """What a stream gives that reads df from files, one a batch, cut by the time `at`."""
+    spark, source, out = df.sparkSession, folder(df.sparkSession, "stream-in"), folder(df.sparkSession, "stream-out")
+    inner = df.approxQuantile(at, [k / parts for k in range(1, parts)], 0.01)
+    for low, high in zip([None, *inner], [*inner, None]):
+        span = (F.lit(True) if low is None else C(at) >= low) & (F.lit(True) if high is None else C(at) < high)
+        df.where(span).coalesce(1).write.mode("append").parquet(source)
+    stream = make(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "stream-state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+SCALING = {"up_rest": 7200, "down_rest": 10800, "up": 99.0, "down": 60.0}
+
 QUERIES = {
     "t1_change_feed": (
         lambda s, d: T.change_feed_fold(feed(s, d)),
@@ -50,7 +66,7 @@ QUERIES = {
         f AS (SELECT node, event_id, k, 0.8 * 15::DOUBLE + 0.2 * duration_ms AS ewma, (status_code >= 500)::INT AS in_row FROM c WHERE k = 1
           UNION ALL SELECT c.node, c.event_id, c.k, 0.8 * f.ewma + 0.2 * c.duration_ms, CASE WHEN c.status_code >= 500 THEN f.in_row + 1 ELSE 0 END FROM f JOIN c ON c.node = f.node AND c.k = f.k + 1) SELECT node, event_id, round(ewma, 5) AS ewma, in_row FROM f"""),
     "w4_scale_decisions": (
-        lambda s, d: T.scale_decisions(T.interval_metrics(view(s, d, "samples"), 3600), up_rest=7200, down_rest=10800, up=99.0, down=60.0),
+        lambda s, d: T.scale_decisions(T.interval_metrics(view(s, d, "samples"), 3600), **SCALING),
         """WITH m AS (SELECT service, tick, a, m, row_number() OVER (PARTITION BY service ORDER BY tick) AS k FROM (SELECT service, (floor(epoch_us(ts) // 1000000 / 3600) * 3600)::BIGINT AS tick, avg(cpu) AS a, max(cpu) AS m FROM {samples} GROUP BY 1, 2)),
         z AS (SELECT service, 0::BIGINT AS k, -1000000::BIGINT AS tick, 0 AS action, 1 AS replicas, 0 AS streak, -1000000::BIGINT AS last FROM m WHERE k = 1
           UNION ALL SELECT service, k, tick, action, replicas + action, CASE WHEN action <> 0 THEN 0 ELSE streak END, CASE WHEN action <> 0 THEN tick ELSE last END FROM (
@@ -80,3 +96,6 @@ QUERIES = {
         "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     ),
 }
+QUERIES["t2_rate_limit_stream"] = (lambda s, d: streamed(calls(s, d), "at", lambda stream: T.stream_rate_limit(stream, 5)), QUERIES["t2_rate_limit"][1])
+QUERIES["t4_scale_stream"] = (lambda s, d: streamed(T.interval_metrics(view(s, d, "samples"), 3600), "tick", lambda stream: T.stream_scale_decisions(stream, **SCALING)), QUERIES["w4_scale_decisions"][1])
+QUERIES["t3_node_health_stream"] = (lambda s, d: rounded(streamed(nodes(s, d), "at", T.stream_node_health).select("node", "event_id", "ewma", "in_row"), 5), QUERIES["t3_node_health"][1])
