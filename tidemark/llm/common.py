@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.staging import made_since, mark, release, scope, shared_dir, written
 
-__all__ = ["body", "components", "fresh", "inner_id", "join_checked", "join_counted", "once", "outer_id", "release", "scope", "shared_dir", "written"]
+__all__ = ["body", "components", "fresh", "inner_id", "join_checked", "join_counted", "lean", "once", "outer_id", "release", "scope", "shared_dir", "written"]
 
 #: ASCII white space, and what is not: the only word rule used here.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -36,6 +36,16 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def lean(batches):
+    """The batches, one at a time: what Arrow freed goes back to the machine before the next, so that workers, which live on, stay small."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores added until df has no such column."""
     taken = {c.lower() for c in df.columns}

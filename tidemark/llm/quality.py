@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, written
+from .common import body, lean, written
 
 #: Classes of bytes: lower case, upper case, digit, white space, other letters (non-ASCII), and each ASCII symbol by itself.
 SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -124,10 +124,11 @@ class QualityModel:
         weights, bias, buckets = self.weights, self.bias, len(self.weights)
 
         @F.pandas_udf("double")
-        def scored(texts: pd.Series) -> pd.Series:
+        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             slots = pair_slots(buckets)
-            margins = [float(hashed(*signals((t or "").encode()), buckets, slots) @ weights + bias) for t in texts]
-            return pd.Series(1 / (1 + np.exp(-np.clip(margins, -60, 60))), dtype="float64")
+            for texts in lean(batches):
+                margins = [float(hashed(*signals((t or "").encode()), buckets, slots) @ weights + bias) for t in texts]
+                yield pd.Series(1 / (1 + np.exp(-np.clip(margins, -60, 60))), dtype="float64")
 
         return scored(column)
 
@@ -145,13 +146,13 @@ def fit_quality(docs: DataFrame, sample: int = 4096, buckets: int = 1024, rounds
     driver. No documents: all scores 0.5."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             cast = [votes(signals(t.as_py())[0]) for t in batch.column("text").cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(cast, pa.string())], names=["place", "votes"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = pair_slots(buckets)
-        for batch in batches:
+        for batch in lean(batches):
             rows = [hashed(*signals(t.as_py()), buckets, slots).tobytes() for t in batch.column("text").cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(rows, pa.binary())], names=["place", "x"])
 

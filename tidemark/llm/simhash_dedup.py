@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, components, fresh, inner_id, join_checked, join_counted, outer_id, written
+from .common import body, components, fresh, inner_id, join_checked, join_counted, lean, outer_id, written
 
 BITS = 64
 #: A tile has at most about so many fingerprints.
@@ -39,7 +39,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "t
     """(id, text_hash, fp): a row for each input row; fp as a signed long. Null text counts as empty and has fingerprint 0."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column("text").cast(pa.large_binary())
             fps = np.fromiter((simhash(t.as_py(), width, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], names=["id", "text_hash", "fp"])
@@ -115,7 +115,7 @@ def near_edges(fps: DataFrame, radius: int = 4) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         give = lambda: pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in ((forest.up.keys(), forest.up.values()) if forest.up else ((), ()))], names=["a", "b"])
-        for batch in batches:
+        for batch in lean(batches):
             for left, right in zip(batch.column("left"), batch.column("right")):
                 a, b = (x.values.to_numpy().view(np.uint64) for x in (left, right))
                 b = a if np.array_equal(a, b) else b

@@ -20,7 +20,7 @@ BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=32)
 def all_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -28,9 +28,9 @@ def all_powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 to n - 1; worked out for the next power of two, and remembered if that is no more than a piece."""
+    """base ** 0 to n - 1; worked out for the next power of two, and remembered if that is small."""
     size = 1 << max(0, n - 1).bit_length()
-    return (all_powers if size <= 2 * PIECE else all_powers.__wrapped__)(base, size)[:n]
+    return (all_powers if size <= PIECE >> 4 else all_powers.__wrapped__)(base, size)[:n]
 
 
 def rolling(words: np.ndarray, width: int, which: int) -> np.ndarray:
