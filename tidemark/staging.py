@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str, outer: bool = False, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps column pruning.
 
     The table lasts until the scope in which it was made ends (outer: the one around that), or until release(); at the
@@ -39,7 +39,7 @@ def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     path = folder(spark, label)
     if outer and len(_made) > 1:
         _made[-2].append(_made[-1].pop())
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
