@@ -81,3 +81,23 @@ def repeats(rows, length=50):
                 gone.update(range(s, s + length))
         out.append((i, len(ws), len(gone), sha(" ".join(w for k, w in enumerate(ws) if k not in gone))))
     return out
+
+
+def byte_repeats(rows, length=50):
+    ids = [LAST if i is None else i for i, _ in rows]
+    texts = [(t or "").encode() for _, t in rows]
+    low = {}
+    for i, b in zip(ids, texts):
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            low[w] = min(low.get(w, LAST), i)
+    out = []
+    for (i, _), own, b in zip(rows, ids, texts):
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if low[b[s : s + length]] < own:
+                gone[s : s + length] = b"\1" * length
+        spans = [(m.start(), m.end()) for m in re.finditer(rb"\x01+", bytes(gone))]
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((i, len(b), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()))
+    return out
