@@ -1,8 +1,10 @@
 """Brute-force versions, straight from the rules, for small inputs."""
 
 import hashlib
+import math
 import re
 
+import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,3 +103,37 @@ def byte_repeats(rows, length=50):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         out.append((i, len(b), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def kept_vectors(rows, scale, offset=0, dims=None):
+    good = [(i, v) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v) and (dims is None or len(v) == dims)]
+    return [(i, [math.floor(scale * c) + offset for c in v]) for i, v in good]
+
+
+def centroids(rows, k=40, rounds=5, dims=64):
+    kept = kept_vectors(rows, 256, 0, dims)
+    at = [v for _, v in sorted(kept, key=lambda r: (sha("2:" + ("" if r[0] is None else str(r[0]))), r[1]))[:k]]
+    far = lambda v, c: sum((x - y) ** 2 for x, y in zip(v, c))
+    for r in range(rounds + 1):
+        own = [min((far(v, c), j) for j, c in enumerate(at)) for _, v in kept]
+        if r < rounds:
+            for j in range(len(at)):
+                mine = [v for (_, v), o in zip(kept, own) if o[1] == j]
+                if mine:
+                    at[j] = [sum(x) // len(mine) for x in zip(*mine)]
+    total = sum(d for d, _ in own) if kept else 0
+    return [(i, j, d, sum(e for e, m in own if m == j), total, sha(",".join(map(str, at[j])))) for (i, _), (d, j) in zip(kept, own)]
+
+
+def whitened(rows, components=16):
+    """n, the exact deviations, eigenvalues over their sum, and what each row's projections must be but for the sign."""
+    kept = kept_vectors(rows, 64, 1_000_000)
+    fit = sorted({tuple(x) for _, x in kept})
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    away = lambda x: [n * c - s for c, s in zip(x, sums)]
+    z = np.array([[a / n for a in away(x)] for x in fit])
+    values, vectors = np.linalg.eigh(z.T @ z / n)
+    order = np.argsort(-values)[:components]
+    e, axes = values[order], vectors[:, order]
+    out = [(i, n, sum(a * a for a in away(x)), (np.array([a / n for a in away(x)]) @ axes) / np.sqrt(e)) for i, x in kept]
+    return out, e / values.sum()

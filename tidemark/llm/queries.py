@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import centroid_clusters
 from .decontamination import find_benchmark
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
@@ -18,6 +19,7 @@ from .simhash_dedup import simhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,17 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component."""
+    white = whiten(table(spark, sf_dir, "embeddings"))
+    each = white.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "x"), "n", "deviation", "identity_error")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "x.whitened", "x.explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -84,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_suffix_array_dedup": op11_suffix_array_dedup,
+        "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
@@ -145,5 +160,35 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN draw < rate
 """
 
 
+OP12_ROUND = """, a{r} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v,
+    min({{'d': list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c}}) AS best
+  FROM v, c{r} GROUP BY r
+), s{r} AS (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i
+), c{next} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(n.m, c{r}.m) AS m
+  FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY c) n ON c{r}.c = n.c
+)"""
+
+OP12_SQL = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), f AS (
+  SELECT v AS m, sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h, m LIMIT 40
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, m) - 1 AS c, m FROM f
+)"""
+    + "".join(OP12_ROUND.format(r=r, next=r + 1) for r in range(6))
+    + """
+SELECT vec_id, a5.best.c::INT AS cluster, a5.best.d AS distance, (sum(a5.best.d) OVER (PARTITION BY a5.best.c))::BIGINT AS cluster_inertia,
+  (sum(a5.best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c5.m, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON a5.best.c = c5.c
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_line_dedup": OP8_SQL, "op12_centroid_clustering": OP12_SQL}
