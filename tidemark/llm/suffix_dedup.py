@@ -151,16 +151,31 @@ class Piece:
         if len(self.at):
             rows[:, :width] = np.lib.stride_tricks.sliding_window_view(padded, width)[self.at]
         place = np.arange(width)
-        value = np.empty(len(self.at), np.uint64)
         for k in range(0, len(rows), STRIP):
             s = slice(k, k + STRIP)
             rows[s, :width][(place < lead[s, None]) | (place >= width - trail[s, None].astype(np.int64))] = 0
-            h = (lead[s].astype(np.uint64) << np.uint64(8)) | trail[s]
-            for word in rows[s].view(np.uint64).T:
-                h = (h ^ word) * np.uint64(0x9DDFEA08EB382D69)
-                h ^= h >> np.uint64(32)
-            value[s] = h
-        return rows[:, :width], lead, trail, value
+        return rows[:, :width], lead, trail, context_hash(rows, lead, trail)
+
+
+def context_hash(rows: np.ndarray, lead: np.ndarray, trail: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes (filled up with zeros to whole words) and of how many bytes it lacks."""
+    value = np.empty(len(rows), np.uint64)
+    for k in range(0, len(rows), STRIP):
+        s = slice(k, k + STRIP)
+        h = (lead[s].astype(np.uint64) << np.uint64(8)) | trail[s]
+        for word in rows[s].view(np.uint64).T:
+            h = (h ^ word) * np.uint64(0x9DDFEA08EB382D69)
+            h ^= h >> np.uint64(32)
+        value[s] = h
+    return value
+
+
+def gram_hash(rows: np.ndarray, at: int, gram: int) -> np.ndarray:
+    """The hash that rolling() gives the gram which begins at a place of each row."""
+    value = np.empty(len(rows), np.uint64)
+    for k in range(0, len(rows), STRIP):
+        value[k : k + STRIP] = rolling((rows[k : k + STRIP, at : at + gram].astype(np.uint64) + np.uint64(1)).reshape(-1), gram, 0)[::gram]
+    return value
 
 
 def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +199,7 @@ def batch(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 RUNS = "bucket long, piece long, rest binary, seen binary"
 SHARED = "piece long, bucket long, rest binary, parts binary"
-CONTEXTS = "root long, sub int, parts int, piece long, gram binary, context binary, low binary, several binary, lead binary, trail binary, rows binary"
+CONTEXTS = "root long, sub int, parts int, piece long, low binary, several binary, lead binary, trail binary, rows binary"
 SOLVED = "piece long, gram binary, context binary, low binary, mask binary, root long, part int, run binary"
 ANSWER = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary"
 B, L = pa.binary(), pa.int64()
@@ -199,7 +214,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
 
     Anchors are chosen by content (winnowed grams of `gram` bytes). Sorted runs of anchors, one a piece of the corpus, meet in
     buckets of hash values, which tell what anchors stand in more than one document: nothing else can repeat. Of these, the
-    bytes around them (contexts) go to shards by anchor, each different context once a piece. A shard finds equal contexts,
+    bytes around them (contexts) go to shards by anchor, compressed, each different context once a piece. A shard finds equal contexts,
     and where an anchor has several, makes the suffix array of their bytes by Larsson-Sadakane refinement, Kasai's common
     prefixes, and so for each string of `length` bytes the smallest id. An anchor with more than `shard` contexts is dealt
     over several shards, whose sorted runs are then merged by binary search. Pieces hear of each context the smallest
@@ -294,7 +309,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         """The different contexts of a piece's shared anchors, by shard."""
-        schema = pa.schema([("root", L), ("sub", pa.int32()), ("parts", pa.int32()), ("piece", L), *((c, B) for c in ("gram", "context", "low", "several", "lead", "trail", "rows"))])
+        schema = pa.schema([("root", L), ("sub", pa.int32()), ("parts", pa.int32()), ("piece", L), *((c, B) for c in ("low", "several", "lead", "trail", "rows"))])
         if not len(left) or not len(right):
             return batch(schema, [])
         own, number = piece_of(left), left.column("piece")[0].as_py()
@@ -313,7 +328,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
             return batch(schema, [])
         low, high = (f.reduceat(ids[order], starts) for f in (np.minimum, np.maximum))
         head = order[starts]
-        value, context, parts = own.value[head], context[head], parts[head]
+        value, parts = own.value[head], parts[head]
         hot = parts > 1
         root = np.where(hot, -(value >> np.uint64(1)).astype(np.int64) - 1, (value >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else 0)
         by = np.argsort(root, kind="stable")
@@ -322,14 +337,19 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
         for a, b in zip(cuts, cuts[1:]):
             k = by[a:b]
             n = int(parts[k[0]]) if hot[k[0]] else 1
-            out.append((int(root[k[0]]), number * 0x9E3779B1 % (1 << 32) % n, n, number, *(x[k].tobytes() for x in (value, context, low, low < high, lead[head], trail[head])), rows[head[k]].tobytes()))
+            out.append((int(root[k[0]]), number * 0x9E3779B1 % (1 << 32) % n, n, number, *(x[k].tobytes() for x in (low, low < high, lead[head], trail[head])), pa.compress(rows[head[k]].tobytes(), "zstd", asbytes=True)))
         return batch(schema, out)
 
     def solve(table: pa.Table) -> pa.Table:
         """A shard: what pieces are told of their contexts, and of a divided anchor the sorted run of its strings."""
-        value, context, low = joined(table, "gram", np.uint64), joined(table, "context", np.uint64), joined(table, "low", np.int64)
+        low = joined(table, "low", np.int64)
         several, lead, trail = (joined(table, c, np.uint8) for c in ("several", "lead", "trail"))
-        sizes = np.array([len(x.as_py()) // 8 for x in table.column("gram")])
+        sizes = np.array([len(x.as_py()) for x in table.column("lead")])
+        width = length + reach
+        rows = np.zeros((len(low), -(-width // 8) * 8), np.uint8)
+        for blob, n, end in zip(table.column("rows"), sizes.tolist(), np.cumsum(sizes).tolist()):
+            rows[end - n : end, :width] = np.frombuffer(pa.decompress(blob.as_py(), n * width, "zstd"), np.uint8).reshape(n, width)
+        value, context = gram_hash(rows, reach, gram), context_hash(rows, lead, trail)
         order, starts = grouped(value, context)
         size = np.diff(np.append(starts, len(order)))
         least = np.minimum.reduceat(low[order], starts)
@@ -340,15 +360,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
         mask = np.zeros(len(starts), np.uint64)
         out = []
         if len(many):
-            begins = np.cumsum(sizes) - sizes
             piece = np.repeat(np.arange(len(sizes)), sizes)
             pick = order[starts[many]]
-            width = length + reach
-            blobs = [x.as_py() for x in table.column("rows")]
-            rows = np.empty((len(pick), width), np.uint8)
-            by = np.argsort(piece[pick], kind="stable")
-            for k, a, b in zip(*(x.tolist() for x in edges_of(piece[pick][by]))):
-                rows[by[a:b]] = np.frombuffer(blobs[k], np.uint8).reshape(-1, width)[pick[by[a:b]] - begins[k]]
+            rows = rows[pick, :width]
             found = smallest_ids(rows, lead[pick], trail[pick], least[many], length)
             lower = found < least[many][:, None]
             mask[many] = (lower.astype(np.uint64) << np.arange(reach + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
@@ -467,12 +481,6 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
     return both if texts else both.drop("kept")
 
 
-def edges_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys, and where each begins and ends."""
-    starts = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
-    return sorted_keys[starts], starts, np.append(starts[1:], len(sorted_keys))
-
-
 def found_at(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Where in the sorted, different pairs (first, second) each pair (a, b) stands, or -1."""
     both_first, both_second = np.concatenate([first, a]), np.concatenate([second, b])
