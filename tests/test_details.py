@@ -149,13 +149,21 @@ def test_stream_state_lives_and_ends(spark, tmp_path):
 
 
 def test_idle_stream_is_batch(spark, tmp_path):
-    calls = spark.range(60).select((F.col("id") * F.col("id") * 20.0).alias("at"), (F.col("id") % 2).cast("int").alias("node"))
+    calls = spark.range(60).select((F.col("id") * F.col("id") * 20.0).alias("at"), (F.col("id") % 2).cast("int").alias("node"), (F.col("id") % 5 * 300.0).alias("seconds"))
     finish(T.stream_idle(files(spark, calls, tmp_path, 3), 600).writeStream.format("parquet").option("path", str(tmp_path / "out")), tmp_path)
     got = sorted((r["node"], r["from"], r["to"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    batch = T.idle_sessions(calls.withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long"))), 600)
+    batch = T.idle_sessions(calls.select("node", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts"), (F.col("seconds") * 1000).alias("duration_ms")), 600)
     assert got == sorted((r["node"], r["f"], r["t"]) for r in batch.select("node", (F.unix_micros("from") / 1e6).alias("f"), (F.unix_micros("to") / 1e6).alias("t")).collect()) and got
 
 
+def test_idle_is_without_active_requests(spark):
+    """A request of 1,000 s keeps its worker busy although nothing begins meanwhile; exactly the gap is idle, a hair less is not."""
+    rows = [(1, 0, 1000.0), (1, 100, 5.0), (1, 1599.5, 1.0), (1, 2200.5, 1.0), (2, 0, 1.0), (2, 600, 1.0), (2, 1201, 1.0)]
+    df = spark.createDataFrame([(n, float(t), s * 1000) for n, t, s in rows], "node int, t double, duration_ms double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    got = sorted((r["node"], r["seconds"]) for r in T.idle_sessions(df, 600).collect())
+    assert got == [(1, 600.0), (2, 600.0)]
+
+
 @pytest.mark.parametrize("kind", ["sessions", "users"])
 def test_upsert_streams(spark, tmp_path, kind):
     base = spark.range(120).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.concat(F.lit("k"), F.col("id") % 17).alias("token"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("agent"), "id")).alias("agent"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("ip"), "id")).alias("ip"))

@@ -50,6 +50,12 @@ def _slice(at, seconds: int = SLICE):
     return F.floor(at / F.lit(seconds * 1_000_000)).alias("slice_")
 
 
+def slice_seconds(rows: DataFrame, keys: Sequence[str], at, most: int = 1_000_000) -> int:
+    """How long slices may be so that about `most` rows of a key fall into one: the busiest hour of any key is counted."""
+    busiest = rows.groupBy(*keys, _slice(at)).count().agg(F.max("count")).first()[0] or 0
+    return max(1, SLICE // max(1, math.ceil(busiest / most)))
+
+
 def _micros(ts: str):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -66,6 +72,15 @@ def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return cut.withColumn("own_", F.sum("v_").over(own)).join(before, [*keys, "slice_"]).withColumn(name, F.col("own_") + F.col("before_")).select(*rows.columns, name)
 
 
+def running_max(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value, name: str, at=None, seconds: int = SLICE) -> DataFrame:
+    """rows with the largest value from each key's first row on, nulls left out; by slices, as running_sum."""
+    cut = rows.withColumn("slice_", _slice(_micros(order[0]) if at is None else at, seconds)).withColumn("v_", value)
+    own = Window.partitionBy(*keys, "slice_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*keys, "slice_").agg(F.max("v_").alias("t_")).select(*keys, "slice_", F.max("t_").over(earlier).alias("before_"))
+    return cut.withColumn("own_", F.max("v_").over(own)).join(before, [*keys, "slice_"]).withColumn(name, F.greatest("own_", "before_")).select(*rows.columns, name)
+
+
 def ewma_latency(requests: DataFrame, node: str = "node", order: Sequence[str] = ("ts", "event_id"), value: str = "duration_ms", alpha: float = 0.2, start: float = 15.0, failed=None, penalty: float = 500.0, block: int = SLICE) -> DataFrame:
     """Each node's last moving average, x = (1 - alpha) x + alpha v from `start`. Where the column `failed` is true,
     v is the latency and `penalty`, as in the converter pool.
@@ -94,16 +109,25 @@ def running_ewma(requests: DataFrame, node: str, order: Sequence[str], value, at
     w = Window.partitionBy(node, "block_").orderBy("i_").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("own_", F.sum(alpha * F.col("v_in") * F.pow(F.lit(keep), -F.col("i_"))).over(w) * F.pow(F.lit(keep), F.col("i_")))
     ends = rows.groupBy(node, "block_").agg(F.max_by("own_", "i_").alias("end_"))
-    base = F.when(F.col("block_") == 0, start).when(F.col("block_") == 1, F.lag("end_").over(Window.partitionBy(node).orderBy("block_")) + start * keep**block).otherwise(F.lag("end_").over(Window.partitionBy(node).orderBy("block_")))
-    return rows.join(ends.select(node, "block_", base.alias("base_")), [node, "block_"]).withColumn("ewma", F.col("own_") + F.col("base_") * F.pow(F.lit(keep), F.col("i_") + 1)).select(*requests.columns, "ewma")
+    before = ends.select(node, (F.col("block_") + 1).alias("block_"), "end_")
+    base = F.when(F.col("block_") == 0, start).when(F.col("block_") == 1, F.col("end_") + start * keep**block).otherwise(F.col("end_"))
+    return rows.join(before, [node, "block_"], "left").withColumn("ewma", F.col("own_") + base * F.pow(F.lit(keep), F.col("i_") + 1)).select(*requests.columns, "ewma")
+
 
+def failures_in_row(requests: DataFrame, node: str, order: Sequence[str], failed, at=None, seconds: int = SLICE) -> DataFrame:
+    """requests with failed (0 or 1) and in_row: how many failures in a row end with each row; 0 after a success.
 
-def failures_in_row(requests: DataFrame, node: str, order: Sequence[str], failed, at=None) -> DataFrame:
-    """requests with failed (0 or 1) and in_row: how many failures in a row end with each row; 0 after a success."""
-    rows = requests.withColumn("failed", failed.cast("int"))
-    rows = running_sum(rows, [node], order, 1 - F.col("failed"), "island_", at)
-    counted = running_sum(rows, [node, "island_"], order, F.col("failed"), "in_row", at)
-    return counted.drop("island_")
+    Rows are counted since the last success of their slice. A slice without one adds to what the slices before end with, which
+    follows from a row a slice: its rows, if all failed, or the failures at its end."""
+    rows = requests.withColumns({"failed": failed.cast("int"), "slice_": _slice(_micros(order[0]) if at is None else at, seconds)})
+    own = Window.partitionBy(node, "slice_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("k_", F.row_number().over(Window.partitionBy(node, "slice_").orderBy(*order))).withColumn("ok_", F.max(F.when(F.col("failed") == 0, F.col("k_"))).over(own))
+    ends = rows.groupBy(node, "slice_").agg((F.max("k_") - F.coalesce(F.max("ok_"), F.lit(0))).alias("end_"), F.max("ok_").isNotNull().cast("int").alias("broken_"))
+    so_far = Window.partitionBy(node).orderBy("slice_")
+    ends = ends.withColumn("run_", F.sum("broken_").over(so_far)).withColumn("total_", F.sum("end_").over(Window.partitionBy(node, "run_").orderBy("slice_")))
+    before = ends.select(node, "slice_", F.coalesce(F.lag("total_").over(so_far), F.lit(0)).alias("before_"))
+    in_row = F.col("k_") - F.coalesce("ok_", F.lit(0)) + F.when(F.col("ok_").isNull(), F.col("before_")).otherwise(0)
+    return rows.join(before, [node, "slice_"]).withColumn("in_row", in_row).select(*requests.columns, "failed", "in_row")
 
 
 def load_score(requests: DataFrame, averages: DataFrame, node: str = "node", value: str = "duration_ms") -> DataFrame:
@@ -111,9 +135,9 @@ def load_score(requests: DataFrame, averages: DataFrame, node: str = "node", val
 
     Starts count +1 and ends -1; a running sum over both gives what is open. At one instant ends come first."""
     start = _micros("ts")
-    begins = requests.select(node, "event_id", start.alias("at"), F.lit(1).alias("step"))
-    finishes = requests.select(node, "event_id", (start + (F.col(value) * 1000).cast("long")).alias("at"), F.lit(-1).alias("step"))
-    running = running_sum(begins.union(finishes), [node], ["at", "step", "event_id"], F.col("step"), "active", F.col("at"))
+    both = F.array(F.struct(start.alias("at"), F.lit(1).alias("step")), F.struct((start + (F.col(value) * 1000).cast("long")).alias("at"), F.lit(-1).alias("step")))
+    turns = requests.select(node, "event_id", F.explode(both).alias("t")).select(node, "event_id", "t.at", "t.step")
+    running = running_sum(turns, [node], ["at", "step", "event_id"], F.col("step"), "active", F.col("at"))
     return running.where("step = 1").join(averages, node).select(node, "event_id", "active", ((F.col("active") + 1) * F.col("ewma")).alias("score"))
 
 

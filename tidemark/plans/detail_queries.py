@@ -254,7 +254,8 @@ QUERIES = {
         f"{ADVANCED} SELECT image_id, round(avg(confident::INT), 6) AS confident_ratio, (SELECT count(*) FROM pm WHERE pm.image_id = vo.image_id AND prot) AS protected_pixels FROM vo GROUP BY 1",
     ),
     "t3_node_health_until": (
-        lambda s, d: T.node_health(view(s, d, "requests").select("node", "event_id", (F.unix_micros(C("ts").cast("timestamp")) / 1e6).alias("at"), "duration_ms", "status_code")).where("open_until > 0").select("node", "event_id", F.round("open_until", 3).alias("open_until")),
-        f"SELECT node, event_id, round(epoch_us(ts) / 1e6 + 15, 3) AS open_until FROM ({CIRCUIT})",
+        lambda s, d: T.node_health(view(s, d, "requests").select("node", "event_id", (F.unix_micros(C("ts").cast("timestamp")) / 1e6).alias("at"), "duration_ms", "status_code")).select("node", "event_id", F.round("open_until", 3).alias("open_until")),
+        f"""SELECT r.node, r.event_id, coalesce(max(round(epoch_us(c.ts) / 1e6 + 15, 3)) OVER (PARTITION BY r.node ORDER BY r.ts, r.event_id), 0) AS open_until
+        FROM {{requests}} r LEFT JOIN ({CIRCUIT}) c ON r.node = c.node AND r.event_id = c.event_id""",
     ),
 }

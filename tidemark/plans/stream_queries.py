@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.sources.readers import load_scale_config
 from tidemark.staging import folder
 from tidemark.streaming import streams as T
 
@@ -34,19 +35,43 @@ def logins(spark, d):
 
 
 def streamed(df, at: str, make, parts: int = 3):
-    """What a stream gives that reads df from files, one a batch, cut by the time `at`."""
-    spark, source, out = df.sparkSession, folder(df.sparkSession, "stream-in"), folder(df.sparkSession, "stream-out")
+    """What a stream gives that reads df from files in as many batches as parts, cut by the time `at`: files are added, and the stream
+    reads what is new and stops, going on from its checkpoint each time."""
+    spark, source, out, state = df.sparkSession, *(folder(df.sparkSession, f"stream-{x}") for x in ("in", "out", "state"))
     inner = df.approxQuantile(at, [k / parts for k in range(1, parts)], 0.01)
     for low, high in zip([None, *inner], [*inner, None]):
         span = (F.lit(True) if low is None else C(at) >= low) & (F.lit(True) if high is None else C(at) < high)
-        df.where(span).coalesce(1).write.mode("append").parquet(source)
-    stream = make(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source))
-    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "stream-state"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+        df.where(span).write.mode("append").parquet(source)
+        stream = make(spark.readStream.schema(df.schema).parquet(source))
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
-SCALING = {"up_rest": 7200, "down_rest": 10800, "up": 99.0, "down": 60.0}
+RESTS = {"up_rest": 7200, "down_rest": 10800}
+SCALING = RESTS | {"cpu_up": 99.0, "cpu_down": 60.0}
+
+#: Thresholds of three services, in the form of S11; others aren't scaled.
+SERVICES = "click:1:4:99:60:3600, view:2:3:98.5:55:7200, purchase:1:6:97:70:3600"
+SCALE_SQL = """WITH {config}, m AS (SELECT service, tick, a, m, low, high, up, down, row_number() OVER (PARTITION BY service ORDER BY tick) AS k FROM (
+          SELECT service, (floor(epoch_us(ts) // 1000000 / every) * every)::BIGINT AS tick, avg(cpu) AS a, max(cpu) AS m, any_value(low) AS low, any_value(high) AS high, any_value(up) AS up, any_value(down) AS down
+          FROM {{samples}} JOIN config USING (service) GROUP BY 1, 2)),
+        z AS (SELECT service, 0::BIGINT AS k, -1000000::BIGINT AS tick, 0 AS action, 1 AS replicas, 0 AS streak, -1000000::BIGINT AS last FROM m WHERE k = 1
+          UNION ALL SELECT service, k, tick, action, replicas + action, CASE WHEN action <> 0 THEN 0 ELSE streak END, CASE WHEN action <> 0 THEN tick ELSE last END FROM (
+            SELECT *, CASE WHEN streak >= 2 AND tick - last >= 7200 THEN 1 WHEN streak <= -4 AND tick - last >= 10800 THEN -1 ELSE 0 END AS action FROM (
+              SELECT m.service, m.k, m.tick, z.replicas, z.last, CASE WHEN (greatest(m.a, 0.95 * m.m) >= m.up OR m.m >= m.up) AND z.replicas < m.high THEN greatest(z.streak, 0) + 1 WHEN m.m <= m.down AND m.a <= m.down AND z.replicas > m.low THEN least(z.streak, 0) - 1 ELSE 0 END AS streak
+              FROM z JOIN m ON m.service = z.service AND m.k = z.k + 1)))
+        SELECT service, tick, action, replicas FROM z WHERE k > 0"""
+SERVICES_SQL = "config AS (SELECT * FROM (VALUES ('click', 1, 4, 99.0, 60.0, 3600), ('view', 2, 3, 98.5, 55.0, 7200), ('purchase', 1, 6, 97.0, 70.0, 3600)) t(service, low, high, up, down, every))"
+
+
+def scaling_stream(spark, d):
+    """T4 from samples to decisions; a sample a year on closes the last windows."""
+    samples = view(spark, d, "samples").select("service", C("ts").cast("timestamp").alias("ts"), "cpu")
+    closing = samples.groupBy().agg(F.lit("closing").alias("service"), (F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit(0.0).alias("cpu"))
+    config = load_scale_config(spark, SERVICES)
+    every = samples.unionByName(closing).withColumn("at", F.unix_micros("ts") / 1e6)
+    return streamed(every, "at", lambda stream: T.stream_scaling(stream, config, **RESTS))
 
 QUERIES = {
     "t1_change_feed": (
@@ -80,8 +105,9 @@ QUERIES = {
         "SELECT user_id, event_id, path FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {requests}) WHERE k = 1 AND epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(ts) < 7200 * 1000000::BIGINT",
     ),
     "t6_idle_sessions": (
-        lambda s, d: rounded(T.idle_sessions(view(s, d, "requests"), 1800).select("node", F.unix_micros("to").alias("until"), "seconds"), 3),
-        "SELECT node, epoch_us(ts) AS until, round((epoch_us(ts) - epoch_us(p)) / 1e6, 3) AS seconds FROM (SELECT node, ts, lag(ts) OVER (PARTITION BY node ORDER BY ts) AS p FROM {requests}) WHERE epoch_us(ts) - epoch_us(p) >= 1800 * 1000000::BIGINT",
+        lambda s, d: rounded(T.idle_sessions(view(s, d, "requests").withColumn("duration_ms", C("duration_ms") * 1000), 1800).select("node", F.unix_micros("to").alias("until"), "seconds"), 3),
+        """SELECT node, began AS until, round((began - ended) / 1e6, 3) AS seconds FROM (SELECT node, epoch_us(ts) AS began, max(epoch_us(ts) + floor(duration_ms * 1000 * 1000)::BIGINT) OVER (PARTITION BY node ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM {requests})
+        WHERE began - ended >= 1800 * 1000000::BIGINT""",
     ),
     "t7_upsert_sessions": (
         lambda s, d: T.upsert_sessions(logins(s, d)).select("token", F.unix_micros(C("expires_at").cast("timestamp")).alias("expires_at"), "agent", "ip", "status"),
@@ -98,4 +124,6 @@ QUERIES = {
 }
 QUERIES["t2_rate_limit_stream"] = (lambda s, d: streamed(calls(s, d), "at", lambda stream: T.stream_rate_limit(stream, 5)), QUERIES["t2_rate_limit"][1])
 QUERIES["t4_scale_stream"] = (lambda s, d: streamed(T.interval_metrics(view(s, d, "samples"), 3600), "tick", lambda stream: T.stream_scale_decisions(stream, **SCALING)), QUERIES["w4_scale_decisions"][1])
+QUERIES["w4_scale_configured"] = (lambda s, d: T.scale_decisions(T.interval_metrics(view(s, d, "samples"), config=load_scale_config(s, SERVICES)), load_scale_config(s, SERVICES), **RESTS), SCALE_SQL.format(config=SERVICES_SQL))
+QUERIES["t4_samples_to_decisions"] = (scaling_stream, QUERIES["w4_scale_configured"][1])
 QUERIES["t3_node_health_stream"] = (lambda s, d: rounded(streamed(nodes(s, d), "at", T.stream_node_health).select("node", "event_id", "ewma", "in_row"), 5), QUERIES["t3_node_health"][1])
