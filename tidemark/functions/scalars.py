@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,7 +159,7 @@ def classify_error(error: Column, url: Column | None = None) -> Column:
 
 
 def route_group(path: Column, status: Column, probe: Column) -> Column:
-    """the group of a request for traces, with file, status, cancel and stream paths folded."""
+    """F12, for reports (span_name gives the name itself): the group of a request for traces, with file, status, cancel and stream paths folded."""
     out = F.when(probe, "probe")
     for prefix in ("file", "status", "cancel", "stream"):
         out = out.when(path.startswith(f"/api/{prefix}/"), f"/api/{prefix}/*")
@@ -165,6 +167,44 @@ def route_group(path: Column, status: Column, probe: Column) -> Column:
     return out.when(path.isin(*known), path).when(status >= 400, F.format_string("error %d", status)).otherwise("other")
 
 
+# What traces call a request. {} stands for its path, its method or its status.
+SPAN_PROBE = "🛡️ [Security Probe] {method} {path} (HTTP {status})"
+SPAN_NAMES = {
+    "/api/convert/file": "🌐 [Gateway] Chuyển đổi tài liệu (/api/convert/file)",
+    "/api/download": "🌐 [Gateway] Tải Media (/api/download)",
+    "/api/info": "🌐 [Gateway] Lấy thông tin Media (/api/info)",
+    "/api/remove-bg": "🌐 [Gateway] Tách nền ảnh AI (/api/remove-bg)",
+    "/api/transcribe": "🌐 [Gateway] Nhận diện giọng nói (/api/transcribe)",
+    "/api/pixel/detect": "🌐 [Gateway] Nhận diện lưới pixel (/api/pixel/detect)",
+    "/api/pixel/fix": "🌐 [Gateway] Tái tạo Pixel Art (/api/pixel/fix)",
+    "/api/pixel/health": "🌐 [Gateway] Kiểm tra PixelFixer Health (/api/pixel/health)",
+}
+SPAN_PREFIXES = {
+    "/api/file/": "🌐 [Gateway] Tải file kết quả ({path})",
+    "/api/status/": "🌐 [Gateway] Kiểm tra tiến độ ({path})",
+    "/api/cancel/": "🌐 [Gateway] Hủy tiến trình ({path})",
+    "/api/stream/": "🌐 [Gateway] Stream tiến độ ({path})",
+}
+SPAN_ERROR = "🌐 [Gateway] Lỗi {status} ({method} {path})"
+SPAN_OTHER = "🌐 [Gateway] {method} {path}"
+
+
+def span_name(method: Column, path: Column, status: Column, probe: Column) -> Column:
+    """a request's display name in traces: a probe's, that of a known path, of a family of paths, of an error, or the request itself."""
+    parts = {"method": method, "path": path, "status": status.cast("string")}
+
+    def fill(text: str) -> Column:
+        pieces = [p for p in re.split(r"\{(\w+)\}", text)]
+        return F.concat(*[parts[p] if k % 2 else F.lit(p) for k, p in enumerate(pieces) if p])
+
+    out = F.when(probe, fill(SPAN_PROBE))
+    for known, name in SPAN_NAMES.items():
+        out = out.when(path == known, F.lit(name))
+    for prefix, name in SPAN_PREFIXES.items():
+        out = out.when(path.startswith(prefix), fill(name))
+    return out.when(status >= 400, fill(SPAN_ERROR)).otherwise(fill(SPAN_OTHER))
+
+
 def parse_traceparent(header: Column) -> Column:
     """struct of trace_id and parent_id; nulls if the header isn't one."""
     parts = F.split(header, "-")

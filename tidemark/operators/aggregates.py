@@ -104,10 +104,10 @@ def order_stats(values: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def uniform_histogram(values: DataFrame, by: str, value: str, most: float = 64.0, width: float = 0.5) -> DataFrame:
-    """Non-empty bins of (0, most] with their centres."""
+    """Non-empty bins of [0, most] with their centres."""
     bins = int(most / width) + 1
     place = F.least(F.floor(F.col(value) / most * bins), F.lit(bins - 1)).cast("int")
-    counted = values.where((F.col(value) > 0) & (F.col(value) <= most)).groupBy(by, place.alias("bin")).agg(F.count("*").alias("n"))
+    counted = values.where((F.col(value) >= 0) & (F.col(value) <= most)).groupBy(by, place.alias("bin")).agg(F.count("*").alias("n"))
     return counted.withColumn("centre", (F.col("bin") + 0.5) * most / bins)
 
 
@@ -119,7 +119,7 @@ def comb_scores(histogram: DataFrame, by: str, steps: Sequence[float]) -> DataFr
 
 
 def audit_summary(results: DataFrame) -> DataFrame:
-    """One row of counts by outcome, and the memory's drift from the first result to the last. Schema violations and
+    """One row of counts by outcome (server errors are 500, 502 and 503), and the memory's drift from the first result to the last. Schema violations and
     leaks are counted if results have schema_valid and sanitization (a text that says LEAKED or EXPLOIT)."""
     count = lambda c: F.count_if(c)
     s = F.col("status")
@@ -131,7 +131,7 @@ def audit_summary(results: DataFrame) -> DataFrame:
         more.append(count(F.col("sanitization").contains("LEAKED") | F.col("sanitization").contains("EXPLOIT")).alias("leaks"))
     return results.agg(
         count((s == 200) & F.col("safe")).alias("clean"), count(s.isin(400, 415, 422) & F.col("safe")).alias("blocked"), count(F.col("crashed")).alias("crashes"),
-        count(s >= 500).alias("server_errors"), count(~F.col("safe")).alias("unsafe"), drift.alias("memory_drift"), *more,
+        count(s.isin(500, 502, 503)).alias("server_errors"), count(~F.col("safe")).alias("unsafe"), drift.alias("memory_drift"), *more,
     )
 
 

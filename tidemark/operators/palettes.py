@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.staging import written
 
 from .pixels import assign_cells, cell_color, color_bin, edge_gates, label_shares, oklab_bin, oklab_dist2, spatial_grid, to_oklab, tv_cleanup
-from .refine import cell_vote, protected_mask, refine_ambiguous, relax_labels, saliency, with_confidence
+from .refine import cell_vote, protected_mask, refine_ambiguous, relax_labels, saliency, whole_core, with_confidence
 
 CHANNELS = ["r", "g", "b"]
 
@@ -143,7 +143,7 @@ def advanced(pixels: DataFrame, cols: int, rows: int, offset: tuple[float, float
     grid = spatial_grid(pixels, cols, rows, offset)
     own = written(grid.join(protected_mask(pixels), ["image_id", "x", "y"]), "advanced-pixels")
     votes = written(cell_vote(own), "advanced-votes")
-    refined = written(refine_ambiguous(votes, own).select(*key, "label"), "advanced-labels")
+    refined = written(refine_ambiguous(votes, whole_core(own, cols, rows)).select(*key, "label"), "advanced-labels")
     sure = votes.groupBy("image_id").agg(F.avg(F.col("confident").cast("int")).alias("confident_ratio"))
     details = own.groupBy("image_id").agg(F.count_if("protected").alias("protected_pixels"))
     return cell_color(own.withColumn("w", F.col("w") + 1e-4), refined), sure.join(details, "image_id")

@@ -71,17 +71,18 @@ def oklab_moments(pixels: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def adaptive_k(pixels: DataFrame, low: int = 16, high: int = 48, share: float = 0.003) -> DataFrame:
-    """How many 4-bit colours hold at least `share` of an image's opaque pixels, within bounds."""
-    counts = pixels.where("a > 127").groupBy("image_id", color_bin(F.col("r"), F.col("g"), F.col("b")).alias("key")).agg(F.count("*").alias("n"))
+    """How many 4-bit colours hold at least `share` of an image's pixels that aren't wholly transparent, within bounds; the lower one
+    for an image without any."""
+    counts = pixels.groupBy("image_id", color_bin(F.col("r"), F.col("g"), F.col("b")).alias("key")).agg(F.count_if(F.col("a") > 0).alias("n"))
     counts = counts.withColumn("all_", F.sum("n").over(Window.partitionBy("image_id")))
-    return counts.groupBy("image_id").agg(F.greatest(F.lit(low), F.least(F.lit(high), F.count_if(F.col("n") >= share * F.col("all_")))).cast("int").alias("k"))
+    return counts.groupBy("image_id").agg(F.greatest(F.lit(low), F.least(F.lit(high), F.count_if((F.col("all_") > 0) & (F.col("n") / F.col("all_") >= share)))).cast("int").alias("k"))
 
 
 def axis_profile(pixels: DataFrame, axis: str = "x") -> DataFrame:
-    """At each place of an axis, the sum of brightness steps across it."""
+    """At each place of an axis, the sum of brightness steps across it; brightness counts as far as a pixel is opaque."""
     other = "y" if axis == "x" else "x"
     w = Window.partitionBy("image_id", other).orderBy(axis)
-    y = luma(F.col("r"), F.col("g"), F.col("b"), F.col("a"))
+    y = luma(F.col("r"), F.col("g"), F.col("b"), F.col("a"), "times")
     steps = pixels.select("image_id", axis, F.abs(y - F.lag(y).over(w)).alias("step"))
     return steps.where("step IS NOT NULL").groupBy("image_id", F.col(axis).alias("pos")).agg(F.sum("step").alias("edge"))
 
@@ -162,13 +163,6 @@ def cell_color(pixels: DataFrame, winners: DataFrame) -> DataFrame:
     return own.groupBy("image_id", "cx", "cy").agg(mean("r"), mean("g"), mean("b"), solid)
 
 
-def grid_variance(pixels: DataFrame, step: float, offset: float = 0.0) -> DataFrame:
-    """Mean brightness variance inside the cells, weighed by area."""
-    y = luma(F.col("r"), F.col("g"), F.col("b"))
-    cells = assign_cells(pixels, step, offset).groupBy("image_id", "cx", "cy").agg(F.sum(y * y).alias("yy"), F.sum(y).alias("y"), F.count("*").alias("n"))
-    return cells.groupBy("image_id").agg((F.sum(F.col("yy") - F.col("y") * F.col("y") / F.col("n")) / F.sum("n")).alias("variance"))
-
-
 def color_moments(pixels: DataFrame, bits: int = 5) -> DataFrame:
     """Count, sums and squared norms of each colour bin."""
     r, g, b = F.col("r").cast("long"), F.col("g").cast("long"), F.col("b").cast("long")
@@ -199,7 +193,8 @@ def edge_sharpness(pixels: DataFrame) -> DataFrame:
 
 
 def snap_palette(pixels: DataFrame, palette: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """Each pixel's nearest palette colour (a fixed short list; the first of equals); alpha below 32 becomes transparent.
+    """Each pixel's nearest palette colour (a fixed short list; the first of equals); alpha below 32 becomes transparent, and such a
+    pixel's colour stays.
 
     Distances are worked out once for each distinct colour, not each pixel."""
     colors = pixels.select("r", "g", "b").distinct()
@@ -207,7 +202,8 @@ def snap_palette(pixels: DataFrame, palette: Sequence[tuple[int, int, int]]) ->
     options = [F.struct((0.299 * (r - p) * (r - p) + 0.587 * (g - q) * (g - q) + 0.114 * (b - s) * (b - s)).alias("d"), F.lit(i).alias("i"), F.lit(p).alias("pr"), F.lit(q).alias("pg"), F.lit(s).alias("pb")) for i, (p, q, s) in enumerate(palette)]
     best = colors.withColumn("best", F.array_min(F.array(*options)))
     joined = pixels.join(best, ["r", "g", "b"])
-    return joined.select("image_id", "x", "y", F.col("best.pr").alias("r"), F.col("best.pg").alias("g"), F.col("best.pb").alias("b"), F.when(F.col("a") < 32, 0).otherwise(255).alias("a"))
+    clear = F.col("a") < 32
+    return joined.select("image_id", "x", "y", *[F.when(clear, F.col(c)).otherwise(F.col(f"best.p{c}")).alias(c) for c in "rgb"], F.when(clear, 0).otherwise(255).alias("a"))
 
 
 def neighbors3x3(grid: DataFrame, value: str, edge: str = "clip") -> DataFrame:
@@ -276,12 +272,3 @@ def autocorr(profile: DataFrame, key: str, pos: str, value: str, max_lag: int) -
     sums = ahead.join(rows.select(key, "p", "v"), [key, "p"]).groupBy(key, "lag").agg((F.sum(F.col("v") * F.col("v0")) / (F.max("n_") - F.col("lag"))).alias("c"))
     zero = sums.where("lag = 0").select(key, F.col("c").alias("c0"))
     return sums.join(zero, key).select(key, "lag", F.when(F.col("c0") > 0, F.col("c") / F.col("c0")).otherwise(0.0).alias("acf"))
-
-
-def rayleigh(peaks: DataFrame, key: str, pos: str, steps: Sequence[float]) -> DataFrame:
-    """How coherent the peaks' positions are at each step: R sqrt(2 n) times the share of slots that have a peak."""
-    rows = peaks.withColumn("step", F.explode(F.array(*[F.lit(float(s)) for s in steps])))
-    angle = F.lit(2 * 3.141592653589793) * F.col(pos) / F.col("step")
-    slot = F.floor(F.col(pos) / F.col("step"))
-    out = rows.groupBy(key, "step").agg(F.sum(F.cos(angle)).alias("c"), F.sum(F.sin(angle)).alias("s"), F.count("*").alias("n"), F.count_distinct(slot).alias("slots"), (F.max(slot) - F.min(slot) + 1).alias("span"))
-    return out.select(key, "step", (F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n") * F.sqrt(2.0 * F.col("n")) * F.col("slots") / F.col("span")).alias("score"))

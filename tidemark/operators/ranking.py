@@ -22,13 +22,20 @@ def top_findings(df: DataFrame, section: str, order: Sequence, n: int) -> DataFr
     return ranked.where(F.col("rank") <= n).join(more, section)
 
 
-def divisor_candidates(steps: DataFrame, key: str, step: str, n: int = 5) -> DataFrame:
-    """L3: whole divisors near each step, scored 70 - 150 diff and at least 20 where diff < 0.15; the n best, then the smaller."""
-    rows = steps.withColumn("d", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4, 6, 8, 12, 16)])))
-    part = F.col(step) / F.col("d")
-    rows = rows.withColumn("size", F.bround(part).cast("int")).withColumn("diff", F.abs(part - F.bround(part))).where("size >= 2 AND diff < 0.15")
-    rows = rows.groupBy(key, "size").agg(F.max(F.greatest(F.lit(20.0), 70 - 150 * F.col("diff"))).alias("score"))
-    return top_rows(rows, [key], [F.desc("score"), "size"], n)
+def divisor_candidates(steps: DataFrame, key: str, step: str, confidence: str | int = 100, n: int = 5) -> DataFrame:
+    """L3: the sizes that a grid may have: its step, rounded, with the detectors' confidence, and those common divisors whose ratio to the
+    step is within 0.15 of a whole number, by 70 - 150 times the difference, whole, at least 15 and at most ten below the
+    step's own; the n best, then the smaller. confidence: a column, or a number for all."""
+    sure = F.col(confidence) if isinstance(confidence, str) else F.lit(confidence)
+    own = F.round(step).cast("int")
+    rows = steps.select(key, F.col(step).alias("step_"), own.alias("own_"), sure.cast("int").alias("sure_"), F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4, 6, 8, 12, 16)])).alias("size"))
+    ratio = F.col("step_") / F.col("size")
+    diff = F.abs(F.round(ratio) - ratio)
+    raw = F.floor(F.greatest(70 - 150 * diff, F.lit(20.0))).cast("int")
+    capped = F.greatest(F.least(raw, F.greatest(F.col("sure_") - 10, F.lit(0))), F.lit(15))
+    others = rows.where((F.col("size") != F.col("own_")) & (diff < 0.15)).select(key, "size", capped.alias("confidence"))
+    primary = steps.select(key, own.alias("size"), sure.cast("int").alias("confidence")).where("size >= 1")
+    return top_rows(primary.union(others), [key], [F.desc("confidence"), "size"], n)
 
 
 def even_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int) -> DataFrame:

@@ -181,8 +181,25 @@ def cell_vote(pixels: DataFrame) -> DataFrame:
     return out.select(*key, label.alias("label"), "margin", "protected", (F.col("protected") | ((F.col("margin") >= 0.35) & (F.col("share") >= 0.48))).alias("confident"))
 
 
+def whole_core(pixels: DataFrame, cols: int, rows: int) -> DataFrame:
+    """Pixels of images cut into cols x rows cells, with cell and core: a cell begins at cx * width / cols without its fraction, and its
+    core leaves out a quarter of its pixels, without the fraction, on each side."""
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width_"), (F.max("y") + 1).alias("height_"))
+
+    def axis(c: str, full: str, n: int):
+        # the cell whose whole-number beginning is the last at or before the place
+        cell = F.floor(((F.col(c) + 1) * n - 1) / F.col(full)).cast("int")
+        begin, end = F.floor(cell * F.col(full) / n), F.floor((cell + 1) * F.col(full) / n)
+        edge = F.floor(F.greatest(end - begin, F.lit(1)) / 4)
+        return cell, (F.col(c) >= begin + edge) & (F.col(c) < end - edge)
+
+    (cx, mx), (cy, my) = axis("x", "width_", cols), axis("y", "height_", rows)
+    kept = [c for c in pixels.columns if c not in ("cx", "cy", "core")]
+    return pixels.join(size, "image_id").select(*kept, cx.alias("cx"), cy.alias("cy"), (mx & my).alias("core"))
+
+
 def refine_ambiguous(votes: DataFrame, pixels: DataFrame, heats: tuple[float, ...] = (0.7, 0.4)) -> DataFrame:
-    """Labels of the cells that cell_vote left ambiguous, by their pixels (with cx, cy, label, core) and their neighbours.
+    """Labels of the cells that cell_vote left ambiguous, by their pixels (with cx, cy, label, core: see whole_core) and their neighbours.
 
     A settled cell holds its label for sure; an ambiguous one begins with its labels' shares, core pixels counting 2 and
     others 0.5. In each round, at falling heat, its shares become proportional to exp((1.5 own + 1.2 neighbours') / heat),

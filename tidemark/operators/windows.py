@@ -178,9 +178,13 @@ def lag_diffs(bounds: DataFrame, keys: Sequence[str], pos: str, lags: int = 4, l
 
 
 def box_mean(profile: DataFrame, keys: Sequence[str], pos: str, value: str, radius: int = 3) -> DataFrame:
-    """The mean of the neighbourhood, cut at the edges."""
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(-radius, radius)
-    return profile.withColumn("smooth", F.avg(value).over(w))
+    """The mean of the neighbourhood; beyond an edge the edge's value counts."""
+    line = Window.partitionBy(*keys).orderBy(pos)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.greatest(F.lit(radius + 1) - F.row_number().over(line), F.lit(0))
+    after = F.greatest(F.lit(radius) - (F.count("*").over(whole) - F.row_number().over(line)), F.lit(0))
+    total = F.sum(value).over(line.rowsBetween(-radius, radius)) + before * F.first(value).over(whole) + after * F.last(value).over(whole)
+    return profile.withColumn("smooth", total / (2 * radius + 1))
 
 
 def running_median(profile: DataFrame, keys: Sequence[str], pos: str, value: str, radius: int = 2) -> DataFrame:
@@ -269,11 +273,16 @@ def circuit_intervals(requests: DataFrame, node: str = "node", order: Sequence[s
     return counted.where((F.col("failed") == 1) & (F.col("in_row") >= failures)).select(node, *order, "in_row", (F.col(order[0]) + F.expr(f"INTERVAL {seconds} SECONDS")).alias("open_until"))
 
 
-def normalize_profile(profile: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Divided by the P95 of the positive values, between 0 and 1.5."""
-    top = F.percentile(F.when(F.col(value) > 0, F.col(value)), 0.95)
-    scale = profile.groupBy(*keys).agg(top.alias("top_"))
-    return profile.join(scale, list(keys)).withColumn("norm", F.when(F.col("top_") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.5), F.col(value) / F.col("top_")))).otherwise(0.0)).drop("top_")
+def normalize_profile(profile: DataFrame, keys: Sequence[str], pos: str, value: str) -> DataFrame:
+    """Divided by the interpolated P95 of all values but the first and the last, between 0 and 1.5; where that isn't positive by their
+    maximum, or 1. Profiles of two places or fewer stay as they are."""
+    ends = profile.groupBy(*keys).agg(F.min(pos).alias("lo_"), F.max(pos).alias("hi_"), F.count("*").alias("n_"))
+    rows = profile.join(ends, list(keys))
+    inner = F.when((F.col(pos) > F.col("lo_")) & (F.col(pos) < F.col("hi_")), F.col(value))
+    scale = rows.groupBy(*keys).agg(F.percentile(inner, 0.95).alias("p95_"), F.max(inner).alias("top_"))
+    by = F.when(F.col("p95_") > 0, F.col("p95_")).when(F.col("top_") > 0, F.col("top_")).otherwise(1.0)
+    norm = F.when(F.col("n_") <= 2, F.col(value)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.5), F.col(value) / (by + 1e-9))))
+    return rows.join(scale, list(keys)).withColumn("norm", norm).select(*profile.columns, "norm")
 
 
 def detrend_z(profile: DataFrame, keys: Sequence[str], pos: str, value: str, radius: int = 7) -> DataFrame:

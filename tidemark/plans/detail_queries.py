@@ -14,6 +14,7 @@ from tidemark.operators import refine as R
 from tidemark.operators import windows as W
 from tidemark.streaming import streams as T
 
+from .grid_queries import best_sql, comb_sql, greedy_sql, phases_sql
 from .palette_queries import REFINED, REFINED_FROM, VOTE_STEPS, refinement
 from .pixel_queries import SQL, TIDY, far, gates_of, lab_of, pixels
 from .refine_queries import OPEN, ROUND
@@ -74,11 +75,16 @@ RESTORE = f"""WITH {WIDE}, {grid_sql(16, 0.0, 0.0)}, {lab_of('gr', 'image_id, x,
     wn AS (SELECT k.image_id, k.cx, k.cy, max(k.label) FILTER (r = 1) AS label, max(p) FILTER (r = 1) - coalesce(max(p) FILTER (r = 2), 0) AS confidence, any_value(lc.l) AS l, any_value(lc.a) AS a, any_value(lc.b) AS b FROM rk k JOIN lc ON k.image_id = lc.image_id AND k.cx = lc.cx AND k.cy = lc.cy GROUP BY 1, 2, 3),
     {TIDY} {COLOR.format(mean=MEAN, won='td')}"""
 
+#: wc: pixels by whole cells, that begin and end at places without fractions, and their cores.
+WHOLE_CELLS = """wb AS (SELECT image_id, label, x, y, ((x + 1) * 16 - 1) // sw AS cx, ((y + 1) * 16 - 1) // sh_ AS cy, sw, sh_ FROM wp JOIN gz USING (image_id)),
+    we AS (SELECT *, cx * sw // 16 AS x0, (cx + 1) * sw // 16 AS x1, cy * sh_ // 16 AS y0, (cy + 1) * sh_ // 16 AS y1 FROM wb),
+    wc AS (SELECT image_id, cx, cy, label, x >= x0 + greatest(x1 - x0, 1) // 4 AND x < x1 - greatest(x1 - x0, 1) // 4 AND y >= y0 + greatest(y1 - y0, 1) // 4 AND y < y1 - greatest(y1 - y0, 1) // 4 AS core FROM we)"""
+
 #: Details are protected by g and b, which stand for rareness and confidence; then votes, refinement and colours.
 ADVANCED = f"""WITH {WIDE}, {grid_sql(16, 0.0, 0.0)},
     pm AS (SELECT p.image_id, p.x, p.y, max(p.g) / 20.0 > 2 AND max(p.b) / 255.0 > 0.3 AND count(*) FILTER (p.label = o.label) BETWEEN 1 AND 4 AS prot FROM wp p JOIN wp o ON p.image_id = o.image_id AND abs(p.x - o.x) <= 1 AND abs(p.y - o.y) <= 1 GROUP BY 1, 2, 3),
     pc AS (SELECT gr.image_id, gr.x, gr.y, cx, cy, w, label, b, core, CASE WHEN prot THEN 255 ELSE 0 END AS g FROM gr JOIN pm ON gr.image_id = pm.image_id AND gr.x = pm.x AND gr.y = pm.y),
-    {VOTE_STEPS}, {refinement('core')}, fin AS (SELECT image_id, cx, cy, {REFINED} AS label FROM {REFINED_FROM})"""
+    {WHOLE_CELLS}, {VOTE_STEPS}, {refinement('core', 'wc')}, fin AS (SELECT image_id, cx, cy, {REFINED} AS label FROM {REFINED_FROM})"""
 
 
 def salient(spark, d):
@@ -99,7 +105,7 @@ def tiles(spark, d):
 
 
 def results(spark, d):
-    return audit(spark, d).withColumns({"schema_valid": C("id") % 7 > 0, "sanitization": F.when(C("id") % 6 == 0, "LEAKED path").when(C("id") % 9 == 0, "EXPLOIT ran").otherwise("clean")})
+    return audit(spark, d).withColumns({"status": F.when(C("id") % 17 == 0, 504).when(C("id") % 19 == 0, 503).otherwise(C("status")), "schema_valid": C("id") % 7 > 0, "sanitization": F.when(C("id") % 6 == 0, "LEAKED path").when(C("id") % 9 == 0, "EXPLOIT ran").otherwise("clean")})
 
 
 def grades(spark, d):
@@ -121,6 +127,8 @@ KERNEL = f"(SELECT k, exp(-0.5 * pow(k / {SIGMA}, 2)) / sum(exp(-0.5 * pow(k / {
 EWMA_POOL = """SELECT node, ewma FROM (SELECT node, k, 15 * pow(0.8, k) + sum(0.2 * v * pow(0.8, k - i)) OVER (PARTITION BY node) AS ewma, i FROM
       (SELECT node, duration_ms + CASE WHEN status_code >= 500 THEN 500 ELSE 0 END AS v, row_number() OVER (PARTITION BY node ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY node) AS k FROM {requests})) WHERE i = k"""
 
+VARIANCE = "sum(r * r + g * g + b * b + a * a) / count(*) - pow(avg(r), 2) - pow(avg(g), 2) - pow(avg(b), 2) - pow(avg(a), 2)"
+
 QUERIES = {
     "p4_allowed_output": (
         lambda s, d: view(s, d, "urls").select("page_id", P.is_allowed_output(F.concat(F.lit("."), F.element_at(F.array(*map(F.lit, ("TXT", "srt", "doc", "Vtt"))), (C("page_id") % 4 + 1).cast("int"))), "transcribe").alias("output"), P.is_allowed_task(F.element_at(F.array(*map(F.lit, (" Transcribe", "translate", "sing"))), (C("page_id") % 3 + 1).cast("int"))).alias("task")),
@@ -155,8 +163,10 @@ QUERIES = {
         f"WITH {WIDE}, sz AS (SELECT image_id, max(y) AS my FROM wp GROUP BY 1) SELECT p.image_id, p.x, p.y, round_even(median(o.r) / 12, 0) * 12 AS smooth FROM wp p JOIN sz USING (image_id), (SELECT a.v AS dx, b.v AS dy FROM (VALUES (-1), (0), (1)) a(v), (VALUES (-1), (0), (1)) b(v)) z JOIN wp o ON o.image_id = p.image_id AND o.x = least(greatest(p.x + dx, 0), 63) AND o.y = least(greatest(p.y + dy, 0), my) GROUP BY 1, 2, 3",
     ),
     "w11_peaks_apart": (
-        lambda s, d: G.find_peaks(profile(s, d).withColumn("v", C("v") * 64 + C("pos")), "vec_id", "pos", "v", 0.0, 64),
-        f"SELECT vec_id, pos::BIGINT AS peak, h AS height FROM (SELECT vec_id, pos, h, row_number() OVER (PARTITION BY vec_id ORDER BY h DESC) AS k FROM (SELECT vec_id, pos, v * 64 + pos AS h, lag(v * 64 + pos) OVER w AS a, lead(v * 64 + pos) OVER w AS b FROM {PROFILE} WINDOW w AS (PARTITION BY vec_id ORDER BY pos)) WHERE a < h AND b < h) WHERE k = 1",
+        lambda s, d: G.find_peaks(profile(s, d).withColumn("v", F.floor(C("v") / 48)), "vec_id", "pos", "v", 1.0, 6.4),
+        f"""WITH RECURSIVE p AS (SELECT vec_id, pos, floor(v / 48) AS v FROM {PROFILE}), rn AS (SELECT vec_id, run, any_value(v) AS h, min(pos) AS a, max(pos) AS b FROM (SELECT *, sum(CASE WHEN v = pv THEN 0 ELSE 1 END) OVER (PARTITION BY vec_id ORDER BY pos) AS run FROM (SELECT *, lag(v) OVER (PARTITION BY vec_id ORDER BY pos) AS pv FROM p)) GROUP BY vec_id, run),
+        pk AS (SELECT vec_id, (a + b) // 2 AS pos, h FROM (SELECT *, lag(h) OVER w AS l, lead(h) OVER w AS r FROM rn WINDOW w AS (PARTITION BY vec_id ORDER BY run)) WHERE h >= 1 AND l < h AND r < h), {greedy_sql('pk', 'vec_id', '7')}
+        SELECT vec_id, pos::BIGINT AS peak, h::DOUBLE AS height FROM kept""",
     ),
     "w12_distance_confidence": (
         lambda s, d: rounded(W.distance_confidence(grades(s, d), ["vec_id"], "label", "d")),
@@ -173,33 +183,30 @@ QUERIES = {
     ),
     "a12_adaptive_k_wide": (
         lambda s, d: X.adaptive_k(wide(s, d)),
-        f"WITH {WIDE}, c AS (SELECT image_id, count(*) AS n FROM wp WHERE a > 127 GROUP BY image_id, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4)), t AS (SELECT *, sum(n) OVER (PARTITION BY image_id) AS s FROM c) SELECT image_id, greatest(16, least(48, count(*) FILTER (n >= 0.003 * s)))::INT AS k FROM t GROUP BY image_id",
+        f"WITH {WIDE}, c AS (SELECT image_id, count(*) AS n FROM wp WHERE a > 0 GROUP BY image_id, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4)), t AS (SELECT *, sum(n) OVER (PARTITION BY image_id) AS s FROM c) SELECT image_id, greatest(16, least(48, count(*) FILTER (n / s >= 0.003)))::INT AS k FROM t GROUP BY image_id",
     ),
     "a18_pick_peak_step": (
-        lambda s, d: G.pick_peak_step(rounded(A.comb_scores(A.uniform_histogram(read(s, d, "events"), "event_type", "value"), "event_type", range(3, 20))), read(s, d, "events").where("value > 0 AND value <= 64"), "event_type", "value"),
-        """WITH e AS (SELECT event_type, value FROM events WHERE value > 0 AND value <= 64), h AS (SELECT event_type, (least(floor(value / 64.0 * 129), 128) + 0.5) * 64 / 129 AS c FROM e), s AS (SELECT event_type, step::DOUBLE AS step, round(avg(cos(2 * pi() * c / step)), 6) AS score FROM h, range(3, 20) r(step) GROUP BY 1, 2),
+        lambda s, d: G.pick_peak_step(rounded(A.comb_scores(A.uniform_histogram(read(s, d, "events"), "event_type", "value"), "event_type", range(3, 20))), read(s, d, "events").where("value >= 0 AND value <= 64"), "event_type", "value"),
+        """WITH e AS (SELECT event_type, value FROM events WHERE value >= 0 AND value <= 64), h AS (SELECT event_type, (least(floor(value / 64.0 * 129), 128) + 0.5) * 64 / 129 AS c FROM e), s AS (SELECT event_type, step::DOUBLE AS step, round(avg(cos(2 * pi() * c / step)), 6) AS score FROM h, range(3, 20) r(step) GROUP BY 1, 2),
         k AS (SELECT * FROM (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS b FROM s WINDOW w AS (PARTITION BY event_type ORDER BY step)) WHERE score > a AND score >= b), t AS (SELECT *, max(score) OVER (PARTITION BY event_type) AS top FROM k),
         f AS (SELECT t.*, (SELECT count(*) FROM e WHERE e.event_type = t.event_type AND abs(e.value - t.step) < greatest(0.6, 0.18 * t.step)) / (SELECT count(*) FROM e WHERE e.event_type = t.event_type)::DOUBLE AS held FROM t WHERE top > 0)
         SELECT event_type, coalesce(max(step) FILTER (score >= 0.7 * top AND held >= 0.04), arg_max(step, (score, -step))) AS step FROM f GROUP BY 1""",
     ),
     "a19_int_median": (lambda s, d: A.int_median(profile(s, d), "vec_id", "v"), f"SELECT vec_id, trunc(median(v))::BIGINT AS median FROM {PROFILE} GROUP BY vec_id"),
-    "a21_best_phase_wide": (
-        lambda s, d: rounded(G.best_phase(wide(s, d), 5.0, 5), 4),
-        f"""WITH {WIDE}, q AS (SELECT unnest(range(5))::DOUBLE AS f), o AS (SELECT image_id, m.f AS ox, n.f AS oy, floor((x + 0.5 - m.f) / 5) AS cx, floor((y + 0.5 - n.f) / 5) AS cy, (0.299 * r + 0.587 * g + 0.114 * b)::DOUBLE AS v FROM wp, q m, q n),
-        c AS (SELECT image_id, ox, oy, sum(v * v) AS vv, sum(v) AS v, count(*) AS n FROM o GROUP BY image_id, ox, oy, cx, cy), g AS (SELECT image_id, ox, oy, round(sum(vv - v * v / n) / sum(n), 6) AS variance FROM c GROUP BY 1, 2, 3)
-        SELECT image_id, ox, oy, round(variance, 4) AS variance FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY variance, ox, oy) AS k FROM g) WHERE k = 1""",
-    ),
+    "a21_best_phase_wide": (lambda s, d: rounded(G.best_phase(wide(s, d), 5.0, 5.0, 5), 6), f"WITH {WIDE}, {phases_sql('64', 'wp', 5.0, 5.0, 5)} {best_sql(5.0, 5.0, 5)}"),
     "a21_phase_contrast": (
-        lambda s, d: rounded(G.phase_contrast(wide(s, d), 6.0), 6),
-        f"""WITH {WIDE}, q AS (SELECT unnest([0.0::DOUBLE, 2.0, 4.0]) AS f), o AS (SELECT image_id, m.f AS ox, n.f AS oy, floor((x + 0.5 - m.f) / 6) AS cx, floor((y + 0.5 - n.f) / 6) AS cy, (0.299 * r + 0.587 * g + 0.114 * b)::DOUBLE AS v FROM wp, q m, q n),
-        c AS (SELECT image_id, ox, oy, sum(v * v) AS vv, sum(v) AS v, count(*) AS n FROM o GROUP BY image_id, ox, oy, cx, cy), g AS (SELECT image_id, sum(vv - v * v / n) / sum(n) AS inside, (sum(vv) - sum(v) * sum(v) / sum(n)) / sum(n) AS every FROM c GROUP BY image_id, ox, oy)
-        SELECT image_id, round((max(inside) - min(inside)) / (min(inside) + 0.05 * max(every)), 6) AS contrast FROM g GROUP BY 1""",
-    ),
-    "a22_comb_phase_fine": (
-        lambda s, d: rounded(G.comb_phase(profile(s, d), "vec_id", "pos", "v", 6, 16), 5),
-        f"""WITH p AS {PROFILE}, m AS (SELECT a.vec_id, bin, avg(a.v * (1 - f) + coalesce(b.v, 0) * f) AS m FROM (SELECT bin, floor(t)::BIGINT AS lo, t - floor(t) AS f FROM (SELECT bin, bin * 6 / 16.0::DOUBLE + k * 6 AS t FROM range(16) r(bin), range(12) s(k))) t JOIN p a ON a.pos = lo LEFT JOIN p b ON b.vec_id = a.vec_id AND b.pos = lo + 1 WHERE f = 0 OR b.v IS NOT NULL GROUP BY 1, 2)
-        SELECT vec_id, arg_max(bin, (m, -bin)) * 6 / 16.0::DOUBLE AS phase, round(max(m) / avg(m), 5) AS strength FROM m GROUP BY vec_id""",
+        lambda s, d: rounded(G.phase_contrast(wide(s, d), 6.0), 5),
+        f"""WITH {WIDE}, i4 AS (SELECT image_id, x, y, r * a / 255.0::DOUBLE AS r, g * a / 255.0::DOUBLE AS g, b * a / 255.0::DOUBLE AS b, a::DOUBLE AS a FROM wp), sz AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM wp GROUP BY 1),
+        al AS (SELECT image_id, {VARIANCE} AS v FROM i4 GROUP BY 1), bl AS (SELECT image_id, x // 8 AS i, y // 8 AS j, {VARIANCE} AS v FROM i4 JOIN sz USING (image_id) WHERE x < w // 8 * 8 AND y < h // 8 * 8 GROUP BY 1, 2, 3),
+        ac AS (SELECT bl.*, bl.v > greatest(0.02 * al.v, 1e-6) AS active, al.v AS every FROM bl JOIN al USING (image_id)),
+        lk AS (SELECT *, count(*) FILTER (active) OVER (PARTITION BY image_id) AS n, avg(v) FILTER (active) OVER (PARTITION BY image_id) AS own FROM ac),
+        ce AS (SELECT image_id, i, j, own, every, ox, oy, i * 8 + 4.0::DOUBLE AS px, j * 8 + 4.0::DOUBLE AS py FROM lk, (VALUES (0.0::DOUBLE), (2.0), (4.0)) p(ox), (VALUES (0.0::DOUBLE), (2.0), (4.0)) q(oy) WHERE active OR n < 8),
+        bx AS (SELECT image_id, i, j, coalesce(own, every) AS own, ox, oy, least(greatest(ox + floor((px - ox) / 6) * 6, 0), w - 1) AS x0, least(greatest(oy + floor((py - oy) / 6) * 6, 0), h - 1) AS y0, ox + floor((px - ox) / 6) * 6 + 6 AS x1, oy + floor((py - oy) / 6) * 6 + 6 AS y1 FROM ce JOIN sz USING (image_id) WHERE 6 <= w / 3 AND 6 <= h / 3),
+        va AS (SELECT b.image_id, b.own, ox, oy, i, j, {VARIANCE} AS v FROM bx b JOIN i4 p ON p.image_id = b.image_id AND p.x >= x0 AND p.x < greatest(x1, x0 + 1) AND p.y >= y0 AND p.y < greatest(y1, y0 + 1) GROUP BY ALL),
+        me AS (SELECT image_id, own, ox, oy, avg(greatest(v, 0)) AS v FROM va GROUP BY ALL), ct AS (SELECT image_id, (max(v) - min(v)) / (min(v) + 0.05 * any_value(own)) AS c FROM me GROUP BY 1)
+        SELECT sz.image_id, round(coalesce(c, 0), 5) AS contrast FROM sz LEFT JOIN ct USING (image_id)""",
     ),
+    "a22_comb_phase_fine": (lambda s, d: rounded(G.comb_phase(profile(s, d), "vec_id", "pos", "v", 6.3), 5), comb_sql(6.3)),
     "a23_oklab_moments": (
         lambda s, d: rounded(X.oklab_moments(wide(s, d).select("image_id", X.to_oklab(C("r"), C("g"), C("b")).alias("lab"), (C("r") / 64 + 1).alias("s")), "s").groupBy("image_id").agg(F.count("*").alias("bins"), *[F.sum(c).alias(c) for c in ("weight", "L", "squares")]), 5),
         f"""WITH {WIDE}, {lab_of('wp', 'image_id, r / 64.0 + 1 AS w')}, m AS (SELECT image_id, w, l, l * l + a * a + b * b AS q, (least(floor(least(greatest(l, 0), 1) * 31.999), 31) * 1024 + least(floor(least(greatest((a + 0.4) / 0.8, 0), 1) * 31.999), 31) * 32 + least(floor(least(greatest((b + 0.4) / 0.8, 0), 1) * 31.999), 31))::INT AS bin FROM lab_wp)
@@ -225,8 +232,8 @@ QUERIES = {
         SELECT a.vec_id, step, round(sum(w * c * ((1 - f) * a.acf + f * b.acf)) / (SELECT sum(w) FROM k q WHERE q.step = r.step), 4) AS score FROM r JOIN ac a ON a.lag = lo JOIN ac b ON b.vec_id = a.vec_id AND b.lag = least(lo + 1, 63) GROUP BY a.vec_id, step""",
     ),
     "a31_audit_full": (
-        lambda s, d: A.audit_summary(results(s, d)).select("schema_violations", "leaks"),
-        "SELECT count(*) FILTER (event_id % 7 = 0) AS schema_violations, count(*) FILTER (event_id % 6 = 0 OR event_id % 9 = 0) AS leaks FROM {requests}",
+        lambda s, d: A.audit_summary(results(s, d)).select("schema_violations", "leaks", "server_errors"),
+        "SELECT count(*) FILTER (event_id % 7 = 0) AS schema_violations, count(*) FILTER (event_id % 6 = 0 OR event_id % 9 = 0) AS leaks, count(*) FILTER (event_id % 17 <> 0 AND (event_id % 19 = 0 OR status_code IN (500, 502, 503))) AS server_errors FROM {requests}",
     ),
     "j10_neighbors_replicated": (
         lambda s, d: X.neighbors3x3(pixels(s, d), "r", "replicate").groupBy("image_id", "x", "y").agg(F.count("*").alias("n"), F.sum("other").alias("total")),

@@ -47,10 +47,10 @@ HEAT = """f{k} AS (SELECT * FROM fx UNION ALL SELECT * FROM {of}),
 
 
 
-def refinement(core: str) -> str:
-    """SQL of ce and nn: the votes vo after two rounds, and what their neighbours have. core: the rule of core pixels."""
+def refinement(core: str, of: str = "pc") -> str:
+    """SQL of ce and nn: the votes vo after two rounds, and what their neighbours have. core: the rule of core pixels of the table `of`."""
     return f"""lo AS (SELECT image_id, cx, cy FROM vo WHERE NOT confident AND NOT protected), fx AS (SELECT image_id, cx, cy, label, 1.0::DOUBLE AS p FROM vo WHERE confident OR protected),
-        q0 AS (SELECT image_id, cx, cy, label, sum(n) / sum(sum(n)) OVER (PARTITION BY image_id, cx, cy) AS p FROM (SELECT image_id, cx, cy, label, CASE WHEN {core} THEN 2.0::DOUBLE ELSE 0.5 END AS n FROM pc SEMI JOIN lo USING (image_id, cx, cy)) GROUP BY 1, 2, 3, 4),
+        q0 AS (SELECT image_id, cx, cy, label, sum(n) / sum(sum(n)) OVER (PARTITION BY image_id, cx, cy) AS p FROM (SELECT image_id, cx, cy, label, CASE WHEN {core} THEN 2.0::DOUBLE ELSE 0.5 END AS n FROM {of} SEMI JOIN lo USING (image_id, cx, cy)) GROUP BY 1, 2, 3, 4),
         {HEAT.format(k=1, of='q0', heat=0.7)}, {HEAT.format(k=2, of='q1', heat=0.4)},
         be AS (SELECT image_id, cx, cy, label AS better, p FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY p DESC, label) AS r FROM q2) WHERE r = 1),
         ce AS (SELECT image_id, cx, cy, coalesce(better, label) AS label, coalesce(p, 1) AS p, confident, protected FROM vo LEFT JOIN be USING (image_id, cx, cy)),

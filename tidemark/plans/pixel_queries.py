@@ -91,11 +91,11 @@ QUERIES = {
     "f23_color_bin": (lambda s, d: pixels(s, d).groupBy(X.color_bin(C("r"), C("g"), C("b")).alias("bin")).agg(F.count("*").alias("n")), f"WITH {SQL} SELECT ((r >> 4) * 256 + (g >> 4) * 16 + (b >> 4))::INT AS bin, count(*) AS n FROM px GROUP BY 1"),
     "a12_adaptive_k": (
         lambda s, d: X.adaptive_k(pixels(s, d), 4, 48, 0.05),
-        f"WITH {SQL}, c AS (SELECT image_id, count(*) AS n FROM px WHERE a > 127 GROUP BY image_id, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4)), t AS (SELECT *, sum(n) OVER (PARTITION BY image_id) AS s FROM c) SELECT image_id, greatest(4, least(48, count(*) FILTER (n >= 0.05 * s)))::INT AS k FROM t GROUP BY image_id",
+        f"WITH {SQL}, c AS (SELECT image_id, count(*) AS n FROM px WHERE a > 0 GROUP BY image_id, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4)), t AS (SELECT *, sum(n) OVER (PARTITION BY image_id) AS s FROM c) SELECT image_id, greatest(4, least(48, count(*) FILTER (n / s >= 0.05)))::INT AS k FROM t GROUP BY image_id",
     ),
     "a13_axis_profile": (
         lambda s, d: rounded(X.axis_profile(pixels(s, d)), 4),
-        f"WITH {SQL}, l AS (SELECT *, {LUMA} * a / 255.0 + 127.5 * (1 - a / 255.0) AS v FROM px) SELECT image_id, x AS pos, round(sum(abs(v - p)), 4) AS edge FROM (SELECT *, lag(v) OVER (PARTITION BY image_id, y ORDER BY x) AS p FROM l) WHERE p IS NOT NULL GROUP BY 1, 2",
+        f"WITH {SQL}, l AS (SELECT *, {LUMA} * a / 255.0 AS v FROM px) SELECT image_id, x AS pos, round(sum(abs(v - p)), 4) AS edge FROM (SELECT *, lag(v) OVER (PARTITION BY image_id, y ORDER BY x) AS p FROM l) WHERE p IS NOT NULL GROUP BY 1, 2",
     ),
     "a14_cell_features": (
         lambda s, d: rounded(X.cell_features(cells(s, d)), 6),
@@ -105,18 +105,10 @@ QUERIES = {
         lambda s, d: X.cell_color(cells(s, d), cells(s, d).groupBy("image_id", "cx", "cy").agg(F.max("label").alias("label"))).select("image_id", "cx", "cy", "a", "r"),
         f"WITH {CELLS}, m AS (SELECT image_id, cx, cy, max(label) AS label FROM pc GROUP BY ALL) SELECT pc.image_id, pc.cx, pc.cy, CASE WHEN count(*) FILTER (a > 127) * 2 > count(*) THEN 255 ELSE 0 END AS a, round_even(round((sum(w * r) FILTER (pc.label = m.label) / sum(w) FILTER (pc.label = m.label))::DOUBLE, 6), 0)::INT AS r FROM pc JOIN m ON pc.image_id = m.image_id AND pc.cx = m.cx AND pc.cy = m.cy GROUP BY 1, 2, 3",
     ),
-    "a20_grid_variance": (
-        lambda s, d: rounded(X.grid_variance(pixels(s, d), 2.0), 4),
-        f"WITH {CELLS}, v AS (SELECT image_id, cx, cy, sum({LUMA} * {LUMA}) AS yy, sum({LUMA}) AS y, count(*) AS n FROM pc GROUP BY 1, 2, 3) SELECT image_id, round(sum(yy - y * y / n) / sum(n), 4) AS variance FROM v GROUP BY image_id",
-    ),
     "a23_color_moments": (
         lambda s, d: X.color_moments(pixels(s, d)),
         f"WITH {SQL} SELECT image_id, ((r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3))::INT AS bin, count(*) AS n, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b, sum(r * r + g * g + b * b)::BIGINT AS squares FROM px WHERE a > 0 GROUP BY 1, 2",
     ),
-    "a26_rayleigh": (
-        lambda s, d: rounded(X.rayleigh(profile(s, d).where("v > 150"), "vec_id", "pos", [4, 6, 8]), 5),
-        f"WITH z AS (SELECT vec_id, step, sum(cos(2 * pi() * pos / step)) AS c, sum(sin(2 * pi() * pos / step)) AS s, count(*) AS n, count(DISTINCT floor(pos / step)) AS slots, max(floor(pos / step)) - min(floor(pos / step)) + 1 AS span FROM {PROFILE}, (VALUES (4.0::DOUBLE), (6.0), (8.0)) v(step) WHERE v > 150 GROUP BY 1, 2) SELECT vec_id, step, round(sqrt(c * c + s * s) / n * sqrt(2.0 * n) * slots / span, 5) AS score FROM z",
-    ),
     "a28_autocorrelation": (
         lambda s, d: rounded(X.autocorr(profile(s, d), "vec_id", "pos", "v", 12), 5),
         f"WITH p AS (SELECT vec_id, pos, v - avg(v) OVER (PARTITION BY vec_id) AS v, count(*) OVER (PARTITION BY vec_id) AS n FROM {PROFILE}), c AS (SELECT a.vec_id, b.pos - a.pos AS lag, sum(a.v * b.v) / (max(a.n) - (b.pos - a.pos)) AS c FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.pos - a.pos BETWEEN 0 AND 12 GROUP BY 1, b.pos - a.pos) SELECT vec_id, lag::INT AS lag, round(c / max(c) FILTER (lag = 0) OVER (PARTITION BY vec_id), 5) AS acf FROM c",
@@ -134,7 +126,7 @@ QUERIES = {
     ),
     "j9_snap_palette": (
         lambda s, d: X.snap_palette(pixels(s, d), PALETTE),
-        f"WITH {SQL}, q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(PALETTE))}) v(i, pr, pg, pb)), n AS (SELECT px.*, pr, pg, pb, row_number() OVER (PARTITION BY image_id, x, y ORDER BY (0.299 * (r - pr) * (r - pr) + 0.587 * (g - pg) * (g - pg) + 0.114 * (b - pb) * (b - pb))::DOUBLE, i) AS k FROM px, q) SELECT image_id, x, y, pr AS r, pg AS g, pb AS b, CASE WHEN a < 32 THEN 0 ELSE 255 END AS a FROM n WHERE k = 1",
+        f"WITH {SQL}, q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(PALETTE))}) v(i, pr, pg, pb)), n AS (SELECT px.*, pr, pg, pb, row_number() OVER (PARTITION BY image_id, x, y ORDER BY (0.299 * (r - pr) * (r - pr) + 0.587 * (g - pg) * (g - pg) + 0.114 * (b - pb) * (b - pb))::DOUBLE, i) AS k FROM px, q) SELECT image_id, x, y, CASE WHEN a < 32 THEN r ELSE pr END AS r, CASE WHEN a < 32 THEN g ELSE pg END AS g, CASE WHEN a < 32 THEN b ELSE pb END AS b, CASE WHEN a < 32 THEN 0 ELSE 255 END AS a FROM n WHERE k = 1",
     ),
     "j10_neighbors": (
         lambda s, d: X.neighbors3x3(pixels(s, d), "r").groupBy("image_id", "x", "y").agg(F.count("*").alias("n"), F.max("other").alias("top")),

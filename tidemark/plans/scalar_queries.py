@@ -150,6 +150,13 @@ QUERIES = {
         f"""SELECT CASE WHEN probe THEN 'probe' WHEN starts_with(path, '/api/status/') THEN '/api/status/*' WHEN path IN ('/api/download', '/api/pixel/health', '/api/convert/file') THEN path WHEN status_code >= 400 THEN 'error ' || status_code ELSE 'other' END AS route, count(*) AS n
         FROM (SELECT path, status_code, NOT (path IN {_in(P.HEALTH_PATHS)} AND status_code < 500) AND ((starts_with(path, '/api/') AND {SENSITIVE}) OR (NOT starts_with(path, '/api/') AND (status_code >= 400 OR {SENSITIVE}))) AS probe FROM {{requests}}) GROUP BY 1""",
     ),
+    "f12_span_name": (
+        lambda s, d: view(s, d, "requests").select("event_id", S.span_name(C("method"), C("path"), C("status_code"), P.trace_decision(C("path"), C("status_code")) == "probe").alias("name")),
+        f"""SELECT event_id, CASE WHEN probe THEN '🛡️ [Security Probe] ' || method || ' ' || path || ' (HTTP ' || status_code || ')' WHEN starts_with(path, '/api/status/') THEN '🌐 [Gateway] Kiểm tra tiến độ (' || path || ')'
+          WHEN path = '/api/download' THEN '🌐 [Gateway] Tải Media (/api/download)' WHEN path = '/api/pixel/health' THEN '🌐 [Gateway] Kiểm tra PixelFixer Health (/api/pixel/health)' WHEN path = '/api/convert/file' THEN '🌐 [Gateway] Chuyển đổi tài liệu (/api/convert/file)'
+          WHEN status_code >= 400 THEN '🌐 [Gateway] Lỗi ' || status_code || ' (' || method || ' ' || path || ')' ELSE '🌐 [Gateway] ' || method || ' ' || path END AS name
+        FROM (SELECT event_id, method, path, status_code, NOT (path IN {_in(P.HEALTH_PATHS)} AND status_code < 500) AND ((starts_with(path, '/api/') AND {SENSITIVE}) OR (NOT starts_with(path, '/api/') AND (status_code >= 400 OR {SENSITIVE}))) AS probe FROM {{requests}})""",
+    ),
     "f13_traceparent": (
         lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", S.parse_traceparent(F.when(C("event_id") % 3 == 0, F.lit("bad")).otherwise(S.build_traceparent(F.md5(C("event_type")), F.substring(F.md5(C("event_id").cast("string")), 1, 16)))).alias("t")).select("event_id", "t.*"),
         "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN md5(event_type) END AS trace_id, CASE WHEN event_id % 3 > 0 THEN substr(md5(event_id::VARCHAR), 1, 16) END AS parent_id FROM events",

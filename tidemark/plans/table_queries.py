@@ -139,11 +139,11 @@ QUERIES = {
     ),
     "a17_uniform_histogram": (
         lambda s, d: rounded(A.uniform_histogram(read(s, d, "events"), "event_type", "value")),
-        "SELECT event_type, bin, count(*) AS n, round((bin + 0.5) * 64 / 129, 6) AS centre FROM (SELECT event_type, least(floor(value / 64.0 * 129), 128)::INT AS bin FROM events WHERE value > 0 AND value <= 64) GROUP BY 1, 2",
+        "SELECT event_type, bin, count(*) AS n, round((bin + 0.5) * 64 / 129, 6) AS centre FROM (SELECT event_type, least(floor(value / 64.0 * 129), 128)::INT AS bin FROM events WHERE value >= 0 AND value <= 64) GROUP BY 1, 2",
     ),
     "a18_comb_scores": (
         lambda s, d: rounded(A.comb_scores(A.uniform_histogram(read(s, d, "events"), "event_type", "value"), "event_type", [4, 6, 8, 16])),
-        "WITH h AS (SELECT event_type, (least(floor(value / 64.0 * 129), 128) + 0.5) * 64 / 129 AS c FROM events WHERE value > 0 AND value <= 64) SELECT event_type, step, round(avg(cos(2 * pi() * c / step)), 6) AS score FROM h, (VALUES (4.0::DOUBLE), (6.0), (8.0), (16.0)) v(step) GROUP BY 1, 2",
+        "WITH h AS (SELECT event_type, (least(floor(value / 64.0 * 129), 128) + 0.5) * 64 / 129 AS c FROM events WHERE value >= 0 AND value <= 64) SELECT event_type, step, round(avg(cos(2 * pi() * c / step)), 6) AS score FROM h, (VALUES (4.0::DOUBLE), (6.0), (8.0), (16.0)) v(step) GROUP BY 1, 2",
     ),
     "a19_order_stats": (
         lambda s, d: rounded(A.order_stats(profile(s, d), "vec_id", "v")),
@@ -152,7 +152,7 @@ QUERIES = {
     ),
     "a31_audit_summary": (
         lambda s, d: rounded(A.audit_summary(audit(s, d))),
-        """SELECT count(*) FILTER (status_code = 200 AND event_id % 4 > 0) AS clean, count(*) FILTER (status_code IN (400, 415, 422) AND event_id % 4 > 0) AS blocked, count(*) FILTER (event_id % 50 = 0) AS crashes, count(*) FILTER (status_code >= 500) AS server_errors,
+        """SELECT count(*) FILTER (status_code = 200 AND event_id % 4 > 0) AS clean, count(*) FILTER (status_code IN (400, 415, 422) AND event_id % 4 > 0) AS blocked, count(*) FILTER (event_id % 50 = 0) AS crashes, count(*) FILTER (status_code IN (500, 502, 503)) AS server_errors,
         count(*) FILTER (event_id % 4 = 0) AS unsafe, round(arg_max(duration_ms, (ts, event_id)) - arg_min(duration_ms, (ts, event_id)), 6) AS memory_drift FROM {requests}""",
     ),
     "a32_detection_accuracy": (
@@ -207,7 +207,7 @@ QUERIES = {
     ),
     "w10_box_mean": (
         lambda s, d: rounded(W.box_mean(profile(s, d), ["vec_id"], "pos", "v")),
-        f"SELECT vec_id, pos, v, round(avg(v) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS smooth FROM {PROFILE}",
+        f"WITH p AS {PROFILE} SELECT p.vec_id, p.pos, p.v, round(avg(o.v), 6) AS smooth FROM p, range(-3, 4) r(k), p o WHERE o.vec_id = p.vec_id AND o.pos = least(greatest(p.pos + k, 0), 63) GROUP BY 1, 2, 3",
     ),
     "w10_running_median": (
         lambda s, d: W.running_median(profile(s, d), ["vec_id"], "pos", "v"),
@@ -243,8 +243,8 @@ QUERIES = {
         f"SELECT node, event_id, in_row, epoch_us(open_until) AS open_until FROM ({CIRCUIT})",
     ),
     "w19_normalize": (
-        lambda s, d: rounded(W.normalize_profile(profile(s, d), ["vec_id"], "v")),
-        f"WITH p AS {PROFILE}, t AS (SELECT vec_id, quantile_cont(v, 0.95) FILTER (v > 0) AS top FROM p GROUP BY vec_id) SELECT p.vec_id, pos, v, round(CASE WHEN top > 0 THEN greatest(0, least(1.5, v / top)) ELSE 0 END, 6) AS norm FROM p JOIN t ON p.vec_id = t.vec_id",
+        lambda s, d: rounded(W.normalize_profile(profile(s, d), ["vec_id"], "pos", "v")),
+        f"WITH p AS {PROFILE}, t AS (SELECT vec_id, quantile_cont(v, 0.95) AS q, max(v) AS m FROM p WHERE pos BETWEEN 1 AND 62 GROUP BY vec_id) SELECT p.vec_id, pos, v, round(greatest(0, least(1.5, v / (CASE WHEN q > 0 THEN q WHEN m > 0 THEN m ELSE 1 END + 1e-9))), 6) AS norm FROM p JOIN t ON p.vec_id = t.vec_id",
     ),
     "j1_find_cached": (
         lambda s, d: J.find_cached(view(s, d, "file_requests"), view(s, d, "files"), now()).select("request_id", "cached"),
@@ -290,10 +290,11 @@ QUERIES = {
         "SELECT tool, doc_id, line, rank::INT AS rank, greatest(n - 15, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY line DESC, doc_id) AS rank, count(*) OVER (PARTITION BY tool) AS n FROM {findings}) WHERE rank <= 15",
     ),
     "l3_divisors": (
-        lambda s, d: rounded(L.divisor_candidates(read(s, d, "part").select("p_partkey", (C("p_size") + F.lit(0.05)).alias("step")), "p_partkey", "step")),
-        """WITH r AS (SELECT p_partkey, round_even((p_size + 0.05) / d, 0)::INT AS size, abs((p_size + 0.05) / d - round_even((p_size + 0.05) / d, 0)) AS diff FROM (SELECT p_partkey, p_size::DOUBLE AS p_size FROM part), (VALUES (1), (2), (3), (4), (6), (8), (12), (16)) v(d)),
-        g AS (SELECT p_partkey, size, max(greatest(20, 70 - 150 * diff)) AS score FROM r WHERE size >= 2 AND diff < 0.15 GROUP BY 1, 2)
-        SELECT p_partkey, size, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, size) AS rank FROM g) WHERE rank <= 5""",
+        lambda s, d: L.divisor_candidates(read(s, d, "part").select("p_partkey", (C("p_size") + (C("p_partkey") % 4) * 0.3).alias("step"), (C("p_partkey") % 101).alias("sure")), "p_partkey", "step", "sure"),
+        """WITH s AS (SELECT p_partkey, p_size + (p_partkey % 4) * 0.3::DOUBLE AS step, (p_partkey % 101)::INT AS sure FROM part),
+        r AS (SELECT p_partkey, d AS size, abs(round(step / d) - step / d) AS diff, sure FROM s, (VALUES (1), (2), (3), (4), (6), (8), (12), (16)) v(d) WHERE d <> round(step)::INT),
+        g AS (SELECT p_partkey, size, greatest(15, least(floor(greatest(20, 70 - 150 * diff))::INT, greatest(sure - 10, 0))) AS confidence FROM r WHERE diff < 0.15 UNION ALL SELECT p_partkey, round(step)::INT, sure FROM s WHERE round(step) >= 1)
+        SELECT p_partkey, size, confidence, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY confidence DESC, size) AS rank FROM g) WHERE rank <= 5""",
     ),
     "l4_even_sample": (
         lambda s, d: L.even_sample(view(s, d, "samples"), ["service"], ["event_id"], 100).select("service", "event_id"),
