@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, inner_id, join_counted, outer_id, written
+from .common import body, inner_id, join_counted, lean, outer_id, written
 
 #: Odd multipliers of the rolling hashes, with their inverses modulo 2**64.
 BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -106,10 +106,6 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(29))
 
 
-def signed(values: np.ndarray) -> list[int]:
-    return values.view(np.int64).tolist()
-
-
 def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), a row for each input row.
 
@@ -128,18 +124,20 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
     spread = length - gram + 1
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             n, sha, anchors = [], [], []
             for t in batch.column("text").cast(pa.large_binary()):
                 words = t.as_py().split()
                 grams = rolling(hashes(t.as_py()), gram, 0) if len(words) >= length else np.empty(0, np.uint64)
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).digest())
-                anchors.append(signed(np.unique(grams[winnow(grams, spread)])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=["id", "tag", "n_words", "sha", "anchors"])
+                anchors.append(np.unique(grams[winnow(grams, spread)]).view(np.int64))
+            ends = np.cumsum([0, *map(len, anchors)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *anchors])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), lists], names=["id", "tag", "n_words", "sha", "anchors"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for doc, tag, t, shared in zip(*(batch.column(c) for c in ("id", "tag", "text", "shared"))):
                 words = hashes(t.as_py().encode())
                 grams = rolling(words, gram, 0)
@@ -163,7 +161,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 12, text: str
                     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             removed, sha = [], []
             for t, starts in zip(batch.column("text"), batch.column("starts")):
                 words = t.as_py().encode().split()
