@@ -9,34 +9,48 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import is_whole_disk
 
+from .quantiles import MOST, quantiles, small
 
-def cpu_metrics(samples: DataFrame, key: str = "service", value: str = "cpu") -> DataFrame:
-    """A1: average, maximum, nearest-rank P95, effective load and count; a service whose samples are all null gets zeros."""
-    p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})")
-    out = samples.groupBy(key).agg(F.avg(value).alias("avg_cpu"), F.max(value).alias("max_cpu"), p95.alias("p95_cpu"), F.count(value).alias("samples"))
+
+def cpu_metrics(samples: DataFrame, key: str = "service", value: str = "cpu", most: int = MOST) -> DataFrame:
+    """A1: average, maximum, nearest-rank P95, effective load and count; a service whose samples are all null gets zeros.
+
+    Quantiles here and below are exact: of groups of up to `most` rows in the aggregation, of larger ones by distributed selection."""
+    plain = [F.avg(value).alias("avg_cpu"), F.max(value).alias("max_cpu"), F.count(value).alias("samples")]
+    if small(samples, [key], most):
+        out = samples.groupBy(key).agg(*plain, F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_cpu"))
+    else:
+        out = with_quantiles(samples.groupBy(key).agg(*plain), quantiles(samples, [key], value, [0.95], "disc", most), [key], ["p95_cpu"])
     zero = F.lit(0.0)
     return out.select(key, *[F.coalesce(c, zero).alias(c) for c in ("avg_cpu", "max_cpu", "p95_cpu")], F.coalesce(F.greatest(F.col("avg_cpu"), F.col("max_cpu") * 0.95), zero).alias("effective"), "samples")
 
 
-def latency_report(requests: DataFrame, by: Sequence[str], value: str = "duration_ms", ts: str = "ts", method: str = "exact", accuracy: int = 10_000) -> DataFrame:
-    """A2: count, rate a second, spread, and percentiles: exact ones, linearly interpolated, hold each group's distinct
-    values in one task's memory; approximate ones hold a sketch of some accuracy entries, for groups of any size, and
-    give a value whose rank is within n / accuracy."""
-    points = [0.5, 0.9, 0.95, 0.99]
-    quantiles = F.percentile(value, points) if method == "exact" else F.percentile_approx(value, points, accuracy)
+def with_quantiles(groups: DataFrame, found: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """groups with the places of the array q of found; both have a row a group, and null groups meet."""
+    own = found.select(*[F.col(c).alias(f"{c}_of") for c in by], "q")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]
+    return groups.join(own, same, "left").select(*groups.columns, *[F.get("q", F.lit(k)).alias(name) for k, name in enumerate(names)])
+
+
+def latency_report(requests: DataFrame, by: Sequence[str], value: str = "duration_ms", ts: str = "ts", method: str = "exact", accuracy: int = 10_000, most: int = MOST) -> DataFrame:
+    """A2: count, rate a second, spread, and percentiles: exact ones, linearly interpolated; approximate ones hold a sketch of
+    some accuracy entries and give a value whose rank is within n / accuracy."""
+    points, names = [0.5, 0.9, 0.95, 0.99], ["p50", "p90", "p95", "p99"]
     span = F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))
-    out = requests.groupBy(*by).agg(
+    plain = [
         F.count("*").alias("n"), (F.count("*") * 1e6 / F.nullif(span, F.lit(0))).alias("per_second"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), quantiles.alias("q"),
-    )
-    return out.select(*by, "n", "per_second", "low", "high", "mean", "stdev", *[F.col("q")[i].alias(name) for i, name in enumerate(("p50", "p90", "p95", "p99"))])
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"),
+    ]
+    if method == "exact" and not small(requests, by, most):
+        return with_quantiles(requests.groupBy(*by).agg(*plain), quantiles(requests, by, value, points, "linear", most), by, names)
+    q = F.percentile(value, points) if method == "exact" else F.percentile_approx(value, points, accuracy)
+    out = requests.groupBy(*by).agg(*plain, q.alias("q"))
+    return out.select(*by, "n", "per_second", "low", "high", "mean", "stdev", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
 
 
 def floor_rank_percentile(requests: DataFrame, by: str, p: float, value: str = "duration_ms") -> DataFrame:
-    """A2: the value at place floor(n p) of each group, from 0: a rank window, whose sort Spark spills."""
-    w = Window.partitionBy(by)
-    ranked = requests.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("place"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("place") == F.least(F.floor(F.col("n") * p), F.col("n") - 1)).select(by, F.col(value).alias("value"))
+    """A2: the value at place floor(n p) of each group, from 0, by distributed selection."""
+    return quantiles(requests, [by], value, [p], "floor").select(by, F.get("q", F.lit(0)).alias("value"))
 
 
 def node_distribution(requests: DataFrame, node: str = "node") -> DataFrame:
@@ -96,11 +110,17 @@ def io_totals(devices: DataFrame) -> DataFrame:
     return devices.where(counted).groupBy("host", "ts", "kind").agg(F.sum("read").alias("read"), F.sum("written").alias("written"))
 
 
-def order_stats(values: DataFrame, by: str, value: str) -> DataFrame:
-    """Median, interpolated P95 of the positive values, and the MAD estimate of sigma; two aggregations."""
-    middle = values.groupBy(by).agg(F.median(value).alias("middle"), F.percentile(F.when(F.col(value) > 0, F.col(value)), 0.95).alias("p95_positive"))
-    spread = values.join(middle, by).groupBy(by).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("middle")))).alias("mad_sigma"))
-    return middle.join(spread, by).select(by, F.col("middle").alias("median"), "p95_positive", "mad_sigma")
+def order_stats(values: DataFrame, by: str, value: str, most: int = MOST) -> DataFrame:
+    """Median, interpolated P95 of the positive values, and the MAD estimate of sigma."""
+    if small(values, [by], most):
+        middle = values.groupBy(by).agg(F.median(value).alias("median"), F.percentile(F.when(F.col(value) > 0, F.col(value)), 0.95).alias("p95_positive"))
+        spread = values.join(middle, by).groupBy(by).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("mad_sigma"))
+        return middle.join(spread, by).select(by, "median", "p95_positive", "mad_sigma")
+    one = lambda df, of, p, name: quantiles(df, [by], of, [p], "linear", most).select(by, F.get("q", F.lit(0)).alias(name))
+    middle = one(values, value, 0.5, "median")
+    high = one(values.withColumn("up_", F.when(F.col(value) > 0, F.col(value))), "up_", 0.95, "p95_positive")
+    off = values.join(middle, by).withColumn("off_", F.abs(F.col(value) - F.col("median")))
+    return middle.join(high, by).join(one(off, "off_", 0.5, "mad_"), by).select(by, "median", "p95_positive", (1.4826 * F.col("mad_")).alias("mad_sigma"))
 
 
 def uniform_histogram(values: DataFrame, by: str, value: str, most: float = 64.0, width: float = 0.5) -> DataFrame:
@@ -135,14 +155,17 @@ def audit_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def detection_accuracy(truth: DataFrame, grids: DataFrame, by: str = "kind") -> DataFrame:
+def detection_accuracy(truth: DataFrame, grids: DataFrame, by: str = "kind", most: int = MOST) -> DataFrame:
     """Exact and nearly exact sizes, mean and P95 latency for each kind of distortion."""
     both = truth.join(grids, "image_id")
     off = F.greatest(F.abs(F.col("cols") - F.col("true_cols")), F.abs(F.col("rows") - F.col("true_rows")))
     share = lambda c: F.avg(c.cast("int"))
-    return both.groupBy(by).agg(share(off == 0).alias("exact"), share(off <= 1).alias("within_one"), F.avg("latency_ms").alias("mean_ms"), F.percentile("latency_ms", 0.95).alias("p95_ms"))
+    plain = [share(off == 0).alias("exact"), share(off <= 1).alias("within_one"), F.avg("latency_ms").alias("mean_ms")]
+    if small(both, [by], most):
+        return both.groupBy(by).agg(*plain, F.percentile("latency_ms", 0.95).alias("p95_ms"))
+    return with_quantiles(both.groupBy(by).agg(*plain), quantiles(both, [by], "latency_ms", [0.95], "linear", most), [by], ["p95_ms"])
 
 
-def int_median(values: DataFrame, by: str, value: str) -> DataFrame:
+def int_median(values: DataFrame, by: str, value: str, most: int = MOST) -> DataFrame:
     """The median of whole numbers, of an even count the mean of the middle two without its fraction."""
-    return values.groupBy(by).agg(F.median(value).alias("m_")).select(by, F.col("m_").cast("long").alias("median"))
+    return quantiles(values, [by], value, [0.5], "linear", most).select(by, F.get("q", F.lit(0)).cast("long").alias("median"))
