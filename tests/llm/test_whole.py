@@ -16,7 +16,7 @@ from tidemark.llm.licenses import catalogue, scan_licenses, tokens
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.quality import WRONGLY_ACCUSED, expectation_maximisation, quality_scores
-from tidemark.llm.simhash_dedup import simhash_dedup
+from tidemark.llm.simhash_dedup import simhash_dedup, tile_pairs
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.toxicity import Decoder, features, opening, readings, toxicity_scores, trigram_counts
@@ -329,3 +329,21 @@ def test_hot_groups(spark):
         same(substring_dedup(frame(spark, rows).repartition(20)), brute.repeats(rows))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_comparisons_are_dealt_evenly(spark):
+    """Of 200,000 random fingerprints no task compares more than a hundredth, although some tiles are fifty times as full as others."""
+    pairs = tile_pairs(spark.range(200_000).select(F.xxhash64("id").alias("fp")))
+    work = pairs.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(F.size("left").cast("long") * F.size("right")).alias("n")).collect()
+    total = sum(r["n"] for r in work)
+    assert len(work) >= 128 and max(r["n"] for r in work) <= 0.01 * total
+
+
+def test_many_templates(spark):
+    """A catalogue of 600 templates is looked up, not walked: each is found in a text of its own, and nothing else is."""
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    templates = {f"t{k}": " ".join(rnd.choice(words) for _ in range(rnd.randrange(8, 120))) for k in range(600)}
+    rows = [(k, f"before that {t} and after") for k, t in enumerate(templates.values()) if k % 6 == 0] + [(9999, " ".join(rnd.choice(words) for _ in range(3000)))]
+    found = {(r["doc_id"], x["license"]) for r in scan_licenses(frame(spark, rows), templates=templates).collect() for x in r["licenses"]}
+    assert found == {(k, f"t{k}") for k in range(0, 600, 6)}

@@ -102,6 +102,8 @@ class Catalogue:
     def __init__(self, templates: dict[str, str], width: int, bands: int):
         #: width -> size class -> band -> MinHash -> templates
         self.index: dict[int, dict[int, list[dict[int, list[int]]]]] = defaultdict(dict)
+        #: the same MinHashes, sorted, in which windows are looked up
+        self.sorted: dict[tuple[int, int, int], np.ndarray] = {}
         self.names, self.wanted, self.lengths, self.widths = [], [], [], []
         self.bands = bands
         for name, text in templates.items():
@@ -118,6 +120,9 @@ class Catalogue:
             self.wanted.append(Counter(hashes.tolist()))
             self.lengths.append(len(words))
             self.widths.append(k)
+        for k, steps in self.index.items():
+            for step, lists in steps.items():
+                self.sorted.update({(k, step, band): np.sort(np.array(list(values), np.uint64)) for band, values in enumerate(lists)})
 
     def retrieve(self, shingles: np.ndarray, k: int) -> set[tuple[int, int, int]]:
         """(template, begin, end): windows of a stream of shingles that share a band with a template."""
@@ -129,9 +134,10 @@ class Catalogue:
                 pieces = np.minimum.reduceat(pieces, np.arange(0, len(pieces), step // size))
                 size = step
                 windows = np.minimum(pieces, np.append(pieces[1:], NONE))
-                for value, templates in self.index[k][step][band].items():
-                    for w in np.flatnonzero(windows == value).tolist():
-                        found.update((t, w * step, (w + 2) * step) for t in templates)
+                values = self.sorted[k, step, band]
+                hit = values[np.minimum(np.searchsorted(values, windows), len(values) - 1)] == windows
+                for w in np.flatnonzero(hit).tolist():
+                    found.update((t, w * step, (w + 2) * step) for t in self.index[k][step][band][int(windows[w])])
         return found
 
     def verify(self, shingles: np.ndarray, t: int, containment: float) -> list[tuple[float, int]]:

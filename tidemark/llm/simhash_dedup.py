@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .common import body, components, fresh, inner_id, join_checked, join_counted, lean, outer_id, written
 
 BITS = 64
-#: A tile has at most about so many fingerprints.
-TILE = 4096
+#: A chunk of a tile has about so many fingerprints, at most.
+TILE = 2048
+#: Comparisons that a task makes on average; of more than SHARES such tasks each makes up to LARGE.
+SHARE, SHARES, LARGE = 1 << 23, 512, 1 << 30
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 
@@ -92,25 +94,47 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarr
 KEPT = 1_000_000
 
 
-def near_edges(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): fingerprints of the table fps (fp: long, distinct) that link, as spanning forests: same components as all links.
+def tile_pairs(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(left, right): all pairs of chunks of fingerprints that may hold some within the radius, dealt to tasks.
 
     Fingerprints are tiled by the population counts of their two halves. Two fingerprints within the radius have counts
-    that together differ by no more than it, so only such tile pairs meet; all others are skipped unread. A tile pair
-    is compared exactly, every fingerprint with every other, by exclusive-or and bit count in numpy. Tiles over TILE
-    members are cut into chunks, all pairs of which meet. Tile pairs spread over the cluster by a shuffle; a task holds
-    two chunks and a forest of at most KEPT edges."""
+    that together differ by no more than it, so only such tile pairs meet; all others are skipped unread. Tiles over TILE
+    members are cut into chunks, all pairs of which meet. Chunk pairs, not tiles, are dealt to tasks, by a hash of both chunks and so that
+    each task has about as many comparisons, however full a tile is."""
     half = BITS // 2
     counts = [F.bit_count(F.shiftrightunsigned("fp", half)), F.bit_count(F.col("fp").bitwiseAND(F.lit((1 << half) - 1)))]
     tiled = fps.select("fp", counts[0].alias("hi"), counts[1].alias("lo"))
     # at most 33 x 33 tiles
-    sizes = tiled.groupBy("hi", "lo").agg(F.ceil(F.count("*") / TILE).alias("pieces"))
-    chunks = tiled.join(F.broadcast(sizes), ["hi", "lo"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), "pieces"))
+    sizes = tiled.groupBy("hi", "lo").agg(F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("n") / TILE))
+    sizes = written(sizes, "simhash-sizes")
+    chunks = tiled.join(F.broadcast(sizes.drop("n")), ["hi", "lo"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), "pieces"))
     chunks = written(chunks.groupBy("hi", "lo", "chunk").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
     steps = [(x, y) for x in range(radius + 1) for y in range(-radius, radius + 1) if x + abs(y) <= radius and (x or y >= 0)]
-    moved = chunks.withColumn("step", F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])))
-    moved = moved.select((F.col("hi") + F.col("step.x")).alias("hi"), (F.col("lo") + F.col("step.y")).alias("lo"), F.col("chunk").alias("of"), F.col("fps").alias("left"), ((F.col("step.x") == 0) & (F.col("step.y") == 0)).alias("same"))
-    pairs = moved.join(chunks, ["hi", "lo"]).where(~F.col("same") | (F.col("of") <= F.col("chunk"))).select("left", F.col("fps").alias("right"))
+    offsets = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])).alias("step")
+    tiles = {(r["hi"], r["lo"]): r["n"] for r in sizes.collect()}
+    total = sum(n * tiles.get((hi + x, lo + y), 0) for (hi, lo), n in tiles.items() for x, y in steps)
+    parts = max(1, min(SHARES, -(-total // SHARE)) + total // LARGE)
+
+    # the left chunk goes once for each chunk of the other tile, the right one once for each of the first; keys are pairs of chunks
+    across = F.broadcast(sizes.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("pieces").alias("others")))
+    other = lambda sign: [(F.col(c) + sign * F.col(f"step.{v}")).alias(f"{c}2") for c, v in (("hi", "x"), ("lo", "y"))]
+    key = ["hi", "lo", "of", "hi2", "lo2", "chunk"]
+    left = chunks.select("hi", "lo", F.col("chunk").alias("of"), F.col("fps").alias("left"), offsets).select("*", *other(1)).drop("step")
+    left = left.join(across, ["hi2", "lo2"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    right = chunks.select("hi", "lo", "chunk", F.col("fps").alias("right"), offsets).select("*", *other(-1)).drop("step")
+    right = right.join(across, ["hi2", "lo2"]).withColumn("of", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    right = right.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "chunk", F.col("hi2").alias("hi"), F.col("lo2").alias("lo"), "of", "right")
+    # a tile's own chunks meet once
+    once_each = (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("lo2")) | (F.col("of") <= F.col("chunk"))
+    dealt = lambda df, held: df.where(once_each).select(*key, held).repartition(parts, *key)
+    return dealt(left, "left").join(dealt(right, "right"), key).select("left", "right")
+
+
+def near_edges(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): fingerprints of the table fps (fp: long, distinct) that link, as spanning forests: same components as all links.
+
+    A tile pair is compared exactly, every fingerprint with every other, by exclusive-or and bit count in numpy. A task holds two chunks
+    and a forest of at most KEPT edges."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -128,7 +152,7 @@ def near_edges(fps: DataFrame, radius: int = 4) -> DataFrame:
                 forest = Forest()
         yield give()
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    return tile_pairs(fps, radius).mapInArrow(compare, "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
