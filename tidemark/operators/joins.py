@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.staging import written
+from tidemark.staging import made_since, mark, release, written
 
 from tidemark.functions.predicates import is_valid_session
 from tidemark.functions.scalars import cache_keys
@@ -68,38 +68,55 @@ def match_services(config: DataFrame, services: DataFrame) -> DataFrame:
     return first.select("service", F.col("m.service_id").alias("service_id"), F.col("m.name").alias("name"))
 
 
-def active_segment(times: DataFrame, segments: DataFrame, key: str = "media_id", tail: float = 3.0) -> DataFrame:
+#: A slice of a medium's time, in seconds.
+SLICE = 300.0
+
+
+def active_segment(times: DataFrame, segments: DataFrame, key: str = "media_id", tail: float = 3.0, seconds: float = SLICE) -> DataFrame:
     """For each time (media_id, t) the segment that plays: the last that has begun, if it hasn't ended.
 
-    Times and segments are one ordered stream, in which each time takes the last segment before it: no range join."""
-    w = Window.partitionBy(key).orderBy("start", "id")
-    spans = segments.withColumn("until", F.coalesce(F.lead("start").over(w), F.col("end"), F.col("start") + tail))
+    Times and segments are one ordered stream, in which each time takes the last segment before it: no range join. The stream of a
+    medium is cut into slices of `seconds`; what a slice begins with, and where the last segment of a slice ends, follows
+    from one row a slice, so no task sorts a whole medium."""
+    cut = lambda c: F.floor(F.col(c) / seconds).alias("slice_")
+    here = Window.partitionBy(key, "slice_").orderBy("start", "id")
+    rows = segments.select("*", cut("start")).withColumn("next_", F.lead("start").over(here))
+    later = Window.partitionBy(key).orderBy("slice_").rowsBetween(1, Window.unboundedFollowing)
+    after = rows.groupBy(key, "slice_").agg(F.min("start").alias("f_")).select(key, "slice_", F.min("f_").over(later).alias("after_"))
+    spans = rows.join(after, [key, "slice_"]).withColumn("until", F.coalesce("next_", "after_", "end", F.col("start") + tail))
     begun = spans.select(key, F.col("start").alias("t"), F.lit(0).alias("kind"), F.struct("id", "until", "text").alias("seg"))
     asked = times.select(key, "t", F.lit(1).alias("kind"), F.lit(None).cast(begun.schema["seg"].dataType).alias("seg"))
-    order = Window.partitionBy(key).orderBy("t", "kind", F.col("seg.id"))
-    both = begun.unionByName(asked).withColumn("now", F.last("seg", True).over(order)).where("kind = 1")
+    both = begun.unionByName(asked).withColumn("slice_", cut("t"))
+    last = both.groupBy(key, "slice_").agg(F.max(F.when(F.col("kind") == 0, F.struct("t", F.col("seg.id").alias("id"), "seg"))).alias("last_"))
+    earlier = Window.partitionBy(key).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select(key, "slice_", F.last(F.col("last_.seg"), True).over(earlier).alias("before_"))
+    order = Window.partitionBy(key, "slice_").orderBy("t", "kind", F.col("seg.id"))
+    met = both.withColumn("own_", F.last("seg", True).over(order)).where("kind = 1").join(before, [key, "slice_"])
+    met = met.withColumn("now", F.coalesce("own_", "before_"))
     plays = F.col("t") < F.col("now.until")
-    return both.select(key, "t", F.when(plays, F.col("now.id")).alias("id"), F.when(plays, F.col("now.text")).alias("text"))
+    return met.select(key, "t", F.when(plays, F.col("now.id")).alias("id"), F.when(plays, F.col("now.text")).alias("text"))
 
 
-def span_tree(spans: DataFrame, depth: int = 8) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """Spans with their depth below the root; null where no root is found.
 
-    `depth` levels are joined in one plan; deeper ones are written level by level until one is empty. There a span that
-    already has a depth is left out, so that a circle of repeated ids ends."""
-    tree = spans.where("parent_span_id IS NULL").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    level = tree
-    for k in range(1, depth + 1):
-        above = level.select("trace_id", F.col("span_id").alias("parent_span_id"))
-        level = spans.join(above, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(k).alias("depth"))
-        tree = tree.union(level)
-    level, k = written(level, "span-level"), depth
-    if not level.isEmpty():
-        tree = written(tree, "span-tree")
-    while not level.isEmpty():
-        k += 1
-        above = level.select("trace_id", F.col("span_id").alias("parent_span_id"))
-        level = spans.join(above, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(k).alias("depth"))
-        level = written(level.join(tree, ["trace_id", "span_id"], "left_anti"), "span-level")
-        tree = tree.union(level)
-    return spans.join(tree, ["trace_id", "span_id"], "left")
+    By pointer doubling: each span points to its parent, one level up; a round replaces a pointer by that of the span it points to
+    and adds their lengths, so a tree of any depth takes the logarithm of its depth in rounds, each a join of written
+    tables. Spans whose pointers meet nothing have no root; when a round ends no pointer, what is left are circles.
+
+    Of an id that stands more than once in a trace, a root counts first, then the smallest parent."""
+    spark, key = spans.sparkSession, ["trace_id", "span_id"]
+    parent = F.min(F.struct(F.col("parent_span_id").isNotNull().alias("below"), F.col("parent_span_id").alias("up"))).alias("p")
+    first = spans.groupBy(*key).agg(parent).select(*key, "p.up", F.when(F.col("p.up").isNull(), 0).otherwise(1).alias("depth"))
+    state = written(first, "span-pointers")
+    left = None
+    while (n := state.where("up IS NOT NULL").count()) and n != left:
+        left = n
+        place = mark() - 1
+        above = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up_"), F.col("depth").alias("depth_"))
+        # up is null at the root, and where no such span is (the depth then is null as well)
+        met = state.where("up IS NOT NULL").join(above, ["trace_id", "up"], "left").select(*key, F.col("up_").alias("up"), (F.col("depth") + F.col("depth_")).alias("depth"))
+        state = written(state.where("up IS NULL").unionByName(met), "span-pointers")
+        release(spark, made_since(place, but_last=True))
+    found = state.select(*key, F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    return spans.join(found, key, "left")

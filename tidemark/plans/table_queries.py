@@ -278,7 +278,7 @@ QUERIES = {
         SELECT t.media_id, t.t, CASE WHEN t.t < until THEN id END AS id, CASE WHEN t.t < until THEN text END AS text FROM t ASOF LEFT JOIN g ON t.media_id = g.media_id AND t.t >= g.start""",
     ),
     "j13_span_tree": (
-        lambda s, d: J.span_tree(view(s, d, "spans"), 10).select("trace_id", "span_id", C("depth").cast("int").alias("depth")),
+        lambda s, d: J.span_tree(view(s, d, "spans")).select("trace_id", "span_id", C("depth").cast("int").alias("depth")),
         "SELECT s.trace_id, s.span_id, t.depth FROM {spans} s JOIN t ON s.span_id = t.span_id",
     ),
     "l1_top_processes": (

@@ -204,10 +204,25 @@ def read_grid_sizes(spark: SparkSession, path: str) -> DataFrame:
     return placed.groupBy("image_id").agg(F.max_by(F.struct("cols", "rows"), F.struct("file_", "block_", "line_")).alias("s_")).select("image_id", "s_.*")
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str = "file") -> DataFrame:
+    """(name, pos, line): the lines of text files, numbered from 0 within each, the empty one after a last newline included.
+
+    Spark splits files into byte ranges, however large they are, and each range's lines are counted; a line's number is its place in
+    its range and the lines of the ranges before, which are a row each. A file without a byte has no lines."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias(name), F.col("_metadata.file_block_start").alias("block_"), F.col("_metadata.file_size").alias("size_"), F.monotonically_increasing_id().alias("id_"), F.col("value").alias("line")
+    )
+    blocks = rows.groupBy(name, "block_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_"), F.sum(F.octet_length("line") + 1).alias("bytes_"), F.max("size_").alias("size_"))
+    w = Window.partitionBy(name).orderBy("block_")
+    before = blocks.select(name, "block_", "first_", F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    lines = rows.join(before, [name, "block_"]).select(name, (F.col("before_") + F.col("id_") - F.col("first_")).cast("int").alias("pos"), "line")
+    ends = blocks.groupBy(name).agg(F.sum("n_").cast("int").alias("pos"), F.sum("bytes_").alias("bytes_"), F.max("size_").alias("size_"))
+    return lines.unionByName(ends.where("bytes_ = size_").select(name, "pos", F.lit("").alias("line")))
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file; Spark numbers them within a file by their place in its single whole text."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return text.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    """Lines with their file and their number in it."""
+    return numbered_lines(spark, path)
 
 
 def write_job_state(events: DataFrame, path: str, ttl: int = 7200) -> None:
