@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import format_ts, parse_ts, round_half_away
 from tidemark.operators.windows import latest_state
-from tidemark.staging import scope, written
+
+from .changes import read_changes, upsert_batch
 
 #: Pixels that are turned into rows at once.
 PIXELS = 1 << 18
@@ -92,8 +92,7 @@ TIME_LINE = r"^\s*([0-9:.,]+)\s*-->\s*([0-9:.,]+)"
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """Cues of SRT or VTT files. A time line opens a cue, text lines join it, a blank line closes it; a cue that
     another time line interrupts is lost; numbers outside cues are skipped."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("media_id"), F.regexp_replace("value", "\r", "").alias("value"))
-    lines = text.select("media_id", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    lines = numbered_lines(spark, path, "media_id").withColumn("line", F.regexp_replace("line", "\r", ""))
     w = Window.partitionBy("media_id").orderBy("pos")
     lines = lines.withColumn("line", F.trim("line")).withColumn("opens", F.col("line").rlike(TIME_LINE))
     lines = lines.withColumn("cue", F.sum(F.col("opens").cast("int")).over(w)).where("cue > 0")
@@ -237,35 +236,21 @@ def write_metadata(rows: DataFrame, path: str, key: str = "key", ttl: int = 3600
     latest_state(rows, key, ["ts"]).withColumn("expires_at", F.col("ts") + F.make_dt_interval(secs=own)).write.mode("overwrite").parquet(path)
 
 
-#: Parts of a table that batches are merged into, by a hash of its key.
-BUCKETS = 64
-
-
-def upsert_table(new: DataFrame, path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS) -> None:
-    """Merges rows into the Parquet table at path, by merge(old, new). Only the buckets that the new rows touch are read and
-    written again. What is merged is staged first, as a table can't be overwritten while it is read."""
-    spark = new.sparkSession
-    cut = lambda df: df.withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    with scope(spark):
-        fresh = written(new, "upsert-new")
-        touched = [r["bucket_"] for r in cut(fresh).select("bucket_").distinct().collect()]
-        if not touched:
-            return
-        try:
-            old = spark.read.parquet(path).where(F.col("bucket_").isin(touched)).drop("bucket_")
-        except AnalysisException:
-            old = fresh.limit(0)
-        merged = written(cut(merge(old, fresh)).repartition("bucket_"), "upsert-merged")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_").parquet(path)
+def newest_state(rows: DataFrame) -> DataFrame:
+    """The latest row of each job, of equally late ones that of the later batch."""
+    return latest_state(rows, "job_id", ["ts", "order_"]).drop("order_")
 
 
 def stream_job_state(events: DataFrame, path: str, ttl: int = 7200):
-    """S14 on a stream: a writer that upserts each batch's latest states into the table at path."""
+    """S14 on a stream: a writer that adds each batch's latest states to the table of changes at path; read it with
+    read_job_state. Start it with a checkpoint; a batch that is done twice changes nothing the second time."""
 
     def ended(df: DataFrame) -> DataFrame:
         return latest_state(df, "job_id", ["ts"]).withColumn("expires_at", F.col("ts") + F.make_dt_interval(secs=F.lit(ttl)))
 
-    def newest(old: DataFrame, new: DataFrame) -> DataFrame:
-        return latest_state(old.unionByName(new), "job_id", ["ts"])
+    return events.writeStream.foreachBatch(lambda batch, number: upsert_batch(ended(batch), path, number, newest_state))
+
 
-    return events.writeStream.foreachBatch(lambda batch, _: upsert_table(ended(batch), path, "job_id", newest))
+def read_job_state(spark: SparkSession, path: str) -> DataFrame:
+    """The table that stream_job_state writes."""
+    return read_changes(spark, path, newest_state)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.windows import change_feed, failures_in_row, running_ewma, running_max, running_sum
-from tidemark.sources.readers import upsert_table
+from tidemark.sources.changes import upsert_batch
 from tidemark.staging import made_since, mark, release, written
 
 # A step takes the state (a tuple of numbers or texts) and a row, and returns the new state and an output row, or None for no row.
@@ -456,31 +456,28 @@ def upsert_users(logins: DataFrame) -> DataFrame:
     return logins.groupBy("uid").agg(F.min("ts").alias("created"), F.max("ts").alias("last_login"), known("name"), known("photo"))
 
 
-def merge_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sessions with the sessions of later logins: known ones live on with their creation, agent and address, if the new have none."""
-    return _merged(old, new, "token", ["created"], {"expires_at": F.greatest, "agent": F.coalesce, "ip": F.coalesce, "status": F.coalesce})
+def fold_sessions(rows: DataFrame) -> DataFrame:
+    """Sessions of several batches as one a token: known ones live on with their creation, and with their agent and address where later
+    ones have none."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("order_"))).alias(c)
+    return rows.groupBy("token").agg(F.min("created").alias("created"), F.max("expires_at").alias("expires_at"), last("agent"), last("ip"), last("status"))
 
 
-def merge_users(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Users with those of later logins."""
-    return _merged(old, new, "uid", ["created"], {"last_login": F.greatest, "name": F.coalesce, "photo": F.coalesce})
-
-
-def _merged(old: DataFrame, new: DataFrame, key: str, first: list[str], rules: dict) -> DataFrame:
-    both = old.alias("o").join(new.alias("n"), key, "full")
-    kept = [F.least(f"o.{c}", f"n.{c}").alias(c) for c in first]
-    return both.select(key, *kept, *[rule(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c, rule in rules.items()])
+def fold_users(rows: DataFrame) -> DataFrame:
+    """Users of several batches as one an id."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("order_"))).alias(c)
+    return rows.groupBy("uid").agg(F.min("created").alias("created"), F.max("last_login").alias("last_login"), last("name"), last("photo"))
 
 
 def stream_sessions(logins: DataFrame, path: str):
-    """T7 on a stream: a writer that upserts each batch's logins into the table of sessions at path. Start it with a
-    checkpoint; a batch that is done twice changes nothing the second time."""
-    return logins.writeStream.foreachBatch(lambda batch, _: upsert_table(upsert_sessions(batch), path, "token", merge_sessions))
+    """T7 on a stream: a writer that adds each batch's sessions to the table of changes at path; read it with
+    read_changes(spark, path, fold_sessions). Start it with a checkpoint; a batch that is done twice changes nothing the second time."""
+    return logins.writeStream.foreachBatch(lambda batch, number: upsert_batch(upsert_sessions(batch), path, number, fold_sessions))
 
 
 def stream_users(logins: DataFrame, path: str):
-    """T8 on a stream, as stream_sessions."""
-    return logins.writeStream.foreachBatch(lambda batch, _: upsert_table(upsert_users(batch), path, "uid", merge_users))
+    """T8 on a stream, as stream_sessions; read it with read_changes(spark, path, fold_users)."""
+    return logins.writeStream.foreachBatch(lambda batch, number: upsert_batch(upsert_users(batch), path, number, fold_users))
 
 
 def dedupe_events(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
