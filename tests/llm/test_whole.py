@@ -131,6 +131,27 @@ def test_benchmark_is_brute(spark):
     assert got <= want and len(got) >= 0.99 * len(want) > 200
 
 
+def test_benchmark_with_a_filter(spark, monkeypatch):
+    """Known shingles too many to be broadcast are met through a Bloom filter: the same answers, and what is not known hardly passes."""
+    rows, items = planted()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "item_id", "start_word", "n_words"]
+    want = sorted(map(str, D.find_benchmark(frame(spark, rows), bench).select(*columns).collect()))
+    monkeypatch.setattr(D, "KNOWN", 0)
+    assert sorted(map(str, D.find_benchmark(frame(spark, rows), bench).select(*columns).collect())) == want
+    known = written(spark.range(50_000).select(F.lit(5).alias("width"), F.col("id").cast("int").alias("n"), F.xxhash64("id").alias("h")), "known")
+    hits = spark.range(100_000, 300_000).select(F.lit(5).alias("width"), F.xxhash64("id").alias("h"), F.col("id").alias("at")).union(spark.range(1000).select(F.lit(5), F.xxhash64("id"), F.col("id")))
+    assert D.met_known(hits, known).count() == 1000 and 1000 <= D.maybe_known(hits, known, 50_000).count() <= 3000
+
+
+def test_very_long_benchmark_item(spark):
+    rnd = random.Random(21)
+    long = " ".join(f"w{rnd.randrange(3000)}" for _ in range(20_000))
+    rows = [(1, "before " + long + " after"), (2, long[:30_000]), (3, " ".join(f"w{rnd.randrange(3000)}" for _ in range(20_000)))]
+    got = {(r["doc_id"], r["start_word"]) for r in D.find_benchmark(frame(spark, rows), spark.createDataFrame([(7, long)], "item_id long, text string")).collect()}
+    assert got == {(1, 1)}
+
+
 def test_benchmark_given_is_brute(spark):
     docs = [tuple(r) for r in table(spark, "documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in table(spark, "benchmark").select("item_id", "text").collect()]

@@ -66,6 +66,38 @@ def candidates(prints: DataFrame, items: DataFrame, radius: int) -> DataFrame:
     return met.select("c1", "c2", "n", F.col("i.item").alias("item"), F.bit_count(F.col("fp").bitwiseXOR(F.col("i.item_fp"))).alias("hamming")).distinct()
 
 
+#: Bits of the filter that known shingles are held against before a shuffle, at most: 16 MB, which is broadcast.
+FILTER_BITS = 1 << 27
+#: Known shingles that are broadcast themselves.
+KNOWN = 500_000
+
+
+def places(bits: int) -> Column:
+    """The places in a filter of so many bits of a shingle (width, h)."""
+    return F.array(*[F.pmod(F.xxhash64("width", "h", F.lit(f"filter{k}")), F.lit(bits)) for k in range(3)])
+
+
+def maybe_known(hits: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """The rows of hits whose shingle may be one of the n in known: a Bloom filter, built by aggregation and of bounded size, is broadcast."""
+    bits = min(FILTER_BITS, 1 << (16 * n).bit_length())
+    at = known.select("width", "h").distinct().select(F.explode(places(bits)).alias("at"))
+    words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+    every = known.sparkSession.range(bits // 64).withColumnRenamed("id", "word").join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    one = every.groupBy(F.lit(1).alias("one_")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("filter_"))
+    one = written(one, "benchmark-filter")
+    set_ = lambda p: F.call_function("shiftrightunsigned", F.get("filter_", F.floor(p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return hits.where("h IS NOT NULL").withColumn("one_", F.lit(1)).join(F.broadcast(one), "one_").where(F.forall(places(bits), set_)).drop("one_", "filter_")
+
+
+def met_known(hits: DataFrame, known: DataFrame) -> DataFrame:
+    """hits (with width and h) joined with the written table known. Few known shingles are broadcast. Many are shuffled, after the hits have
+    been filtered, so that what moves are hits and a few more."""
+    n = known.count()
+    if n <= KNOWN:
+        return hits.join(F.broadcast(known), ["width", "h"])
+    return maybe_known(hits, known, n).join(known, ["width", "h"])
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 19, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """(doc_id, tag, item_id, start_word, n_words, hamming, similarity): for each document and item that it holds, the best
     window of the item's length. tag is the text's hash and tells rows with one doc_id apart.
@@ -81,8 +113,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.
     exact similarity. At similarity 0.8 about 0.15 of 64 bits differ, 10 on average; tests measure what the radius keeps.
 
     Null or empty texts and items match nothing. Items with the same item_id are items of their own with one name.
-    Rows with the same doc_id and text are one. Broadcast are the items' shingles and lists of documents, each only after
-    its rows have been counted. An empty table on either side gives an empty result; other columns are ignored."""
+    Rows with the same doc_id and text are one. Broadcast are the items' shingles, or a filter of them of bounded size, and lists of
+    documents, each only after its rows have been counted. An empty table on either side gives an empty result; other columns are ignored."""
     items = benchmark.select(F.col(item_id).alias("item_id"), body(text).alias("text")).distinct()
     items = items.withColumn("words", words_of("text")).withColumn("n", F.size("words")).where("n > 0")
     items = items.withColumn("item", F.xxhash64("item_id", "text")).withColumn("width", F.least("n", F.lit(width)))
@@ -100,7 +132,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.
     grams = once(words_of("text"), lambda w: F.flatten(F.array(*[named(w, k) for k in widths])))
     # outer: else Spark works the hashes out twice, for a filter on empty arrays; nulls meet no item
     hits = plain.select("id", "tag", F.explode_outer(grams).alias("g")).select("id", "tag", "g.*")
-    hits = join_checked(hits, known, ["width", "h"], rows=500_000).groupBy("id", "tag", "width", "n", "n_words").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    hits = met_known(hits, known).groupBy("id", "tag", "width", "n", "n_words").agg(F.sort_array(F.collect_set("at")).alias("at"))
     last = F.greatest(F.col("n_words") - F.col("n"), F.lit(0))
     whole = F.col("n") - F.col("width") + 1
     size = F.least(whole, F.col("n_words") - F.col("width") + 1)
@@ -116,8 +148,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.
     again = join_checked(plain, chosen, ["id", "tag"], "left_semi", rows=500_000).dropDuplicates(["id", "tag"])
     each = once(words_of("text"), lambda w: F.array(*[F.struct(F.lit(k).alias("width"), shingles(w, k).alias("hs")) for k in widths]))
     again = again.select("id", "tag", F.explode(each).alias("s")).select("id", "tag", "s.*")
-    window = lambda s: F.struct(s.alias("start"), F.transform(F.sequence(s, s + F.col("size") - 1), lambda i: F.get("hs", i)).alias("hs"))
-    windows = starts.join(again, ["id", "tag", "width"]).select("id", "tag", "n", F.explode(F.transform("begins", window)).alias("w")).select("id", "tag", "n", "w.*")
+    # a row a window, before it is cut out: windows of one document and length, long as they may be, never stand in one row
+    begun = starts.select("id", "tag", "width", "n", "size", F.explode("begins").alias("start"))
+    windows = begun.join(again, ["id", "tag", "width"]).select("id", "tag", "n", "start", F.slice("hs", F.col("start") + 1, F.col("size")).alias("hs"))
     content = ["c1", "c2", "n"]
     windows = written(windows.select("id", "tag", "n", "start", "hs", F.xxhash64("hs").alias("c1"), F.hash("hs").alias("c2")), "benchmark-windows")
     contents = written(windows.groupBy(*content).agg(F.first("hs").alias("hs"), F.count("*").alias("rows")), "benchmark-contents")
