@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.staging import made_since, mark, release, written
 
-from .pixels import neighbors3x3, oklab_dist2, to_oklab
+from .pixels import oklab_dist2, to_oklab
+from .tiles import TILE, Around, over_tiles
 
 
 def with_confidence(shares: DataFrame, key: list[str]) -> DataFrame:
@@ -43,40 +45,58 @@ def relax_labels(cells: DataFrame, gates: DataFrame, rounds: int = 2, pull: floa
     return cells
 
 
-def saliency(pixels: DataFrame) -> DataFrame:
+def saliency(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """How much each pixel stands out, in the OKLab colours of the 3 x 3 around it, edges replicated.
 
     rareness: the largest squared distance to a neighbour, times 100, at most 10, times (0.5 + 2 chroma). edge: the length of the
     Sobel gradient of L, times 4, at most 10. variance: that of L, times 50, at most 10. weight: 1 + 1.5 rareness +
-    0.5 edge + 0.3 variance."""
-    lab = pixels.select("image_id", "x", "y", to_oklab(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
-    near = neighbors3x3(lab, "lab", "replicate").join(lab, ["image_id", "x", "y"])
-    chroma = F.sqrt(F.col("lab.A") * F.col("lab.A") + F.col("lab.B") * F.col("lab.B"))
-    light = F.col("other.L")
-    slope = lambda a, b: F.sum(F.col(a) * (2 - F.abs(b)) * light)
-    out = near.groupBy("image_id", "x", "y").agg(
-        F.max(oklab_dist2("lab", "other")).alias("d"), F.max(chroma).alias("c"), slope("dx", "dy").alias("gx"), slope("dy", "dx").alias("gy"), F.sum(light).alias("s"), F.sum(light * light).alias("q")
-    )
-    ten = lambda c: F.least(c, F.lit(10.0))
-    out = out.select(
-        "image_id", "x", "y", (ten(F.col("d") * 100) * (0.5 + 2 * F.col("c"))).alias("rareness"),
-        ten(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) * 4).alias("edge"),
-        ten(F.greatest(F.col("q") / 9 - F.col("s") / 9 * F.col("s") / 9, F.lit(0.0)) * 50).alias("variance"),
-    )
-    return out.withColumn("weight", 1 + F.col("rareness") * 1.5 + F.col("edge") * 0.5 + F.col("variance") * 0.3)
+    0.5 edge + 0.3 variance. Pictures are worked on in tiles with a halo."""
+
+    def rule(around: Around) -> dict[str, np.ndarray]:
+        light, a, b = (around.repeated(c) for c in "LAB")
+        far, gx, gy, total, squares = (np.zeros(around.shape) for _ in range(5))
+        for dx, dy in around.shifts():
+            own = light(dx, dy)
+            d = [own - light(0, 0), a(dx, dy) - a(0, 0), b(dx, dy) - b(0, 0)]
+            far = np.maximum(far, d[0] * d[0] + 1.8 * d[1] * d[1] + 1.8 * d[2] * d[2])
+            gx, gy = gx + dx * (2 - abs(dy)) * own, gy + dy * (2 - abs(dx)) * own
+            total, squares = total + own, squares + own * own
+        ten = lambda v: np.minimum(v, 10.0)
+        chroma = np.sqrt(a(0, 0) ** 2 + b(0, 0) ** 2)
+        rareness, edge = ten(far * 100) * (0.5 + 2 * chroma), ten(np.sqrt(gx * gx + gy * gy) * 4)
+        variance = ten(np.maximum(squares / 9 - (total / 9) ** 2, 0.0) * 50)
+        return {"rareness": rareness, "edge": edge, "variance": variance, "weight": 1 + rareness * 1.5 + edge * 0.5 + variance * 0.3}
+
+    return over_tiles(_lab(pixels), list("LAB"), 1, rule, "rareness double, edge double, variance double, weight double", tile)
+
+
+def _lab(pixels: DataFrame) -> DataFrame:
+    return pixels.select("image_id", "x", "y", to_oklab(F.col("r"), F.col("g"), F.col("b")).alias("lab")).select("image_id", "x", "y", "lab.L", "lab.A", "lab.B")
 
 
-def protected_mask(pixels: DataFrame) -> DataFrame:
+def protected_mask(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """Small details: rareness over 2, confidence over 0.3, and one to four pixels of the same label in the 3 x 3 around, itself counted."""
-    near = neighbors3x3(pixels, "label").join(pixels.select("image_id", "x", "y", "label", "rareness", "confidence"), ["image_id", "x", "y"])
-    out = near.groupBy("image_id", "x", "y").agg(F.count_if(F.col("other") == F.col("label")).alias("same"), F.max("rareness").alias("r"), F.max("confidence").alias("c"))
-    return out.select("image_id", "x", "y", ((F.col("r") > 2) & (F.col("c") > 0.3) & F.col("same").between(1, 4)).alias("protected"))
 
+    def rule(around: Around) -> dict[str, np.ndarray]:
+        label = around.clipped("label")
+        same = sum((other == label(0, 0)[0]) & there for other, there in (label(dx, dy) for dx, dy in around.shifts()))
+        return {"protected": (around.columns["rareness"] > 2) & (around.columns["confidence"] > 0.3) & (same >= 1) & (same <= 4)}
 
-def detail_map(pixels: DataFrame, value: str = "v") -> DataFrame:
+    return over_tiles(pixels, ["label", "rareness", "confidence"], 1, rule, "protected boolean", tile)
+
+
+def detail_map(pixels: DataFrame, value: str = "v", tile: int = TILE) -> DataFrame:
     """I8: the largest difference of brightness to the neighbours."""
-    near = neighbors3x3(pixels, value).join(pixels.select("image_id", "x", "y", F.col(value).alias("own")), ["image_id", "x", "y"])
-    return near.groupBy("image_id", "x", "y").agg(F.max(F.abs(F.col("other") - F.col("own"))).alias("detail"))
+
+    def rule(around: Around) -> dict[str, np.ndarray]:
+        near = around.clipped(value)
+        detail = np.zeros(around.shape)
+        for dx, dy in around.shifts():
+            other, there = near(dx, dy)
+            detail = np.maximum(detail, np.where(there, np.abs(other - near(0, 0)[0]), 0.0))
+        return {"detail": detail}
+
+    return over_tiles(pixels, [value], 1, rule, "detail double", tile)
 
 
 def grid_cuts(profile: DataFrame, key: str, pos: str, value: str, step: float, reach: float = 0.35) -> DataFrame:
@@ -143,18 +163,24 @@ def stable_cuts(cuts: DataFrame, key: str) -> DataFrame:
     return rows.where("done_").drop("done_").unionByName(blended)
 
 
-def bilateral(pixels: DataFrame, radius: int = 2, reach: float = 2.0, tone: float = 0.08) -> DataFrame:
+def bilateral(pixels: DataFrame, radius: int = 2, reach: float = 2.0, tone: float = 0.08, tile: int = TILE) -> DataFrame:
     """I8: OKLab colours smoothed over the (2 radius + 1) squared around: exp(-d^2 / 2 reach^2) by place times exp(-c^2 / 2 tone^2) by colour.
 
-    Each pixel is sent to the places around it: one equi-join and one aggregation. Places outside the image weigh nothing."""
-    lab = pixels.select("image_id", "x", "y", to_oklab(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
-    around = range(-radius, radius + 1)
-    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(float(a * a + b * b)).alias("dd")) for a in around for b in around])
-    sent = lab.select("image_id", F.col("lab").alias("other"), F.explode(steps).alias("o"), "x", "y").select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "other", "o.dd")
-    both = sent.join(lab, ["image_id", "x", "y"])
-    w = F.exp(-F.col("dd") / (2 * reach * reach) - oklab_dist2("lab", "other") / (2 * tone * tone))
-    mean = lambda c: (F.sum(F.col("w") * F.col(f"other.{c}")) / F.sum("w")).alias(c)
-    return both.withColumn("w", w).groupBy("image_id", "x", "y").agg(mean("L"), mean("A"), mean("B"))
+    Places outside the image weigh nothing. Pictures are worked on in tiles with a halo."""
+
+    def rule(around: Around) -> dict[str, np.ndarray]:
+        lab = [around.clipped(c) for c in "LAB"]
+        own = [c(0, 0)[0] for c in lab]
+        total, sums = np.zeros(around.shape), [np.zeros(around.shape) for _ in lab]
+        for dx, dy in around.shifts():
+            near = [c(dx, dy)[0] for c in lab]
+            d = [n - o for n, o in zip(near, own)]
+            far = d[0] * d[0] + 1.8 * d[1] * d[1] + 1.8 * d[2] * d[2]
+            w = np.exp(-(dx * dx + dy * dy) / (2 * reach * reach) - far / (2 * tone * tone)) * lab[0](dx, dy)[1]
+            total, sums = total + w, [s + w * n for s, n in zip(sums, near)]
+        return dict(zip("LAB", (s / np.maximum(total, 1e-300) for s in sums)))
+
+    return over_tiles(_lab(pixels), list("LAB"), radius, rule, "L double, A double, B double", tile)
 
 
 def cell_vote(pixels: DataFrame) -> DataFrame:
