@@ -120,6 +120,22 @@ def metadata(spark: SparkSession, d: str) -> DataFrame:
 TURNS = f"(SELECT (conv_id % {FILES})::INT AS media_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id % {FILES} ORDER BY conv_id, turn)::INT AS id FROM conversations)"
 SUBTITLES = f"SELECT media_id, id, id * 2.5::DOUBLE AS start, id * 2.5::DOUBLE + 1.25 AS \"end\", 'turn ' || turn || chr(10) || 'of ' || conv_id AS text FROM {TURNS}"
 
+def artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of one file for each kind, and what a scan of the files tells of their sizes."""
+    rows = read(spark, d, "events")
+    path = grouped(rows, F.concat(C("event_type"), F.lit(" "), C("event_id")), C("user_id") % FILES, "source-artifacts")
+    found = R.scan_artifacts(spark, path).where(C("filename").endswith(".txt"))
+    return found.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if("partial").alias("partial"))
+
+
+def scale_config(spark: SparkSession, d: str) -> DataFrame:
+    """A service for each nation: some fields are missing or unreadable, blanks stand around, and one name comes twice."""
+    fields = F.concat(F.lit(" "), C("n_name"), F.when(C("n_nationkey") % 4 > 0, F.concat(F.lit(":"), C("n_regionkey"), F.lit(":"), F.when(C("n_nationkey") % 3 == 0, "many").otherwise(C("n_nationkey").cast("string")))).otherwise(""), F.when(C("n_nationkey") % 8 == 1, F.concat(F.lit(":77.5:"), C("n_nationkey"), F.lit(":0"))).otherwise(""))
+    text = read(spark, d, "nation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", fields.alias("f")))), lambda x: x["f"]), ",")).first()[0]
+    again = text.split(",")[3].strip().split(":")[0]
+    return R.load_scale_config(spark, f"{text},{again}:9:9").select("service", "min_replicas", "max_replicas", "cpu_up", "cpu_down", "interval_sec")
+
+
 QUERIES = {
     "s1_job_events": (job_events, "SELECT job_id, status, percent::DOUBLE AS percent, error FROM {job_events}"),
     "s3_spans_round_trip": (
@@ -132,6 +148,12 @@ QUERIES = {
     ),
     "s6_subtitles_srt": (lambda s, d: subtitles(s, d, "srt"), SUBTITLES),
     "s7_subtitles_vtt": (lambda s, d: subtitles(s, d, "vtt"), SUBTITLES),
+    "s4_artifacts": (artifacts, f"SELECT count(DISTINCT user_id % {FILES}) AS files, sum(strlen(event_type || ' ' || event_id) + 1)::BIGINT AS bytes, 0::BIGINT AS partial FROM events"),
+    "s11_scale_config": (
+        scale_config,
+        """SELECT n_name AS service, CASE WHEN n_nationkey % 4 > 0 THEN n_regionkey ELSE 1 END::INT AS min_replicas, CASE WHEN n_nationkey % 4 > 0 AND n_nationkey % 3 > 0 THEN n_nationkey ELSE 5 END::INT AS max_replicas,
+        CASE WHEN n_nationkey % 8 = 1 THEN 77.5 ELSE 65 END::DOUBLE AS cpu_up, CASE WHEN n_nationkey % 8 = 1 THEN n_nationkey ELSE 20 END::DOUBLE AS cpu_down, 8::INT AS interval_sec FROM nation""",
+    ),
     "s8_findings": (findings, "SELECT tool, severity, path, line::INT AS line FROM {findings} WHERE doc_id % 10 <> 9"),
     "s9_host_snapshots": (
         snapshots,

@@ -119,6 +119,10 @@ QUERIES = {
         lambda s, d: A.cleanup_summary(J.expired_files(view(s, d, "files"), view(s, d, "jobs"), now())),
         f"SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM {{files}} WHERE epoch({NOON}) - epoch(mtime) > CASE WHEN in_tmp OR ends_with(filename, '.part') THEN 1800 ELSE 3600 END",
     ),
+    "a5_cleanup_protected": (
+        lambda s, d: A.cleanup_summary(J.expired_files(view(s, d, "files"), view(s, d, "files").where("doc_id % 6 = 1").select("filename", F.when(C("doc_id") % 12 == 1, "downloading").otherwise("completed").alias("status")), now())),
+        f"SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM {{files}} WHERE epoch({NOON}) - epoch(mtime) > CASE WHEN in_tmp OR ends_with(filename, '.part') THEN 1800 ELSE 3600 END AND (in_tmp OR filename NOT IN (SELECT filename FROM {{files}} WHERE doc_id % 12 = 1))",
+    ),
     "a6_cache_hits": (
         lambda s, d: rounded(A.cache_hits(read(s, d, "events").select(F.concat(F.lit("op"), C("user_id") % 3).alias("operation"), F.when(C("event_type") == "error", "error").when(C("event_id") % 3 == 0, "miss").otherwise("hit").alias("outcome"), C("value").alias("duration_ms")))),
         "SELECT 'op' || user_id % 3 AS operation, count(*) FILTER (event_type <> 'error' AND event_id % 3 > 0) AS hits, count(*) FILTER (event_type <> 'error' AND event_id % 3 = 0) AS misses, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1",
@@ -250,6 +254,14 @@ QUERIES = {
         lambda s, d: J.find_cached(view(s, d, "file_requests"), view(s, d, "files"), now()).select("request_id", "cached"),
         f"""SELECT request_id, min(filename) AS cached FROM {{file_requests}} r LEFT JOIN {{files}} f ON starts_with(filename, substr(md5(r.url || '_mp3_320'), 1, 10)) AND ends_with(filename, '.mp3') AND epoch({NOON}) - epoch(mtime) < 3600 GROUP BY request_id""",
     ),
+    "j1_find_cached_service": (
+        lambda s, d: J.find_cached(view(s, d, "file_requests"), view(s, d, "files").withColumn("size", F.when(C("doc_id") % 3 > 0, C("size")).otherwise(0)), now(), "service").select("request_id", "cached"),
+        f"""SELECT request_id, min(filename) AS cached FROM {{file_requests}} r LEFT JOIN {{files}} f ON starts_with(filename, substr(md5(r.url || '_mp3_320'), 1, 10)) AND ends_with(filename, '.mp3') AND epoch({NOON}) - epoch(mtime) < 3600 AND doc_id % 3 > 0 AND size > 0 GROUP BY request_id""",
+    ),
+    "j1_find_cached_worker": (
+        lambda s, d: J.find_cached(view(s, d, "file_requests"), view(s, d, "files"), now(), "worker").select("request_id", "cached"),
+        """SELECT request_id, min(filename) AS cached FROM {file_requests} r LEFT JOIN {files} f ON starts_with(filename, substr(md5(r.url || '_mp3_320'), 1, 10)) AND ends_with(filename, '.mp3') AND size > 1024 GROUP BY request_id""",
+    ),
     "j2_expired_files": (
         lambda s, d: J.expired_files(view(s, d, "files"), view(s, d, "files").where("doc_id % 6 = 1").select("filename", F.when(C("doc_id") % 12 == 1, "queued").otherwise("processing").alias("status")), now()).select("doc_id"),
         f"""SELECT doc_id FROM {{files}} WHERE epoch({NOON}) - epoch(mtime) > CASE WHEN in_tmp OR ends_with(filename, '.part') THEN 1800 ELSE 3600 END AND (in_tmp OR filename NOT IN (SELECT filename FROM {{files}} WHERE doc_id % 12 = 1))""",
