@@ -193,3 +193,11 @@ def test_span_names(spark):
     df = spark.createDataFrame(rows, "m string, p string, s int, probe boolean")
     got = [r[0] for r in df.select(S.span_name(F.col("m"), F.col("p"), F.col("s"), F.col("probe"))).collect()]
     assert got == ["🌐 [Gateway] Lấy thông tin Media (/api/info)", "🌐 [Gateway] Hủy tiến trình (/api/cancel/7)", "🌐 [Gateway] Lỗi 404 (GET /x)", "🌐 [Gateway] PUT /y", "🛡️ [Security Probe] GET /.env (HTTP 403)"]
+
+
+def test_counter_rates_at_one_instant(spark):
+    """Samples of one instant go by their number: 0 to 4 at once is infinitely fast, 4 to 4 is no number, 4 to 10 in 2 s is 3 a second."""
+    rows = [(1, 3, "2024-01-01 00:00:00", 4), (1, 1, "2024-01-01 00:00:00", 0), (1, 2, "2024-01-01 00:00:00", 4), (1, 4, "2024-01-01 00:00:02", 10)]
+    samples = spark.createDataFrame(rows, "k int, n int, t string, c long").withColumn("t", F.to_timestamp("t"))
+    got = [r["c_rate"] for r in W.counter_rates(samples, ["k"], "t", ["c"], ["n"]).collect()]
+    assert got[:2] == [None, math.inf] and math.isnan(got[2]) and got[3] == 3.0

@@ -141,17 +141,20 @@ def load_score(requests: DataFrame, averages: DataFrame, node: str = "node", val
     return running.where("step = 1").join(averages, node).select(node, "event_id", "active", ((F.col("active") + 1) * F.col("ewma")).alias("score"))
 
 
-def counter_rates(samples: DataFrame, keys: Sequence[str], ts: str, counters: Sequence[str]) -> DataFrame:
-    """Each counter's growth a second since the sample before; a counter that fell grew by 0."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+def counter_rates(samples: DataFrame, keys: Sequence[str], ts: str, counters: Sequence[str], then: Sequence[str] = ()) -> DataFrame:
+    """Each counter's growth a second since the sample before; a counter that fell grew by 0. Samples of one instant go by `then`;
+    between them growth is infinitely fast, and none is no number."""
+    w = Window.partitionBy(*keys).orderBy(ts, *then)
     took = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(w))) / 1e6
-    rates = [(F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0)) / F.nullif(took, F.lit(0.0))).alias(f"{c}_rate") for c in counters]
+    grew = lambda c: F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0))
+    at_once = lambda c: F.when(grew(c) > 0, F.lit(math.inf)).otherwise(F.lit(math.nan))
+    rates = [F.when(took == 0, at_once(c)).otherwise(grew(c) / F.nullif(took, F.lit(0.0))).alias(f"{c}_rate") for c in counters]
     return samples.select(*keys, ts, *rates)
 
 
-def busy_percent(samples: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Processor use from idle and total counters, 0 to 100."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+def busy_percent(samples: DataFrame, keys: Sequence[str], ts: str, then: Sequence[str] = ()) -> DataFrame:
+    """Processor use from idle and total counters, 0 to 100. Samples of one instant go by `then`."""
+    w = Window.partitionBy(*keys).orderBy(ts, *then)
     grew = lambda c: F.col(c) - F.lag(c).over(w)
     share = F.when(grew("total") > 0, 100.0 * (1 - grew("idle") / grew("total")))
     return samples.select(*keys, ts, F.when(share.isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))).alias("busy"))

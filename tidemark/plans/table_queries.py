@@ -190,11 +190,11 @@ QUERIES = {
         a AS (SELECT *, sum(step) OVER (PARTITION BY node ORDER BY t0, step, event_id)::BIGINT AS active FROM s) SELECT a.node, event_id, active, round((active + 1) * round(ewma, 3), 3) AS score FROM a JOIN e ON a.node = e.node WHERE step = 1""",
     ),
     "w7_counter_rates": (
-        lambda s, d: rounded(W.counter_rates(view(s, d, "counters"), ["host"], "ts", ["bytes"]), 4).select("host", F.unix_micros(C("ts").cast("timestamp")).alias("at"), "bytes_rate"),
+        lambda s, d: rounded(W.counter_rates(view(s, d, "counters"), ["host"], "ts", ["bytes"], ["event_id"]), 4).select("host", F.unix_micros(C("ts").cast("timestamp")).alias("at"), "bytes_rate"),
         "SELECT host, epoch_us(ts) AS at, round(greatest(bytes - lag(bytes) OVER w, 0) / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6), 4) AS bytes_rate FROM {counters} WINDOW w AS (PARTITION BY host ORDER BY ts)",
     ),
     "w7_busy_percent": (
-        lambda s, d: rounded(W.busy_percent(view(s, d, "counters"), ["host"], "ts")).select("host", F.unix_micros(C("ts").cast("timestamp")).alias("at"), "busy"),
+        lambda s, d: rounded(W.busy_percent(view(s, d, "counters"), ["host"], "ts", ["event_id"])).select("host", F.unix_micros(C("ts").cast("timestamp")).alias("at"), "busy"),
         "SELECT host, epoch_us(ts) AS at, CASE WHEN total - lag(total) OVER w > 0 THEN round(least(greatest(100.0 * (1 - (idle - lag(idle) OVER w) / (total - lag(total) OVER w)::DOUBLE), 0), 100), 6) END AS busy FROM {counters} WINDOW w AS (PARTITION BY host ORDER BY ts)",
     ),
     "w8_group_lines": (
