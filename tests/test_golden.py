@@ -209,3 +209,9 @@ def test_offset_of_over_a_cell(spark):
     cells = lambda **how: [r["cx"] for r in X.spatial_grid(one, 4, 1, (2.5, 0.0), **how).orderBy("x").collect()]
     assert cells() == [0, 0, 1, 2]
     assert cells(wraps=False) == [0, 0, 0, 0]
+
+
+def test_best_phase_of_an_exact_tie(spark):
+    """By fractions the least variance is 1885.8359375, half a unit of the sixth place, and goes up."""
+    rows = [[(5 * x * x + x * y * 5) % 256 for x in range(8)] for y in range(8)]
+    assert tuple(G.best_phase(picture(spark, rows), 2.5, 2.0, 4).first()) == (1, 1.875, 1.0, 1885.835938)

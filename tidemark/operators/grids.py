@@ -138,7 +138,7 @@ def best_phase(pixels: DataFrame, step_x: float, step_y: float | None = None, tr
     of equal ones the first down, then across."""
     step_y = step_y or step_x
     xs, ys = ([k * (step / tries) for k in range(tries)] for step in (step_x, step_y))
-    found = phase_variances(pixels, step_x, step_y, xs, ys).withColumn("near_", F.round("variance", 6))
+    found = phase_variances(pixels, step_x, step_y, xs, ys).withColumn("near_", F.round(F.round("variance", PLACES), 6))
     best = found.groupBy("image_id").agg(F.min(F.struct("near_", "iy", "ix")).alias("b"))
     offset = lambda values, c: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col(c) + 1)
     return best.select("image_id", offset(xs, "b.ix").alias("ox"), offset(ys, "b.iy").alias("oy"), F.col("b.near_").alias("variance"))
