@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.staging import made_since, mark, release, written
 
+from .tiles import TILE
 from .windows import normalize_profile
 
 
@@ -119,13 +120,34 @@ def phase_spans(sizes: DataFrame, extent: str, phases: Sequence[float], step: fl
     return each.select("image_id", number, F.explode(F.arrays_zip(F.slice("c_", 1, F.size("c_") - 1).alias("a"), F.slice("c_", 2, F.size("c_") - 1).alias("b"))).alias("s")).select("image_id", number, F.col("s.a").alias(low), F.col("s.b").alias(high))
 
 
-def phase_variances(pixels: DataFrame, step_x: float, step_y: float, xs: Sequence[float], ys: Sequence[float]) -> DataFrame:
-    """(image_id, iy, ix, variance) for each phase on either axis: A20 of its cells, that is red, green and blue together, weighed by area."""
-    area = summed_area(pixels, [F.col(c) for c in "rgb"])
-    sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w_"), (F.max("y") + 1).alias("h_"))
-    cells = phase_spans(sizes, "w_", xs, step_x, "ix", "x0", "x1").join(phase_spans(sizes, "h_", ys, step_y, "iy", "y0", "y1"), "image_id")
-    found = rectangles(area, cells, ["image_id", "iy", "ix"], 3)
-    return found.groupBy("image_id", "iy", "ix").agg((F.sum(F.col("variance") * F.col("area")) / F.greatest(F.sum("area"), F.lit(1e-12))).alias("variance"))
+def line_before(place: Column, phase: float, step: float) -> Column:
+    """The last line at or before a place of the lattice whose lines are rounded to whole places (halves to even), the first one 0."""
+    k = F.floor((place - phase) / step)
+    line = lambda n: F.rint(phase + n * step)
+    return F.greatest(F.when(line(k + 1) <= place, line(k + 1)).otherwise(line(k)), F.lit(0.0)).cast("long")
+
+
+def phase_variances(pixels: DataFrame, step_x: float, step_y: float, xs: Sequence[float], ys: Sequence[float], band: int = TILE) -> DataFrame:
+    """(image_id, iy, ix, variance) for each phase on either axis: A20 of its cells, that is red, green and blue together, weighed by area.
+
+    Pixels are shuffled once, in bands of rows. There they are summed along the rows for each phase across, and these sums down the
+    band for each phase down; only cells that a band cuts are shuffled again."""
+    sums = ["n_", "r_", "g_", "b_", "q_"]
+    whole = [F.col(c).cast("double") for c in "rgb"]
+    rows = pixels.select("image_id", F.floor(F.col("y") / band).alias("band_"), "x", "y", F.lit(1.0).alias("n_"), *[c.alias(f"{n}_") for c, n in zip(whole, "rgb")]).repartition("image_id", "band_")
+    rows = rows.withColumn("q_", F.col("r_") * F.col("r_") + F.col("g_") * F.col("g_") + F.col("b_") * F.col("b_"))
+    lines = lambda c, number, phases, step: F.explode(F.array(*[F.struct(F.lit(k).alias(number), line_before(F.col(c), float(p), float(step)).alias(f"{c}0")) for k, p in enumerate(phases)])).alias("o_")
+    key = ["image_id", "band_"]
+    add = [F.sum(c).alias(c) for c in sums]
+    across = rows.select(*key, "y", *sums, lines("x", "ix", xs, step_x)).groupBy(*key, "y", "o_.ix", "o_.x0").agg(*add)
+    cells = across.select(*key, "y", "ix", "x0", *sums, lines("y", "iy", ys, step_y)).groupBy(*key, "o_.iy", "ix", "o_.y0", "x0").agg(*add, F.max("y").alias("low_"))
+    squares = F.col("q_") / F.col("n_") - sum((F.pow(F.col(f"{c}_") / F.col("n_"), F.lit(2.0)) for c in "rgb"), F.lit(0.0))
+    # a cell that ends with its band may go on in the next one, one that begins before its band begins there
+    cut = (F.col("y0") < F.col("band_") * band) | (F.col("low_") == F.col("band_") * band + band - 1)
+    place = lambda c: F.when(cut, F.col(c)).otherwise(-1).alias(c)
+    parts = cells.select("image_id", "iy", "ix", place("y0"), place("x0"), *sums, F.when(~cut, squares * F.col("n_")).alias("s_"))
+    met = parts.groupBy("image_id", "iy", "ix", "y0", "x0").agg(*add, F.sum("s_").alias("s_"))
+    return met.groupBy("image_id", "iy", "ix").agg((F.sum(F.coalesce("s_", squares * F.col("n_"))) / F.sum("n_")).alias("variance"))
 
 
 def grid_variance(pixels: DataFrame, step_x: float, step_y: float | None = None, offset: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
