@@ -29,3 +29,14 @@ def test_phases_over_bands(spark):
             groups.setdefault((cell(row[1], r["ix"]), cell(row[2], r["iy"])), []).append(row[3:])
         assert r["variance"] == pytest.approx(sum(np.var(np.array(g), 0).sum() * len(g) for g in groups.values()) / len(rows))
     assert out.count() == 4 and "Window" not in plan(out) and "Join" not in plan(out)
+
+
+def test_autocorrelation_over_slices(spark):
+    """A profile of three slices with gaps: against pairs counted one by one, and no row for each lag of each place."""
+    rnd = random.Random(3)
+    line = {p: float(rnd.randint(0, 99)) for p in range(-40, 600) if p % 13}
+    out = X.autocorr(spark.createDataFrame([(1, p, v) for p, v in line.items()], "k int, p int, v double"), "k", "p", "v", 20)
+    mean = sum(line.values()) / len(line)
+    c = [sum((v - mean) * (line[p + lag] - mean) for p, v in line.items() if p + lag in line) / (len(line) - lag) for lag in range(21)]
+    assert {r["lag"]: r["acf"] for r in out.collect()} == {lag: pytest.approx(c[lag] / c[0], abs=1e-9) for lag in range(21)}
+    assert "sequence(0" not in plan(out)

@@ -325,20 +325,22 @@ def acf_comb(acf: DataFrame, key: str, steps: Sequence[float], most: int = 6, fa
     """For each step the autocorrelation at its multiples, less (unless plain) that half a step to both sides, faded by
     exp(-(k - 1) / fade). Lags count from 0; samples between them are interpolated. A step with fewer than two multiples
     inside scores -1, or 0 if plain and it has none."""
-    n = acf.groupBy(key).agg(F.count("*").alias("n_"))
-    listed = F.array(*[F.lit(float(s)) for s in steps])
-    asks = n.select(key, "n_", F.explode(listed).alias("step")).withColumn("kcap", F.least(F.greatest(F.floor((F.col("n_") - 2) / F.col("step")), F.lit(0)), F.lit(most)).cast("int"))
+    table = acf.groupBy(key).agg(F.count("*").alias("n_"), F.map_from_entries(F.collect_list(F.struct(F.col("lag").cast("long").alias("lag"), "acf"))).alias("acf_"))
+    asks = table.select(key, "n_", "acf_", F.explode(F.array(*[F.lit(float(s)) for s in steps])).alias("step"))
+    asks = asks.withColumn("kcap", F.least(F.greatest(F.floor((F.col("n_") - 2) / F.col("step")), F.lit(0)), F.lit(most)).cast("int"))
     parts = [(0.0, 1.0)] if plain else [(0.0, 1.0), (-0.5, -0.5), (0.5, -0.5)]
-    offsets = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(c).alias("c")) for o, c in parts])
-    least = 1 if plain else 2
-    teeth = asks.where(F.col("kcap") >= least).select("*", F.explode(F.sequence(F.lit(1), F.col("kcap"))).alias("k")).select("*", F.explode(offsets).alias("p"))
-    at = (F.col("k") + F.col("p.o")) * F.col("step")
-    teeth = teeth.withColumns({"low": F.least(F.floor(at), F.col("n_") - 1), "w": F.exp(-(F.col("k") - 1) / fade)}).withColumn("f", F.least(F.greatest(at - F.col("low"), F.lit(0.0)), F.lit(1.0)))
-    ends = F.array(F.struct(F.col("low").alias("lag"), (1 - F.col("f")).alias("u")), F.struct(F.least(F.col("low") + 1, F.col("n_") - 1).alias("lag"), F.col("f").alias("u")))
-    read = teeth.select(key, "step", "k", "w", F.col("p.c").alias("c"), F.explode(ends).alias("e")).select(key, "step", "k", "w", "c", "e.lag", "e.u")
-    sums = read.join(acf.select(key, F.col("lag").cast("long").alias("lag"), "acf"), [key, "lag"]).groupBy(key, "step", "k", "w").agg(F.sum(F.col("c") * F.col("u") * F.col("acf")).alias("t"))
-    scored = sums.groupBy(key, "step").agg((F.sum(F.col("w") * F.col("t")) / F.sum("w")).alias("score_"))
-    return asks.join(scored, [key, "step"], "left").select(key, "step", F.coalesce("score_", F.lit(0.0 if plain else -1.0)).alias("score"))
+    weight = lambda k: F.exp(-(k - 1) / fade)
+    read = lambda lag: F.coalesce(F.element_at("acf_", F.least(lag, F.col("n_") - 1)), F.lit(0.0))
+
+    def sample(at: Column) -> Column:
+        low = F.floor(at)
+        f = F.least(F.greatest(at - F.least(low, F.col("n_") - 1), F.lit(0.0)), F.lit(1.0))
+        return (1 - f) * read(low) + f * read(low + 1)
+
+    tooth = lambda k: sum((c * sample((k + o) * F.col("step")) for o, c in parts), F.lit(0.0))
+    ks = F.sequence(F.lit(1), F.col("kcap"))
+    mean = F.aggregate(ks, F.lit(0.0), lambda s, k: s + weight(k) * tooth(k)) / F.aggregate(ks, F.lit(0.0), lambda s, k: s + weight(k))
+    return asks.select(key, "step", F.when(F.col("kcap") >= (1 if plain else 2), mean).otherwise(0.0 if plain else -1.0).alias("score"))
 
 
 def tile_coherence(peaks: DataFrame, key: str, tile: str, pos: str, height: str, extent: str, steps: Sequence[float]) -> DataFrame:
