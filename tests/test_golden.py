@@ -215,3 +215,11 @@ def test_best_phase_of_an_exact_tie(spark):
     """By fractions the least variance is 1885.8359375, half a unit of the sixth place, and goes up."""
     rows = [[(5 * x * x + x * y * 5) % 256 for x in range(8)] for y in range(8)]
     assert tuple(G.best_phase(picture(spark, rows), 2.5, 2.0, 4).first()) == (1, 1.875, 1.0, 1885.835938)
+
+
+def test_median_without_a_corner(spark):
+    """Of the eight values that are there the median is the mean of the middle two."""
+    one = picture(spark, [[1, 2, 3], [17, 18, 40], [41, 42, 43]]).where("NOT (x = 0 AND y = 0)")
+    got = {(r["x"], r["y"]): r["smooth"] for r in X.median_quantised(one, "r").collect()}
+    # 2, 3, 17, 18, 40, 41, 42, 43: (18 + 40) / 2 = 29 is 2.4 steps; 40 alone would be 3.3
+    assert got[1, 1] == 24.0 and len(got) == 8
