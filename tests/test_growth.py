@@ -40,3 +40,11 @@ def test_autocorrelation_over_slices(spark):
     c = [sum((v - mean) * (line[p + lag] - mean) for p, v in line.items() if p + lag in line) / (len(line) - lag) for lag in range(21)]
     assert {r["lag"]: r["acf"] for r in out.collect()} == {lag: pytest.approx(c[lag] / c[0], abs=1e-9) for lag in range(21)}
     assert "sequence(0" not in plan(out)
+
+
+def test_claims_are_parsed_once(spark):
+    payload = F.concat(F.lit('{"sub": "a'), "id", F.lit('", "firebase": {"sign_in_provider": "google.com"}}'))
+    tokens = spark.range(1).select(F.concat(F.lit("h."), F.regexp_replace(F.base64(payload.cast("binary")), "[=\\r\\n]", ""), F.lit(".s")).alias("t"))
+    claims = tokens.select(S.token_claims(F.col("t")).alias("c")).select("c.*")
+    assert tuple(claims.first()) == ("a0", "a0@example.com", "google")
+    assert plan(claims).count("from_json") == 1
