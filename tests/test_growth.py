@@ -16,6 +16,25 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_claims_are_parsed_once(spark):
+    payload = F.concat(F.lit('{"sub": "a'), "id", F.lit('", "firebase": {"sign_in_provider": "google.com"}}'))
+    tokens = spark.range(1).select(F.concat(F.lit("h."), F.regexp_replace(F.base64(payload.cast("binary")), "[=\\r\\n]", ""), F.lit(".s")).alias("t"))
+    claims = tokens.select(S.token_claims(F.col("t")).alias("c")).select("c.*")
+    assert tuple(claims.first()) == ("a0", "a0@example.com", "google")
+    assert plan(claims).count("from_json") == 1
+
+
+def test_autocorrelation_over_slices(spark):
+    """A profile of three slices with gaps: against pairs counted one by one, and no row for each lag of each place."""
+    rnd = random.Random(3)
+    line = {p: float(rnd.randint(0, 99)) for p in range(-40, 600) if p % 13}
+    out = X.autocorr(spark.createDataFrame([(1, p, v) for p, v in line.items()], "k int, p int, v double"), "k", "p", "v", 20)
+    mean = sum(line.values()) / len(line)
+    c = [sum((v - mean) * (line[p + lag] - mean) for p, v in line.items() if p + lag in line) / (len(line) - lag) for lag in range(21)]
+    assert {r["lag"]: r["acf"] for r in out.collect()} == {lag: pytest.approx(c[lag] / c[0], abs=1e-9) for lag in range(21)}
+    assert "sequence(0" not in plan(out)
+
+
 def test_phases_over_bands(spark):
     """Bands of three rows cut cells; missing pixels don't count; pixels meet no summed-area table."""
     rnd = random.Random(4)
@@ -31,20 +50,14 @@ def test_phases_over_bands(spark):
     assert out.count() == 4 and "Window" not in plan(out) and "Join" not in plan(out)
 
 
-def test_autocorrelation_over_slices(spark):
-    """A profile of three slices with gaps: against pairs counted one by one, and no row for each lag of each place."""
-    rnd = random.Random(3)
-    line = {p: float(rnd.randint(0, 99)) for p in range(-40, 600) if p % 13}
-    out = X.autocorr(spark.createDataFrame([(1, p, v) for p, v in line.items()], "k int, p int, v double"), "k", "p", "v", 20)
-    mean = sum(line.values()) / len(line)
-    c = [sum((v - mean) * (line[p + lag] - mean) for p, v in line.items() if p + lag in line) / (len(line) - lag) for lag in range(21)]
-    assert {r["lag"]: r["acf"] for r in out.collect()} == {lag: pytest.approx(c[lag] / c[0], abs=1e-9) for lag in range(21)}
-    assert "sequence(0" not in plan(out)
-
-
-def test_claims_are_parsed_once(spark):
-    payload = F.concat(F.lit('{"sub": "a'), "id", F.lit('", "firebase": {"sign_in_provider": "google.com"}}'))
-    tokens = spark.range(1).select(F.concat(F.lit("h."), F.regexp_replace(F.base64(payload.cast("binary")), "[=\\r\\n]", ""), F.lit(".s")).alias("t"))
-    claims = tokens.select(S.token_claims(F.col("t")).alias("c")).select("c.*")
-    assert tuple(claims.first()) == ("a0", "a0@example.com", "google")
-    assert plan(claims).count("from_json") == 1
+def test_palettes_share_starts(spark):
+    """A start of few centres begins one of more; an image is one group for all ks."""
+    rnd = np.random.default_rng(5)
+    points, weight = rnd.integers(0, 256, (60, 3)).astype(float), rnd.integers(1, 9, 60).astype(float)
+    each = [K.lloyd(points, weight, [k], 15, 3, 42)[0] for k in (2, 5, 9)]
+    for (palette, error), (one, alone) in zip(K.lloyd(points, weight, [2, 5, 9], 15, 3, 42), each):
+        assert (palette == one).all() and error == alone
+    pixels = spark.createDataFrame([(1, x, 0, 40 * x, 0, 0, 255) for x in range(6)], "image_id int, x int, y int, r int, g int, b int, a int")
+    fits = K.kmeans_palette(pixels, [2, 3])
+    assert [(r["k"], len(r["palette"])) for r in fits.orderBy("k").collect()] == [(2, 2), (3, 3)]
+    assert "explode" not in plan(fits)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,37 +18,53 @@ from .refine import cell_vote, protected_mask, refine_ambiguous, relax_labels, s
 CHANNELS = ["r", "g", "b"]
 
 
-def lloyd(points: np.ndarray, weight: np.ndarray, k: int, rounds: int, attempts: int, seed: int) -> tuple[np.ndarray, float]:
-    """Centres of weighted points, and the mean squared distance to them: the best of several k-means++ starts."""
-    best, least = points[:1], np.inf
-    for attempt in range(attempts):
-        draw = np.random.default_rng(seed + attempt)
-        centres = points[[draw.choice(len(points), p=weight / weight.sum())]]
-        far = ((points - centres[0]) ** 2).sum(1)
-        while len(centres) < k and (far * weight).sum() > 0:
-            centres = np.vstack([centres, points[draw.choice(len(points), p=far * weight / (far * weight).sum())]])
-            far = np.minimum(far, ((points - centres[-1]) ** 2).sum(1))
-        for _ in range(rounds):
-            near = nearest(points, centres)[0]
-            total = np.bincount(near, weight, len(centres))
-            sums = np.stack([np.bincount(near, weight * points[:, c], len(centres)) for c in range(3)], 1)
-            new = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-12)[:, None], centres)
-            step, centres = np.abs(new - centres).max(), new
-            if step < 0.5:
-                break
-        error = float((nearest(points, centres)[1] * weight).sum() / weight.sum())
-        if error < least:
-            best, least = centres, error
-    return best[np.lexsort(best.T[::-1])], least
+def lloyd(points: np.ndarray, weight: np.ndarray, ks: Sequence[int], rounds: int, attempts: int, seed: int) -> list[tuple[np.ndarray, float]]:
+    """For each k the centres of weighted points, and the mean squared distance to them: the best of several k-means++ starts.
+
+    A start of fewer centres is the beginning of one of more, so all ks share them."""
+    starts = [spread(points, weight, max(ks), seed + attempt) for attempt in range(attempts)]
+    moved = [weight * points[:, c] for c in range(3)]
+    found = []
+    for k in ks:
+        best, least = points[:1], np.inf
+        for centres in (start[:k] for start in starts):
+            for _ in range(rounds):
+                near = nearest(points, centres)[0]
+                total = np.bincount(near, weight, len(centres))
+                sums = np.stack([np.bincount(near, m, len(centres)) for m in moved], 1)
+                new = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-12)[:, None], centres)
+                step, centres = np.abs(new - centres).max(), new
+                if step < 0.5:
+                    break
+            error = float((nearest(points, centres)[1] * weight).sum() / weight.sum())
+            if error < least:
+                best, least = centres, error
+        found.append((best[np.lexsort(best.T[::-1])], least))
+    return found
+
+
+def spread(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The centres of a k-means++ start: fewer than k if all points are centres."""
+    draws = np.random.default_rng(seed).random(k)
+    chosen, far = [], np.ones(len(points))
+    for draw in draws:
+        mass = far * weight
+        total = mass.sum()
+        if chosen and not total > 0:
+            break
+        shares = (mass / total).cumsum()
+        at = (shares / shares[-1]).searchsorted(draw, side="right")
+        d = ((points - points[at]) ** 2).sum(1)
+        far = np.minimum(far, d) if chosen else d
+        chosen.append(at)
+    return points[chosen]
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each point the nearest centre and its squared distance, a centre at a time."""
-    at, least = np.zeros(len(points), np.int64), np.full(len(points), np.inf)
-    for k, c in enumerate(centres):
-        d = ((points - c) ** 2).sum(1)
-        at, least = np.where(d < least, k, at), np.minimum(d, least)
-    return at, least
+    """For each point the nearest centre, the first of equals, and its squared distance."""
+    d = sum(np.subtract.outer(points[:, c], centres[:, c]) ** 2 for c in range(3))
+    at = d.argmin(1)
+    return at, d[np.arange(len(points)), at]
 
 
 def kmeans_palette(pixels: DataFrame, ks: Sequence[int] | DataFrame, rounds: int = 15, attempts: int = 3, seed: int = 42, least_alpha: int = 128) -> DataFrame:
@@ -57,18 +74,23 @@ def kmeans_palette(pixels: DataFrame, ks: Sequence[int] | DataFrame, rounds: int
     at most 32,768 rows whatever its size; those are one group. Images without opaque pixels give no row. Same input, same palette."""
     bins = pixels.where(F.col("a") >= least_alpha).groupBy("image_id", color_bin(F.col("r"), F.col("g"), F.col("b"), 5).alias("bin"))
     means = bins.agg(F.count("*").cast("double").alias("n"), *[F.avg(c).alias(c) for c in CHANNELS], F.avg(sum((F.col(c) * F.col(c) for c in CHANNELS), F.lit(0.0))).alias("squares"))
-    asked = means.join(ks.select("image_id", F.col("k").cast("int").alias("k")), "image_id") if isinstance(ks, DataFrame) else means.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bin")
-        points, weight = rows[CHANNELS].to_numpy(), rows["n"].to_numpy()
-        palette, error = lloyd(points, weight, int(rows["k"].iloc[0]), rounds, attempts, seed)
+    if isinstance(ks, DataFrame):
+        asked = means.join(ks.groupBy("image_id").agg(F.sort_array(F.collect_set(F.col("k").cast("int"))).alias("ks_")), "image_id")
+    else:
+        asked = means.withColumn("ks_", F.array(*map(F.lit, sorted(set(ks)))))
+
+    def fit(table: pa.Table) -> pa.Table:
+        rows = {c: table.column(c).to_numpy()[table.column("bin").to_numpy().argsort()] for c in ("n", "squares", *CHANNELS)}
+        points, weight, of = np.stack([rows[c] for c in CHANNELS], 1), rows["n"], table.column("ks_")[0].as_py()
+        found = lloyd(points, weight, of, rounds, attempts, seed)
         # what lies inside the bins counts too
-        error += float(((rows["squares"].to_numpy() - (points**2).sum(1)) * weight).sum() / weight.sum())
-        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "k": [rows["k"].iloc[0]], "palette": [palette.tolist()], "rmse": [max(0.0, error) ** 0.5]})
+        inside = float(((rows["squares"] - (points**2).sum(1)) * weight).sum() / weight.sum())
+        images = pa.concat_arrays([table.column("image_id")[:1].combine_chunks()] * len(of))
+        palettes = pa.array([p.tolist() for p, _ in found], pa.list_(pa.list_(pa.float64())))
+        return pa.Table.from_arrays([images, pa.array(of, pa.int32()), palettes, pa.array([max(0.0, e + inside) ** 0.5 for _, e in found])], names=["image_id", "k", "palette", "rmse"])
 
     kind = pixels.schema["image_id"].dataType.simpleString()
-    return asked.groupBy("image_id", "k").applyInPandas(fit, f"image_id {kind}, k int, palette array<array<double>>, rmse double")
+    return asked.groupBy("image_id").applyInArrow(fit, f"image_id {kind}, k int, palette array<array<double>>, rmse double")
 
 
 def palette_labels(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
@@ -119,7 +141,7 @@ def lab_palette(pixels: DataFrame, k: int = 32, rounds: int = 15, attempts: int
         rows = rows.sort_values("bin")
         # chroma weighs as in oklab_dist2, and the scale is that of bytes, on which lloyd's end is set
         scale = 255 * np.array([1.0, 1.8**0.5, 1.8**0.5])
-        palette, _ = lloyd(rows[list("LAB")].to_numpy() * scale, rows["n"].to_numpy(), k, rounds, attempts, seed)
+        palette, _ = lloyd(rows[list("LAB")].to_numpy() * scale, rows["n"].to_numpy(), [k], rounds, attempts, seed)[0]
         return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "palette": [[dict(zip("LAB", p)) for p in (palette / scale).tolist()]]})
 
     kind = pixels.schema["image_id"].dataType.simpleString()
