@@ -61,3 +61,19 @@ def test_palettes_share_starts(spark):
     fits = K.kmeans_palette(pixels, [2, 3])
     assert [(r["k"], len(r["palette"])) for r in fits.orderBy("k").collect()] == [(2, 2), (3, 3)]
     assert "explode" not in plan(fits)
+
+
+def test_labels_over_tiles(spark):
+    """Nearest colours and confidence against plain Python, in tiles of two places; the image without palette goes."""
+    rnd = random.Random(6)
+    lab = lambda: (rnd.random(), rnd.random() - 0.5, rnd.random() - 0.5)
+    rows = [(i, x, y, lab()) for i in (1, 2) for x in range(5) for y in range(3)]
+    colours = [lab() for _ in range(4)]
+    kind = "struct<L:double,A:double,B:double>"
+    out = K.lab_labels(spark.createDataFrame(rows, f"image_id int, x int, y int, lab {kind}"), spark.createDataFrame([(1, colours)], f"image_id int, palette array<{kind}>"), tile=2)
+    got = {(r["x"], r["y"]): (r["label"], r["confidence"]) for r in out.collect()}
+    assert len(got) == 15
+    for i, x, y, c in rows[:15]:
+        d = sorted(((c[0] - p[0]) ** 2 + 1.8 * (c[1] - p[1]) ** 2 + 1.8 * (c[2] - p[2]) ** 2, k) for k, p in enumerate(colours))
+        assert got[x, y] == (d[0][1], pytest.approx(1 - (d[0][0] / d[1][0]) ** 0.5))
+    assert "array_sort" not in plan(out)

@@ -9,11 +9,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidemark.staging import written
 
 from .pixels import assign_cells, cell_color, color_bin, edge_gates, label_shares, oklab_bin, oklab_dist2, spatial_grid, to_oklab, tv_cleanup
 from .refine import cell_vote, protected_mask, refine_ambiguous, relax_labels, saliency, whole_core, with_confidence
+from .tiles import TILE
 
 CHANNELS = ["r", "g", "b"]
 
@@ -148,13 +150,31 @@ def lab_palette(pixels: DataFrame, k: int = 32, rounds: int = 15, attempts: int
     return bins.groupBy("image_id").applyInPandas(fit, f"image_id {kind}, palette array<struct<L:double,A:double,B:double>>")
 
 
-def lab_labels(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
-    """Pixels (with lab) and the place of the nearest palette colour as label, and confidence, 1 - sqrt(d1 / d2) of the two least distances."""
-    near = F.array_sort(F.transform("palette", lambda p, i: F.struct(oklab_dist2(F.col("lab"), p).alias("d"), i.alias("i"))))
-    met = pixels.join(palettes, "image_id").withColumn("near_", near)
-    d1, d2 = F.get("near_", F.lit(0))["d"], F.get("near_", F.lit(1))["d"]
-    sure = F.when(F.coalesce(d2, F.lit(0.0)) <= 1e-9, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(d1 / d2))))
-    return met.withColumns({"label": F.get("near_", F.lit(0))["i"], "confidence": sure}).drop("near_", "palette")
+def lab_labels(pixels: DataFrame, palettes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pixels (with lab) and the place of the nearest palette colour as label, and confidence, 1 - sqrt(d1 / d2) of the two least distances.
+    Pixels meet their palette in tiles. Those of images without palette go."""
+    key = ["image_id", "tx_", "ty_"]
+    placed = pixels.withColumns({"tx_": F.floor(F.col("x") / tile), "ty_": F.floor(F.col("y") / tile)})
+    listed = placed.select(*key).distinct().join(palettes.select("image_id", "palette"), "image_id").toDF("of_", "of_tx_", "of_ty_", "palette")
+    kept = [f for f in pixels.schema if f.name not in ("label", "confidence")]
+    names = [f.name for f in kept]
+
+    def run(rows: pa.Table, palette: pa.Table) -> pa.Table:
+        colours = palette.column("palette")[0].as_py() if palette.num_rows else []
+        rows = rows.select(names) if colours else rows.select(names).slice(0, 0)
+        lab = rows.column("lab").combine_chunks()
+        parts = [np.subtract.outer(lab.field(c).to_numpy(), np.array([p[c] for p in colours])) for c in "LAB"]
+        d = parts[0] * parts[0] + 1.8 * (parts[1] * parts[1]) + 1.8 * (parts[2] * parts[2])
+        label, sure = np.zeros(rows.num_rows, np.int32), np.ones(rows.num_rows)
+        if len(colours) and rows.num_rows:
+            label = d.argmin(1).astype(np.int32)
+        if len(colours) > 1 and rows.num_rows:
+            least = np.partition(d, 1, axis=1)
+            sure = np.where(least[:, 1] <= 1e-9, 1.0, np.clip(1 - np.sqrt(least[:, 0] / np.maximum(least[:, 1], 1e-300)), 0.0, 1.0))
+        return rows.append_column("label", pa.array(label)).append_column("confidence", pa.array(sure))
+
+    schema = StructType([*kept, StructField("label", IntegerType()), StructField("confidence", DoubleType())])
+    return placed.groupBy(*key).cogroup(listed.groupBy("of_", "of_tx_", "of_ty_")).applyInArrow(run, schema)
 
 
 def advanced(pixels: DataFrame, cols: int, rows: int, offset: tuple[float, float] = (0.0, 0.0)) -> tuple[DataFrame, DataFrame]:
