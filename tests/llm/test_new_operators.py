@@ -4,12 +4,13 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import queries as Q
 from tidemark.llm.centroids import centroid_clusters
-from tidemark.llm.suffix_dedup import common_prefixes, smallest_ids, suffix_array, suffix_dedup
+from tidemark.llm.suffix_dedup import Piece, common_prefixes, repeated, smallest_ids, sparse_suffix_array, suffix_array, suffix_dedup
 from tidemark.llm.whitening import Spectrum, rank_one, secular_roots, whiten
 
 from . import brute
@@ -79,6 +80,35 @@ def test_suffix_array_and_prefixes():
                 assert got[k, t] == want
 
 
+def test_sparse_suffix_array():
+    """Suffixes by their first bytes only, whole words or not, against plain sorting."""
+    rnd = random.Random(3)
+    for letters, depth in ((b"a", 50), (b"ab", 50), (b"\x00\x01", 16), (bytes(range(256)), 9), (b"ab", 3)):
+        raw = bytes(rnd.choice(letters) for _ in range(700)) * 2
+        at = np.array(rnd.sample(range(len(raw) - depth), 400))
+        sa, new = sparse_suffix_array(np.frombuffer(raw, np.uint8), at, depth)
+        strings = [raw[i : i + depth] for i in sa.tolist()]
+        assert sorted(sa.tolist()) == sorted(at.tolist()) and strings == sorted(strings)
+        assert new.tolist() == [k == 0 or strings[k] != strings[k - 1] for k in range(len(strings))]
+    assert [len(x) for x in sparse_suffix_array(np.zeros(0, np.uint8), np.empty(0, np.int64), 50)] == [0, 0]
+
+
+def test_only_repeats_are_sorted():
+    """Of a thousand random rows two share 60 bytes, so 11 strings of 50 each: no other place comes to the suffix array."""
+    rows = np.random.default_rng(5).integers(0, 256, (1000, 80), np.uint8)
+    rows[700, 5:65] = rows[30, 15:75]
+    at = repeated(rows, np.ones((1000, 31), bool), 50)
+    assert at.tolist() == [*range(30 * 80 + 15, 30 * 80 + 26), *range(700 * 80 + 5, 700 * 80 + 16)]
+
+
+def test_anchors_are_dealt_evenly():
+    """Winnowing picks small hashes; by their first four bits anchors must go to 16 shards alike."""
+    text = np.random.default_rng(6).integers(97, 123, 200_000, np.uint8).tobytes()
+    own = Piece(np.array([1]), pa.array([text], pa.binary()), 50, 20)
+    shares = np.bincount((own.value >> np.uint64(60)).astype(int), minlength=16) / len(own.value)
+    assert len(own.value) > 10_000 and 0.05 < shares.min() and shares.max() < 0.075
+
+
 # vectors
 
 VECTORS = "vec_id long, embedding array<float>, label int, v int, cluster string, x int"

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, body, inner_id, lean, outer_id, written
-from .substring_dedup import rolling, winnow
+from .substring_dedup import BASES, powers, rolling, winnow
 
 #: Bytes that are hashed at once, and bytes of text that a piece has at least.
 BLOCK = 1 << 16
-PIECE = 4 << 20
-#: Anchors that a bucket has on average, contexts that a shard has. A gram with more contexts than that is dealt over several shards.
-BUCKET, SHARD = 1 << 20, 1 << 15
+PIECE = 8 << 20
+#: Anchors that a bucket has on average; how many contexts of a gram a shard takes, of more the gram is dealt over several; and anchors of the
+#: corpus that make a shard. Each piece sends a row to each shard, so with smaller ones of both the rows, which grow with the
+#: square of the corpus, hold few contexts each.
+BUCKET, SHARD, SHARE = 1 << 20, 1 << 15, 1 << 19
 #: How many rows of contexts are hashed at once.
 STRIP = 1 << 14
 
@@ -95,22 +97,74 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, width: int, most: int) ->
     return out
 
 
+def sparse_suffix_array(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of text (uint8) that begin `at` these places in order of their first `depth` bytes (none goes beyond the text), and which
+    of them differ there from the one before. Groups of suffixes that are alike so far are sorted by the next eight bytes, if
+    these are not all alike, until the depth is reached."""
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
+
+    def word(i: np.ndarray, d: int) -> np.ndarray:
+        key = words[i + d].view(">u8").reshape(-1).astype(np.uint64)
+        return key >> np.uint64(8 * max(0, 8 - (depth - d)))
+
+    key = word(at, 0)
+    order = np.argsort(key)
+    sa, key = at[order], key[order]
+    new = np.ones(len(sa), bool)
+    new[1:] = key[1:] != key[:-1]
+    for d in range(8, depth, 8):
+        key = word(sa, d)
+        mixed = np.zeros(len(sa), bool)
+        mixed[1:] = ~new[1:] & (key[1:] != key[:-1])
+        if not mixed.any():
+            continue
+        group = np.cumsum(new) - 1
+        open_ = np.zeros(group[-1] + 1, bool)
+        open_[group[mixed]] = True
+        live = np.flatnonzero(open_[group])
+        order = live[np.lexsort((key[live], group[live]))]
+        sa[live], key[live] = sa[order], key[order]
+        new[1:] |= key[1:] != key[:-1]
+    return sa, new
+
+
+def repeated(rows: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
+    """The places, row by row, of those strings of `length` bytes whose hash another one has too; none is looked at where whole is false.
+    No string that repeats is missed; by chance others are among them."""
+    n, width = rows.shape
+    base, inverse = BASES[0]
+    value = np.empty(whole.shape, np.uint64)
+    for k in range(0, n, STRIP):
+        part = rows[k : k + STRIP].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros((len(part), width + 1), np.uint64)
+        np.cumsum(part * powers(base, width), axis=1, out=sums[:, 1:])
+        mixed = (sums[:, length:] - sums[:, :-length]) * powers(inverse, width - length + 1)
+        value[k : k + STRIP] = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    at = np.flatnonzero(whole)
+    bits = np.uint64(len(at).bit_length())
+    packed = (value.reshape(-1)[at] >> bits << bits) | np.arange(len(at), dtype=np.uint64)
+    packed.sort()
+    again = np.zeros(len(at) + 1, bool)
+    again[1:-1] = packed[1:] >> bits == packed[:-1] >> bits
+    found = at[np.sort((packed[again[1:] | again[:-1]] & np.uint64((1 << int(bits)) - 1)).astype(np.int64))]
+    return found // whole.shape[1] * width + found % whole.shape[1]
+
+
 def smallest_ids(rows: np.ndarray, lead: np.ndarray, trail: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
     """For each row of bytes and each place in it the smallest id of a row that holds the same `length` bytes; where fewer follow, NULL_ID.
 
-    The first `lead` and the last `trail` bytes of a row are none of its text."""
+    The first `lead` and the last `trail` bytes of a row are none of its text. The suffix array holds those suffixes whose first bytes
+    may repeat, as their hash does."""
     n, width = rows.shape
-    text = np.ascontiguousarray(rows).reshape(-1)
-    sa = suffix_array(text)
-    new = common_prefixes(text, sa, width, length)[sa] < length
-    new[0] = True
-    place = np.arange(width)
+    place = np.arange(width - length + 1)
     whole = (place >= lead[:, None]) & (place + length <= width - trail[:, None].astype(np.int64))
-    ids = np.where(whole, low[:, None], NULL_ID).reshape(-1)
-    least = np.minimum.reduceat(ids[sa], np.flatnonzero(new))
-    out = np.empty(n * width, np.int64)
-    out[sa] = least[np.cumsum(new) - 1]
-    return np.where(whole.reshape(-1), out, NULL_ID).reshape(n, width)[:, : width - length + 1]
+    out = np.where(whole, low[:, None], NULL_ID)
+    text = np.ascontiguousarray(rows).reshape(-1)
+    sa, new = sparse_suffix_array(text, repeated(rows, whole, length), length)
+    if len(sa):
+        least = np.minimum.reduceat(low[sa // width], np.flatnonzero(new))
+        out[sa // width, sa % width] = least[np.cumsum(new) - 1]
+    return out
 
 
 # anchors and their contexts
@@ -135,7 +189,7 @@ class Piece:
         at, place = np.unique(np.concatenate(at), return_index=True)
         doc = np.searchsorted(self.edges, at, "right") - 1
         inside = at + gram <= self.edges[doc + 1]  # a gram over the end of a document is nobody's
-        self.at, self.doc, self.value = at[inside], doc[inside], np.concatenate(value)[place][inside]
+        self.at, self.doc, self.value = at[inside], doc[inside], spread(np.concatenate(value)[place][inside])
 
     def keep(self, which: np.ndarray) -> None:
         self.at, self.doc, self.value = self.at[which], self.doc[which], self.value[which]
@@ -170,12 +224,17 @@ def context_hash(rows: np.ndarray, lead: np.ndarray, trail: np.ndarray) -> np.nd
     return value
 
 
+def spread(value: np.ndarray) -> np.ndarray:
+    """Hashes of anchors, dealt evenly over all numbers: as winnowing picks minima, they are small ones."""
+    return value * np.uint64(0xD6E8FEB86659FD93)
+
+
 def gram_hash(rows: np.ndarray, at: int, gram: int) -> np.ndarray:
-    """The hash that rolling() gives the gram which begins at a place of each row."""
+    """The hash that a Piece gives the gram which begins at a place of each row."""
     value = np.empty(len(rows), np.uint64)
     for k in range(0, len(rows), STRIP):
         value[k : k + STRIP] = rolling((rows[k : k + STRIP, at : at + gram].astype(np.uint64) + np.uint64(1)).reshape(-1), gram, 0)[::gram]
-    return value
+    return spread(value)
 
 
 def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,12 +274,13 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
     Anchors are chosen by content (winnowed grams of `gram` bytes). Sorted runs of anchors, one a piece of the corpus, meet in
     buckets of hash values, which tell what anchors stand in more than one document: nothing else can repeat. Of these, the
     bytes around them (contexts) go to shards by anchor, compressed, each different context once a piece. A shard finds equal contexts,
-    and where an anchor has several, makes the suffix array of their bytes by Larsson-Sadakane refinement, Kasai's common
-    prefixes, and so for each string of `length` bytes the smallest id. An anchor with more than `shard` contexts is dealt
-    over several shards, whose sorted runs are then merged by binary search. Pieces hear of each context the smallest
-    id and which of its strings have a smaller one elsewhere, and cut their texts.
+    and where an anchor has several, makes the sparse suffix array of those strings of `length` bytes whose hash another
+    one has too, by refinement eight bytes at a time, and so finds for each string the smallest id. An anchor with more than
+    `shard` contexts is dealt over several shards, whose sorted runs are then merged by binary search. Pieces hear of each
+    context the smallest id and which of its strings have a smaller one elsewhere, and cut their texts.
 
-    Contexts are equal when two independent 64-bit hashes of them are; strings are compared by their bytes. A hot passage costs one
+    Contexts are equal when two independent 64-bit hashes of them are; strings are compared by their bytes, hashes only spare those that
+    can't repeat. A hot passage costs one
     context a piece, however many documents hold it. limits: length - gram < 64, length + length - gram < 256.
 
     Null text counts as empty. A null doc_id counts as larger than all others. Rows with the same doc_id don't repeat each
@@ -244,7 +304,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
     rows = written(every.where(F.col("n_bytes") >= length).mapInArrow(numbered, "id long, text binary, n_bytes long, piece long"), "suffix-texts", compression="zstd")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     anchors = 2 * total // (reach + 2)
-    bits, shard_bits = (max(0, (anchors // size).bit_length()) for size in (BUCKET, 4 * SHARD))
+    bits, shard_bits = (max(0, (anchors // size).bit_length()) for size in (BUCKET, SHARE))
     rest = np.uint64(32 - bits)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +315,13 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
             held.clear()
             own = Piece(part.column("id").to_numpy(), part.column("text").chunk(0), length, gram)
             key = own.value >> rest
-            order, starts = grouped(key, own.doc)
+            order = np.argsort(key)
             # how many contexts a gram has here at most, and if more than one document has it
-            key = key[order]
+            key, doc = key[order], own.doc[order]
             new = np.r_[True, key[1:] != key[:-1]][: len(key)]
             heads = np.flatnonzero(new)
             n = np.diff(np.append(heads, len(key)))
-            several = own.doc[order][heads] != own.doc[order][heads + n - 1]
+            several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads) if len(heads) else np.empty(0, bool)
             seen = np.minimum(n, 32767).astype(np.uint16) | (several.astype(np.uint16) << np.uint16(15))
             key = key[heads]
             bucket = (key >> np.uint64(32)).astype(np.int64)
@@ -453,16 +513,21 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
             at = (own.at[some][:, None] - reach + np.arange(reach + 1))[bits]
             np.add.at(edge, at, 1)
             np.add.at(edge, at + length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        out = []
-        data = own.data
-        for k, (a, b) in enumerate(zip(own.edges.tolist(), own.edges[1:].tolist())):
-            here = gone[a:b]
-            turns = np.flatnonzero(np.diff(here, prepend=False, append=False))
-            rest_of = data[a:b][~here].tobytes() if len(turns) else data[a:b].tobytes()
-            spans = [{"start": s, "end": e} for s, e in turns.reshape(-1, 2).tolist()]
-            out.append((int(own.ids[k]), b - a, b - a - len(rest_of), len(spans), hashlib.sha256(rest_of).hexdigest(), spans, rest_of if texts else None))
-        return batch(schema, out)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        first = np.zeros(len(edge), bool)
+        first[own.edges] = True
+        begins, ends = gone.copy(), gone.copy()
+        begins[1:] &= ~gone[:-1] | first[1:-1]
+        ends[:-1] &= ~gone[1:] | first[1:-1]
+        begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        cuts = np.searchsorted(begin, own.edges)
+        removed = np.append(0, np.cumsum(end - begin))[cuts]
+        rest_of, at = memoryview(own.data[~gone]), own.edges - removed
+        parts = [rest_of[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+        base = np.repeat(own.edges[:-1], np.diff(cuts))
+        spans = pa.StructArray.from_arrays([pa.array(x - base, pa.int32()) for x in (begin, end)], names=["start", "end"])
+        columns = [own.ids, np.diff(own.edges), np.diff(removed), np.diff(cuts), [hashlib.sha256(x).hexdigest() for x in parts], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans), [bytes(x) if texts else None for x in parts]]
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
     told = written(rows.select("id", "text", "piece").mapInArrow(runs, RUNS).groupBy("bucket").applyInArrow(shared, SHARED), "suffix-shared")
     by_piece = rows.select("id", "text", "piece").groupBy("piece")
