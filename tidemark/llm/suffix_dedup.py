@@ -128,26 +128,45 @@ def sparse_suffix_array(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[n
     return sa, new
 
 
-def repeated(rows: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
-    """The places, row by row, of those strings of `length` bytes whose hash another one has too; none is looked at where whole is false.
-    No string that repeats is missed; by chance others are among them."""
+def string_hashes(rows: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each `length` consecutive bytes of each row, equal wherever the bytes are."""
     n, width = rows.shape
     base, inverse = BASES[0]
-    value = np.empty(whole.shape, np.uint64)
+    value = np.empty((n, width - length + 1), np.uint64)
     for k in range(0, n, STRIP):
         part = rows[k : k + STRIP].astype(np.uint64) + np.uint64(1)
         sums = np.zeros((len(part), width + 1), np.uint64)
         np.cumsum(part * powers(base, width), axis=1, out=sums[:, 1:])
         mixed = (sums[:, length:] - sums[:, :-length]) * powers(inverse, width - length + 1)
         value[k : k + STRIP] = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return value
+
+
+def whole_strings(lead: np.ndarray, trail: np.ndarray, width: int, length: int) -> np.ndarray:
+    """For each row of `width` bytes and each place whether a string of `length` bytes begins there that is all text: the first `lead` and
+    the last `trail` bytes are none."""
+    place = np.arange(width - length + 1)
+    return (place >= lead[:, None]) & (place + length <= width - trail[:, None].astype(np.int64))
+
+
+def places(which: np.ndarray, width: int) -> np.ndarray:
+    """Where the strings that a table marks, by row and place, begin in rows of `width` bytes laid end to end."""
+    at = np.flatnonzero(which)
+    return at // which.shape[1] * width + at % which.shape[1]
+
+
+def repeated(rows: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
+    """Where in the rows, laid end to end, those strings of `length` bytes begin whose hash another one has too; none is looked at where whole
+    is false. No string that repeats is missed; by chance others are among them."""
     at = np.flatnonzero(whole)
     bits = np.uint64(len(at).bit_length())
-    packed = (value.reshape(-1)[at] >> bits << bits) | np.arange(len(at), dtype=np.uint64)
+    packed = (string_hashes(rows, length).reshape(-1)[at] >> bits << bits) | np.arange(len(at), dtype=np.uint64)
     packed.sort()
     again = np.zeros(len(at) + 1, bool)
     again[1:-1] = packed[1:] >> bits == packed[:-1] >> bits
-    found = at[np.sort((packed[again[1:] | again[:-1]] & np.uint64((1 << int(bits)) - 1)).astype(np.int64))]
-    return found // whole.shape[1] * width + found % whole.shape[1]
+    found = np.zeros(whole.shape, bool)
+    found.reshape(-1)[at[(packed[again[1:] | again[:-1]] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)]] = True
+    return places(found, rows.shape[1])
 
 
 def smallest_ids(rows: np.ndarray, lead: np.ndarray, trail: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
@@ -155,9 +174,8 @@ def smallest_ids(rows: np.ndarray, lead: np.ndarray, trail: np.ndarray, low: np.
 
     The first `lead` and the last `trail` bytes of a row are none of its text. The suffix array holds those suffixes whose first bytes
     may repeat, as their hash does."""
-    n, width = rows.shape
-    place = np.arange(width - length + 1)
-    whole = (place >= lead[:, None]) & (place + length <= width - trail[:, None].astype(np.int64))
+    width = rows.shape[1]
+    whole = whole_strings(lead, trail, width, length)
     out = np.where(whole, low[:, None], NULL_ID)
     text = np.ascontiguousarray(rows).reshape(-1)
     sa, new = sparse_suffix_array(text, repeated(rows, whole, length), length)
@@ -393,11 +411,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
         root = np.where(hot, -(value >> np.uint64(1)).astype(np.int64) - 1, (value >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else 0)
         by = np.argsort(root, kind="stable")
         cuts = np.append(np.flatnonzero(np.r_[True, root[by][1:] != root[by][:-1]]), len(by))
-        out = []
+        out, codec = [], pa.Codec("zstd")
+        sent = low, low < high, lead[head], trail[head]
         for a, b in zip(cuts, cuts[1:]):
             k = by[a:b]
             n = int(parts[k[0]]) if hot[k[0]] else 1
-            out.append((int(root[k[0]]), number * 0x9E3779B1 % (1 << 32) % n, n, number, *(x[k].tobytes() for x in (low, low < high, lead[head], trail[head])), pa.compress(rows[head[k]].tobytes(), "zstd", asbytes=True)))
+            out.append((int(root[k[0]]), number * 0x9E3779B1 % (1 << 32) % n, n, number, *(x[k].tobytes() for x in sent), codec.compress(rows[head[k]].tobytes(), asbytes=True)))
         return batch(schema, out)
 
     def solve(table: pa.Table) -> pa.Table:
@@ -406,9 +425,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
         several, lead, trail = (joined(table, c, np.uint8) for c in ("several", "lead", "trail"))
         sizes = np.array([len(x.as_py()) for x in table.column("lead")])
         width = length + reach
-        rows = np.zeros((len(low), -(-width // 8) * 8), np.uint8)
+        rows, codec = np.zeros((len(low), -(-width // 8) * 8), np.uint8), pa.Codec("zstd")
         for blob, n, end in zip(table.column("rows"), sizes.tolist(), np.cumsum(sizes).tolist()):
-            rows[end - n : end, :width] = np.frombuffer(pa.decompress(blob.as_py(), n * width, "zstd"), np.uint8).reshape(n, width)
+            rows[end - n : end, :width] = np.frombuffer(codec.decompress(blob.as_py(), n * width), np.uint8).reshape(n, width)
         value, context = gram_hash(rows, reach, gram), context_hash(rows, lead, trail)
         order, starts = grouped(value, context)
         size = np.diff(np.append(starts, len(order)))
@@ -427,7 +446,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
             lower = found < least[many][:, None]
             mask[many] = (lower.astype(np.uint64) << np.arange(reach + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
             if divided:
-                out += strings(rows, lead[pick], trail[pick], least[many], table, value[pick], context[pick], [order[s : s + z] for s, z in zip(starts[many], size[many])], low, piece)
+                mine = low[order] == np.repeat(least, size)  # a divided anchor's contexts are all among the many
+                holder = np.repeat(np.arange(len(starts)), size)[mine], table.column("piece").to_numpy()[piece[order][mine]]
+                first = whole_strings(lead[pick], trail[pick], width, length) & ~lower
+                out += strings(rows, first, least, table, value[pick], context[pick], *holder)
         told_low, told_mask = np.empty(len(order), np.int64), np.empty(len(order), np.uint64)
         told_low[order], told_mask[order] = np.repeat(least, size), np.repeat(mask, size)
         useful = (several > 0) | (told_low < low) | (told_mask > 0)
@@ -441,28 +463,23 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, text: str =
 
     entry = np.dtype([("string", f"S{length}"), ("low", np.int64), ("piece", np.int64), ("gram", np.uint64), ("context", np.uint64), ("bit", np.uint8)])
 
-    def strings(rows, lead, trail, least, table, value, context, members, low, piece) -> list[tuple]:
-        """Sorted runs of all strings of a divided anchor's contexts, for each piece that holds a context's smallest id; cut by a hash, so
-        that equal strings of all its shards meet."""
-        numbers = table.column("piece").to_numpy()
+    def strings(rows, first, least, table, value, context, holder, numbers) -> list[tuple]:
+        """Sorted runs of a divided anchor's strings, of equal ones those with the smallest id, for each piece (numbers) that holds a context
+        (holder) with that id; cut by a hash, so that equal strings of all its shards meet."""
         parts, root = table.column("parts")[0].as_py(), table.column("root")[0].as_py()
         width = rows.shape[1]
-        found = []
-        for t in range(reach + 1):
-            good = np.flatnonzero((lead <= t) & (t + length <= width - trail.astype(np.int64)))
-            owners = [(k, numbers[p]) for k in good.tolist() for p in dict.fromkeys(piece[m] for m in members[k] if low[m] == least[k])]
-            if owners:
-                k = np.array([o[0] for o in owners])
-                part = np.empty(len(k), entry)
-                part["string"] = np.ascontiguousarray(rows[k, t : t + length]).view(f"S{length}").reshape(-1)
-                part["low"], part["piece"], part["gram"], part["context"], part["bit"] = least[k], [o[1] for o in owners], value[k], context[k], t
-                found.append(part)
-        if not found:
-            return []
-        run = np.concatenate(found)
-        run = run[np.argsort(run["string"], kind="stable")]
-        raw = np.ascontiguousarray(run["string"]).view(np.uint8).reshape(-1, length).astype(np.uint64)
-        part = (raw @ (np.arange(1, length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(parts)
+        text = np.ascontiguousarray(rows).reshape(-1)
+        sa, _ = sparse_suffix_array(text, places(first, width), length)
+        own, bit = sa // width, sa % width
+        n = np.bincount(holder, minlength=len(rows))
+        each = n[own]
+        which = np.repeat(np.arange(len(sa)), each)
+        k = own[which]
+        run = np.empty(len(which), entry)
+        run["string"] = np.lib.stride_tricks.sliding_window_view(text, length)[sa].view(f"S{length}").reshape(-1)[which]
+        run["low"], run["gram"], run["context"], run["bit"] = least[k], value[k], context[k], bit[which]
+        run["piece"] = numbers[(np.cumsum(n) - n)[k] + np.arange(len(which)) - (np.cumsum(each) - each)[which]]
+        part = (string_hashes(rows, length)[own, bit] % np.uint64(parts))[which]
         return [(None, None, None, None, None, root, k, run[part == k].tobytes()) for k in range(parts) if (part == k).any()]
 
     def merge(table: pa.Table) -> pa.Table:
